@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from . import bpe, host_rules
 
 QUERIES = {
     "op2_host_rules": host_rules.query,
+    "op9_byte_bpe": bpe.query,
 }
 ORACLES = {
     "op2_host_rules": host_rules.SQL,
