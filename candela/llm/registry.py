@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules
+from . import bitsliced, bpe, host_rules
 
 QUERIES = {
     "op2_host_rules": host_rules.query,
     "op9_byte_bpe": bpe.query,
+    "op10_bit_sliced_top_k": bitsliced.query,
 }
 ORACLES = {
     "op2_host_rules": host_rules.SQL,
+    "op10_bit_sliced_top_k": bitsliced.SQL,
 }
