@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, host_rules
+from . import bitsliced, bpe, host_rules, mixing
 
 QUERIES = {
     "op2_host_rules": host_rules.query,
+    "op4_pivotal_mixing": mixing.query,
     "op9_byte_bpe": bpe.query,
     "op10_bit_sliced_top_k": bitsliced.query,
 }
