@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, host_rules, mixing, near_dup
+from . import bitsliced, bpe, host_rules, line_dedup, mixing, near_dup
 
 QUERIES = {
     "op2_host_rules": host_rules.query,
     "op4_pivotal_mixing": mixing.query,
+    "op5_line_dedup": line_dedup.query,
     "op7_lsh_forest": near_dup.query,
     "op9_byte_bpe": bpe.query,
     "op10_bit_sliced_top_k": bitsliced.query,
