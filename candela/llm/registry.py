@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, host_rules, line_dedup, mixing, near_dup
+from . import bitsliced, bpe, host_rules, line_dedup, mixing, near_dup, rff_quality
 
 QUERIES = {
+    "op1_rff_quality": rff_quality.query,
     "op2_host_rules": host_rules.query,
     "op4_pivotal_mixing": mixing.query,
     "op5_line_dedup": line_dedup.query,
