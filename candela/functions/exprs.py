@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-#: All per-ticker windows use this very partitioning, so that they share one exchange.
-W = Window.partitionBy("ticker").orderBy("date")
-NEWEST = Window.partitionBy("ticker").orderBy(F.desc("date"))
-TICKER = Window.partitionBy("ticker")
+def W() -> WindowSpec:
+    """All per-ticker windows use this very partitioning, so that they share one exchange."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def NEWEST() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy(F.desc("date"))
+
+
+def TICKER() -> WindowSpec:
+    return Window.partitionBy("ticker")
 
 
 def col(c: Column | str) -> Column:
@@ -18,7 +25,7 @@ def col(c: Column | str) -> Column:
 
 def frame(n: int) -> WindowSpec:
     """This row and the n - 1 before it."""
-    return W.rowsBetween(-(n - 1), 0)
+    return W().rowsBetween(-(n - 1), 0)
 
 
 def full(agg, c: Column | str, n: int) -> Column:
@@ -32,12 +39,12 @@ def full_avg(c: Column | str, n: int) -> Column:
 
 def prior_avg(c: Column | str, n: int) -> Column:
     """Mean of the n rows before this one, null unless all are there."""
-    w = W.rowsBetween(-n, -1)
+    w = W().rowsBetween(-n, -1)
     return F.when(F.count(col(c)).over(w) == n, F.avg(col(c)).over(w))
 
 
 def lag(c: Column | str, n: int = 1) -> Column:
-    return F.lag(col(c), n).over(W)
+    return F.lag(col(c), n).over(W())
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -51,12 +58,12 @@ def pct(now: Column | str, past: Column | str) -> Column:
 
 def latest(df: DataFrame) -> DataFrame:
     """The newest row of each ticker."""
-    return df.withColumn("__k", F.row_number().over(NEWEST)).where("__k = 1").drop("__k")
+    return df.withColumn("__k", F.row_number().over(NEWEST())).where("__k = 1").drop("__k")
 
 
 def recent(df: DataFrame, n: int) -> DataFrame:
     """The newest n rows of each ticker."""
-    return df.withColumn("__k", F.row_number().over(NEWEST)).where(F.col("__k") <= n).drop("__k")
+    return df.withColumn("__k", F.row_number().over(NEWEST())).where(F.col("__k") <= n).drop("__k")
 
 
 def r6(c: Column | str) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import TICKER, W, cases, cents, full, full_avg, lag, latest, pct, prior_avg, r2, r6, ratio, recent
 
-CUMULATIVE = W.rowsBetween(Window.unboundedPreceding, 0)
+def CUMULATIVE():
+    return W().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def imbalance(buy: str, sell: str) -> Column:
@@ -39,14 +40,14 @@ def obv_rows(bars: DataFrame) -> DataFrame:
     """On-balance volume of each row; null for tickers with an unusable prev_close."""
     step = (F.signum(F.col("close") - F.col("prev_close")) * F.col("total_volume")).cast("double")
     df = bars.withColumn("prior", lag("close")).withColumn("wrong", (F.col("prev_close").isNull() | (F.col("prev_close") <= 0) | F.coalesce(F.abs(F.col("prev_close") - F.col("prior")) > 0.005 * F.col("prior"), F.lit(False))).cast("int"))
-    df = df.withColumn("refused", F.max("wrong").over(TICKER)).withColumn("move", F.signum(F.col("close") - F.col("prev_close"))).withColumn("rows", F.count(F.lit(1)).over(TICKER)).withColumn("i", F.row_number().over(W))
-    return df.withColumn("obv", F.when(F.col("refused") == 0, F.sum(step).over(CUMULATIVE)))
+    df = df.withColumn("refused", F.max("wrong").over(TICKER())).withColumn("move", F.signum(F.col("close") - F.col("prev_close"))).withColumn("rows", F.count(F.lit(1)).over(TICKER())).withColumn("i", F.row_number().over(W()))
+    return df.withColumn("obv", F.when(F.col("refused") == 0, F.sum(step).over(CUMULATIVE())))
 
 
 def obv(bars: DataFrame) -> DataFrame:
     """Latest OBV and its change over min(rows - 1, 20) rows."""
     df = obv_rows(bars).withColumn("back", F.least(F.col("rows") - 1, F.lit(20)))
-    first = F.first(F.when(F.col("i") == F.col("rows") - F.col("back"), F.col("obv")), ignorenulls=True).over(W.rowsBetween(-20, 0))
+    first = F.first(F.when(F.col("i") == F.col("rows") - F.col("back"), F.col("obv")), ignorenulls=True).over(W().rowsBetween(-20, 0))
     return latest(df.withColumn("was", first)).where("rows >= 2").select("ticker", "date", "obv", (F.col("obv") - F.col("was")).alias("change"))
 
 
@@ -103,15 +104,15 @@ def prior_average(bars: DataFrame, column: str = "total_volume", n: int = 20) ->
 
 def foreign_net_volume(bars: DataFrame) -> DataFrame:
     net = F.col("foreign_buy_volume") - F.col("foreign_sell_volume")
-    return bars.select("ticker", "date", net.alias("net_volume")).withColumn("cumulative", F.sum("net_volume").over(CUMULATIVE))
+    return bars.select("ticker", "date", net.alias("net_volume")).withColumn("cumulative", F.sum("net_volume").over(CUMULATIVE()))
 
 
 def foreign_net_value(bars: DataFrame, windows=(20, 60, 120)) -> DataFrame:
     """Net value of the latest row, cumulative, and over windows that shorten to the rows there are."""
-    df = bars.withColumn("net", F.col("foreign_buy_value") - F.col("foreign_sell_value")).withColumn("i", F.row_number().over(W))
-    cols = [F.sum("net").over(CUMULATIVE).alias("cumulative")]
+    df = bars.withColumn("net", F.col("foreign_buy_value") - F.col("foreign_sell_value")).withColumn("i", F.row_number().over(W()))
+    cols = [F.sum("net").over(CUMULATIVE()).alias("cumulative")]
     for n in windows:
-        w = W.rowsBetween(-(n - 1), 0)
+        w = W().rowsBetween(-(n - 1), 0)
         cols += [F.sum("net").over(w).alias(f"net_{n}"), F.count_if(F.col("net") > 0).over(w).alias(f"buying_{n}"), F.count_if(F.col("net") < 0).over(w).alias(f"selling_{n}"), F.count(F.lit(1)).over(w).alias(f"rows_{n}")]
     df = latest(df.select("ticker", "date", "net", *cols))
     stance = cases((F.col("net") > 0, "net_buying"), (F.col("net") < 0, "net_selling"), otherwise="neutral")
@@ -134,7 +135,7 @@ def room_structural(bars: DataFrame) -> DataFrame:
     """Room moves that flow does not explain: the first ten of each ticker."""
     net = F.col("foreign_buy_volume") - F.col("foreign_sell_volume")
     df = bars.select("ticker", "date", (F.col("foreign_room") - lag("foreign_room") + net).alias("unexplained"), F.greatest(0.05 * F.col("total_volume"), F.lit(1000.0)).alias("tolerance"))
-    df = df.where(F.abs("unexplained") > F.col("tolerance")).withColumn("ordinal", F.row_number().over(W).cast("bigint"))
+    df = df.where(F.abs("unexplained") > F.col("tolerance")).withColumn("ordinal", F.row_number().over(W()).cast("bigint"))
     return df.where("ordinal <= 10").select("ticker", "date", "ordinal", "unexplained")
 
 
@@ -146,7 +147,7 @@ def flow_summary(bars: DataFrame, n: int = 20) -> DataFrame:
     """Latest scalars of the flow group, over n rows, with the contradictions between them."""
     net = F.col("foreign_buy_value") - F.col("foreign_sell_value")
     df = bars.select("ticker", "date", imbalance("buy_volume", "sell_volume").alias("v"), imbalance("buy_count", "sell_count").alias("c"), net.alias("net"), (F.col("foreign_room") - lag("foreign_room")).alias("d"))
-    df = latest(df.select("ticker", "date", full_avg("v", n).alias("v"), full_avg("c", n).alias("c"), F.sum("net").over(W.rowsBetween(-(n - 1), 0)).alias("net"), full(F.sum, "d", n).alias("room")))
+    df = latest(df.select("ticker", "date", full_avg("v", n).alias("v"), full_avg("c", n).alias("c"), F.sum("net").over(W().rowsBetween(-(n - 1), 0)).alias("net"), full(F.sum, "d", n).alias("room")))
     yes = lambda x: F.coalesce(x, F.lit(False))
     v, c, m, room = (F.col(x) for x in ("v", "c", "net", "room"))
     return df.select("ticker", "date", r6("v").alias("volume_imbalance"), r6("c").alias("count_imbalance"), r2("net").alias("foreign_net_value"), room.alias("room_change"),
@@ -171,7 +172,7 @@ def price_limit_flag(bars: DataFrame) -> DataFrame:
 def calendar_gaps(bars: DataFrame, days: int = 5) -> DataFrame:
     """Neighbouring dates more than five days apart: the count and the first ten of each ticker."""
     df = bars.select("ticker", "date", lag("date").alias("previous")).withColumn("days", F.datediff("date", "previous").cast("bigint")).where(F.col("days") > days)
-    df = df.withColumn("ordinal", F.row_number().over(W).cast("bigint")).withColumn("gaps", F.count(F.lit(1)).over(TICKER))
+    df = df.withColumn("ordinal", F.row_number().over(W()).cast("bigint")).withColumn("gaps", F.count(F.lit(1)).over(TICKER()))
     return df.where("ordinal <= 10").select("ticker", "previous", "date", "days", "ordinal", "gaps")
 
 

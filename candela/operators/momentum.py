@@ -18,7 +18,7 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def z_score(bars: DataFrame, n: int = 20) -> DataFrame:
     """Latest return against the last n returns, itself included; 0 where they do not vary."""
-    df = bars.withColumn("ret", ratio(F.col("close") - lag("close"), lag("close"))).withColumn("rows", F.count(F.lit(1)).over(TICKER))
+    df = bars.withColumn("ret", ratio(F.col("close") - lag("close"), lag("close"))).withColumn("rows", F.count(F.lit(1)).over(TICKER()))
     spread = full(F.stddev_samp, "ret", n)
     df = latest(df.withColumn("m", full_avg("ret", n)).withColumn("s", spread))
     z = F.when(F.col("rows") >= n + 2, F.when(F.col("s") > 1e-15, (F.col("ret") - F.col("m")) / F.col("s")).otherwise(0.0))
@@ -46,7 +46,7 @@ def close_percentile_by_window(bars: DataFrame, windows=(20, 60, 126)) -> DataFr
 def return_streak(bars: DataFrame) -> DataFrame:
     """Signed length of the run of same-sign changes at the end: gaps and islands."""
     df = bars.withColumn("sign", F.signum(F.col("close") - lag("close"))).where("sign IS NOT NULL")
-    df = df.withColumn("new", F.when(F.col("sign") == F.lag("sign").over(W), 0).otherwise(1)).withColumn("island", F.sum("new").over(W)).withColumn("last", F.max("island").over(TICKER))
+    df = df.withColumn("new", F.when(F.col("sign") == F.lag("sign").over(W()), 0).otherwise(1)).withColumn("island", F.sum("new").over(W())).withColumn("last", F.max("island").over(TICKER()))
     g = df.where("island = last").groupBy("ticker").agg(F.max("date").alias("date"), (F.count(F.lit(1)) * F.first("sign").cast("bigint")).alias("streak"))
     n = F.abs("streak")
     return g.select("ticker", "date", "streak", cases((n >= 5, "extended"), (n >= 3, "notable"), otherwise="normal").alias("flag"))

@@ -21,7 +21,7 @@ def sma(bars: DataFrame, windows=SMA_WINDOWS) -> DataFrame:
 
 def sma_direction(bars: DataFrame, windows=SMA_WINDOWS) -> DataFrame:
     """Whether the latest mean lies more than 0.1 % above or below the one min(5, rows - n) rows ago."""
-    df = bars.withColumn("available", F.count(F.lit(1)).over(W))
+    df = bars.withColumn("available", F.count(F.lit(1)).over(W()))
     for n in windows:
         df = df.withColumn(f"m{n}", full_avg("close", n))
     for n in windows:
@@ -73,7 +73,7 @@ def sma_crossover(bars: DataFrame, pairs=CROSS_PAIRS) -> DataFrame:
     parts = []
     for fast, slow in pairs:
         above = F.when(F.col(f"m{slow}").isNotNull(), F.col(f"m{fast}") > F.col(f"m{slow}"))
-        x = df.select("ticker", "date", above.alias("above")).withColumn("was", F.lag("above").over(W))
+        x = df.select("ticker", "date", above.alias("above")).withColumn("was", F.lag("above").over(W()))
         flip = F.when(F.col("above") != F.col("was"), F.struct("date", "above"))
         g = x.groupBy("ticker").agg(F.max(flip).alias("f"))
         kind = cases((F.col("f").isNull(), "none"), (F.col("f.above"), "golden"), otherwise="death")

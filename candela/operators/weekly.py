@@ -17,7 +17,7 @@ SUMMED = [
 def weekly_bars(bars: DataFrame) -> DataFrame:
     """One row for each ticker and ISO week, named by its last trading date."""
     g = bars.groupBy("ticker", F.date_trunc("week", F.col("date").cast("timestamp_ntz")).alias("week")).agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"), F.max_by("foreign_room", "date").alias("foreign_room"), F.count(F.lit(1)).alias("trading_days"), *[F.sum(c).alias(c) for c in SUMMED])
-    return g.withColumn("prev_close", F.lag("close").over(W)).drop("week")
+    return g.withColumn("prev_close", F.lag("close").over(W())).drop("week")
 
 
 def weekly_bars_view(bars: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def thin_weeks(bars: DataFrame, days: int = 3) -> DataFrame:
 
 def stats_52w(bars: DataFrame, n: int = 250) -> DataFrame:
     """Extremes of the last n closes (the earliest of equals), distance to them, drawdown, return and means."""
-    df = recent(bars, n).withColumn("day", F.datediff("date", F.lit("1970-01-01").cast("date"))).withColumn("peak", F.max("close").over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    df = recent(bars, n).withColumn("day", F.datediff("date", F.lit("1970-01-01").cast("date"))).withColumn("peak", F.max("close").over(W().rowsBetween(Window.unboundedPreceding, 0)))
     g = df.groupBy("ticker").agg(
         F.max("date").alias("date"), F.count(F.lit(1)).alias("window_sessions"), F.max(F.struct("close", (-F.col("day")).alias("back"))).alias("h"), F.min(F.struct("close", "day")).alias("l"),
         F.max_by("close", "date").alias("close"), F.min_by("close", "date").alias("first"), F.min(F.col("close") / F.col("peak") - 1).alias("dd"), F.avg("total_volume").alias("v"), F.avg("total_value").alias("m"),
@@ -44,7 +44,7 @@ def stats_52w(bars: DataFrame, n: int = 250) -> DataFrame:
 
 
 def normalized_100(bars: DataFrame, n: int = 250) -> DataFrame:
-    first = F.first("close").over(W.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("close").over(W().rowsBetween(Window.unboundedPreceding, 0))
     return recent(bars, n).select("ticker", "date", r6(F.col("close") / first * 100).alias("normalized"))
 
 
