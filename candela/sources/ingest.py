@@ -27,11 +27,14 @@ def clean(text: Column) -> Column:
     return F.when(t.isin(BLANKS), None).otherwise(t)
 
 
-def as_number(text: Column) -> Column:
-    v = clean(text).try_cast("double")
+def finite(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
+def as_number(text: Column) -> Column:
+    return finite(clean(text).try_cast("double"))
+
+
 def as_float(text: Column) -> Column:
     return F.coalesce(as_number(text), F.lit(0.0))
 
@@ -52,20 +55,21 @@ def parse(raw: DataFrame) -> DataFrame:
     for name, to in FIELDS.items():
         if name in raw.columns:
             have.setdefault(to, []).append(F.col(name))
-    text = {to: F.coalesce(*[clean(c) for c in cols]) for to, cols in have.items()}
-    none = F.lit(None).cast("string")
-    get = lambda k: text.get(k, none)
-    prices = {c: as_number(get(c)) for c in ("prev_close", "close", "open", "high", "low")}
-    day = as_date(F.col("Date"))
-    reason = F.when(get("ticker").isNull(), "missing ticker").when(day.isNull(), "bad date")
+    # in stages, so that no expression repeats the cleaning of another
+    text = raw.select("seq", F.col("Date").alias("day"), *[F.coalesce(*[clean(c) for c in cols]).alias(f"t_{to}") for to, cols in have.items() if to != "date"])
+    get = lambda k: F.col(f"t_{k}") if k in have else F.lit(None).cast("string")
+    number = lambda k: finite(get(k).try_cast("double"))
+    prices = ("prev_close", "close", "open", "high", "low")
+    typed = text.select(
+        "seq", F.upper(get("ticker")).alias("ticker"), as_date(F.col("day")).alias("date"), *[number(c).alias(c) for c in prices], *[get(c).isNotNull().alias(f"has_{c}") for c in prices],
+        *[F.coalesce(number(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in INTS], *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in FLOATS],
+    )
+    reason = F.when(F.col("ticker").isNull(), "missing ticker").when(F.col("date").isNull(), "bad date")
     for c in ("prev_close", "close"):
-        reason = reason.when(prices[c].isNull() | (prices[c] <= 0), f"bad {c}")
+        reason = reason.when(F.col(c).isNull() | (F.col(c) <= 0), f"bad {c}")
     for c in ("open", "high", "low"):
-        reason = reason.when(get(c).isNotNull() & (prices[c].isNull() | (prices[c] <= 0)), f"bad {c}")
-    return raw.select(
-        "seq", F.upper(get("ticker")).alias("ticker"), day.alias("date"), *[p.alias(c) for c, p in prices.items()],
-        *[as_int(get(c)).alias(c) for c in INTS], *[as_float(get(c)).alias(c) for c in FLOATS], reason.alias("reject_reason"),
-    )
+        reason = reason.when(F.col(f"has_{c}") & (F.col(c).isNull() | (F.col(c) <= 0)), f"bad {c}")
+    return typed.withColumn("reject_reason", reason).drop(*[f"has_{c}" for c in prices])
 
 
 def good(parsed: DataFrame) -> DataFrame:
