@@ -120,17 +120,16 @@ def host_verdicts(counts: DataFrame, host: str = "source", watch: float = WATCH,
     less the variance that binomial sampling alone would give; it comes from sums over hosts,
     so nothing but one row per host leaves the first aggregate.
     """
-    per_host = counts.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"CASE WHEN {rule} THEN 1 ELSE 0 END")).alias(f"f_{k}") for k, rule in RULES.items()])
+    per_host = written(counts.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"CASE WHEN {rule} THEN 1 ELSE 0 END")).alias(f"f_{k}") for k, rule in RULES.items()]))
     prior = per_host.agg(
         *[F.avg(F.col(f"f_{k}") / F.col("n")).alias(f"m_{k}") for k in RULES],
         *[F.var_pop(F.col(f"f_{k}") / F.col("n")).alias(f"v_{k}") for k in RULES],
         F.avg(1 / F.col("n")).alias("inv_n"),
-    )
-    out = per_host.join(F.broadcast(prior))  # the prior is a single row
+    ).first()
+    out = per_host
     for k in RULES:
-        m = F.col(f"m_{k}")
-        spread = F.greatest(F.col(f"v_{k}") - m * (1 - m) * F.col("inv_n"), F.lit(1e-9))
-        strength = F.least(F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)), F.lit(1e6))
+        m, v = prior[f"m_{k}"] or 0.0, prior[f"v_{k}"] or 0.0
+        strength = min(max(m * (1 - m) / max(v - m * (1 - m) * (prior["inv_n"] or 0.0), 1e-9) - 1, 1.0), 1e6)
         out = out.withColumn(f"rate_{k}", (F.col(f"f_{k}") + m * strength) / (F.col("n") + strength))
     return out.select(
         "host",
@@ -162,8 +161,9 @@ def keep_good(df: DataFrame, text: str = "text", host: str = "source") -> DataFr
 
     Texts are read twice (for the hosts, then for the rows) rather than shuffled.
     """
-    verdicts = host_verdicts(rule_counts(df, text, keep=[host]), host)
-    return judge(rule_counts(df, text), verdicts, host).where("kept").select(*[c for c in df.columns])
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[text].alias("__t"), df[host].alias("__h"))
+    verdicts = host_verdicts(rule_counts(rows, "__t", keep=["__h"]), "__h")
+    return judge(rule_counts(rows, "__t", keep=["__row", "__h"]), verdicts, "__h").where("kept").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
