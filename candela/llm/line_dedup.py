@@ -99,8 +99,12 @@ def _lines_batch(cols: list[list]) -> pa.RecordBatch:
 
 
 def repeated(df: DataFrame, name: str) -> DataFrame:
-    """The rows whose name occurs in two rows or more."""
-    often = df.groupBy(name).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(name)
+    """The rows whose name occurs in two rows or more.
+
+    The names are written first: then both sides of the join are plain exchanges, and the rows of a
+    very frequent name can be split over several tasks.
+    """
+    often = written(df.groupBy(name).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(name))
     return df.join(often, name, "left_semi")
 
 
