@@ -201,8 +201,9 @@ def _linked(group: pa.Table, percent: int) -> np.ndarray:
 
 def verified_edges(docs: DataFrame, clusters: DataFrame, how: Similar) -> DataFrame:
     """Spanning edges of the links inside each cluster (id, root), confirmed on the full sets."""
-    sizes = clusters.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("root"))).withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("id")))
-    members = written(sizes.select("id", "root", F.expr(f"(rank - 1) DIV {EXACT_BLOCK}").alias("block"), F.expr(f"(n - 1) DIV {EXACT_BLOCK} + 1").alias("blocks")))
+    clusters = written(clusters)
+    blocks = written(clusters.groupBy("root").agg(((F.count(F.lit(1)) - 1) / EXACT_BLOCK).cast("bigint").alias("more")).select("root", (F.col("more") + 1).alias("blocks")))
+    members = written(clusters.join(blocks, "root").select("id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "root", "block", "blocks")] + [T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
