@@ -34,10 +34,10 @@ def session_ticks(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("session_index", session_of(F.col("timestamp"))).where("session_index IS NOT NULL")
 
 
-def session_bars(ticks: DataFrame) -> DataFrame:
+def session_bars(ticks: DataFrame, *keys: Column) -> DataFrame:
     """(ticker, date, session): OHLC and the last accumulated volume and value. Works on streams too, in event time."""
     order = F.struct("timestamp", "event_id") if "event_id" in ticks.columns else F.col("timestamp")
-    return session_ticks(ticks).groupBy("ticker", "date", "session_index").agg(
+    return session_ticks(ticks).groupBy("ticker", "date", "session_index", *keys).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
         F.max_by("accumulated_volume", order).alias("acc_volume"), F.max_by("accumulated_value", order).alias("acc_value"), F.max("timestamp").alias("last_tick"),
     )
@@ -54,18 +54,19 @@ def hourly_bars(ticks: DataFrame) -> DataFrame:
 
 
 def stream_session_bars(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Session bars of a streaming DataFrame of ticks; rows later than ``delay`` behind the newest are dropped by the watermark."""
+    """Session bars of a streaming DataFrame of ticks, for update mode; rows later than ``delay`` behind the newest are dropped by the watermark."""
     timed = ticks.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", delay)
-    return session_bars(timed)
+    # the day's window is the date again; with it in the key the watermark can drop the state of past days
+    return session_bars(timed, F.window("event_time", "1 day").alias("day")).drop("day")
 
 
 def upsert_batches(bars: DataFrame, path: str, checkpoint: str):
-    """Writes changed bars to a versioned Parquet log; ``read_upserted`` gives the newest row of each key."""
+    """Starts a query that writes changed bars to a versioned Parquet log; ``read_upserted`` gives the newest row of each key."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return bars.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write)
+    return bars.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def read_upserted(spark, path: str, *keys: str) -> DataFrame:
