@@ -6,7 +6,7 @@
    longest common prefix reaches the depth of their region are candidates: a region of up to
    ``SMALL`` documents has depth 4; a larger one is split at depth 5, and where that is still
    more than ``MIDDLE`` documents, at depth 6. A pair of similarity 0.85 shares no region of 24
-   trees with probability 4e-8 (depth 4) to 1.2e-5 (depth 6).
+   trees with probability 2e-8 (depth 4) to 1.2e-5 (depth 6).
 3. In each region the signatures are compared; a spanning forest of the pairs whose estimated
    similarity is not clearly too low joins regions of all trees into clusters of candidates.
 4. In a cluster all pairs are verified on the full sets, in blocks of bounded size; a spanning
