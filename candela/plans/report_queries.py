@@ -7,7 +7,7 @@ from ..operators import levels
 from ..sources.projections import bars_1d, snapshots
 from ..streaming import sessions
 from . import scoring
-from .indicator_queries import BANDS, LOOKBACK, NET, OBV, STATS, B, _percentile, on_bars
+from .indicator_queries import BANDS, LOOKBACK, NET, OBV, STATS, B, _percentile
 from .scan_queries import HOURS
 from .sql import BARS, back, lag, macd, over, q, recurrence, rsi
 
@@ -16,7 +16,12 @@ EMAS = (12, 20, 26, 50, 200)
 
 
 def on(n: int, f):
-    return lambda spark, d: f(recent(bars_1d(spark, d), n))
+    """``f`` of the newest n bars of each ticker. Many branches read them, so they are made once and kept (memory, then disk)."""
+    return lambda spark, d: f(recent(bars_1d(spark, d), n).cache())
+
+
+def on_levels(f):
+    return on(LOOKBACK, f)
 
 
 def renamed(sql: str, **names: str) -> str:
@@ -175,16 +180,16 @@ def scan5(f):
 
 
 QUERIES = {
-    "swing_points": (on_bars(levels.swing_points), q("SELECT ticker, kind, ordinal, date, level FROM swing", BARS, B, SWINGS)),
-    "close_extremes": (on_bars(levels.close_extremes), q('SELECT ticker, win AS "window", high, high_date, low, low_date FROM ext', BARS, B, EXTREMES)),
-    "ma_levels": (on_bars(levels.ma_levels), q("SELECT * FROM mal", BARS, B, recurrence(EMAS), BANDS, MEANS)),
-    "bollinger_levels": (on_bars(levels.bollinger_levels), q("SELECT * FROM bbl", BARS, B, recurrence(EMAS), BANDS, MEANS)),
-    "level_candidates": (on_bars(lambda b: levels.level_candidates(b).drop("close")), level_sql("SELECT ticker, side, basis, level FROM cand")),
-    "level_clusters": (on_bars(lambda b: levels.level_clusters(levels.level_candidates(b)).drop("close")), level_sql("SELECT * FROM zones")),
-    "nearest_levels": (on_bars(lambda b: levels.nearest_levels(levels.level_clusters(levels.level_candidates(b)))), level_sql("SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, side ORDER BY CASE WHEN side = 'support' THEN -level ELSE level END) AS ordinal FROM zones QUALIFY ordinal <= 6")),
-    "level_position": (on_bars(lambda b: levels.level_position(levels.level_clusters(levels.level_candidates(b)), b)), level_sql("SELECT * FROM placed", LOOKBACK, POSITION)),
+    "swing_points": (on_levels(levels.swing_points), q("SELECT ticker, kind, ordinal, date, level FROM swing", BARS, B, SWINGS)),
+    "close_extremes": (on_levels(levels.close_extremes), q('SELECT ticker, win AS "window", high, high_date, low, low_date FROM ext', BARS, B, EXTREMES)),
+    "ma_levels": (on_levels(levels.ma_levels), q("SELECT * FROM mal", BARS, B, recurrence(EMAS), BANDS, MEANS)),
+    "bollinger_levels": (on_levels(levels.bollinger_levels), q("SELECT * FROM bbl", BARS, B, recurrence(EMAS), BANDS, MEANS)),
+    "level_candidates": (on_levels(lambda b: levels.level_candidates(b).drop("close")), level_sql("SELECT ticker, side, basis, level FROM cand")),
+    "level_clusters": (on_levels(lambda b: levels.level_clusters(levels.level_candidates(b)).drop("close")), level_sql("SELECT * FROM zones")),
+    "nearest_levels": (on_levels(lambda b: levels.nearest_levels(levels.level_clusters(levels.level_candidates(b)))), level_sql("SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, side ORDER BY CASE WHEN side = 'support' THEN -level ELSE level END) AS ordinal FROM zones QUALIFY ordinal <= 6")),
+    "level_position": (on_levels(lambda b: levels.level_position(levels.level_clusters(levels.level_candidates(b)), b)), level_sql("SELECT * FROM placed", LOOKBACK, POSITION)),
     "horizon_ma_levels": (
-        on_bars(levels.horizon_ma_levels),
+        on_levels(levels.horizon_ma_levels),
         level_sql("SELECT ticker, side, basis, ROUND(v, 0) AS level, p AS distance_pct, ROW_NUMBER() OVER (PARTITION BY ticker, side ORDER BY p, basis) AS ordinal FROM (SELECT ticker, basis, v, CASE WHEN v < close THEN 'support' ELSE 'resistance' END AS side, CAST(ROUND(CAST(ABS(v - close) / close * 100 AS DECIMAL(28,8)), 2) AS DOUBLE) AS p FROM (SELECT ticker, close, 'EMA12' AS basis, e12 AS v FROM avgs UNION ALL SELECT ticker, close, 'SMA20', m20 FROM avgs UNION ALL SELECT ticker, close, 'SMA50', m50 FROM avgs UNION ALL SELECT ticker, close, 'BB lower', lower FROM banded WHERE k = 1 AND lower < close UNION ALL SELECT ticker, close, 'BB upper', upper FROM banded WHERE k = 1 AND upper > close) WHERE v <> close) QUALIFY ordinal <= 4"),
     ),
     "daily_weekly_join": (feats(lambda f: f.selectExpr("ticker", "round(close, 6) AS close", "round(sma_20, 6) AS sma_20", "round(w_sma_20, 6) AS w_sma_20", "round(w_sma_50, 6) AS w_sma_50", "round(w_rsi, 6) AS w_rsi", "round(w_macd, 6) AS w_macd")), q("SELECT ticker, ROUND(close, 6) AS close, ROUND(sma_20, 6) AS sma_20, ROUND(w20, 6) AS w_sma_20, ROUND(w50, 6) AS w_sma_50, ROUND(w_rsi, 6) AS w_rsi, ROUND(w_macd, 6) AS w_macd FROM feat", *H500)),
