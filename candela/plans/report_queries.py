@@ -6,7 +6,7 @@ from ..functions.exprs import recent
 from ..operators import levels
 from ..sources.projections import bars_1d, snapshots
 from ..streaming import sessions
-from . import scoring
+from . import report, scoring
 from .indicator_queries import BANDS, LOOKBACK, NET, OBV, STATS, B, _percentile
 from .scan_queries import HOURS
 from .sql import BARS, back, lag, macd, over, q, recurrence, rsi
@@ -233,4 +233,10 @@ QUERIES = {
     "foreign_top_buyers": (scan5(lambda s: scoring.foreign_top(s, 5, True)), q("SELECT ROW_NUMBER() OVER (ORDER BY net_value DESC, ticker) AS rank, ticker, net_value, net_volume, room FROM sc WHERE net_value > 0 OR (SELECT MAX(net_value) FROM sc) <= 0 QUALIFY rank <= 5", BARS, back(20), SCAN5)),
     "foreign_top_sellers": (scan5(lambda s: scoring.foreign_top(s, 5, False)), q("SELECT ROW_NUMBER() OVER (ORDER BY net_value, ticker) AS rank, ticker, net_value, net_volume, room FROM sc WHERE net_value < 0 OR (SELECT MIN(net_value) FROM sc) >= 0 QUALIFY rank <= 5", BARS, back(20), SCAN5)),
     "room_warnings": (scan5(lambda s: scoring.room_warnings(s, 9_999_990)), q("SELECT ticker, room FROM sc WHERE room < 9999990", BARS, back(20), SCAN5)),
+    "multi_horizon": (on(500, report.multi_horizon), q("SELECT * FROM verdict JOIN placed USING (ticker)", *H_LEVELS)),
+    "perspectives": (
+        on(500, report.perspectives),
+        q(f"SELECT ticker, horizon, replace(strength, '_', ' ') || ', confidence ' || confidence AS state, 'support ' || s || ', resistance ' || r AS levels, CASE WHEN bias > 0 THEN 'close above ' || r WHEN bias < 0 THEN 'close below ' || s ELSE 'close above ' || r || ' or close below ' || s END AS confirmation, CASE WHEN bias > 0 THEN 'close below ' || s WHEN bias < 0 THEN 'close above ' || r ELSE 'no direction' END AS risk FROM (SELECT *, COALESCE({BIAS}, 0) AS bias, COALESCE(CAST(CAST(support AS BIGINT) AS VARCHAR), 'none') AS s, COALESCE(CAST(CAST(resistance AS BIGINT) AS VARCHAR), 'none') AS r FROM verdict JOIN placed USING (ticker))", *H_LEVELS),
+    ),
+    "compare_pivot": (on(250, report.compare_pivot), q("SELECT c.*, FALSE AS excluded, ROUND(return_pct, 6) AS return_pct, ROUND(max_drawdown_pct, 6) AS max_drawdown_pct, ROUND(from_low_pct, 6) AS from_low_pct, p.close, support, resistance, pct_in_band, reading FROM cma c JOIN s52 ON c.ticker = s52.ticker JOIN placed p ON c.ticker = p.ticker", *C250, S250, SWINGS, EXTREMES, CANDIDATES, ZONES, POSITION)),
 }
