@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..functions.exprs import W, cases, full_avg, lag, latest, pct, r6, ratio
+from ..functions.exprs import W, cases, full_avg, lag, latest, pct, r6
 
 SMA_WINDOWS = (5, 10, 20, 50, 100, 200)
 EMA_WINDOWS = (12, 20, 26, 50, 200)
