@@ -96,7 +96,7 @@ _DAY = "split_part(split_part(trim(Date), 'T', 1), ' ', 1)"
 PARSED = RAW + f""",
 numbers AS (
   SELECT seq, CASE WHEN trim(Symbol) = '' THEN NULL ELSE UPPER(trim(Symbol)) END AS ticker,
-    CAST(COALESCE({", ".join(f"TRY_STRPTIME({_DAY}, '{f}')" for f in ("%d/%m/%Y", "%Y-%m-%d", "%d-%m-%Y", "%Y/%m/%d", "%m/%d/%Y", "%Y%m%d"))}) AS DATE) AS date,
+    CAST(COALESCE({", ".join(f"TRY_STRPTIME({_DAY}, '{f}')" for f in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d-%m-%Y", "%Y%m%d", "%d/%m/%y"))}) AS DATE) AS date,
     {_num("PricePreviousClose")} AS prev_close, {_num("PriceClose")} AS close, COALESCE({_num("PriceOpen")}, {_num("Open")}) AS open,
     {_int("TotalTrade")} AS total_trade, {_int("TotalVolume")} AS total_volume, {_int("BuyCount")} AS buy_count, {_int("SellCount")} AS sell_count, {_int("BuyQuantity")} AS buy_volume, {_int("SellQuantity")} AS sell_volume,
     {_int("ForeignerBuyQuantity")} AS foreign_buy_volume, {_int("ForeignerSellQuantity")} AS foreign_sell_volume, COALESCE({_num("TotalValue")}, 0) AS total_value FROM raw),

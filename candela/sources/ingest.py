@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 #: Texts that mean "no value" in the feed.
 BLANKS = ["", "-", "--", "N/A", "n/a", "null", "NULL"]
 #: Date layouts of the feed, in the order they are tried.
-DATE_FORMATS = ["dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd", "MM/dd/yyyy", "yyyyMMdd"]
+DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "yyyyMMdd", "d/M/yy"]
 #: Field names of the feed and of the stored table.
 FIELDS = {
     "Symbol": "ticker", "Date": "date", "PricePreviousClose": "prev_close", "PriceOpen": "open", "Open": "open", "PriceHigh": "high", "High": "high", "PriceLow": "low", "Low": "low",
@@ -23,7 +25,7 @@ FLOATS = ["total_value", "foreign_buy_value", "foreign_sell_value"]
 
 def clean(text: Column) -> Column:
     """The text without separators and blanks; null if it stands for no value."""
-    t = F.regexp_replace(F.trim(text), "[,  ]", "")
+    t = F.translate(F.trim(text), ", \u00a0", "")
     return F.when(t.isin(BLANKS), None).otherwise(t)
 
 
@@ -46,7 +48,10 @@ def as_int(text: Column) -> Column:
 
 def as_date(text: Column) -> Column:
     day = F.split_part(F.split_part(F.trim(text), F.lit("T"), F.lit(1)), F.lit(" "), F.lit(1))
-    return F.coalesce(*[F.try_to_timestamp(day, F.lit(f)).cast("date") for f in DATE_FORMATS])
+    # a layout is only tried on text of its shape: failing to parse is slow
+    digits = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    shape = lambda f: "^" + re.sub("yyyy|yy|MM|dd|M|d", lambda m: digits[m[0]], f) + "$"
+    return F.coalesce(*[F.when(day.rlike(shape(f)), F.try_to_timestamp(day, F.lit(f))).cast("date") for f in DATE_FORMATS])
 
 
 def parse(raw: DataFrame) -> DataFrame:
