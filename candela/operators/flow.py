@@ -17,7 +17,7 @@ def imbalance(buy: str, sell: str) -> Column:
 
 
 def bias(x: Column) -> Column:
-    return cases((x.isNull(), None), (x > 0.05, "buying"), (x < -0.05, "selling"), otherwise="balanced")
+    return cases((x.isNull(), "unknown"), (x > 0.05, "buy_side"), (x < -0.05, "sell_side"), otherwise="balanced")
 
 
 def volume_imbalance(bars: DataFrame, n: int = 5) -> DataFrame:
@@ -59,14 +59,14 @@ def obv_divergence(bars: DataFrame, windows=(20, 60)) -> DataFrame:
     df = obv_rows(bars)
     for n in windows:
         p, o = pct("close", lag("close", n)), F.col("obv") - lag("obv", n)
-        df = df.withColumn(f"divergence_{n}", cases((p.isNull() | o.isNull(), None), ((p > 2) & (o < -1_000_000), "bearish"), ((p < -2) & (o > 1_000_000), "bullish"), otherwise="in_sync"))
+        df = df.withColumn(f"divergence_{n}", cases((p.isNull() | o.isNull(), None), ((p > 2) & (o < -1_000_000), "bearish_divergence"), ((p < -2) & (o > 1_000_000), "bullish_divergence"), otherwise="in_sync"))
     return latest(df).select("ticker", "date", *[f"divergence_{n}" for n in windows])
 
 
 def volume_ratio(bars: DataFrame, n: int = 20) -> DataFrame:
     df = latest(bars.select("ticker", "date", ratio("total_volume", prior_avg("total_volume", n)).alias("x")))
     x = F.col("x")
-    return df.select("ticker", "date", r6("x").alias("ratio"), cases((x.isNull(), None), (x >= 2, "very_high"), (x >= 1.5, "high"), (x <= 0.5, "very_low"), (x <= 0.7, "low"), otherwise="normal").alias("flag"))
+    return df.select("ticker", "date", r6("x").alias("ratio"), cases((x.isNull(), None), (x >= 2, "very_high"), (x >= 1.5, "elevated"), (x <= 0.5, "very_low"), (x <= 0.7, "low"), otherwise="normal").alias("flag"))
 
 
 def volume_spikes(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -80,8 +80,8 @@ def trade_size_by_side(bars: DataFrame, n: int = 20) -> DataFrame:
     """Shares a trade on each side, in lots, against the mean of the n rows before."""
     df = bars.select("ticker", "date", ratio("buy_volume", "buy_count").alias("b"), ratio("sell_volume", "sell_count").alias("s"))
     df = latest(df.withColumn("br", ratio("b", prior_avg("b", n))).withColumn("sr", ratio("s", prior_avg("s", n))))
-    x = ratio("b", "s")
-    reading = cases((x.isNull(), None), (x >= 1.3, "larger_buyers"), (ratio("s", "b") >= 1.3, "larger_sellers"), otherwise="similar")
+    x, br, sr = ratio("b", "s"), F.col("br"), F.col("sr")
+    reading = cases((br.isNull() | sr.isNull(), "unknown"), ((br >= 1.3) & (sr >= 1.3), "larger_tickets_both_sides"), (br >= 1.3, "larger_buy_tickets"), (sr >= 1.3, "larger_sell_tickets"), otherwise="ordinary_ticket_sizes")
     return df.select("ticker", "date", r6(F.col("b") / 100).alias("buy_lots"), r6(F.col("s") / 100).alias("sell_lots"), r6("br").alias("buy_ratio"), r6("sr").alias("sell_ratio"), r6(x).alias("buy_vs_sell"), reading.alias("reading"))
 
 
@@ -89,13 +89,13 @@ def avg_trade_value(bars: DataFrame, n: int = 20) -> DataFrame:
     df = bars.select("ticker", "date", ratio("total_value", "total_trade").alias("v"))
     df = latest(df.withColumn("x", ratio("v", prior_avg("v", n))))
     x = F.col("x")
-    return df.select("ticker", "date", r2("v").alias("value"), r6("x").alias("ratio"), cases((x.isNull(), None), (x >= 1.5, "large_orders"), (x <= 0.66, "small_orders"), otherwise="normal").alias("reading"))
+    return df.select("ticker", "date", r2("v").alias("value"), r6("x").alias("ratio"), cases((x.isNull(), "unknown"), (x >= 1.5, "unusually_large_tickets"), (x <= 0.66, "unusually_small_tickets"), otherwise="normal").alias("reading"))
 
 
 def value_spike(bars: DataFrame, n: int = 20) -> DataFrame:
     df = latest(bars.select("ticker", "date", ratio("total_value", prior_avg("total_value", n)).alias("x")))
     x = F.col("x")
-    return df.select("ticker", "date", r6("x").alias("ratio"), cases((x.isNull(), None), (x >= 2, "very_high"), (x >= 1.5, "high"), (x <= 0.5, "low"), otherwise="normal").alias("flag"))
+    return df.select("ticker", "date", r6("x").alias("ratio"), cases((x.isNull(), "unknown"), (x >= 2, "value_spike"), (x >= 1.5, "elevated_value"), (x <= 0.5, "value_drought"), otherwise="normal").alias("flag"))
 
 
 def prior_average(bars: DataFrame, column: str = "total_volume", n: int = 20) -> DataFrame:
@@ -107,15 +107,19 @@ def foreign_net_volume(bars: DataFrame) -> DataFrame:
     return bars.select("ticker", "date", net.alias("net_volume")).withColumn("cumulative", F.sum("net_volume").over(CUMULATIVE()))
 
 
+def stance_of(x: Column) -> Column:
+    return cases((x.isNull(), "unknown"), (x > 0, "net_buying"), (x < 0, "net_selling"), otherwise="flat")
+
+
 def foreign_net_value(bars: DataFrame, windows=(20, 60, 120)) -> DataFrame:
-    """Net value of the latest row, cumulative, and over windows that shorten to the rows there are."""
+    """Net value of the latest row, cumulative with its stance, and over windows that shorten to the rows there are."""
     df = bars.withColumn("net", F.col("foreign_buy_value") - F.col("foreign_sell_value")).withColumn("i", F.row_number().over(W()))
     cols = [F.sum("net").over(CUMULATIVE()).alias("cumulative")]
     for n in windows:
         w = W().rowsBetween(-(n - 1), 0)
         cols += [F.sum("net").over(w).alias(f"net_{n}"), F.count_if(F.col("net") > 0).over(w).alias(f"buying_{n}"), F.count_if(F.col("net") < 0).over(w).alias(f"selling_{n}"), F.count(F.lit(1)).over(w).alias(f"rows_{n}")]
     df = latest(df.select("ticker", "date", "net", *cols))
-    stance = cases((F.col("net") > 0, "net_buying"), (F.col("net") < 0, "net_selling"), otherwise="neutral")
+    stance = stance_of(F.col("cumulative"))
     return df.select("ticker", "date", r2("net").alias("net"), r2("cumulative").alias("cumulative"), stance.alias("stance"), *[x for n in windows for x in (r2(f"net_{n}").alias(f"net_{n}"), F.col(f"buying_{n}"), F.col(f"selling_{n}"), F.col(f"rows_{n}"))])
 
 
@@ -128,15 +132,19 @@ def foreign_room_trend(bars: DataFrame, n: int = 20) -> DataFrame:
     df = bars.select("ticker", "date", "foreign_room", (F.col("foreign_room") - lag("foreign_room")).alias("d"))
     df = latest(df.withColumn("x", full(F.sum, "d", n)))
     x = F.col("x")
-    return df.select("ticker", "date", "foreign_room", x.alias("change"), cases((x.isNull(), None), (x < 0, "room_shrinking"), (x > 0, "room_growing"), otherwise="unchanged").alias("reading"))
+    return df.select("ticker", "date", "foreign_room", x.alias("change"), cases((x.isNull(), "unknown"), (x < 0, "room_shrinking_foreign_accumulation"), (x > 0, "room_growing_foreign_divestment"), otherwise="room_unchanged").alias("reading"))
+
+
+def unexplained_room() -> Column:
+    """Room move of a row that its foreign net volume does not explain; null within the tolerance."""
+    move = F.col("foreign_room") - lag("foreign_room") + F.col("foreign_buy_volume") - F.col("foreign_sell_volume")
+    return F.when(F.abs(move) > F.greatest(0.05 * F.col("total_volume"), F.lit(1000.0)), move)
 
 
 def room_structural(bars: DataFrame) -> DataFrame:
     """Room moves that flow does not explain: the first ten of each ticker."""
-    net = F.col("foreign_buy_volume") - F.col("foreign_sell_volume")
-    df = bars.select("ticker", "date", (F.col("foreign_room") - lag("foreign_room") + net).alias("unexplained"), F.greatest(0.05 * F.col("total_volume"), F.lit(1000.0)).alias("tolerance"))
-    df = df.where(F.abs("unexplained") > F.col("tolerance")).withColumn("ordinal", F.row_number().over(W()).cast("bigint"))
-    return df.where("ordinal <= 10").select("ticker", "date", "ordinal", "unexplained")
+    df = bars.select("ticker", "date", unexplained_room().alias("unexplained")).where("unexplained IS NOT NULL")
+    return df.withColumn("ordinal", F.row_number().over(W()).cast("bigint")).where("ordinal <= 10").select("ticker", "date", "ordinal", "unexplained")
 
 
 def zero_foreign_days(bars: DataFrame) -> DataFrame:
@@ -144,14 +152,17 @@ def zero_foreign_days(bars: DataFrame) -> DataFrame:
 
 
 def flow_summary(bars: DataFrame, n: int = 20) -> DataFrame:
-    """Latest scalars of the flow group, over n rows, with the contradictions between them."""
+    """Latest scalars of the flow groups over n rows, with the three notes on them as flags and a count (ten at most).
+
+    Foreign flow is against the matched flow if the cumulative foreign net value and the volume bias have opposite sides.
+    """
     net = F.col("foreign_buy_value") - F.col("foreign_sell_value")
-    df = bars.select("ticker", "date", imbalance("buy_volume", "sell_volume").alias("v"), imbalance("buy_count", "sell_count").alias("c"), net.alias("net"), (F.col("foreign_room") - lag("foreign_room")).alias("d"))
-    df = latest(df.select("ticker", "date", full_avg("v", n).alias("v"), full_avg("c", n).alias("c"), F.sum("net").over(W().rowsBetween(-(n - 1), 0)).alias("net"), full(F.sum, "d", n).alias("room")))
-    yes = lambda x: F.coalesce(x, F.lit(False))
-    v, c, m, room = (F.col(x) for x in ("v", "c", "net", "room"))
-    return df.select("ticker", "date", r6("v").alias("volume_imbalance"), r6("c").alias("count_imbalance"), r2("net").alias("foreign_net_value"), room.alias("room_change"),
-        yes((v > 0.05) & (m < 0) | (v < -0.05) & (m > 0)).alias("flow_against_foreign"), yes((v > 0.05) & (c < -0.05) | (v < -0.05) & (c > 0.05)).alias("volume_against_count"), yes((m > 0) & (room > 0) | (m < 0) & (room < 0)).alias("room_against_foreign"))
+    df = bars.select("ticker", "date", imbalance("buy_volume", "sell_volume").alias("v"), imbalance("buy_count", "sell_count").alias("c"), net.alias("net"), ratio(F.col("foreign_buy_volume") + F.col("foreign_sell_volume"), "total_volume").alias("p"), (F.col("foreign_room") - lag("foreign_room")).alias("d"), unexplained_room().alias("u"))
+    df = latest(df.select("ticker", "date", full_avg("v", n).alias("v"), full_avg("c", n).alias("c"), F.sum("net").over(CUMULATIVE()).alias("cum"), F.sum("net").over(W().rowsBetween(-(n - 1), 0)).alias("net"), full_avg("p", n).alias("p"), full(F.sum, "d", n).alias("room"), F.count("u").over(CUMULATIVE()).alias("moves")))
+    stance, side = stance_of(F.col("cum")), bias(F.col("v"))
+    against = (stance == "net_buying") & (side == "sell_side") | (stance == "net_selling") & (side == "buy_side")
+    return df.select("ticker", "date", r6("v").alias("volume_imbalance"), r6("c").alias("count_imbalance"), r2("cum").alias("foreign_net_value_cum"), r2("net").alias("foreign_net_value"), r6("p").alias("foreign_participation"), F.col("room").alias("room_change"),
+        against.alias("flow_against_foreign"), F.coalesce(F.col("v") * F.col("c") < 0, F.lit(False)).alias("volume_against_count"), F.least(F.col("moves"), F.lit(10).cast("bigint")).alias("structural_moves"))
 
 
 def latest_session(bars: DataFrame) -> DataFrame:

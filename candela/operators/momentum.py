@@ -24,7 +24,7 @@ def z_score(bars: DataFrame, n: int = 20) -> DataFrame:
     z = F.when(F.col("rows") >= n + 2, F.when(F.col("s") > 1e-15, (F.col("ret") - F.col("m")) / F.col("s")).otherwise(0.0))
     df = df.select("ticker", "date", r6(z).alias("z_score"))
     v = F.col("z_score")
-    return df.withColumn("flag", cases((v.isNull(), None), (v >= 2, "extreme_high"), (v >= 1.5, "high"), (v <= -2, "extreme_low"), (v <= -1.5, "low"), otherwise="normal"))
+    return df.withColumn("flag", cases((v.isNull(), None), (v >= 2, "extreme_high"), (v >= 1.5, "elevated"), (v <= -2, "extreme_low"), (v <= -1.5, "depressed"), otherwise="normal"))
 
 
 def percentile(n: int):
@@ -36,7 +36,7 @@ def percentile(n: int):
 def close_percentile(bars: DataFrame, n: int = 20) -> DataFrame:
     df = latest(bars.select("ticker", "date", percentile(n).alias("p")))
     p = F.col("p")
-    return df.select("ticker", "date", r6("p").alias("percentile"), cases((p.isNull(), None), (p >= 0.8, "near_high"), (p <= 0.2, "near_low"), otherwise="mid_range").alias("zone"))
+    return df.select("ticker", "date", r6("p").alias("percentile"), cases((p.isNull(), None), (p >= 0.8, "near_high"), (p <= 0.2, "near_low"), otherwise="middle").alias("zone"))
 
 
 def close_percentile_by_window(bars: DataFrame, windows=(20, 60, 126)) -> DataFrame:
@@ -59,7 +59,7 @@ def stochastic(bars: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
     df = df.withColumn("d", full_avg("k", d)).withColumn("pk", lag("k")).withColumn("pd", lag("d"))
     df = latest(df)
     a, b, pa, pb = F.col("k"), F.col("d"), F.col("pk"), F.col("pd")
-    cross = cases((b.isNull() | pb.isNull(), "unknown"), ((pa <= pb) & (a > b), "bullish"), ((pa >= pb) & (a < b), "bearish"), otherwise="none")
+    cross = cases(((pa <= pb) & (a > b), "bullish_crossover"), ((pa >= pb) & (a < b), "bearish_crossover"))
     zone = cases((b.isNull(), None), (a > 80, "overbought"), (a < 20, "oversold"), otherwise="neutral")
     return df.select("ticker", "date", r6(F.when(b.isNotNull(), a)).alias("k"), r6("d").alias("d"), zone.alias("zone"), cross.alias("crossover"))
 

@@ -58,7 +58,7 @@ def macd_crossover(bars: DataFrame) -> DataFrame:
     """Sign change of the histogram over the last two rows."""
     s = folds.series(bars, c="close").select("ticker", "date", folds.macd(F.col("c")).alias("m"))
     p, h = F.col("m.prev"), F.col("m.hist")
-    return s.select("ticker", "date", cases((p.isNull() | h.isNull(), "unknown"), ((p <= 0) & (h > 0), "bullish"), ((p >= 0) & (h < 0), "bearish"), otherwise="none").alias("crossover"))
+    return s.select("ticker", "date", cases((p.isNull() | h.isNull(), "unknown"), ((p <= 0) & (h > 0), "bullish_cross"), ((p >= 0) & (h < 0), "bearish_cross"), otherwise="none").alias("crossover"))
 
 
 def returns_by_window(bars: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
@@ -76,7 +76,7 @@ def sma_crossover(bars: DataFrame, pairs=CROSS_PAIRS) -> DataFrame:
         x = df.select("ticker", "date", above.alias("above")).withColumn("was", F.lag("above").over(W()))
         flip = F.when(F.col("above") != F.col("was"), F.struct("date", "above"))
         g = x.groupBy("ticker").agg(F.max(flip).alias("f"))
-        kind = cases((F.col("f").isNull(), "none"), (F.col("f.above"), "golden"), otherwise="death")
+        kind = cases((F.col("f").isNull(), "none"), (F.col("f.above"), "golden_cross"), otherwise="death_cross")
         parts.append(g.select("ticker", F.lit(fast).cast("bigint").alias("fast"), F.lit(slow).cast("bigint").alias("slow"), kind.alias("crossover"), F.col("f.date").alias("date")))
     out = parts[0]
     for p in parts[1:]:

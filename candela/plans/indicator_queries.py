@@ -42,7 +42,7 @@ def _direction(n: int) -> str:
 
 def _cross(fast: int, slow: int) -> str:
     return f"""SELECT ticker, CAST({fast} AS BIGINT) AS fast, CAST({slow} AS BIGINT) AS slow,
-  COALESCE(ARG_MAX(CASE WHEN a THEN 'golden' ELSE 'death' END, date) FILTER (a <> p), 'none') AS crossover, MAX(date) FILTER (a <> p) AS date
+  COALESCE(ARG_MAX(CASE WHEN a THEN 'golden_cross' ELSE 'death_cross' END, date) FILTER (a <> p), 'none') AS crossover, MAX(date) FILTER (a <> p) AS date
 FROM (SELECT *, {lag("a")} AS p FROM (SELECT ticker, date, CASE WHEN m{slow} IS NOT NULL THEN m{fast} > m{slow} END AS a FROM m)) GROUP BY ticker"""
 
 
@@ -69,7 +69,7 @@ NETV = "foreign_buy_volume - foreign_sell_volume"
 
 def _divergence(n: int) -> str:
     p, o = f"({pct('close', lag('close', n))})", f"(obv - {lag('obv', n)})"
-    return f"CASE WHEN {p} IS NULL OR {o} IS NULL THEN NULL WHEN {p} > 2 AND {o} < -1000000 THEN 'bearish' WHEN {p} < -2 AND {o} > 1000000 THEN 'bullish' ELSE 'in_sync' END AS divergence_{n}"
+    return f"CASE WHEN {p} IS NULL OR {o} IS NULL THEN NULL WHEN {p} > 2 AND {o} < -1000000 THEN 'bearish_divergence' WHEN {p} < -2 AND {o} > 1000000 THEN 'bullish_divergence' ELSE 'in_sync' END AS divergence_{n}"
 
 
 def _net(n: int) -> str:
@@ -106,7 +106,7 @@ QUERIES = {
         q(f"SELECT e.ticker, e.date, {', '.join(r6(f'CASE WHEN s.m{n} > 0 THEN (e.close - s.m{n}) / s.m{n} * 100 END') + f' AS dist_sma_{n}' for n in SMA)}, {', '.join(r6(f'CASE WHEN e{n} > 0 THEN (e.close - e{n}) / e{n} * 100 END') + f' AS dist_ema_{n}' for n in EMA)} FROM ema e JOIN s ON e.ticker = s.ticker AND e.date = s.date WHERE e.i = e.n", BARS, B, recurrence(EMA), f"s AS (SELECT ticker, date, {', '.join(f'{over(n, AVG)} AS m{n}' for n in SMA)} FROM b)"),
     ),
     "macd": (on_bars(trend.macd), q(f"SELECT l.ticker, l.date, l.n AS available, CAST(34 AS BIGINT) AS required, {r6('m')} AS macd, {r6('g')} AS signal, {r6('h')} AS histogram FROM b l LEFT JOIN macd USING (ticker, date) WHERE l.k = 1", BARS, B, recurrence((12, 26)), macd())),
-    "macd_crossover": (on_bars(trend.macd_crossover), q("SELECT l.ticker, l.date, CASE WHEN h IS NULL OR ph IS NULL THEN 'unknown' WHEN ph <= 0 AND h > 0 THEN 'bullish' WHEN ph >= 0 AND h < 0 THEN 'bearish' ELSE 'none' END AS crossover FROM b l LEFT JOIN macd USING (ticker, date) WHERE l.k = 1", BARS, B, recurrence((12, 26)), macd())),
+    "macd_crossover": (on_bars(trend.macd_crossover), q("SELECT l.ticker, l.date, CASE WHEN h IS NULL OR ph IS NULL THEN 'unknown' WHEN ph <= 0 AND h > 0 THEN 'bullish_cross' WHEN ph >= 0 AND h < 0 THEN 'bearish_cross' ELSE 'none' END AS crossover FROM b l LEFT JOIN macd USING (ticker, date) WHERE l.k = 1", BARS, B, recurrence((12, 26)), macd())),
     "returns_by_window": (on_bars(trend.returns_by_window), latest_of(", ".join(f"{r6(pct('close', lag('close', n)))} AS return_{n}" for n in RET), "b", BARS, B)),
     "sma_crossover": (on_bars(trend.sma_crossover), q(" UNION ALL ".join(_cross(*p) for p in trend.CROSS_PAIRS), BARS, B, f"m AS (SELECT ticker, date, {', '.join(f'{over(n, AVG)} AS m{n}' for n in (20, 50, 200))} FROM b)")),
     "candlestick": (
@@ -120,9 +120,9 @@ QUERIES = {
     "rsi": (on_bars(momentum.rsi), q(f"SELECT l.ticker, l.date, l.n AS available, CAST(15 AS BIGINT) AS required, {r6('v')} AS rsi, CASE WHEN v IS NULL THEN NULL WHEN v >= 70 THEN 'overbought' WHEN v <= 30 THEN 'oversold' ELSE 'neutral' END AS zone FROM b l LEFT JOIN rsi USING (ticker, date) WHERE l.k = 1", BARS, B, rsi())),
     "z_score": (
         on_bars(momentum.z_score),
-        q("SELECT ticker, date, z_score, CASE WHEN z_score IS NULL THEN NULL WHEN z_score >= 2 THEN 'extreme_high' WHEN z_score >= 1.5 THEN 'high' WHEN z_score <= -2 THEN 'extreme_low' WHEN z_score <= -1.5 THEN 'low' ELSE 'normal' END AS flag FROM z", BARS, B, f"r AS (SELECT *, close / {lag('close')} - 1 AS ret FROM b)", f"z AS (SELECT ticker, date, {r6('CASE WHEN n >= 22 THEN CASE WHEN s > 1e-15 THEN (ret - m) / s ELSE 0 END END')} AS z_score FROM (SELECT *, {over(20, 'AVG', of='ret')} AS m, {over(20, 'STDDEV_SAMP', of='ret')} AS s FROM r) WHERE k = 1)"),
+        q("SELECT ticker, date, z_score, CASE WHEN z_score IS NULL THEN NULL WHEN z_score >= 2 THEN 'extreme_high' WHEN z_score >= 1.5 THEN 'elevated' WHEN z_score <= -2 THEN 'extreme_low' WHEN z_score <= -1.5 THEN 'depressed' ELSE 'normal' END AS flag FROM z", BARS, B, f"r AS (SELECT *, close / {lag('close')} - 1 AS ret FROM b)", f"z AS (SELECT ticker, date, {r6('CASE WHEN n >= 22 THEN CASE WHEN s > 1e-15 THEN (ret - m) / s ELSE 0 END END')} AS z_score FROM (SELECT *, {over(20, 'AVG', of='ret')} AS m, {over(20, 'STDDEV_SAMP', of='ret')} AS s FROM r) WHERE k = 1)"),
     ),
-    "close_percentile": (on_bars(momentum.close_percentile), q(f"SELECT ticker, date, {r6('p')} AS percentile, CASE WHEN p IS NULL THEN NULL WHEN p >= 0.8 THEN 'near_high' WHEN p <= 0.2 THEN 'near_low' ELSE 'mid_range' END AS zone FROM (SELECT *, {_percentile(20)} AS p FROM b) WHERE k = 1", BARS, B)),
+    "close_percentile": (on_bars(momentum.close_percentile), q(f"SELECT ticker, date, {r6('p')} AS percentile, CASE WHEN p IS NULL THEN NULL WHEN p >= 0.8 THEN 'near_high' WHEN p <= 0.2 THEN 'near_low' ELSE 'middle' END AS zone FROM (SELECT *, {_percentile(20)} AS p FROM b) WHERE k = 1", BARS, B)),
     "close_percentile_by_window": (on_bars(momentum.close_percentile_by_window), latest_of(", ".join(f"{r6(_percentile(n))} AS percentile_{n}" for n in (20, 60, 126)), "b", BARS, B)),
     "return_streak": (
         on_bars(momentum.return_streak),
@@ -130,7 +130,7 @@ QUERIES = {
     ),
     "stochastic": (
         on_bars(momentum.stochastic),
-        q(f"SELECT ticker, date, {r6('CASE WHEN d IS NOT NULL THEN x END')} AS k, {r6('d')} AS d, CASE WHEN d IS NULL THEN NULL WHEN x > 80 THEN 'overbought' WHEN x < 20 THEN 'oversold' ELSE 'neutral' END AS zone, CASE WHEN d IS NULL OR pd IS NULL THEN 'unknown' WHEN px <= pd AND x > d THEN 'bullish' WHEN px >= pd AND x < d THEN 'bearish' ELSE 'none' END AS crossover FROM t2 WHERE k = 1", BARS, B, f"t0 AS (SELECT ticker, date, k, CASE WHEN hi IS NOT NULL THEN CASE WHEN hi > lo THEN (close - lo) / (hi - lo) * 100 ELSE 50 END END AS x FROM (SELECT *, {over(14, 'MAX', of='high')} AS hi, {over(14, 'MIN', of='low')} AS lo FROM b))", f"t1 AS (SELECT *, {over(3, 'AVG', of='x')} AS d FROM t0)", f"t2 AS (SELECT *, {lag('x')} AS px, {lag('d')} AS pd FROM t1)"),
+        q(f"SELECT ticker, date, {r6('CASE WHEN d IS NOT NULL THEN x END')} AS k, {r6('d')} AS d, CASE WHEN d IS NULL THEN NULL WHEN x > 80 THEN 'overbought' WHEN x < 20 THEN 'oversold' ELSE 'neutral' END AS zone, CASE WHEN px <= pd AND x > d THEN 'bullish_crossover' WHEN px >= pd AND x < d THEN 'bearish_crossover' END AS crossover FROM t2 WHERE k = 1", BARS, B, f"t0 AS (SELECT ticker, date, k, CASE WHEN hi IS NOT NULL THEN CASE WHEN hi > lo THEN (close - lo) / (hi - lo) * 100 ELSE 50 END END AS x FROM (SELECT *, {over(14, 'MAX', of='high')} AS hi, {over(14, 'MIN', of='low')} AS lo FROM b))", f"t1 AS (SELECT *, {over(3, 'AVG', of='x')} AS d FROM t0)", f"t2 AS (SELECT *, {lag('x')} AS px, {lag('d')} AS pd FROM t1)"),
     ),
     "bollinger": (on_bars(volatility.bollinger), q(f"SELECT ticker, date, {r6('middle')} AS middle, {r6('upper')} AS upper, {r6('lower')} AS lower, {r6('pct_b')} AS pct_b, {r6('width / middle * 100')} AS bandwidth FROM banded WHERE middle IS NOT NULL", BARS, B, BANDS)),
     "bollinger_position": (on_bars(volatility.bollinger_position), q("SELECT ticker, date, CASE WHEN middle IS NULL THEN NULL WHEN pct_b IS NULL THEN 'middle' WHEN pct_b >= 1 THEN 'above_upper' WHEN pct_b >= 0.8 THEN 'near_upper' WHEN pct_b <= 0 THEN 'below_lower' WHEN pct_b <= 0.2 THEN 'near_lower' ELSE 'inside_band' END AS position FROM banded WHERE k = 1", BARS, B, BANDS)),
@@ -147,33 +147,33 @@ QUERIES = {
         on_bars(volatility.atr),
         q(f"SELECT l.ticker, l.date, l.n AS available, {r6('a')} AS atr, {r6('a / l.close * 100')} AS atr_pct, {r6('a * 2')} AS stop FROM b l LEFT JOIN wr ON l.ticker = wr.ticker AND l.i = wr.i WHERE l.k = 1", BARS, B, f"tr AS (SELECT ticker, i, t, {over(14, 'AVG', of='t').replace('ORDER BY date', 'ORDER BY i')} AS s FROM (SELECT ticker, i, {TRUE_RANGE} AS t FROM b))", "wr(ticker, i, a) AS (SELECT ticker, i, s FROM tr WHERE i = 14 UNION ALL SELECT tr.ticker, tr.i, (wr.a * 13 + tr.t) / 14 FROM wr JOIN tr ON tr.ticker = wr.ticker AND tr.i = wr.i + 1)"),
     ),
-    "volume_imbalance": (on_bars(flow.volume_imbalance), q(f"SELECT ticker, date, {r6('x')} AS imbalance, {r6('m')} AS mean, CASE WHEN m IS NULL THEN NULL WHEN m > 0.05 THEN 'buying' WHEN m < -0.05 THEN 'selling' ELSE 'balanced' END AS bias FROM (SELECT *, {over(5, 'AVG', of='x')} AS m FROM (SELECT ticker, date, k, {IMB.format(x='volume')} AS x FROM b)) WHERE k = 1", BARS, B)),
+    "volume_imbalance": (on_bars(flow.volume_imbalance), q(f"SELECT ticker, date, {r6('x')} AS imbalance, {r6('m')} AS mean, CASE WHEN m IS NULL THEN 'unknown' WHEN m > 0.05 THEN 'buy_side' WHEN m < -0.05 THEN 'sell_side' ELSE 'balanced' END AS bias FROM (SELECT *, {over(5, 'AVG', of='x')} AS m FROM (SELECT ticker, date, k, {IMB.format(x='volume')} AS x FROM b)) WHERE k = 1", BARS, B)),
     "count_imbalance": (on_bars(flow.count_imbalance), q(f"SELECT ticker, date, {r6('x')} AS imbalance, {r6('m')} AS mean FROM (SELECT *, {over(5, 'AVG', of='x')} AS m FROM (SELECT ticker, date, k, {IMB.format(x='count')} AS x FROM b)) WHERE k = 1", BARS, B)),
     "prev_close_mismatch": (on_bars(flow.prev_close_mismatch), q("SELECT ticker, date, ROUND(prev_close, 6) AS prev_close, ROUND(p, 6) AS prior_close, ROUND(p / prev_close, 6) AS ratio FROM (SELECT *, " + lag("close") + " AS p FROM b) WHERE ABS(prev_close - p) / p > 0.005", BARS, B)),
     "obv": (on_bars(flow.obv), q("SELECT a.ticker, a.date, a.obv, a.obv - c.obv AS change FROM ob a JOIN ob c ON a.ticker = c.ticker AND c.i = a.n - LEAST(a.n - 1, 20) WHERE a.k = 1 AND a.n >= 2", BARS, B, OBV)),
     "obv_direction_counts": (on_bars(flow.obv_direction_counts), q("SELECT ticker, COUNT(*) FILTER (close > prev_close) AS up, COUNT(*) FILTER (close < prev_close) AS down, COUNT(*) FILTER (close = prev_close) AS flat FROM b GROUP BY ticker", BARS, B)),
     "obv_divergence": (on_bars(flow.obv_divergence), latest_of(f"{_divergence(20)}, {_divergence(60)}", "ob", BARS, B, OBV)),
-    "volume_ratio": (on_bars(flow.volume_ratio), q(f"SELECT ticker, date, {r6('x')} AS ratio, CASE WHEN x IS NULL THEN NULL WHEN x >= 2 THEN 'very_high' WHEN x >= 1.5 THEN 'high' WHEN x <= 0.5 THEN 'very_low' WHEN x <= 0.7 THEN 'low' ELSE 'normal' END AS flag FROM (SELECT *, total_volume / ({over(20, 'AVG', of='total_volume', prior=True)}) AS x FROM b) WHERE k = 1", BARS, B)),
+    "volume_ratio": (on_bars(flow.volume_ratio), q(f"SELECT ticker, date, {r6('x')} AS ratio, CASE WHEN x IS NULL THEN NULL WHEN x >= 2 THEN 'very_high' WHEN x >= 1.5 THEN 'elevated' WHEN x <= 0.5 THEN 'very_low' WHEN x <= 0.7 THEN 'low' ELSE 'normal' END AS flag FROM (SELECT *, total_volume / ({over(20, 'AVG', of='total_volume', prior=True)}) AS x FROM b) WHERE k = 1", BARS, B)),
     "volume_spikes": (
         on_bars(flow.volume_spikes),
         q("SELECT ticker, " + ", ".join(f"COUNT(*) FILTER (k <= {n} AND spike{m}) AS spikes_{n}_{x}" for n in (20, 60) for x, m in (("up", " AND move > 0"), ("down", " AND move < 0"), ("all", ""))) + " FROM s GROUP BY ticker", BARS, B, f"s AS (SELECT ticker, k, total_volume > 1.5 * ({over(20, 'AVG', of='total_volume', prior=True)}) AS spike, close - {lag('close')} AS move FROM b)"),
     ),
     "trade_size_by_side": (
         on_bars(flow.trade_size_by_side),
-        q(f"SELECT ticker, date, {r6('bs / 100')} AS buy_lots, {r6('ss / 100')} AS sell_lots, {r6('br')} AS buy_ratio, {r6('sr')} AS sell_ratio, {r6(div('bs', 'ss'))} AS buy_vs_sell, CASE WHEN {div('bs', 'ss')} IS NULL THEN NULL WHEN {div('bs', 'ss')} >= 1.3::DOUBLE THEN 'larger_buyers' WHEN {div('ss', 'bs')} >= 1.3::DOUBLE THEN 'larger_sellers' ELSE 'similar' END AS reading FROM (SELECT *, {div('bs', over(20, 'AVG', of='bs', prior=True))} AS br, {div('ss', over(20, 'AVG', of='ss', prior=True))} AS sr FROM (SELECT *, {div('buy_volume', 'buy_count')} AS bs, {div('sell_volume', 'sell_count')} AS ss FROM b)) WHERE k = 1", BARS, B),
+        q(f"SELECT ticker, date, {r6('bs / 100')} AS buy_lots, {r6('ss / 100')} AS sell_lots, {r6('br')} AS buy_ratio, {r6('sr')} AS sell_ratio, {r6(div('bs', 'ss'))} AS buy_vs_sell, CASE WHEN br IS NULL OR sr IS NULL THEN 'unknown' WHEN LEAST(br, sr) >= 1.3::DOUBLE THEN 'larger_tickets_both_sides' WHEN br >= 1.3::DOUBLE THEN 'larger_buy_tickets' WHEN sr >= 1.3::DOUBLE THEN 'larger_sell_tickets' ELSE 'ordinary_ticket_sizes' END AS reading FROM (SELECT *, {div('bs', over(20, 'AVG', of='bs', prior=True))} AS br, {div('ss', over(20, 'AVG', of='ss', prior=True))} AS sr FROM (SELECT *, {div('buy_volume', 'buy_count')} AS bs, {div('sell_volume', 'sell_count')} AS ss FROM b)) WHERE k = 1", BARS, B),
     ),
-    "avg_trade_value": (on_bars(flow.avg_trade_value), q(f"SELECT ticker, date, {r2('v')} AS value, {r6('x')} AS ratio, CASE WHEN x IS NULL THEN NULL WHEN x >= 1.5 THEN 'large_orders' WHEN x <= 0.66 THEN 'small_orders' ELSE 'normal' END AS reading FROM (SELECT *, v / ({over(20, 'AVG', of='v', prior=True)}) AS x FROM (SELECT *, total_value / total_trade AS v FROM b)) WHERE k = 1", BARS, B)),
-    "value_spike": (on_bars(flow.value_spike), q(f"SELECT ticker, date, {r6('x')} AS ratio, CASE WHEN x IS NULL THEN NULL WHEN x >= 2 THEN 'very_high' WHEN x >= 1.5 THEN 'high' WHEN x <= 0.5 THEN 'low' ELSE 'normal' END AS flag FROM (SELECT *, total_value / ({over(20, 'AVG', of='total_value', prior=True)}) AS x FROM b) WHERE k = 1", BARS, B)),
+    "avg_trade_value": (on_bars(flow.avg_trade_value), q(f"SELECT ticker, date, {r2('v')} AS value, {r6('x')} AS ratio, CASE WHEN x IS NULL THEN 'unknown' WHEN x >= 1.5 THEN 'unusually_large_tickets' WHEN x <= 0.66 THEN 'unusually_small_tickets' ELSE 'normal' END AS reading FROM (SELECT *, v / ({over(20, 'AVG', of='v', prior=True)}) AS x FROM (SELECT *, total_value / total_trade AS v FROM b)) WHERE k = 1", BARS, B)),
+    "value_spike": (on_bars(flow.value_spike), q(f"SELECT ticker, date, {r6('x')} AS ratio, CASE WHEN x IS NULL THEN 'unknown' WHEN x >= 2 THEN 'value_spike' WHEN x >= 1.5 THEN 'elevated_value' WHEN x <= 0.5 THEN 'value_drought' ELSE 'normal' END AS flag FROM (SELECT *, total_value / ({over(20, 'AVG', of='total_value', prior=True)}) AS x FROM b) WHERE k = 1", BARS, B)),
     "prior_average": (on_bars(flow.prior_average), q(f"SELECT ticker, date, {r2('a')} AS prior_average, {r6('total_volume / a')} AS ratio FROM (SELECT *, {over(20, 'AVG', of='total_volume', prior=True)} AS a FROM b)", BARS, B)),
     "foreign_net_volume": (on_bars(flow.foreign_net_volume), q(f"SELECT ticker, date, {NETV} AS net_volume, CAST(SUM({NETV}) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM b", BARS, B)),
-    "foreign_net_value": (on_bars(flow.foreign_net_value), latest_of(f"{r2(NET)} AS net, {r2(f'SUM({NET}) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS cumulative, CASE WHEN {NET} > 0 THEN 'net_buying' WHEN {NET} < 0 THEN 'net_selling' ELSE 'neutral' END AS stance, {', '.join(_net(n) for n in (20, 60, 120))}", "b", BARS, B)),
+    "foreign_net_value": (on_bars(flow.foreign_net_value), latest_of(f"{r2(NET)} AS net, {r2(f'SUM({NET}) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS cumulative, CASE SIGN(SUM({NET}) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)) WHEN 1 THEN 'net_buying' WHEN -1 THEN 'net_selling' ELSE 'flat' END AS stance, {', '.join(_net(n) for n in (20, 60, 120))}", "b", BARS, B)),
     "foreign_participation": (on_bars(flow.foreign_participation), q(f"SELECT ticker, date, {r6('x')} AS participation, {r6('m')} AS mean FROM (SELECT *, {over(20, 'AVG', of='x')} AS m FROM (SELECT *, {div('foreign_buy_volume + foreign_sell_volume', 'total_volume')} AS x FROM b)) WHERE k = 1", BARS, B)),
-    "foreign_room_trend": (on_bars(flow.foreign_room_trend), q("SELECT ticker, date, foreign_room, x AS change, CASE WHEN x IS NULL THEN NULL WHEN x < 0 THEN 'room_shrinking' WHEN x > 0 THEN 'room_growing' ELSE 'unchanged' END AS reading FROM (SELECT *, foreign_room - " + lag("foreign_room", 20) + " AS x FROM b) WHERE k = 1", BARS, B)),
+    "foreign_room_trend": (on_bars(flow.foreign_room_trend), q("SELECT ticker, date, foreign_room, x AS change, CASE WHEN x IS NULL THEN 'unknown' WHEN x < 0 THEN 'room_shrinking_foreign_accumulation' WHEN x > 0 THEN 'room_growing_foreign_divestment' ELSE 'room_unchanged' END AS reading FROM (SELECT *, foreign_room - " + lag("foreign_room", 20) + " AS x FROM b) WHERE k = 1", BARS, B)),
     "room_structural": (on_bars(flow.room_structural), q(f"SELECT ticker, date, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date) AS ordinal, u AS unexplained FROM (SELECT *, foreign_room - {lag('foreign_room')} + {NETV} AS u FROM b) WHERE ABS(u) > GREATEST(0.05 * total_volume, 1000) QUALIFY ordinal <= 10", BARS, B)),
     "zero_foreign_days": (on_bars(flow.zero_foreign_days), q("SELECT ticker, COUNT(*) FILTER (foreign_buy_volume + foreign_sell_volume = 0) AS days, COUNT(*) AS rows FROM b GROUP BY ticker", BARS, B)),
     "flow_summary": (
         on_bars(flow.flow_summary),
-        q(f"SELECT ticker, date, {r6('v')} AS volume_imbalance, {r6('c')} AS count_imbalance, {r2('m')} AS foreign_net_value, room AS room_change, COALESCE((v > 0.05 AND m < 0) OR (v < -0.05 AND m > 0), FALSE) AS flow_against_foreign, COALESCE((v > 0.05 AND c < -0.05) OR (v < -0.05 AND c > 0.05), FALSE) AS volume_against_count, COALESCE((m > 0 AND room > 0) OR (m < 0 AND room < 0), FALSE) AS room_against_foreign FROM (SELECT *, {over(20, 'AVG', of='vi')} AS v, {over(20, 'AVG', of='ci')} AS c, {over(20, 'SUM', False, NET)} AS m, foreign_room - {lag('foreign_room', 20)} AS room FROM (SELECT *, {IMB.format(x='volume')} AS vi, {IMB.format(x='count')} AS ci FROM b)) WHERE k = 1", BARS, B),
+        q(f"SELECT ticker, date, {r6('v')} AS volume_imbalance, {r6('c')} AS count_imbalance, {r2('cum')} AS foreign_net_value_cum, {r2('m')} AS foreign_net_value, {r6('p')} AS foreign_participation, room AS room_change, COALESCE(cum > 0 AND v < -0.05 OR cum < 0 AND v > 0.05, FALSE) AS flow_against_foreign, COALESCE(SIGN(v) * SIGN(c) = -1, FALSE) AS volume_against_count, LEAST(10, moves) AS structural_moves FROM (SELECT *, {over(20, 'AVG', of='vi')} AS v, {over(20, 'AVG', of='ci')} AS c, {over(20, 'AVG', of='fp')} AS p, {over(20, 'SUM', False, NET)} AS m, SUM({NET}) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum, foreign_room - {lag('foreign_room', 20)} AS room, COUNT(*) FILTER (ABS(du) > 0.05 * total_volume AND ABS(du) > 1000) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS moves FROM (SELECT *, {IMB.format(x='volume')} AS vi, {IMB.format(x='count')} AS ci, CASE WHEN total_volume <> 0 THEN CAST(foreign_buy_volume + foreign_sell_volume AS DOUBLE) / total_volume END AS fp, foreign_room - {lag('foreign_room')} + {NETV} AS du FROM b)) WHERE k = 1", BARS, B),
     ),
     "latest_session": (on_bars(flow.latest_session), q(f"SELECT ticker, date, {r6('close')} AS close, {r6(pct('close', 'prev_close'))} AS change_pct, {r6('total_volume / 1e6')} AS volume_mil, {r6('total_value / 1e9')} AS value_bil, {r6(f'({NET}) / 1e9')} AS foreign_net_bil FROM b WHERE k = 1", BARS, B)),
     "recent_history": (on_bars(flow.recent_history), q(f"SELECT ticker, date, {r6('close')} AS close, {r6(pct('close', 'prev_close'))} AS change_pct, {r6('total_volume / 1e6')} AS volume_mil, {r6(f'({NET}) / 1e9')} AS foreign_net_bil FROM b WHERE k <= 5", BARS, B)),

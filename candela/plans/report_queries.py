@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions import labels
 from ..functions.exprs import recent
-from ..operators import levels
+from ..operators import levels, momentum, trend, volatility
 from ..sources.projections import bars_1d, snapshots
 from ..streaming import sessions
 from . import report, scoring
+from .indicator_queries import QUERIES as INDICATORS
 from .indicator_queries import BANDS, LOOKBACK, NET, OBV, STATS, B, _percentile
 from .scan_queries import HOURS
 from .sql import BARS, back, lag, macd, over, q, recurrence, rsi
@@ -123,7 +125,7 @@ vs AS (SELECT ticker, horizon, SUM(CAST(weight AS DECIMAL(9,1))) AS allw, SUM(CA
   COUNT(*) FILTER (direction > 0) AS bullish, COUNT(*) FILTER (direction < 0) AS bearish, COUNT(*) FILTER (direction = 0) AS neutral, COUNT(*) FILTER (direction IS NULL) AS missing FROM comps GROUP BY ticker, horizon),
 vt AS (SELECT *, CAST(net AS DOUBLE) / CAST(have AS DOUBLE) AS score, COALESCE(CAST(have AS DOUBLE) / CAST(allw AS DOUBLE), 0) AS coverage, COALESCE(ABS(CAST(net AS DOUBLE) / CAST(aimed AS DOUBLE)), 0) AS agreement FROM vs),
 verdict AS (SELECT ticker, horizon, CASE WHEN score IS NULL THEN 'insufficient_data' {_BANDS} ELSE 'strong_bearish' END AS strength, ROUND(score, 6) AS score, ROUND(coverage, 6) AS coverage, ROUND(agreement, 6) AS agreement,
-  CASE WHEN coverage >= 0.75 AND agreement >= 0.60 THEN 'high' WHEN coverage >= 0.50 AND agreement >= 0.40 THEN 'medium' ELSE 'low' END AS confidence, bullish, bearish, neutral, missing FROM vt)"""
+  CASE WHEN coverage >= 0.75 AND agreement >= 0.60 THEN '{scoring.HIGH}' WHEN coverage >= 0.50 AND agreement >= 0.40 THEN '{scoring.MEDIUM}' ELSE '{scoring.LOW}' END AS confidence, bullish, bearish, neutral, missing FROM vt)"""
 H500 = (BARS, back(500), recurrence((12, 26)), macd(), rsi(), OBV, WEEKLY, W_EMA, W_MACD, W_RSI, FEATURES)
 BIAS = "CASE WHEN strength LIKE '%bullish' THEN 1 WHEN strength LIKE '%bearish' THEN -1 WHEN strength = 'insufficient_data' THEN NULL ELSE 0 END"
 
@@ -179,6 +181,16 @@ def scan5(f):
     return on(20, lambda b: f(scoring.foreign_scan(b, 5)))
 
 
+TREND = "CASE WHEN sma_20 IS NULL OR sma_50 IS NULL THEN 'insufficient_data' WHEN close > sma_20 AND sma_20 > sma_50 AND (sma_200 IS NULL OR sma_50 > sma_200) THEN IF(sma_200 IS NULL, 'bullish', 'strong_bullish') WHEN close < sma_20 AND sma_20 < sma_50 AND (sma_200 IS NULL OR sma_50 < sma_200) THEN IF(sma_200 IS NULL, 'bearish', 'strong_bearish') WHEN sma_200 IS NULL THEN IF(close > sma_50, 'weak_bullish', 'weak_bearish') WHEN close > sma_200 THEN IF(close > sma_20, 'moderate_bullish', 'weak_bullish') ELSE IF(close < sma_20, 'moderate_bearish', 'weak_bearish') END"
+MOMENTUM_CLASS = "CASE WHEN rsi IS NULL THEN 'insufficient_data' WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold' ELSE CASE WHEN rsi > 60 THEN 'bullish' WHEN rsi < 40 THEN 'bearish' ELSE 'neutral' END || CASE WHEN macd > 0 THEN '_macd_positive' WHEN macd IS NOT NULL THEN '_macd_negative' ELSE '' END END"
+COARSE = f"""
+coarse AS (SELECT ticker, {TREND} AS trend, {MOMENTUM_CLASS} AS momentum, CASE WHEN imb IS NULL THEN 'unknown' WHEN imb > 0.05 THEN 'buy_side' WHEN imb < -0.05 THEN 'sell_side' ELSE 'balanced' END AS bias, CASE SIGN(f20) WHEN 1 THEN 'net_buying' WHEN -1 THEN 'net_selling' WHEN 0 THEN 'flat' ELSE 'unknown' END AS stance FROM feat),
+points AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in scoring.POINTS.items())}) t(trend, worth))"""
+_TOTAL = "(COALESCE(worth, 0::DOUBLE) + COALESCE((SELECT MAX(m.worth) FROM points m WHERE m.trend = split_part(momentum, '_macd_', 1)), 0::DOUBLE) * 0.6::DOUBLE + CASE WHEN ends_with(momentum, '_macd_positive') THEN 0.3::DOUBLE WHEN ends_with(momentum, '_macd_negative') THEN -0.3::DOUBLE ELSE 0::DOUBLE END + CASE bias WHEN 'buy_side' THEN 0.4::DOUBLE WHEN 'sell_side' THEN -0.4::DOUBLE ELSE 0::DOUBLE END + CASE stance WHEN 'net_buying' THEN 0.4::DOUBLE WHEN 'net_selling' THEN -0.4::DOUBLE ELSE 0::DOUBLE END)"
+STRENGTH = f"CASE WHEN {_TOTAL} >= 2.0::DOUBLE THEN 'strong_bullish' WHEN {_TOTAL} >= 1.0::DOUBLE THEN 'moderate_bullish' WHEN {_TOTAL} >= 0.3::DOUBLE THEN 'lean_bullish' WHEN {_TOTAL} > -0.3::DOUBLE THEN 'neutral' WHEN {_TOTAL} > -1.0::DOUBLE THEN 'lean_bearish' WHEN {_TOTAL} > -2.0::DOUBLE THEN 'moderate_bearish' ELSE 'strong_bearish' END"
+WORDS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.WORDING.items()) + ") {0}(label, vi)"
+
+
 QUERIES = {
     "swing_points": (on_levels(levels.swing_points), q("SELECT ticker, kind, ordinal, date, level FROM swing", BARS, B, SWINGS)),
     "close_extremes": (on_levels(levels.close_extremes), q('SELECT ticker, win AS "window", high, high_date, low, low_date FROM ext', BARS, B, EXTREMES)),
@@ -205,10 +217,15 @@ QUERIES = {
     "invalidation": (on(500, _invalidation), q(f"SELECT v.ticker, horizon, CASE WHEN bias > 0 THEN support WHEN bias < 0 THEN resistance END AS level, CASE WHEN bias = 0 THEN resistance END AS upper_level, CASE WHEN bias = 0 THEN support END AS lower_level FROM (SELECT *, COALESCE({BIAS}, 0) AS bias FROM verdict) v JOIN placed p ON v.ticker = p.ticker", *H_LEVELS)),
     "horizon_alignment": (
         comps(lambda c: scoring.alignment(scoring.verdicts(c))),
-        q(f"SELECT ticker, CASE WHEN scored = 0 THEN 'insufficient_data' WHEN bulls = scored THEN 'all_bullish' WHEN bears = scored THEN 'all_bearish' WHEN bulls > 0 AND bears > 0 THEN 'conflicting' WHEN bulls > 0 THEN 'mostly_bullish' WHEN bears > 0 THEN 'mostly_bearish' ELSE 'all_neutral' END AS label, bulls, bears, neutrals, scored, CASE COALESCE(CASE WHEN bulls > bears THEN ru WHEN bears > bulls THEN rd ELSE rn END, ra) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT ticker, COUNT(*) FILTER (s = 1) AS bulls, COUNT(*) FILTER (s = -1) AS bears, COUNT(*) FILTER (s = 0) AS neutrals, COUNT(s) AS scored, MIN(r) AS ra, MIN(r) FILTER (s = 1) AS ru, MIN(r) FILTER (s = -1) AS rd, MIN(r) FILTER (s = 0) AS rn FROM (SELECT ticker, {BIAS} AS s, CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS r FROM verdict) GROUP BY ticker)", *H500, COMPS, VERDICT),
+        q(f"SELECT ticker, CASE WHEN scored = 0 THEN 'insufficient_data' WHEN bulls = scored THEN 'all_bullish' WHEN bears = scored THEN 'all_bearish' WHEN bulls > 0 AND bears > 0 THEN 'conflicting' WHEN bulls > 0 THEN 'mostly_bullish' WHEN bears > 0 THEN 'mostly_bearish' ELSE 'all_neutral' END AS label, bulls, bears, neutrals, scored, CASE COALESCE(CASE WHEN bulls > bears THEN ru WHEN bears > bulls THEN rd ELSE rn END, ra) WHEN 2 THEN '{scoring.HIGH}' WHEN 1 THEN '{scoring.MEDIUM}' ELSE '{scoring.LOW}' END AS confidence FROM (SELECT ticker, COUNT(*) FILTER (s = 1) AS bulls, COUNT(*) FILTER (s = -1) AS bears, COUNT(*) FILTER (s = 0) AS neutrals, COUNT(s) AS scored, MIN(r) AS ra, MIN(r) FILTER (s = 1) AS ru, MIN(r) FILTER (s = -1) AS rd, MIN(r) FILTER (s = 0) AS rn FROM (SELECT ticker, {BIAS} AS s, CASE confidence WHEN '{scoring.HIGH}' THEN 2 WHEN '{scoring.MEDIUM}' THEN 1 ELSE 0 END AS r FROM verdict) GROUP BY ticker)", *H500, COMPS, VERDICT),
+    ),
+    "classify_trend": (feats(scoring.classify_trend), q(f"SELECT ticker, {TREND} AS trend FROM feat", *H500)),
+    "classify_momentum": (feats(scoring.classify_momentum), q(f"SELECT ticker, {MOMENTUM_CLASS} AS momentum FROM feat", *H500)),
+    "signal_strength": (feats(scoring.signal_strength), q(f"SELECT ticker, trend, momentum, bias, stance, {STRENGTH} AS signal_strength FROM (SELECT * FROM coarse LEFT JOIN points p USING (trend))", *H500, COARSE)),
+    "label_wording": (
+        on_levels(lambda b: labels.with_wording(trend.trend_alignment(b).join(momentum.rsi(b).select("ticker", "zone"), "ticker").join(volatility.bollinger_squeeze(b).select("ticker", "squeeze"), "ticker").drop("date"))),
+        f"SELECT a.ticker, alignment, zone, squeeze, w.vi AS alignment_vi, v.vi AS zone_vi, CASE WHEN squeeze THEN '{labels.SWITCHES['squeeze'][0]}' ELSE '{labels.SWITCHES['squeeze'][1]}' END AS squeeze_vi FROM ({INDICATORS['trend_alignment'][1]}) a JOIN ({INDICATORS['rsi'][1]}) r USING (ticker) JOIN ({INDICATORS['bollinger_squeeze'][1]}) s USING (ticker) LEFT JOIN {WORDS.format('w')} ON w.label = alignment LEFT JOIN {WORDS.format('v')} ON v.label = zone",
     ),
-    "classify_trend": (feats(scoring.classify_trend), q("SELECT ticker, CASE WHEN sma_50 IS NULL THEN 'unknown' WHEN sma_200 IS NULL THEN CASE WHEN close > sma_20 AND sma_20 > sma_50 THEN 'uptrend' WHEN close < sma_20 AND sma_20 < sma_50 THEN 'downtrend' ELSE 'sideways' END WHEN close > sma_20 AND sma_20 > sma_50 AND sma_50 > sma_200 THEN 'strong_uptrend' WHEN close < sma_20 AND sma_20 < sma_50 AND sma_50 < sma_200 THEN 'strong_downtrend' WHEN close > GREATEST(sma_20, sma_50) THEN 'uptrend' WHEN close < LEAST(sma_20, sma_50) THEN 'downtrend' ELSE 'sideways' END AS trend FROM feat", *H500)),
-    "classify_momentum": (feats(scoring.classify_momentum), q("SELECT ticker, CASE WHEN rsi IS NULL THEN 'unknown' WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold' ELSE CASE WHEN rsi > 60 THEN 'bullish' WHEN rsi < 40 THEN 'bearish' ELSE 'neutral' END || CASE WHEN macd > 0 THEN '_macd_up' WHEN macd < 0 THEN '_macd_down' ELSE '' END END AS momentum FROM feat", *H500)),
     "compare_52w": (lambda spark, d: scoring.compare_52w(bars_1d(spark, d)).select("ticker", "window_sessions", "excluded", "return_pct", "max_drawdown_pct", "from_low_pct"), q("SELECT ticker, COUNT(*) AS window_sessions, COUNT(*) < 10 AS excluded, ROUND((ARG_MAX(close, date) - ARG_MIN(close, date)) / ARG_MIN(close, date) * 100, 6) AS return_pct, ROUND(MIN(close / peak - 1) * 100, 6) AS max_drawdown_pct, ROUND((ARG_MAX(close, date) - MIN(close)) / MIN(close) * 100, 6) AS from_low_pct FROM peaks GROUP BY ticker", BARS, STATS)),
     "compare_ma": (on(250, scoring.compare_ma), q("SELECT * FROM cma", *C250)),
     "compare_levels": (on(250, scoring.compare_levels), level_sql("SELECT * EXCLUDE (date) FROM placed", 250, POSITION)),

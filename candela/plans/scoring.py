@@ -17,6 +17,16 @@ COMPONENTS = {
     "long_term": [("structure", 1.0), ("sma200", 0.9), ("cross_50_200", 0.7), ("weekly_rsi", 0.6), ("weekly_macd", 0.6), ("percentile_126", 0.5), ("foreign_120", 0.7), ("return", 0.4)],
 }
 BANDS = [(0.50, "strong_bullish"), (0.25, "moderate_bullish"), (0.10, "lean_bullish"), (-0.10, "neutral"), (-0.25, "lean_bearish"), (-0.50, "moderate_bearish")]
+#: The words for the confidence of a verdict.
+HIGH, MEDIUM, LOW = "cao", "trung bình", "thấp"
+#: Points of the labels that signal_strength adds up.
+POINTS = {
+    "strong_bullish": 2.0, "moderate_bullish": 1.0, "bullish": 1.0,
+    "weak_bullish": 0.5, "above_long_term_ma": 0.5,
+    "overbought": 0.5, "neutral": 0.0, "insufficient_data": 0.0,
+    "oversold": -0.5, "weak_bearish": -0.5, "below_long_term_ma": -0.5,
+    "moderate_bearish": -1.0, "bearish": -1.0, "strong_bearish": -2.0,
+}
 
 
 def daily_features(bars: DataFrame) -> DataFrame:
@@ -31,7 +41,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
         pct("close", lag("close", 120)).alias("r120"), pct("close", lag("close", 250)).alias("r250"),
     )
     s = folds.series(bars, c="close").select("ticker", folds.ema(F.col("c"), 12).alias("ema_12"), folds.rsi(F.col("c")).alias("rsi"), folds.macd(F.col("c"))["hist"].alias("macd"))
-    cross = trend.sma_crossover(bars).withColumn("d", cases((F.col("crossover") == "golden", 1), (F.col("crossover") == "death", -1)))
+    cross = trend.sma_crossover(bars).withColumn("d", cases((F.col("crossover") == "golden_cross", 1), (F.col("crossover") == "death_cross", -1)))
     cross = cross.groupBy("ticker").agg(F.max(F.when(F.col("fast") == 20, F.col("d"))).alias("cross_20_50"), F.max(F.when(F.col("fast") == 50, F.col("d"))).alias("cross_50_200"))
     return latest(df).join(s, "ticker").join(cross, "ticker")
 
@@ -97,7 +107,7 @@ def verdicts(comps: DataFrame) -> DataFrame:
     df = g.withColumn("score", score).withColumn("coverage", coverage).withColumn("agreement", agreement)
     s = F.col("score")
     strength = cases((s.isNull(), "insufficient_data"), *[(s >= limit, name) for limit, name in BANDS], otherwise="strong_bearish")
-    confidence = cases(((F.col("coverage") >= 0.75) & (F.col("agreement") >= 0.60), "high"), ((F.col("coverage") >= 0.50) & (F.col("agreement") >= 0.40), "medium"), otherwise="low")
+    confidence = cases(((F.col("coverage") >= 0.75) & (F.col("agreement") >= 0.60), HIGH), ((F.col("coverage") >= 0.50) & (F.col("agreement") >= 0.40), MEDIUM), otherwise=LOW)
     r = lambda c: F.round(c, 6).alias(c)
     return df.select("ticker", "horizon", strength.alias("strength"), r("score"), r("coverage"), r("agreement"), confidence.alias("confidence"), "bullish", "bearish", "neutral", "missing")
 
@@ -125,28 +135,55 @@ def invalidation(verdict: DataFrame, position: DataFrame) -> DataFrame:
 
 def alignment(verdict: DataFrame) -> DataFrame:
     """Agreement of the horizons of each ticker, with the weakest confidence among those of the majority."""
-    rank = cases((F.col("confidence") == "high", 2), (F.col("confidence") == "medium", 1), otherwise=0)
+    rank = cases((F.col("confidence") == HIGH, 2), (F.col("confidence") == MEDIUM, 1), otherwise=0)
     df = verdict.select("ticker", bias_of(F.col("strength")).alias("b"), rank.alias("r"))
     weakest = {k: F.min(F.when(F.col("b") == k, F.col("r"))).alias(f"r{i}") for i, k in enumerate((-1, 0, 1))}
     g = df.groupBy("ticker").agg(F.count_if(F.col("b") > 0).alias("bulls"), F.count_if(F.col("b") < 0).alias("bears"), F.count_if(F.col("b") == 0).alias("neutrals"), F.count("b").alias("scored"), F.min("r").alias("any"), *weakest.values())
     u, d, n = F.col("bulls"), F.col("bears"), F.col("scored")
     label = cases((n == 0, "insufficient_data"), (u == n, "all_bullish"), (d == n, "all_bearish"), ((u > 0) & (d > 0), "conflicting"), (u > 0, "mostly_bullish"), (d > 0, "mostly_bearish"), otherwise="all_neutral")
     basis = F.coalesce(cases((u > d, F.col("r2")), (d > u, F.col("r0")), otherwise=F.col("r1")), F.col("any"))
-    return g.select("ticker", label.alias("label"), "bulls", "bears", "neutrals", "scored", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), basis + 1).alias("confidence"))
+    return g.select("ticker", label.alias("label"), "bulls", "bears", "neutrals", "scored", F.element_at(F.array(F.lit(LOW), F.lit(MEDIUM), F.lit(HIGH)), basis + 1).alias("confidence"))
 
 
-def classify_trend(feats: DataFrame) -> DataFrame:
+def trend_class() -> Column:
+    """Class of the order of close, SMA20, SMA50 and, where there is one, SMA200."""
     c, a, b, d = F.col("close"), F.col("sma_20"), F.col("sma_50"), F.col("sma_200")
-    three = cases(((c > a) & (a > b) & (b > d), "strong_uptrend"), ((c < a) & (a < b) & (b < d), "strong_downtrend"), ((c > a) & (c > b), "uptrend"), ((c < a) & (c < b), "downtrend"), otherwise="sideways")
-    two = cases(((c > a) & (a > b), "uptrend"), ((c < a) & (a < b), "downtrend"), otherwise="sideways")
-    return feats.select("ticker", cases((a.isNull() | b.isNull(), "unknown"), (d.isNull(), two), otherwise=three).alias("trend"))
+    up, down = (c > a) & (a > b), (c < a) & (a < b)
+    two = cases((up, "bullish"), (down, "bearish"), (c > b, "weak_bullish"), otherwise="weak_bearish")
+    three = cases((up & (b > d), "strong_bullish"), (down & (b < d), "strong_bearish"), (c > d, F.when(c > a, "moderate_bullish").otherwise("weak_bullish")), (c < a, "moderate_bearish"), otherwise="weak_bearish")
+    return cases((c.isNull() | a.isNull() | b.isNull(), "insufficient_data"), (d.isNull(), two), otherwise=three)
 
 
-def classify_momentum(feats: DataFrame) -> DataFrame:
+def momentum_class() -> Column:
+    """Band of the RSI, with the side of the MACD histogram unless overbought or oversold."""
     r, h = F.col("rsi"), F.col("macd")
-    band = cases((r.isNull(), "unknown"), (r > 70, "overbought"), (r < 30, "oversold"), (r > 60, "bullish"), (r < 40, "bearish"), otherwise="neutral")
-    plain = band.isin("overbought", "oversold", "unknown")
-    return feats.select("ticker", F.when(plain | h.isNull(), band).otherwise(F.concat(band, F.when(h > 0, "_macd_up").when(h < 0, "_macd_down").otherwise(""))).alias("momentum"))
+    band = cases((r > 60, "bullish"), (r < 40, "bearish"), otherwise="neutral")
+    return cases((r.isNull(), "insufficient_data"), (r > 70, "overbought"), (r < 30, "oversold"), (h.isNull(), band), otherwise=F.concat(band, F.when(h > 0, "_macd_positive").otherwise("_macd_negative")))
+
+
+def classify_trend(feats: DataFrame) -> DataFrame:
+    return feats.select("ticker", trend_class().alias("trend"))
+
+
+def classify_momentum(feats: DataFrame) -> DataFrame:
+    return feats.select("ticker", momentum_class().alias("momentum"))
+
+
+def strength_of(trend: Column, momentum: Column, side: Column, stance: Column) -> Column:
+    """One label of four coarse ones: trend and momentum class, side of the volume, stance of foreign money."""
+    points = F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair])
+    of = lambda label: F.coalesce(F.try_element_at(points, label), F.lit(0.0))
+    signed = lambda size, plus, minus: F.when(plus, F.lit(size)).when(minus, F.lit(-size)).otherwise(F.lit(0.0))
+    # added in this order in doubles, as the limits are compared with rounded sums
+    total = of(trend) + of(F.substring_index(momentum, "_macd_", 1)) * 0.6 + signed(0.3, momentum.contains("_macd_positive"), momentum.contains("_macd_negative"))
+    total = total + signed(0.4, side == "buy_side", side == "sell_side") + signed(0.4, stance == "net_buying", stance == "net_selling")
+    return cases((total >= 2.0, "strong_bullish"), (total >= 1.0, "moderate_bullish"), (total >= 0.3, "lean_bullish"), (total > -0.3, "neutral"), (total > -1.0, "lean_bearish"), (total > -2.0, "moderate_bearish"), otherwise="strong_bearish")
+
+
+def signal_strength(feats: DataFrame) -> DataFrame:
+    """Trend, momentum, volume bias of five rows and foreign stance of twenty, and the label they give together."""
+    df = feats.select("ticker", trend_class().alias("trend"), momentum_class().alias("momentum"), flow.bias(F.col("imb")).alias("bias"), flow.stance_of(F.col("f20")).alias("stance"))
+    return df.withColumn("signal_strength", strength_of(F.col("trend"), F.col("momentum"), F.col("bias"), F.col("stance")))
 
 
 # comparison

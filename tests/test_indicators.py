@@ -135,7 +135,7 @@ def test_clusters_are_anchored(spark):
 def test_verdict_counts_missing_components(spark):
     rows = [("T", "short_term", i, f"c{i}", w, d) for i, (w, d) in enumerate([(1.0, 1), (0.5, None), (0.5, -1)])]
     v = one(scoring.verdicts(spark.createDataFrame(rows, "ticker string, horizon string, ordinal long, component string, weight double, direction int")))
-    assert v.strength == "moderate_bullish" and v.coverage == 0.75 and math.isclose(v.agreement, 1 / 3, abs_tol=1e-6) and v.confidence == "low" and v.missing == 1
+    assert v.strength == "moderate_bullish" and v.coverage == 0.75 and math.isclose(v.agreement, 1 / 3, abs_tol=1e-6) and v.confidence == scoring.LOW and v.missing == 1
 
 
 def test_screen_ties_keep_universe_order(spark):
@@ -149,3 +149,41 @@ def test_one_exchange_serves_all_windows(spark, walk):
     out = trend.sma(df).withColumn("k", F.lit(1))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(ticker") == 1
+
+
+def test_signal_strength_of_all_combinations(spark):
+    import itertools
+
+    def expected(trend_, momentum_, side, stance):
+        base = momentum_.split("_macd_")[0]
+        total = scoring.POINTS.get(trend_, 0) + scoring.POINTS.get(base, 0) * 0.6
+        total += 0.3 if momentum_.endswith("_positive") else -0.3 if momentum_.endswith("_negative") else 0
+        total += {"buy_side": 0.4, "sell_side": -0.4}.get(side, 0)
+        total += {"net_buying": 0.4, "net_selling": -0.4}.get(stance, 0)
+        up = [(2.0, "strong_bullish"), (1.0, "moderate_bullish"), (0.3, "lean_bullish")]
+        down = [(-2.0, "strong_bearish"), (-1.0, "moderate_bearish"), (-0.3, "lean_bearish")]
+        return next((name for limit, name in up if total >= limit), None) or next((name for limit, name in down if total <= limit), "neutral")
+
+    moments = [m + s for m in ("bullish", "neutral", "bearish") for s in ("", "_macd_positive", "_macd_negative")] + ["overbought", "oversold", "insufficient_data"]
+    rows = list(itertools.product([*scoring.POINTS, "unheard_of"], moments, ["buy_side", "sell_side", "balanced", None], ["net_buying", "net_selling", "flat", None]))
+    df = spark.createDataFrame(rows, "t string, m string, b string, s string")
+    got = df.select("*", scoring.strength_of(*(F.col(c) for c in "tmbs")).alias("x")).collect()
+    assert len(got) == len(rows) and all(r.x == expected(r.t, r.m, r.b, r.s) for r in got)
+
+
+def test_wording_beside_labels(spark):
+    from candela.functions import labels
+
+    df = spark.createDataFrame([("flat", "flat", True, True), ("A", "no such label", False, None), ("B", None, None, None)], "ticker string, zone string, squeeze boolean, other boolean")
+    out = labels.with_wording(df)
+    assert out.columns == ["ticker", "zone", "squeeze", "other", "zone_vi", "squeeze_vi"]
+    yes, no = labels.SWITCHES["squeeze"]
+    assert [(r.zone_vi, r.squeeze_vi) for r in out.collect()] == [(labels.WORDING["flat"], yes), (None, no), (None, None)]
+    assert labels.with_wording(out).columns == out.columns
+
+
+def test_large_tickets_are_read_from_each_side_against_its_own_past(spark):
+    days = [(i, 100, 100, 1, 1) for i in range(20)]
+    for buy, sell, reading in ((130, 100, "larger_buy_tickets"), (100, 130, "larger_sell_tickets"), (140, 150, "larger_tickets_both_sides"), (120, 100, "ordinary_ticket_sizes")):
+        df = spark.createDataFrame([("T", *r) for r in [*days, (20, buy, sell, 1, 1)]], "ticker string, date int, buy_volume long, sell_volume long, buy_count long, sell_count long")
+        assert flow.trade_size_by_side(df).first().reading == reading
