@@ -14,7 +14,8 @@ runs, and nothing else. Such a run of t lines is named by the two names of 2^k <
 start and at its end (which overlap): all suffixes with the same two names form the
 longest-common-prefix interval of depth t. In every interval the first copy stays, in the order of doc_id,
 then of text hash, then of line; the other copies are deleted. A run has ``min_words`` lines at
-most, so there are log2(min_words) rounds of doubling.
+most, so there are log2(min_words) rounds of doubling. With ``min_words`` 1 every repeated run counts, as the
+query has it: a run of any length is covered by its lines, each of which is a repeated run itself.
 
 Lines without words never count and go only if a deleted run holds them between its lines. Null texts have no
 lines and stay null. Rows that repeat both id and text are one document: none of them is a copy of the other.
@@ -109,8 +110,11 @@ def repeated(df: DataFrame, name: str) -> DataFrame:
 
 
 def later_copies(runs: DataFrame) -> DataFrame:
-    """The runs (doc_id, th, pos, t, run) that are not the first of their name, as (doc_id, th, pos, t)."""
-    first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "f")
+    """The runs (doc_id, th, pos, t, run) that are not the first of their name, as (doc_id, th, pos, t).
+
+    The first copies are written, as in :func:`repeated`: the rows of a very frequent run can be split.
+    """
+    first = written(runs.groupBy("run").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "f"))
     return runs.join(first, "run").where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("f"))).select("doc_id", "th", "pos", "t")
 
 
@@ -191,4 +195,4 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
+    return dedup_lines(docs, min_words=1).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))

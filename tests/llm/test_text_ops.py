@@ -176,6 +176,16 @@ def test_line_dedup_edges(spark):
     assert sum(r.doc_id == 8 for r in kept.collect()) == 2, "repeated rows are one document"
 
 
+def test_line_dedup_query_cuts_every_repeated_run(spark, tmp_path):
+    """Short lines are runs too: later copies of one word or of a few go like those of a passage."""
+    rng = random.Random(4)
+    some = ["a", "b c", "d e f g h i j k l", "m n o p q r s t u v w", ""]
+    rows = [(i, "\n".join([rng.choice(some) for _ in range(rng.randint(0, 6))] + [f"own {i}"])) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert got == brute_lines(rows, 1) != brute_lines(rows, 10)
+
+
 def brute_targets(sizes, total=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
