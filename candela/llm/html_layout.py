@@ -1,7 +1,8 @@
 """Visible text of HTML pages, laid out as a text browser would.
 
-A scanner feeds a tree builder that closes what HTML leaves implied (p before blocks, li, dt/dd,
-option, table parts), ignores end tags without a start, and skips what is never shown: head,
+A scanner feeds a tree builder that closes what HTML leaves implied (head and colgroup before what they cannot
+hold, p before blocks, li, dt/dd, option, table parts), moves what stands loose between the parts of a table
+before it, ignores end tags without a start, and skips what is never shown: head,
 script, style, template and the like, elements with ``hidden``, ``display:none`` or
 ``visibility:hidden``. The renderer collapses white space as inline layout does, puts blocks on lines of
 their own (with an empty line around paragraphs, headings, lists, tables), marks list items with
@@ -44,6 +45,13 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
+#: These end before text and before any start tag but the given ones.
+HOLDS = {"head": set("base basefont bgsound link meta noframes noscript script style template title".split()), "colgroup": {"col", "template"}}
+SECTIONS = {"thead", "tbody", "tfoot"}
+CELLS = {"td", "th"}
+PARTS = SECTIONS | CELLS | {"tr", "caption", "colgroup"}
+#: What may stand between the parts of a table.
+BETWEEN = PARTS | {"col", "script", "style", "template"}
 BARRIER = {"table", "td", "th", "caption", "button", "template"}
 
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
@@ -104,9 +112,30 @@ def tree(html: str) -> Node:
             if open_[k].tag in stop:
                 return
 
+    def table_at() -> int:
+        """The place of the nearest open table; 0: there is none."""
+        return next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag in ("table", "template")), 0)
+
+    def loose_in() -> int:
+        """The place of the table between whose parts the next node would stand; 0: in none."""
+        k = len(open_) - 1
+        while open_[k].tag in SECTIONS or open_[k].tag == "tr":
+            k -= 1
+        return k if open_[k].tag == "table" else 0
+
+    def add(x: Node | str, table: int) -> None:
+        if table:
+            open_[table - 1].children.insert(-1, x)  # an open table is its parent's last child
+        else:
+            open_[-1].children.append(x)
+
     for kind, name, more in tokens(html):
         if kind == "text":
-            open_[-1].children.append(name if more else unescape(name))
+            text = name if more else unescape(name)
+            loose = not more and text.strip(" \t\n\r\f")
+            if loose and open_[-1].tag in HOLDS:
+                open_.pop()
+            add(text, loose_in() if loose else 0)
         elif kind == "end":
             stop = set() if name in BARRIER else {"table"} if name in ("tr", "tbody", "thead", "tfoot") else BARRIER
             if name == "p" and not any(x.tag == "p" for x in open_):
@@ -114,17 +143,34 @@ def tree(html: str) -> Node:
             close({name}, stop)
         else:
             attrs = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(more)}
+            if open_[-1].tag in HOLDS and name not in HOLDS[open_[-1].tag]:
+                open_.pop()
             if name in ENDS_P:
                 close({"p"}, BARRIER)
-            if name in CLOSES:
+            if name in PARTS and open_[at := table_at()].tag == "table":
+                at += 1
+                if name not in SECTIONS and name not in ("caption", "colgroup") and at < len(open_) and open_[at].tag in SECTIONS:
+                    at += 1
+                if name in CELLS and at < len(open_) and open_[at].tag == "tr":
+                    at += 1
+                del open_[at:]
+                if name in CELLS and open_[-1].tag != "tr" and len(open_) < DEPTH:
+                    row = Node("tr", {})
+                    open_[-1].children.append(row)
+                    open_.append(row)
+            elif name in CLOSES:
                 names, stop = CLOSES[name]
                 if name in ("tr", "tbody", "thead", "tfoot"):
                     while open_[-1].tag in names and (name != "tr" or open_[-1].tag != "tbody"):
                         open_.pop()
                 close(names, stop)
             node = Node(name, attrs)
-            open_[-1].children.append(node)
-            if name not in VOID and not more.endswith("/") and len(open_) < DEPTH:
+            loose = 0 if name in BETWEEN else loose_in()
+            if loose and name == "table":
+                del open_[loose:]
+                loose = 0
+            add(node, loose)
+            if name not in VOID and not more.endswith("/") and len(open_) < DEPTH and not (loose and name == "form"):
                 open_.append(node)
     return root
 

@@ -125,6 +125,30 @@ def test_html_layout(page, text):
     assert html_layout.render(page) == text
 
 
+IMPLIED = [
+    ("<html><head><title>t</title><meta charset=utf-8><body><p>a", "a"),
+    ("<head><style>p{}</style><link rel=x>\n<p>a<p>b", "a\n\nb"),
+    ("<head><title>t</title> text", "text"),
+    ("<head><template><p>no</template><script>no</script></head>yes", "yes"),
+    ("<table><colgroup><col><col><tr><td>a<td>b</table>", "a  b"),
+    ("<table><caption>c<colgroup><col><tbody><tr><td>a</table>", "c\na"),
+    ("<table><colgroup>x<thead><tr><td>a</table>", "x\n\na"),
+    ("<table><tbody>x<tr>y<td>a</td>z</table>w", "xyz\n\na\n\nw"),
+    ("<table><tbody><p>x</p><tr><b>y</b><td>a</table>", "x\n\ny\n\na"),
+    ("<table><tr><form><td>a<td>b</form><tr><td>c</table>", "a  b\nc"),
+    ("<table><form hidden><tr><div>x<td>a</div><td>b</table>", "x\n\na  b"),
+    ("<table><tr><td><p>a<tr><td>b</table>", "a\nb"),
+    ("<table><td>a<td>b</table>", "a  b"),
+    ("<table><tr><td>a<table>x<tr><td>b</table>c</table>", "ax\nb\nc"),
+    ("<table><tr><table><tr><td>a</table>b", "a\n\nb"),
+]
+
+
+@pytest.mark.parametrize("page,text", IMPLIED)
+def test_html_implied_ends_and_loose_content(page, text):
+    assert html_layout.render(page) == text
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (2, "<p>x", None, "t"), (2, "<p>x", None, "t"), (3, "<b>" * 20_000 + "y", "u", "t")], "page_id long, html string, url string, text string")
     assert sorted((r.page_id, r.text) for r in html_layout.rendered(df).collect() if r.text) == [(2, "x"), (2, "x"), (3, "y")]
