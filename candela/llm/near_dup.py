@@ -16,7 +16,7 @@
 Large regions and clusters are cut into blocks, and pairs of blocks are separate groups, so no
 task holds more than two blocks. Null and empty texts have empty sets and stand alone. Fewer words than a
 shingle make one shingle of the whole sequence. Rows of a repeated id are linked by their
-sets like others. Rows without an id stand alone, with a null component. Empty tables give empty tables.
+sets like others: a document is its id and the hash of its text, what is compared are numbered sets. Rows without an id stand alone, with a null component. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -62,7 +62,7 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 SIGNED = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("doc_id", "n", "f1", "f2")]
+    [T.StructField(c, T.LongType()) for c in ("doc_id", "th", "n", "f1", "f2")]
     + [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("deeper", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
 )
 
@@ -100,14 +100,14 @@ def _batch_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[n
 
 
 def signatures(docs: DataFrame, how: Similar) -> DataFrame:
-    """Signature rows of a table (doc_id, text)."""
+    """Signature rows of a table (doc_id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, sets in _batch_sets(batch.column(1), how.width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *_signed(sets)], names=SIGNED.fieldNames())
+            for i, j, sets in _batch_sets(batch.column(2), how.width):
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(2)], *_signed(sets)], names=SIGNED.fieldNames())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "th", F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
 
 
 def _block_pairs(df: DataFrame, block: str, blocks: str) -> DataFrame:
@@ -120,7 +120,7 @@ EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 
 
 def _edges_of(batches: Iterator[pa.RecordBatch], near) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of every group (keys: three longs; then doc_id and what ``near`` needs)."""
+    """Spanning edges of every group (keys: three longs; then the id and what ``near`` needs)."""
     a, b, held = [], [], 0
 
     def flush():
@@ -155,10 +155,10 @@ def _alike(group: pa.Table, screen: float) -> np.ndarray:
 
 
 def candidate_edges(signed: DataFrame, how: Similar) -> DataFrame:
-    """Spanning edges of the candidate pairs of all trees."""
-    trees = signed.select("doc_id", F.explode(F.arrays_zip("prefix", "deeper")).alias("t")).select("doc_id", F.col("t.prefix").alias("k4"), F.shiftrightunsigned("t.deeper", 32).alias("m5"), F.col("t.deeper").alias("m6"))
+    """Spanning edges of the candidate pairs of all trees, from a row (set_id, prefix, deeper, sig) for each set."""
+    trees = signed.select("set_id", F.explode(F.arrays_zip("prefix", "deeper")).alias("t")).select("set_id", F.col("t.prefix").alias("k4"), F.shiftrightunsigned("t.deeper", 32).alias("m5"), F.col("t.deeper").alias("m6"))
     by6 = Window.partitionBy("k4", "m5", "m6")
-    sizes = trees.withColumn("n6", F.count(F.lit(1)).over(by6)).withColumn("rank", F.row_number().over(by6.orderBy("doc_id")))
+    sizes = trees.withColumn("n6", F.count(F.lit(1)).over(by6)).withColumn("rank", F.row_number().over(by6.orderBy("set_id")))
     sizes = sizes.withColumn("n5", F.count(F.lit(1)).over(Window.partitionBy("k4", "m5"))).withColumn("n4", F.count(F.lit(1)).over(Window.partitionBy("k4")))
     depth = F.when(F.col("n4") <= SMALL, 4).when(F.col("n5") <= MIDDLE, 5).otherwise(6)
     regions = sizes.withColumn("depth", depth).where("CASE depth WHEN 4 THEN n4 WHEN 5 THEN n5 ELSE n6 END > 1")
@@ -166,10 +166,10 @@ def candidate_edges(signed: DataFrame, how: Similar) -> DataFrame:
         F.expr("CASE depth WHEN 4 THEN k4 WHEN 5 THEN xxhash64(k4, m5) ELSE xxhash64(k4, m6) END").alias("region"),
         F.expr(f"CASE depth WHEN 6 THEN (rank - 1) DIV {REGION_BLOCK} ELSE 0L END").alias("block"),
         F.expr(f"CASE depth WHEN 6 THEN (n6 - 1) DIV {REGION_BLOCK} + 1 ELSE 1L END").alias("blocks"),
-        "doc_id",
+        "set_id",
     )
-    dealt = _block_pairs(regions, "block", "blocks").join(signed.select("doc_id", "sig"), "doc_id")
-    dealt = dealt.select("region", "lo", "hi", "doc_id", "sig").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "doc_id")
+    dealt = _block_pairs(regions, "block", "blocks").join(signed.select("set_id", "sig"), "set_id")
+    dealt = dealt.select("region", "lo", "hi", "set_id", "sig").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "set_id")
     screen = how.screen
     return dealt.mapInArrow(lambda batches: _edges_of(batches, lambda g: _alike(g, screen)), EDGE).distinct()
 
@@ -199,12 +199,13 @@ def _linked(group: pa.Table, percent: int) -> np.ndarray:
     return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
 
 
-def verified_edges(docs: DataFrame, clusters: DataFrame, how: Similar) -> DataFrame:
+def verified_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, how: Similar) -> DataFrame:
     """Spanning edges of the links inside each cluster (id, root), confirmed on the full sets."""
     clusters = written(clusters)
     blocks = written(clusters.groupBy("root").agg(((F.count(F.lit(1)) - 1) / EXACT_BLOCK).cast("bigint").alias("more")).select("root", (F.col("more") + 1).alias("blocks")))
     members = written(clusters.join(blocks, "root").select("id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks"))
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "root", "block", "blocks")] + [T.StructField("shingles", T.ArrayType(T.LongType()))])
+    firsts = members.join(classes.select(F.col("set_id").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), "id")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "root", "block", "blocks")] + [T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,36 +214,49 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, how: Similar) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(4)], lists], names=schema.fieldNames())
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(members.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = texts.select("doc_id", "root", "block", "blocks", "text").mapInArrow(run, schema)
-    dealt = _block_pairs(sets, "block", "blocks").select("root", "lo", "hi", "doc_id", "shingles").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("text").cast("binary").alias("text")).join(firsts, ["doc_id", "th"])
+    sets = texts.select("id", "root", "block", "blocks", "text").mapInArrow(run, schema)
+    dealt = _block_pairs(sets, "block", "blocks").select("root", "lo", "hi", "id", "shingles").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     percent = how.percent
     return dealt.mapInArrow(lambda batches: _edges_of(batches, lambda g: _linked(g, percent)), EDGE)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", how: Similar | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``."""
-    how = how or Similar()
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+def _text_hash(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text.cast("binary")), F.lit(0))
+
+
+def _judged(df: DataFrame, id_col: str, text: str, how: Similar) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, kept), one row for each row of ``df``."""
+    docs = df.select(F.col(id_col).alias("doc_id"), _text_hash(F.col(text)).alias("th"), F.col(text).alias("text"))
     signed = written(signatures(docs, how))
     set_key = ["n", "f1", "f2"]
-    classes = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*set_key).agg(F.min("doc_id").alias("rep")))
-    firsts = classes.select(F.col("rep").alias("doc_id"), *set_key)
-    distinct = written(signed.join(firsts, ["doc_id", *set_key], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "prefix", "deeper", "sig"))
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*set_key).agg(F.min(F.struct("doc_id", "th")).alias("rep"))
+    classes = written(classes.withColumn("set_id", F.monotonically_increasing_id()))  # fixed, since it is written
+    firsts = classes.select("rep.doc_id", "rep.th", *set_key, "set_id")
+    distinct = written(signed.join(firsts, ["doc_id", "th", *set_key]).dropDuplicates(["set_id"]).select("set_id", "prefix", "deeper", "sig"))
     clusters = components(candidate_edges(distinct, how))
     discard(distinct)
-    roots = components(verified_edges(docs, clusters, how)).select(F.col("id").alias("rep"), "root")
-    of_class = classes.join(roots, "rep", "left").select(*set_key, F.coalesce("root", "rep").alias("component_id"))
-    out = signed.select("doc_id", *set_key).join(of_class, set_key, "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    roots = components(verified_edges(docs, classes, clusters, how)).select(F.col("id").alias("set_id"), "root")
+    placed = written(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
+    first = written(placed.groupBy("root").agg(F.min("rep").alias("first")))
+    of_class = placed.join(first, "root").select(*set_key, "first")
+    out = signed.select("doc_id", "th", *set_key).join(of_class, set_key, "left")
+    own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return out.select(
+        "doc_id", "th", F.col("n").alias("n_shingles"), F.when(own, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(own, F.struct("doc_id", "th") == F.struct("first.doc_id", "first.th")).otherwise(F.lit(True)).alias("kept"),
+    )
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", how: Similar | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``."""
+    return _judged(df, id_col, text, how or Similar()).drop("th")
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", how: Similar | None = None) -> DataFrame:
     """The rows of ``df`` that are the first of their class."""
-    gone = near_duplicates(df, id_col, text, how).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(gone, df[id_col] == F.col("__id"), "left_anti")
+    gone = _judged(df, id_col, text, how or Similar()).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return df.join(gone, (df[id_col] == F.col("__id")) & (_text_hash(df[text]) == F.col("__th")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -135,6 +135,19 @@ def test_near_duplicates_edges(spark):
     assert {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, None}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts under one id are documents of their own, each in its own class."""
+    base = {k: [f"{k}{i}" for i in range(100)] for k in "abc"}
+    near = {k: " ".join([*x[:-1], "other"]) for k, x in base.items()}
+    full = {k: " ".join(x) for k, x in base.items()}
+    rows = [(1, full["a"]), (5, near["a"]), (5, full["b"]), (7, near["b"]), (9, full["c"]), (9, near["c"]), (11, full["c"] + " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in near_dup.without_near_duplicates(df).collect()}
+    assert len(left) == 3 and {(1, full["a"]), (5, full["b"])} < left and sum(i == 9 for i, _ in left) == 1
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (9, 9, False), (9, 9, True), (11, 9, False)]
+
+
 def brute_lines(rows, least):
     """Deletes every line inside a run of ``least`` words that occurs earlier, by the longest match with each earlier place."""
     docs = [(i, *line_dedup.split_lines((t or "").encode())) for i, t in sorted(rows)]
