@@ -5,11 +5,12 @@ letters made one blank) that both hold, whatever their counts: the presence kern
 the sizes of the two sets. A bounded sample of labelled texts gives Nystroem landmarks, the same number for each
 language. With Z the landmarks' presence matrix, the features of a text x are K(x, Z) K(Z, Z)^(-1/2);
 one-versus-rest kernel ridge regression is then a linear system of the landmarks' size, summed by
-partition over the training sample. Since the features are linear in x's presence vector, scoring a batch is
+partition over all labelled rows. Since the features are linear in x's presence vector, scoring a batch is
 one product of its presence matrix and the matrix Z' K(Z, Z)^(-1/2) B.
 
-Learning uses at most about ``TRAIN_ROWS`` labelled rows, chosen by the hash of their ids, and
-``LANDMARKS`` landmarks a language (``MOST_LANDMARKS`` in all, but 2 a language at least); every text is scored whole. Only n-grams that some landmark
+Learning uses all labelled rows. Each language weighs as its rows, but at most as its quota, an equal share
+of ``TRAIN_ROWS``: so a rare language is not lost in a large table, where the ridge penalty would grow with
+the others' rows. There are ``LANDMARKS`` landmarks a language (``MOST_LANDMARKS`` in all, but 2 a language at least); every text is scored whole. Only n-grams that some landmark
 holds matter. ``und`` is predicted, with score 0, for null texts and those without a letter. If nothing
 is labelled, all is ``und``. Empty tables give empty tables; repeated rows get the same result.
 """
@@ -119,7 +120,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LAND
         return None
     langs = sorted(per_lang)
     landmarks = max(2, min(landmarks, MOST_LANDMARKS // len(langs)))
-    share = train_rows / sum(per_lang.values())
+    quota = train_rows / len(langs)
+    weights = np.array([min(1.0, quota / per_lang[k]) for k in langs])
     # landmarks come from twice as many candidates as needed, chosen by hash within each language
     rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 4 * landmarks / per_lang[k] + 4 / per_lang[k])))])
     order = Window.partitionBy("lang").orderBy(unit_hash("id", seed=2), "id")
@@ -149,8 +151,9 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LAND
                 part = batch.slice(a, 256)
                 phi = np.column_stack([space.presence([normal(t.as_py()) for t in part.column(0)]) @ project, np.ones(len(part))])
                 y = np.full((len(part), len(langs)), -1.0)
-                y[np.arange(len(part)), [code[x] for x in part.column(1).to_pylist()]] = 1
-                total += phi.T @ np.column_stack([phi, y])
+                own = [code[x] for x in part.column(1).to_pylist()]
+                y[np.arange(len(part)), own] = 1
+                total += (phi * weights[own, None]).T @ np.column_stack([phi, y])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LAND
                 total += np.frombuffer(raw.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    train = labelled.where(unit_hash("id", seed=3) < share).select(F.col("text").cast("binary"), "lang")
+    train = labelled.select(F.col("text").cast("binary"), "lang")
     tree = train.mapInArrow(partial, "sums binary").repartition(8).mapInArrow(add, "sums binary")
     sums = sum(np.frombuffer(r.sums).reshape(size, -1) for r in tree.collect())
     penalty = ridge * max(sums[size - 1, size - 1], 1.0) / size * np.eye(size)

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from candela.llm import bitsliced, bpe, html_layout, lang_kernel, quotes, rff_quality, words
-from candela.llm.common import fold
+from candela.llm.common import fold, unit_hash
 
 from . import edge
 
@@ -105,6 +105,18 @@ def test_languages_held_out_and_edges(spark, data):
     assert lang_kernel.languages(edge.empty(spark), model).count() == 0
 
 
+def test_rare_language_of_a_large_table_is_learnt(spark):
+    """A dozen rows among 40,000, none of which a uniform sample of half the rows would hold."""
+    rng = random.Random(8)
+    words_of = {k: ["".join(rng.choice(c) for _ in range(rng.randint(2, 7))) for _ in range(200)] for k, c in (("en", "abcdefghilmnorst"), ("zz", "aekjqvwxyzu"))}
+    say = lambda k: " ".join(rng.choice(words_of[k]) for _ in range(12))
+    ids = [r.id for r in spark.range(100_000, 100_200).where(unit_hash("id", seed=3) > 0.6).limit(12).collect()]
+    rows = [(i, say("en"), "en") for i in range(40_000)] + [(i, say("zz"), "zz") for i in ids]
+    model = lang_kernel.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    asked = ["zz"] * 20 + ["en"] * 20
+    assert model.predict([say(k).encode() for k in asked])[0] == asked
+
+
 HTML = [
     ("<p>a<p>b <b>c</b>  d", "a\n\nb c d"),
     ("<ul><li>x<li>y<ol start=3><li>z<li>w</ol></ul>", "- x\n- y\n  3. z\n  4. w"),
