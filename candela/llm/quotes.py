@@ -5,7 +5,8 @@ normalised (lower case, white space as one blank), is hashed and joined with the
 of its conversation that says the same outside of quotes; lines at any level are linked. A message
 answers the message that most of its outermost linked lines come from (the latest of equals); without a link it answers
 the previous turn, if there is one. The output is one row for each message, without quotes and
-without the attribution line above a quote, as chat text; (conv_id, turn) is reply order, since a message only answers earlier ones.
+without the attribution line above a quote, as chat text; (conv_id, turn) stands in for reply order: a message only
+answers earlier ones, but where two answer the same one, thread order would differ.
 
 The lookup side is aggregated to one row for each line and conversation before the join, so a line
 that half of a conversation repeats costs no more than any other. Null texts count as empty, null roles are
