@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +16,41 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in local mode (tests) gets a folder of its own; on a cluster executors would
+    not see each other's files there, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="candela-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folder of this process's tables under each shared folder; it goes when the driver's JVM ends.
+_FOLDERS: dict[tuple[str, str], str] = {}
+#: Tables made since each open :func:`scratch` began.
+_OPEN: list[list[str]] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    if key not in _FOLDERS:
+        _FOLDERS[key] = f"{key[1]}/candela-{uuid.uuid4().hex}"
+        path, fs = _hadoop(spark, _FOLDERS[key])
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _FOLDERS[key]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -29,17 +58,46 @@ def written(df: DataFrame) -> DataFrame:
     it knows the true size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/candela-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path_of(df: DataFrame) -> str | None:
+    return next((name.rsplit("/", 1)[0] for name in df.inputFiles()[:1]), None)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    path = _path_of(df)
+    if path:
+        folder, fs = _hadoop(df.sparkSession, path)
+        fs.delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are :func:`written` inside when it ends, but those given to the function it yields."""
+    made: list[str] = []
+    kept: list[str] = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = written(df)
+        kept.append(made.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        if _OPEN:
+            _OPEN[-1] += kept
+        for path in made:
+            folder, fs = _hadoop(spark, path)
+            fs.delete(folder, True)
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

@@ -1,48 +1,48 @@
-"""Deletion of repeated line runs by prefix doubling over line-ID sequences.
-
-Lines with a word are the letters of a document's sequence; an id is a 128-bit hash of the
-bytes. The suffix array of all sequences is refined by prefix doubling: the name of the
-2^(k+1) lines from a position is made of the names of the 2^k lines from it and from 2^k lines
-on, and suffixes that have equal names are neighbours in suffix order with a common prefix of at
-least so many lines. A name that occurs once can begin no repeated run and its suffix leaves at
-once, so that only repeated text goes on.
-
-A run counts as repeated from ``min_words`` words on. For each line take the shortest run of so many
-words that starts there, and the one that ends there. Any longer repeated run is covered by these
-runs inside it, so deleting their later copies deletes the later copies of the maximal repeated
-runs, and nothing else. Such a run of t lines is named by the two names of 2^k <= t lines at its
-start and at its end (which overlap): all suffixes with the same two names form the
-longest-common-prefix interval of depth t. In every interval the first copy stays, in the order of doc_id,
-then of text hash, then of line; the other copies are deleted. A run has ``min_words`` lines at
-most, so there are log2(min_words) rounds of doubling. With ``min_words`` 1 every repeated run counts, as the
-query has it: a run of any length is covered by its lines, each of which is a repeated run itself.
+"""Deletion of repeated line runs: suffix array over line-ID sequences by distributed prefix doubling.
+
+Lines with a word are the letters of a text's sequence; an id is a 128-bit hash of the bytes. Texts that occur in
+several documents are collapsed to their first document before anything else, so groups of copies cost nothing.
+
+Up: the suffixes are sorted by their first line, then by their first 2, 4, 8 .. lines. The rank of a suffix at 2w is the
+place of its pair (rank at w, rank w lines further on) among all such pairs in order. Only pairs that occur twice are
+ranked: they are the longest-common-prefix intervals of depth 2w, and a suffix outside of them repeats nothing of
+that length and leaves. It ends when no interval is left, after log2(longest repeat) rounds.
+
+Down: an interval of any depth is named by its depth and its first suffix in document order. From the deepest level
+on, each interval is split by the rank of the next 2^k lines behind its depth; parts of two suffixes or more are
+intervals of their own, 2^k deeper, and their first suffix stays in the parent too, whose other suffixes may yet share
+less with it. So for every suffix the deepest interval is found in which it is not the first one: the length of its
+longest match with an earlier place. Runs that a longer one of the line before contains are not maximal and go.
+
+Later copies of every maximal run of ``min_words`` words or more are deleted (1: of every run, as the query and the
+pipeline have it). Order is doc_id (null first, as the smallest long), then text hash, then line. Nothing holds a group
+together: pairs and intervals are counted by partial aggregation, and joined in a way that Spark can split.
 
 Lines without words never count and go only if a deleted run holds them between its lines. Null texts have no
 lines and stay null. Rows that repeat both id and text are one document: none of them is a copy of the other.
-Empty tables give empty tables. Other columns pass through.
+Empty tables give empty tables. Other columns pass through; columns n_lines and n_removed of the input are replaced
+by :func:`dedup_lines` and kept by :func:`without_repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
-
-MIN_WORDS = 10
+from .common import discard, scratch, written
 
-KEY = ["doc_id", "th"]
-LINES = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("pos", T.IntegerType())]
-    + [T.StructField("name", T.BinaryType()), T.StructField("runs", T.ArrayType(T.IntegerType()))]
-)
+#: The id that stands for a null one.
+NO_ID = -(1 << 63)
+#: A document: its id and a hash of its text.
+DOC = ["d", "t"]
 
 
 def split_lines(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -52,147 +52,169 @@ def split_lines(text: bytes) -> tuple[list[bytes], list[int]]:
     return [every[i] for i in at], at
 
 
-def run_lengths(n_words: np.ndarray, min_words: int) -> list[list[int]]:
-    """For each line, the lengths of the runs to look at that start there.
+def _doc_id(c: Column) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(NO_ID))
 
-    A run is the shortest one of ``min_words`` words from its first line, or up to its last.
-    """
-    n = len(n_words)
-    out: list[list[int]] = [[] for _ in range(n)]
-    total = np.concatenate(([0], np.cumsum(n_words)))
-    ends = np.searchsorted(total, total[:-1] + min_words)  # the run from i ends before ends[i]
-    starts = np.searchsorted(total, total[1:] - min_words, "right") - 1  # the run up to j starts at starts[j]
-    for i, e in enumerate(ends.tolist()):
-        if e <= n:
-            out[i].append(e - i)
-    for j, s in enumerate(starts.tolist()):
-        if s >= 0 and j + 1 - s not in out[s]:
-            out[s].append(j + 1 - s)
-    return out
-
-
-def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line with a word of a table (doc_id, th, text)."""
+
+def _text_hash(c: Column) -> Column:
+    return F.xxhash64(F.coalesce(c.cast("binary"), F.lit("").cast("binary")))
+
+
+PACKED = T.StructType([T.StructField("d", T.LongType()), T.StructField("t", T.LongType()), T.StructField("text_id", T.BinaryType()), T.StructField("lines", T.ArrayType(T.BinaryType()))])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(d, t, text_id, lines): hashes of the text and of its lines with words, of a table (d, t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cols: list[list] = [[] for _ in LINES.fields]
-            for d, h, text in zip(ids, hashes, batch.column(2), strict=True):
-                lines, _ = split_lines(text.as_py() or b"")
-                k = len(lines)
-                cols[0] += [d] * k
-                cols[1] += [h] * k
-                cols[2] += range(k)
-                cols[3] += [hashlib.blake2b(x, digest_size=16).digest() for x in lines]
-                cols[4] += run_lengths(np.array([len(x.split()) for x in lines], np.int64), min_words)
-                if len(cols[0]) > 50_000:
-                    yield _lines_batch(cols)
-                    cols = [[] for _ in LINES.fields]
-            yield _lines_batch(cols)
-
-    return docs.select("doc_id", "th", F.col("text").cast("binary").alias("text")).mapInArrow(run, LINES)
-
-
-def _lines_batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=LINES.fieldNames())
-
-
-def repeated(df: DataFrame, name: str) -> DataFrame:
-    """The rows whose name occurs in two rows or more.
-
-    The names are written first: then both sides of the join are plain exchanges, and the rows of a
-    very frequent name can be split over several tasks.
-    """
-    often = written(df.groupBy(name).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(name))
-    return df.join(often, name, "left_semi")
+            texts, hashes = [], []
+            for text in batch.column(2):
+                raw = text.as_py() or b""
+                lines, _ = split_lines(raw)
+                texts.append(hashlib.blake2b(raw, digest_size=16).digest())
+                hashes.append([hashlib.blake2b(x, digest_size=16).digest() for x in lines])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary()), pa.array(hashes, pa.list_(pa.binary()))], names=PACKED.fieldNames())
 
+    return docs.select("d", "t", F.col("text").cast("binary").alias("text")).mapInArrow(run, PACKED)
 
-def later_copies(runs: DataFrame) -> DataFrame:
-    """The runs (doc_id, th, pos, t, run) that are not the first of their name, as (doc_id, th, pos, t).
 
-    The first copies are written, as in :func:`repeated`: the rows of a very frequent run can be split.
+def place() -> Column:
+    return F.struct(*DOC, "pos")
+
+
+def intervals(pairs: DataFrame, *key: str) -> DataFrame:
+    """The keys that two suffixes (d, t, pos) or more share, in order: (key, rank, f); f is the first suffix.
+
+    A row for each key, so the sort deals out no frequent one to a single task. Written, so that the rows of a
+    frequent key can be split in the join behind it.
     """
-    first = written(runs.groupBy("run").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "f"))
-    return runs.join(first, "run").where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("f"))).select("doc_id", "th", "pos", "t")
+    found = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("f")).where("n > 1").select(*key, "f")
+    return written(found.orderBy(*key).withColumn("rank", F.monotonically_increasing_id()))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, pos, t): t lines from line pos on are a later copy of a repeated run."""
-    active = written(repeated(line_rows(docs, min_words), "name"))
-    out, k = None, 0
+def ranked(lines: DataFrame) -> list[DataFrame]:
+    """For each k the suffixes (d, t, pos, rank, f) whose first 2^k lines occur elsewhere too. Needs (d, t, pos, name)."""
+    classes = intervals(lines, "name")
+    levels = [written(lines.join(classes, "name").select(*DOC, "pos", "rank", "f"))]
+    discard(classes)
     while True:
-        width = 1 << k
-        here = active.withColumn("t", F.explode(F.expr(f"filter(runs, t -> t >= {width} AND t < {2 * width})")))
-        if k:
-            end = active.select(*[F.col(c).alias(f"e_{c}") for c in KEY], F.col("pos").alias("e_pos"), F.col("name").alias("e_name"))
-            met = (here["doc_id"].eqNullSafe(end["e_doc_id"])) & (here["th"] == end["e_th"]) & (here["pos"] + here["t"] - width == end["e_pos"])
-            runs = here.join(end, met).select(*KEY, "pos", "t", F.md5(F.concat(F.col("t").cast("string").cast("binary"), "name", "e_name")).alias("run"))
-        else:
-            runs = here.select(*KEY, "pos", "t", F.hex("name").alias("run"))
-        found = later_copies(runs)
-        out = found if out is None else out.unionByName(found)
-        k += 1
-        if 1 << k > min_words:
-            return out.distinct()
-        order = Window.partitionBy(*KEY).orderBy("pos").rangeBetween(width, width)
-        doubled = active.withColumn("next", F.first("name").over(order)).where("next IS NOT NULL")
-        doubled = doubled.select(*KEY, "pos", F.unhex(F.md5(F.concat("name", "next"))).alias("name"), "runs")
-        active = written(repeated(doubled, "name"))
-
-
-def cut(text: bytes, deleted: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """The text without the runs, how many of its lines with words are gone, and how many it had."""
-    every = text.split(b"\n")
-    at = [i for i, x in enumerate(every) if x and not x.isspace()]
-    gone = np.zeros(len(every) + 1, bool)
-    hit = np.zeros(len(at) + 1, np.int64)
-    for pos, t in deleted:
-        gone[at[pos] : at[pos + t - 1] + 1] = True
-        hit[pos] += 1
-        hit[pos + t] -= 1
-    left = [x for x, g in zip(every, gone, strict=False) if not g]
-    return b"\n".join(left), int((np.cumsum(hit) > 0).sum()), len(at)
+        w = 1 << (len(levels) - 1)
+        ahead = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(w, w)
+        pairs = levels[-1].select(*DOC, "pos", F.col("rank").alias("r1"), F.first("rank").over(ahead).alias("r2")).where("r2 IS NOT NULL")
+        classes = intervals(pairs, "r1", "r2")
+        if classes.isEmpty():
+            discard(classes)
+            return levels
+        levels.append(written(pairs.join(classes, ["r1", "r2"]).select(*DOC, "pos", "rank", "f")))
+        discard(classes)
+
+
+def matches(levels: list[DataFrame]) -> DataFrame:
+    """(d, t, pos, len): the longest match of each suffix with an earlier place, where there is one."""
+    rows = None  # suffixes in the intervals to split, (d, t, pos, len, f): an interval is its depth and its first suffix
+    for k in range(len(levels) - 1, -1, -1):
+        level = levels[k]
+        if rows is not None:
+            behind = level.select(*DOC, F.col("pos").alias("at"), "rank")
+            met = written(rows.withColumn("at", F.col("pos") + F.col("len")).join(behind, [*DOC, "at"], "left").drop("at"))
+            parts = met.where("rank IS NOT NULL").groupBy("len", "f", "rank").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first")).where("n > 1").drop("n")
+            here, deeper = F.struct("len", "f"), F.struct((F.col("len") + (1 << k)).alias("len"), F.col("first").alias("f"))
+            both = F.when(F.col("first").isNull(), F.array(here)).when(place() == F.col("first"), F.array(here, deeper)).otherwise(F.array(deeper))
+            rows = met.join(written(parts), ["len", "f", "rank"], "left").select(*DOC, "pos", F.explode(both).alias("x")).select(*DOC, "pos", "x.len", "x.f")
+        own = level.select(*DOC, "pos", F.lit(1 << k).alias("len"), "f")
+        if k + 1 < len(levels):  # those that match an earlier place at twice the length are under way
+            longer = levels[k + 1].where(place() != F.col("f")).select(*DOC, "pos")
+            own = own.join(longer, [*DOC, "pos"], "left_anti")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.where(place() != F.col("f")).groupBy(*DOC, "pos").agg(F.max("len").alias("len"))
+
+
+def maximal_runs(texts: DataFrame) -> DataFrame:
+    """(d, t, pos, len) of a table (d, t, lines) of different texts: the maximal runs that match an earlier place."""
+    lines = texts.select(*DOC, F.posexplode("lines").alias("pos", "name"))
+    found = matches(ranked(lines))
+    before = F.lag(F.struct("pos", "len")).over(Window.partitionBy(*DOC).orderBy("pos"))
+    inside = (F.col("b.pos") == F.col("pos") - 1) & (F.col("b.len") > F.col("len"))
+    return found.withColumn("b", before).where(F.col("b").isNull() | ~inside).drop("b")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(d, t, copy, runs): what a table (d, t, text) repeats of earlier documents or of itself; a row for each document that does.
+
+    ``copy``: the whole text is that of an earlier document. Else ``runs`` has the maximal runs (pos, len).
+    """
+    every = written(packed(docs).where("size(lines) > 0"))
+    texts = written(every.groupBy("text_id").agg(F.min("d").alias("d"), F.max("d").alias("last"), F.any_value("t").alias("t"), F.any_value("lines").alias("lines")))
+    often = texts.where("last > d").select("text_id", F.col("d").alias("own"))
+    copies = every.join(often, "text_id").where("d > own").select(*DOC).distinct()
+    runs = maximal_runs(texts).groupBy(*DOC).agg(F.collect_list(F.struct("pos", "len")).alias("runs"))
+    none = F.lit(None).cast("array<struct<pos:int,len:int>>")
+    return runs.select(*DOC, F.lit(False).alias("copy"), F.col("runs").cast("array<struct<pos:int,len:int>>").alias("runs")).unionByName(copies.select(*DOC, F.lit(True).alias("copy"), none.alias("runs")))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with later copies of repeated runs cut from the texts, and columns n_lines and n_removed."""
-    th = F.coalesce(F.xxhash64(F.col(text)), F.lit(0))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), th.alias("th"), F.col(text).alias("text"))
-    found = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("pos", "t")).alias("__runs"))
-    met = df[id_col].cast("long").eqNullSafe(F.col("__d")) & (th == F.col("__th"))
-    names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    joined = df.join(found, met, "left").select(*[df[c] for c in names], F.col("__runs.pos").alias("__pos"), F.col("__runs.t").alias("__t"))
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    place = names.index(text)
+def cut(text: bytes, runs: list[dict] | None, copy: bool, min_words: int) -> tuple[bytes, int, int]:
+    """The text without the runs of ``min_words`` words, how many of its lines with words are gone, and how many it had."""
+    every = text.split(b"\n")
+    at = [i for i, x in enumerate(every) if x and not x.isspace()]
+    if copy:
+        runs = [{"pos": 0, "len": len(at)}]
+    if not runs:
+        return text, 0, len(at)
+    words = np.concatenate(([0], np.cumsum([len(every[i].split()) for i in at])))
+    gone, hit = np.zeros(len(every), bool), np.zeros(len(at), bool)
+    for r in runs:
+        a, b = r["pos"], r["pos"] + r["len"]
+        if words[b] - words[a] >= min_words:
+            gone[at[a] : at[b - 1] + 1] = True
+            hit[a:b] = True
+    return b"\n".join([x for x, g in zip(every, gone, strict=True) if not g]), int(hit.sum()), len(at)
+
+
+def _cut_table(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """``df`` with cut texts, and columns __n_lines and __n_removed."""
+    keys = {"__d": _doc_id(F.col(id_col)), "__t": _text_hash(F.col(text))}
+    with scratch(df.sparkSession) as keep:
+        found = keep(repeats(df.select(keys["__d"].alias("d"), keys["__t"].alias("t"), F.col(text).alias("text"))))
+    found = found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("copy").alias("__copy"), F.col("runs").alias("__runs"))
+    joined = df.withColumns(keys).join(found, ["__d", "__t"], "left").select(*[F.col(f"`{c}`") for c in df.columns], "__copy", "__runs")
+    counts = ["__n_lines", "__n_removed"]
+    schema = T.StructType([df.schema[c] for c in df.columns] + [T.StructField(c, T.LongType()) for c in counts])
+    schema[text].nullable = True
+    n, place = len(df.columns), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, lines, removed = [], [], []
-            for x, pos, t in zip(batch.column(place), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+            for x, copy, runs in zip(batch.column(place), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 value = x.as_py()
-                raw = b"" if value is None else value.encode()
-                left, gone, n = cut(raw, list(zip(pos or [], t or [], strict=True)))
-                own.append(None if value is None else left.decode() if gone else value)
-                lines.append(n)
+                left, gone, total = cut(b"" if value is None else value.encode(), runs, bool(copy), min_words)
+                own.append(left.decode() if gone else value)
+                lines.append(total)
                 removed.append(gone)
-            cols = list(batch.columns[: len(names)])
+            cols = list(batch.columns[:n])
             cols[place] = pa.array(own, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*df_columns, *counts])
 
+    df_columns = df.columns
     return joined.mapInArrow(run, schema)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
+    """``df`` with later copies of repeated runs cut from the texts, and columns n_lines and n_removed."""
+    out = _cut_table(df.drop("n_lines", "n_removed"), id_col, text, min_words)
+    return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
     """``df`` with cut texts; documents of which no word is left go. A column n_chars is counted anew."""
-    out = dedup_lines(df.withColumn("__id", F.col(id_col)), id_col, text, min_words).where(f"n_removed < n_lines OR n_removed = 0")
-    cols = {c: F.col(c) for c in df.columns}
+    out = _cut_table(df, id_col, text, min_words).where("__n_removed < __n_lines OR __n_removed = 0")
+    cols = {c: F.col(f"`{c}`") for c in df.columns}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+        cols["n_chars"] = F.when(F.col("__n_removed") > 0, F.length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
     return out.select(*cols.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, min_words=1).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))

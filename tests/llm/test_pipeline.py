@@ -30,7 +30,7 @@ def test_stages(spark, data):
         elif 10 * symbols <= 3 * n and 2 * dup <= len(r["text"].split("\n")) and sum(c.isupper() for c in r["text"]) < 0.2 * chars:
             assert r["doc_id"] in kept, "clean documents stay"
 
-    cut = brute_lines([(r["doc_id"], r["text"]) for r in rules], 10)
+    cut = brute_lines([(r["doc_id"], r["text"]) for r in rules], 1)
     left = {r["doc_id"]: r for r in lines}
     assert set(left) == {i for i, (n, gone) in cut.items() if gone < n}
     assert all(len([x for x in left[i]["text"].split("\n") if x.strip()]) == cut[i][0] - cut[i][1] for i in left)

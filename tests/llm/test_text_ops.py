@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from candela.llm import components, host_rules, line_dedup, mixing, near_dup, words
 
@@ -178,17 +179,48 @@ def test_line_dedup_matches_brute_force(spark, least):
 def test_line_dedup_edges(spark):
     passage = "this passage of more than ten words stands in several documents of the table"
     rows = [(1, f"own line one\n{passage}\nend"), (2, f"{passage}\nother words here"), (3, "other words here")]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=10).collect()}
     assert got == {1: rows[0][1], 2: "other words here", 3: "other words here"}
     docs = edge.documents(spark)
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_words=10).collect()}
     assert out[1].text is None and out[2].text == "" and out[6].n_removed == 0 and out[7].text == "" and out[12].n_removed == 29
     assert line_dedup.dedup_lines(edge.empty(spark)).count() == 0
     kept = line_dedup.without_repeats(docs)
-    assert kept.columns == docs.columns and 7 not in {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and {r.n_lines for r in kept.collect()} == {"l"} and 7 not in {r.doc_id for r in kept.collect()}
     assert sum(r.doc_id == 8 for r in kept.collect()) == 2, "repeated rows are one document"
 
 
+def test_maximal_runs_match_brute_force(spark):
+    """Longest matches with an earlier place, by comparing every two places, with runs far longer than the alphabet's."""
+    rng = random.Random(21)
+    texts = [[rng.choice("ab") for _ in range(rng.randint(1, 9))] for _ in range(25)] + [["x"] * 23, ["x"] * 9 + ["y"]]
+    long = [f"l{i}" for i in range(40)]
+    texts += [long, long[5:30] + ["q"] + long[3:20], ["z", *long[31:]]]
+    texts = [list(x) for x in dict.fromkeys(map(tuple, texts))]
+    every = [(d, p) for d, x in enumerate(texts) for p in range(len(x))]
+
+    def same(a, b):
+        n, x, y = 0, texts[a[0]], texts[b[0]]
+        while a[1] + n < len(x) and b[1] + n < len(y) and x[a[1] + n] == y[b[1] + n]:
+            n += 1
+        return n
+
+    best = {b: max((same(a, b) for a in every[:k]), default=0) for k, b in enumerate(every)}
+    expected = {(d, p, n) for (d, p), n in best.items() if n and not best.get((d, p - 1), 0) > n}
+    rows = spark.createDataFrame([(d, 0, [c.encode() for c in x]) for d, x in enumerate(texts)], "d long, t long, lines array<binary>")
+    assert {(r.d, r.pos, r.len) for r in line_dedup.maximal_runs(rows).collect()} == expected
+
+
+def test_line_dedup_of_many_equal_rows(spark):
+    """Equal rows, rows without an id and copies under other ids are one text each, so they take no longer than others."""
+    text = "\n".join(f"line number {i} of a text with some words" for i in range(20))
+    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    more = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    other = spark.range(10, 20_010).select(F.col("id").alias("doc_id"), F.lit(text + "\nend").alias("text"))
+    got = line_dedup.dedup_lines(same.unionByName(more).unionByName(other)).groupBy(F.when(F.col("doc_id") > 10, 11).otherwise(F.col("doc_id")).alias("i"), "n_removed").count().collect()
+    assert {(r.i, r.n_removed): r["count"] for r in got} == {(None, 0): 100_000, (5, 20): 20_000, (10, 20): 1, (11, 21): 19_999}
+
+
 def test_line_dedup_query_cuts_every_repeated_run(spark, tmp_path):
     """Short lines are runs too: later copies of one word or of a few go like those of a passage."""
     rng = random.Random(4)
