@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = found
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
+        # written: as two plain exchanges, the edges of a vertex with very many can be split in the join
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")))
         large = both.join(low, both["a"] == low["v"]).where("b > a").select(F.col("b").alias("u"), "m").distinct()
         # small-star: u > m in every edge; u's smallest neighbour takes u and its other neighbours
         least = large.groupBy("u").agg(F.min("m").alias("r")).select(F.col("u").alias("w"), "r")
@@ -36,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = met.where("m <> r").select(F.col("r").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("r").alias("a"), F.col("w").alias("b")))
         after = written(small.distinct())
         discard(now)
+        discard(low)
         now = after
     return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 

@@ -2,21 +2,26 @@
 
 1. A document's set of word shingles is hashed; documents with equal sets form one class, and
    only the class's first document goes on.
-2. Every tree of the forest orders the signatures by its own ``DEPTH`` hashes. Documents whose
-   longest common prefix reaches the depth of their region are candidates: a region of up to
-   ``SMALL`` documents has depth 4; a larger one is split at depth 5, and where that is still
-   more than ``MIDDLE`` documents, at depth 6. A pair of similarity 0.85 shares no region of 24
-   trees with probability 2e-8 (depth 4) to 1.2e-5 (depth 6).
-3. In each region the signatures are compared; a spanning forest of the pairs whose estimated
-   similarity is not clearly too low joins regions of all trees into clusters of candidates.
-4. In a cluster all pairs are verified on the full sets, in blocks of bounded size; a spanning
-   forest of the verified links is kept.
-5. Connected components of the links give each document's class; nothing is capped.
-
-Large regions and clusters are cut into blocks, and pairs of blocks are separate groups, so no
-task holds more than two blocks. Null and empty texts have empty sets and stand alone. Fewer words than a
+2. Each of ``TREES`` trees of the forest sorts the signatures by its own ``DEPTH`` hashes. Signatures next to
+   each other in an order whose longest common prefix is 4 hashes or more are compared; those whose estimated
+   similarity is not clearly too low join their documents to clusters of candidates.
+3. A cluster is dealt into blocks of some ``BLOCK_DOCS`` documents and ``BLOCK_SHINGLES`` shingles, and ``PIVOTS`` of its
+   documents go to all its blocks. In a block all pairs are verified on the full sets. So a large group of
+   near copies becomes one component in linear time.
+4. What may be left are links between different components. In each order the documents with a common prefix
+   form a region; its depth adapts to its size: 4 hashes up to ``SMALL`` documents, else 5, and where that is still
+   more than ``MIDDLE`` documents, 6. Regions of one component are done. In others every document outside of the
+   region's largest component is compared with all of another component, by signature; where the estimate is not clearly
+   too low, the document is sent to the block of the other one.
+5. Blocks verify the documents sent to them on the full sets. Connected components of all links are the classes.
+
+Nothing is capped. A pair of similarity 0.85 shares no region of 24 trees with probability 2e-8 (depth 4) to 1.2e-5
+(depth 6), one of 0.8 with 6e-6 to 7e-4; two documents that other links connect need no region at all.
+
+No task holds more than a block and as many documents sent to it, or two blocks of signatures. Null and empty texts have empty sets and stand alone. Fewer words than a
 shingle make one shingle of the whole sequence. Rows of a repeated id are linked by their
-sets like others: a document is its id and the hash of its text, what is compared are numbered sets. Rows without an id stand alone, with a null component. Empty tables give empty tables.
+sets like others: a document is its id and the hash of its text, what is compared are numbered sets. Rows without an id
+stand alone, with a null component. Other columns are ignored or passed through. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -30,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import words as W
-from .common import discard, written
+from .common import scratch, written
 from .components import components, sorted_groups, spanning
 
 TREES, DEPTH = 24, 6
 SMALL, MIDDLE = 32, 512
-REGION_BLOCK, EXACT_BLOCK = 1024, 256
+REGION_BLOCK = 1024
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 200_000, 16
 
 
 @dataclass(frozen=True)
@@ -110,12 +115,6 @@ def signatures(docs: DataFrame, how: Similar) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "th", F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
 
 
-def _block_pairs(df: DataFrame, block: str, blocks: str) -> DataFrame:
-    """Each row once for every pair of blocks (lo, hi) that holds its block."""
-    other = df.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
-    return other.withColumn("lo", F.least(block, "__other")).withColumn("hi", F.greatest(block, "__other")).drop("__other", block, blocks)
-
-
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -142,36 +141,59 @@ def _edges_of(batches: Iterator[pa.RecordBatch], near) -> Iterator[pa.RecordBatc
         yield flush()
 
 
-def _alike(group: pa.Table, screen: float) -> np.ndarray:
-    """Whether the estimated similarity of each two signatures reaches the screen."""
-    sig = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(len(group), -1)
-    size = sig.shape[1]
-    least = size * (screen + (1 - screen) / 256)
-    out = np.zeros((len(sig), len(sig)), bool)
-    step = max(1, 4_000_000 // (len(sig) * size))
-    for i in range(0, len(sig), step):
-        out[i : i + step] = (sig[i : i + step, None, :] == sig[None, :, :]).sum(-1) >= least
+def _similar(a: np.ndarray, b: np.ndarray, screen: float) -> np.ndarray:
+    """Whether the estimated similarity of each signature of ``a`` and each of ``b`` reaches the screen."""
+    size = a.shape[1]
+    least = size * (screen + (1 - screen) / 256)  # bytes also agree by chance
+    out = np.zeros((len(a), len(b)), bool)
+    step = max(1, 4_000_000 // (max(len(b), 1) * size))
+    for i in range(0, len(a), step):
+        out[i : i + step] = (a[i : i + step, None, :] == b[None, :, :]).sum(-1) >= least
     return out
 
 
-def candidate_edges(signed: DataFrame, how: Similar) -> DataFrame:
-    """Spanning edges of the candidate pairs of all trees, from a row (set_id, prefix, deeper, sig) for each set."""
-    trees = signed.select("set_id", F.explode(F.arrays_zip("prefix", "deeper")).alias("t")).select("set_id", F.col("t.prefix").alias("k4"), F.shiftrightunsigned("t.deeper", 32).alias("m5"), F.col("t.deeper").alias("m6"))
-    by6 = Window.partitionBy("k4", "m5", "m6")
-    sizes = trees.withColumn("n6", F.count(F.lit(1)).over(by6)).withColumn("rank", F.row_number().over(by6.orderBy("set_id")))
-    sizes = sizes.withColumn("n5", F.count(F.lit(1)).over(Window.partitionBy("k4", "m5"))).withColumn("n4", F.count(F.lit(1)).over(Window.partitionBy("k4")))
-    depth = F.when(F.col("n4") <= SMALL, 4).when(F.col("n5") <= MIDDLE, 5).otherwise(6)
-    regions = sizes.withColumn("depth", depth).where("CASE depth WHEN 4 THEN n4 WHEN 5 THEN n5 ELSE n6 END > 1")
-    regions = regions.select(
-        F.expr("CASE depth WHEN 4 THEN k4 WHEN 5 THEN xxhash64(k4, m5) ELSE xxhash64(k4, m6) END").alias("region"),
-        F.expr(f"CASE depth WHEN 6 THEN (rank - 1) DIV {REGION_BLOCK} ELSE 0L END").alias("block"),
-        F.expr(f"CASE depth WHEN 6 THEN (n6 - 1) DIV {REGION_BLOCK} + 1 ELSE 1L END").alias("blocks"),
-        "set_id",
-    )
-    dealt = _block_pairs(regions, "block", "blocks").join(signed.select("set_id", "sig"), "set_id")
-    dealt = dealt.select("region", "lo", "hi", "set_id", "sig").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "set_id")
+def _sigs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), TREES * DEPTH)
+
+
+def forest(signed: DataFrame) -> DataFrame:
+    """(k4, m6, set_id, n4): the places of signatures in the orders of all trees, where n4 > 1 share the first 4 hashes.
+
+    k4 stands for the tree and those 4 hashes; m6 orders by the next two (32 bits each).
+    """
+    places = signed.select("set_id", F.explode(F.arrays_zip("prefix", "deeper")).alias("t")).select(F.col("t.prefix").alias("k4"), F.col("t.deeper").alias("m6"), "set_id")
+    often = written(places.groupBy("k4").agg(F.count(F.lit(1)).alias("n4")).where("n4 > 1"))
+    return written(places.join(often, "k4"))
+
+
+def neighbour_edges(places: DataFrame, sigs: DataFrame, how: Similar) -> DataFrame:
+    """(a, b): documents next to each other in an order, with 4 common hashes or more, that may be similar."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids = (batch.column(k).to_numpy() for k in (0, 1))
+            if last is not None:
+                key, ids = np.concatenate((last[0], key)), np.concatenate((last[1], ids))
+            last = key[-1:], ids[-1:]
+            same = key[1:] == key[:-1]
+            a, b = ids[:-1][same], ids[1:][same]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    order = ("k4", "m6", "set_id")
+    met = places.repartitionByRange(*order).sortWithinPartitions(*order).select("k4", "set_id").mapInArrow(pairs, EDGE).distinct()
+    side = lambda c: sigs.select(F.col("set_id").alias(c), F.col("sig").alias(f"sig_{c}"))
     screen = how.screen
-    return dealt.mapInArrow(lambda batches: _edges_of(batches, lambda g: _alike(g, screen)), EDGE).distinct()
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_sigs(batch.column(k)) for k in (2, 3))
+            near = pa.array((x == y).sum(1) >= x.shape[1] * (screen + (1 - screen) / 256))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(near) for k in (0, 1)], names=["a", "b"])
+
+    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(similar, EDGE)
 
 
 def _linked(group: pa.Table, percent: int) -> np.ndarray:
@@ -199,26 +221,131 @@ def _linked(group: pa.Table, percent: int) -> np.ndarray:
     return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
 
 
-def verified_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, how: Similar) -> DataFrame:
-    """Spanning edges of the links inside each cluster (id, root), confirmed on the full sets."""
-    clusters = written(clusters)
-    blocks = written(clusters.groupBy("root").agg(((F.count(F.lit(1)) - 1) / EXACT_BLOCK).cast("bigint").alias("more")).select("root", (F.col("more") + 1).alias("blocks")))
-    members = written(clusters.join(blocks, "root").select("id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks"))
-    firsts = members.join(classes.select(F.col("set_id").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), "id")
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "root", "block", "blocks")] + [T.StructField("shingles", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+
+def shingles_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, how: Similar) -> DataFrame:
+    """(id, shingles) of the sets in a table (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, sets in _batch_sets(batch.column(4), how.width):
+            for i, j, sets in _batch_sets(batch.column(1), how.width):
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(4)], lists], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
+
+    firsts = written(classes.join(ids, classes["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("text").cast("binary").alias("text"))
+    return texts.join(firsts, ["doc_id", "th"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(run, SETS)
+
+
+def blocks_of(places: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, root, block, blocks, docs) for each document of the forest: its block in its cluster, or one of its own."""
+    sized = clusters.join(classes.select(F.col("set_id").alias("id"), "n"), "id")
+    size = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    size = written(size.select("root", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
+    inside = clusters.join(size, "root").select("id", "root", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "blocks", "docs")
+    alone = places.select(F.col("set_id").alias("id")).distinct().join(clusters, "id", "left_anti")
+    return inside.unionByName(alone.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("blocks"), F.lit(1).cast("long").alias("docs")))
+
+
+def _verified(dealt: DataFrame, how: Similar) -> DataFrame:
+    """Spanning edges of the links in each group (three longs) of a table (three longs, id, shingles)."""
+    keys, percent = dealt.columns[:3], how.percent
+    groups = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return groups.mapInArrow(lambda batches: _edges_of(batches, lambda g: _linked(g, percent)), EDGE)
+
+
+def block_edges(members: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
+    """Spanning edges of the links inside each block of a cluster, its pivots included."""
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(5), "id"), "docs") < PIVOTS)
+    at = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = members.where("docs > 1").select("root", F.explode(at).alias("block"), F.lit(0).cast("long").alias("part"), "id")
+    return _verified(dealt.join(sets, "id").select("root", "block", "part", "id", "shingles"), how)
+
+
+def regions(places: DataFrame) -> DataFrame:
+    """(region, set_id): regions of the depth that their size asks for."""
+    small = places.where(F.col("n4") <= SMALL).select(F.xxhash64(F.lit(4), "k4").alias("region"), "set_id")
+    deep = places.where(F.col("n4") > SMALL).withColumn("m5", F.shiftrightunsigned("m6", 32))
+    n6 = deep.groupBy("k4", "m5", "m6").agg(F.count(F.lit(1)).alias("n6"))
+    n5 = n6.groupBy("k4", "m5").agg(F.sum("n6").alias("n5"))
+    depth = written(n6.join(n5, ["k4", "m5"]).where("n5 > 1").select("k4", "m6", F.when(F.col("n5") <= MIDDLE, F.xxhash64(F.lit(5), "k4", "m5")).when(F.col("n6") > 1, F.xxhash64(F.lit(6), "k4", "m6")).alias("region")))
+    return small.unionByName(deep.join(depth, ["k4", "m6"]).where("region IS NOT NULL").select("region", "set_id"))
+
+
+REQUEST = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "root", "block")])
+
+
+def requests(places: DataFrame, comps: DataFrame, members: DataFrame, sigs: DataFrame, how: Similar) -> DataFrame:
+    """(id, root, block): documents that may be similar to one of another component, with the block that holds it."""
+    comp = comps.select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
+    rows = written(regions(places).join(comp, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")))
+    each = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c"))
+    info = each.groupBy("region").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    up = lambda n: F.ceil(n / REGION_BLOCK)
+    info = written(info.select("region", F.col("top.comp").alias("main"), up(F.col("n")).alias("parts"), up(F.col("n") - F.col("top.c")).alias("asks")))
+    open_ = rows.join(info, "region").withColumn("minor", (F.col("comp") != F.col("main")).cast("long"))
+    open_ = open_.join(sigs, "set_id").join(members.select(F.col("id").alias("set_id"), "root", "block"), "set_id")
+    count = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    rest = ("set_id", "comp", "minor", "root", "block", "sig")
+    asked = open_.select("region", F.explode(count("asks")).alias("ask"), F.pmod(F.xxhash64("set_id"), "parts").alias("part"), F.lit(0).cast("long").alias("asks"), *rest)
+    asking = open_.where("minor = 1").select("region", F.pmod(F.xxhash64(F.lit(1), "set_id"), "asks").alias("ask"), F.explode(count("parts")).alias("part"), F.lit(1).cast("long").alias("asks"), *rest)
+    keys, screen = ("region", "ask", "part"), how.screen
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("text").cast("binary").alias("text")).join(firsts, ["doc_id", "th"])
-    sets = texts.select("id", "root", "block", "blocks", "text").mapInArrow(run, schema)
-    dealt = _block_pairs(sets, "block", "blocks").select("root", "lo", "hi", "id", "shingles").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    percent = how.percent
-    return dealt.mapInArrow(lambda batches: _edges_of(batches, lambda g: _linked(g, percent)), EDGE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for group in sorted_groups(batches, 3):
+            kind, ids, comp, minor, root, block = (group.column(k).to_numpy() for k in range(3, 9))
+            q, p = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+            if not len(q) or not len(p):
+                continue
+            differ = (comp[q][:, None] != comp[p][None, :]) & ((minor[p] == 0)[None, :] | (ids[q][:, None] < ids[p][None, :]))
+            differ &= (root[q][:, None] != root[p][None, :]) | (block[q][:, None] != block[p][None, :])
+            if not differ.any():
+                continue
+            sig = _sigs(group.column(9))
+            i, j = np.nonzero(_similar(sig[q], sig[p], screen) & differ)
+            if len(i):
+                out.append(np.unique(np.stack([ids[q][i], root[p][j], block[p][j]]), axis=1))
+                held += out[-1].shape[1]
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=REQUEST.fieldNames())
+                out, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=REQUEST.fieldNames())
+
+    return asked.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, REQUEST).distinct()
+
+
+def request_edges(asks: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, how: Similar) -> DataFrame:
+    """Spanning edges of the links between the documents of blocks and those sent there."""
+    held = written(asks.groupBy("root", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts")))
+    sent = asks.join(held, ["root", "block"]).select("root", "block", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id")
+    there = members.select("id", "root", "block").join(held, ["root", "block"]).select("root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id")
+    dealt = written(sent.unionByName(there))
+    sets = written(shingles_of(docs, classes, dealt.select("id"), how))
+    return _verified(dealt.join(sets, "id").select("root", "block", "part", "id", "shingles"), how)
+
+
+def set_components(docs: DataFrame, classes: DataFrame, distinct: DataFrame, how: Similar) -> DataFrame:
+    """(set_id, root): the component of each set that is linked with another one."""
+    sigs = distinct.select("set_id", "sig")
+    places = forest(distinct)
+    clusters = components(neighbour_edges(places, sigs, how))
+    members = written(blocks_of(places, clusters, classes))
+    near = shingles_of(docs, classes, clusters.select("id"), how)
+    first = components(block_edges(members, written(near), how))
+    asks = written(requests(places, first, members, sigs, how))
+    comp = first.select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
+    if asks.isEmpty():
+        return comp.withColumnRenamed("comp", "root")
+    edges = request_edges(asks, members, docs, classes, how)
+    for c in ("a", "b"):
+        edges = edges.join(comp.select(F.col("set_id").alias(c), F.col("comp").alias(f"c_{c}")), c, "left").withColumn(c, F.coalesce(f"c_{c}", c)).drop(f"c_{c}")
+    last = components(edges).select(F.col("id").alias("comp"), "root")
+    joined = comp.join(last, "comp", "left").select("set_id", F.coalesce("root", "comp").alias("root"))
+    alone = last.join(comp.select(F.col("set_id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("set_id"), "root")
+    return joined.unionByName(alone)
 
 
 def _text_hash(text: Column) -> Column:
@@ -234,9 +361,7 @@ def _judged(df: DataFrame, id_col: str, text: str, how: Similar) -> DataFrame:
     classes = written(classes.withColumn("set_id", F.monotonically_increasing_id()))  # fixed, since it is written
     firsts = classes.select("rep.doc_id", "rep.th", *set_key, "set_id")
     distinct = written(signed.join(firsts, ["doc_id", "th", *set_key]).dropDuplicates(["set_id"]).select("set_id", "prefix", "deeper", "sig"))
-    clusters = components(candidate_edges(distinct, how))
-    discard(distinct)
-    roots = components(verified_edges(docs, classes, clusters, how)).select(F.col("id").alias("set_id"), "root")
+    roots = set_components(docs, classes, distinct, how)
     placed = written(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     first = written(placed.groupBy("root").agg(F.min("rep").alias("first")))
     of_class = placed.join(first, "root").select(*set_key, "first")
@@ -250,12 +375,14 @@ def _judged(df: DataFrame, id_col: str, text: str, how: Similar) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", how: Similar | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``."""
-    return _judged(df, id_col, text, how or Similar()).drop("th")
+    with scratch(df.sparkSession) as keep:
+        return keep(_judged(df, id_col, text, how or Similar()).drop("th"))
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", how: Similar | None = None) -> DataFrame:
     """The rows of ``df`` that are the first of their class."""
-    gone = _judged(df, id_col, text, how or Similar()).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    with scratch(df.sparkSession) as keep:
+        gone = keep(_judged(df, id_col, text, how or Similar()).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
     return df.join(gone, (df[id_col] == F.col("__id")) & (_text_hash(df[text]) == F.col("__th")), "left_anti")
 
 

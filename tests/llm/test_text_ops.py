@@ -111,7 +111,7 @@ def test_near_duplicates_match_brute_force(spark, width, percent):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Regions and clusters larger than a block are still compared in full."""
-    for name, value in (("SMALL", 2), ("MIDDLE", 3), ("REGION_BLOCK", 5), ("EXACT_BLOCK", 7)):
+    for name, value in (("SMALL", 2), ("MIDDLE", 3), ("REGION_BLOCK", 5), ("BLOCK_DOCS", 7), ("PIVOTS", 1)):
         monkeypatch.setattr(near_dup, name, value)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(150)]
