@@ -1,38 +1,58 @@
 """Exact top-k by integer inner product over a bit-sliced index.
 
 Components are quantised to floor(scale * x). Rows are dealt into blocks; in a block, bit b of
-dimension d is one bitmap over its rows. The scores of a query are made for all rows of a
+dimension d is one bitmap over its rows. :func:`built` makes these slices once for each block and writes them; a block
+is one row of the index. The scores of a query are made for all rows of a
 block at once by bitmap arithmetic: for each set bit of a query component the slices of that
 dimension (complemented for a negative component, which only shifts all scores) are added at
 their weight with carry-save adders. The sums are themselves bit slices; the top rows are found
 from the most significant slice downward, and rows tied at the boundary are resolved exactly,
-by smaller id. Scores reported are exact inner products of the few rows chosen.
+by smaller id. The scores of the few rows chosen are read off the same slices.
 
-The stated queries meet all rows in blocks: a group is (block of rows, chunk of queries), both
-bounded. The winners of the blocks, k a query and block, are then ranked by query.
+The stated queries meet all rows in blocks: a group is (a block of the index, some chunks of queries), both
+bounded; a block is sent once for every ``LANE_CHUNKS`` chunks. The winners of the blocks, k a query and block, are then
+ranked by query.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
-without an id. An id names a row: rows with the query's id are not its candidates. Shorter vectors
-count as padded with zeros. An empty table gives no rows. Other columns are ignored.
+without an id. An id names one row and one query: of several vectors under an id the smallest counts (compared component
+by component), so repeated rows change nothing. The row with the query's id is not its candidate. Shorter vectors
+count as padded with zeros. Quantised components beyond 32 bits, or so large that a score could leave 64 bits, are refused
+with a ValueError. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BLOCK_ROWS, CHUNK_QUERIES = 32_768, 2_048
+from .common import written
+from .components import sorted_groups
+
+#: Rows of a block at most (fewer for wide vectors, so that slices stay under some 16 MB), queries of a chunk, chunks that share a copy of a block.
+BLOCK_ROWS, BLOCK_BITS, CHUNK_QUERIES, LANE_CHUNKS = 32_768, 1 << 27, 2_048, 64
 
 
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
+    """(id, v): one row for each id, v as longs."""
     x = F.col(vector)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return df.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
+    rows = df.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
+
+
+def limits(rows: DataFrame) -> tuple[int, int, float, float]:
+    """Number of rows, widest vector, largest component, largest sum of components, both without sign."""
+    size = lambda v: F.abs(v.cast("double"))
+    most = F.max(F.array_max(F.transform("v", size)))
+    total = F.max(F.aggregate("v", F.lit(0.0), lambda a, v: a + size(v)))
+    return tuple(rows.agg(F.count(F.lit(1)), *[F.coalesce(c, F.lit(0)) for c in (F.max(F.size("v")), most, total)]).first())
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -52,17 +72,20 @@ def pack(bits: np.ndarray) -> np.ndarray:
 class Slices:
     """The bit slices of one block of rows."""
 
-    def __init__(self, rows: np.ndarray):
-        self.n = len(rows)
+    def __init__(self, n: int, low: np.ndarray, bits: np.ndarray, planes: np.ndarray):
+        self.n, self.low, self.bits, self.planes = n, low, bits, planes
+        ends = np.cumsum(bits).tolist()
+        self.plain = [planes[e - b : e] for e, b in zip(ends, bits.tolist(), strict=True)]
+        self.all = pack(np.ones(n, bool))
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Slices:
         low = rows.min(axis=0)
-        self.plain: list[list[np.ndarray]] = []
-        self.complement: list[list[np.ndarray]] = []
-        for d in range(rows.shape[1]):
-            x = rows[:, d] - low[d]
-            bits = [pack((x >> b) & 1 == 1) for b in range(int(x.max()).bit_length())]
-            self.plain.append(bits)
-            self.complement.append([~p for p in bits])
-        self.all = pack(np.ones(self.n, bool))
+        x = rows - low
+        bits = np.array([int(m).bit_length() for m in x.max(axis=0)], np.int64)
+        words = -(-len(rows) // 64)
+        planes = [pack((x[:, d] >> b) & 1 == 1) for d in range(x.shape[1]) for b in range(bits[d])]
+        return cls(len(rows), low, bits, np.array(planes, np.uint64).reshape(-1, words))
 
     def scores(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, lowest first, of each row's inner product with the query, up to a constant of the block."""
@@ -88,7 +111,7 @@ class Slices:
                 level, plane = level + 1, u
 
         for d, q in enumerate(query.tolist()):
-            slices, q = (self.plain[d], q) if q >= 0 else (self.complement[d], -q)
+            slices, q = (self.plain[d], q) if q >= 0 else (~self.plain[d], -q)
             shift = 0
             while q:
                 if q & 1:
@@ -105,13 +128,14 @@ class Slices:
             level += 1
         return [np.zeros_like(self.all) if t is None else t for t in total]
 
-    def top(self, query: np.ndarray, k: int, without: np.ndarray | None) -> np.ndarray:
-        """Positions of the k best rows; among equal scores the first rows. ``without``: rows not to consider."""
+    def top(self, query: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the k best rows; among equal scores the first rows. ``without``: a row not to consider."""
         sure = np.zeros_like(self.all)
         open_ = self.all.copy()
         if without is not None:
-            open_ &= ~pack(without)
-        for s in reversed(self.scores(query)):
+            open_[without >> 6] &= ~(np.uint64(1) << np.uint64(without & 63))
+        sums = self.scores(query)
+        for s in reversed(sums):
             high = open_ & s
             n = int(np.bitwise_count(sure | high).sum())
             if n > k:
@@ -124,44 +148,75 @@ class Slices:
                     break
         some = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little", count=self.n))
         ties = np.flatnonzero(np.unpackbits(open_.view(np.uint8), bitorder="little", count=self.n))
-        return np.concatenate((some, ties[: k - len(some)]))
-
-
-def best_of_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k best rows of one block for each query of one chunk."""
-    names = ["query_id", "vec_id", "score"]
-    if not len(rows) or not len(queries):
-        return pa.table({c: pa.array([], pa.int64()) for c in names})
-    width = max(max(np.asarray(t["v"].combine_chunks().value_lengths()).max() for t in (rows, queries)), 1)
-    rows = rows.sort_by("id")
-    ids, x = rows["id"].to_numpy(), matrix(rows["v"], width)
-    index = Slices(x)
-    out: list[list[np.ndarray]] = [[], [], []]
-    for q, v in zip(queries["id"].to_numpy().tolist(), matrix(queries["v"], width), strict=True):
-        a, b = np.searchsorted(ids, q), np.searchsorted(ids, q, "right")
-        own = None
-        if b > a:
-            own = np.zeros(len(ids), bool)
-            own[a:b] = True
-        at = index.top(v, k, own)
-        out[0].append(np.full(len(at), q))
-        out[1].append(ids[at])
-        out[2].append(x[at] @ v)
-    return pa.table({c: pa.array(np.concatenate(o), pa.int64()) for c, o in zip(names, out, strict=True)})
+        at = np.concatenate((some, ties[: k - len(some)]))
+        negative = query < 0
+        score = np.full(len(at), int(query @ self.low + (query[negative] * ((1 << self.bits[negative]) - 1)).sum()), np.int64)
+        for b, s in enumerate(sums):
+            score += ((s[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
+        return at, score
+
+
+INDEX = T.StructType([T.StructField("block", T.LongType())] + [T.StructField(c, T.BinaryType()) for c in ("ids", "low", "bits", "planes")])
+CHUNK = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("values", T.BinaryType())])
+
+
+def _packed(dealt: DataFrame, schema: T.StructType, width: int, made) -> DataFrame:
+    """One row for each group (the first column) of a table (group, id, v), of the bytes that ``made`` gives for its ids and matrix."""
+    group = dealt.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, 1):
+            cells = made(rows.column(1).to_numpy(), matrix(rows.column(2), width))
+            yield pa.RecordBatch.from_arrays([pa.array([rows.column(0)[0].as_py()], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in cells]], names=schema.fieldNames())
+
+    return dealt.repartition(group).sortWithinPartitions(group, "id").mapInArrow(run, schema)
+
+
+def built(rows: DataFrame, blocks: int, width: int) -> DataFrame:
+    """The index of quantised rows, written: a row for each block, with its ids in order and its slices."""
+
+    def made(ids: np.ndarray, x: np.ndarray):
+        s = Slices.of(x)
+        return ids, s.low, s.bits, s.planes
+
+    return written(_packed(rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", F.col("v").cast("array<int>").alias("v")), INDEX, width, made))
+
+
+def best_of_block(index: pa.Table, chunks: pa.Table, k: int) -> pa.Table:
+    """The k best rows of one block for each query of some chunks."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+    if len(index) and len(chunks):
+        ids, low, bits = (np.frombuffer(index[c][0].as_py(), np.int64) for c in ("ids", "low", "bits"))
+        index = Slices(len(ids), low, bits, np.frombuffer(index["planes"][0].as_py(), np.uint64).reshape(int(bits.sum()), -1))
+        for own, values in zip(chunks["ids"].to_pylist(), chunks["values"].to_pylist(), strict=True):
+            own = np.frombuffer(own, np.int64)
+            for q, v in zip(own.tolist(), np.frombuffer(values, np.int64).reshape(len(own), -1), strict=True):
+                a = int(np.searchsorted(ids, q))
+                at, score = index.top(v, k, a if a < len(ids) and ids[a] == q else None)
+                for o, x in zip(out, (np.full(len(at), q), ids[at], score), strict=True):
+                    o.append(x)
+    return pa.table({c: pa.array(np.concatenate(o), pa.int64()) for c, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of highest inner product, ties to the smaller id."""
     rows, queries = quantised(rows, id_col, vector, scale), quantised(queries, id_col, vector, scale)
-    blocks = max(1, math.ceil(rows.count() / block_rows))
-    chunks = max(1, math.ceil(queries.count() / chunk_queries))
-    dealt_rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("chunk", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")))
-    dealt_queries = queries.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(chunks))).withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    (n, wide, most, _), (m, wide_q, most_q, total) = limits(rows), limits(queries)
+    if max(most, most_q) >= 2**31 or total * most >= 2**62:
+        raise ValueError(f"components up to {max(most, most_q):.3g} after quantising: their scores may not fit into 64 bits")
+    width = max(wide, wide_q, 1)
+    blocks = max(1, math.ceil(n / min(block_rows, max(64, BLOCK_BITS // (12 * width)))))
+    chunks = max(1, math.ceil(m / chunk_queries))
+    lanes = max(math.ceil(chunks / LANE_CHUNKS), min(chunks, math.ceil(64 / blocks)))
+    index = built(rows, blocks, width)
+    asked = written(_packed(queries.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(chunks)).alias("chunk"), "id", F.col("v").cast("array<int>").alias("v")), CHUNK, width, lambda ids, x: (ids, x)))
+    sent = index.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    dealt = asked.withColumn("lane", F.col("chunk") % lanes).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         return best_of_block(left, right, k)
 
-    found = dealt_rows.groupBy("block", "chunk").cogroup(dealt_queries.groupBy("block", "chunk")).applyInArrow(best, "query_id long, vec_id long, score long")
+    found = sent.groupBy("block", "lane").cogroup(dealt.groupBy("block", "lane")).applyInArrow(best, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -173,9 +228,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, MIN(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
 p AS (
   SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
   FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)

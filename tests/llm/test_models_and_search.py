@@ -70,6 +70,26 @@ def test_top_k_matches_brute_force(spark):
     assert bitsliced.top_k(few, few.where("vec_id = 0"), 5).count() == 3
 
 
+def test_top_k_of_repeated_rows_and_large_components(spark):
+    """Repeated rows are one row and one query; of different vectors under an id the smallest counts; clashing columns are ignored."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in rng.integers(-4, 5, 3)]) for i in range(0, 400, 10)]
+    more = rows + rows[:20] * 3 + [(i, [v[0] + 1, *v[1:]]) for i, v in rows[::4]]
+    shape = "vec_id long, embedding array<double>, id string, v string, block long, score long, chunk long, lane long"
+    table = lambda r: spark.createDataFrame([(*x, "a", "b", 1, 2, 3, 4) for x in r], shape)
+    search = lambda df: sorted(map(tuple, bitsliced.top_k(df, df.where("vec_id % 50 = 0"), 5, block_rows=16, chunk_queries=3).collect()))
+    assert search(table(more)) == search(table(rows)) and len(search(table(rows))) == 8 * 5
+    con = duckdb.connect()
+    con.register("embeddings", table(more).select("vec_id", "embedding").toArrow())
+    assert search(table(more)) == sorted(con.execute(bitsliced.SQL).fetchall())
+    big = table([(0, [1e6, -1e6]), (1, [8e6, 8e6]), (50, [-8e6, 1.0]), (51, [0.0])])
+    z = {r.vec_id: [int(256 * c) for c in r.embedding] for r in big.collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(z[a], z[b]))
+    assert search(big) == sorted((q, k + 1, i, -s) for q in (0, 50) for k, (s, i) in enumerate(sorted((-dot(q, i), i) for i in z if i != q)))
+    with pytest.raises(ValueError, match="64 bits"):
+        search(table([(0, [1e30]), (1, [1e30])]))
+
+
 def test_quality_held_out(spark, data):
     out = rff_quality.query(spark, f"{data}/sf0.01").toPandas()
     labels = spark.read.parquet(f"{data}/sf0.01/labels.parquet").toPandas()
