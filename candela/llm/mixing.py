@@ -14,8 +14,12 @@ next level of a reduction tree. The last one of a source is rounded to the neare
 so that a source misses its target by half a document at most. Chance is a hash of the ids and a
 seed: reruns agree, whatever the partitioning.
 
+Rows of equal id, source, size and text are counted, and dealt into pieces of ``PIECE`` rows at most. A piece has its
+whole copies in common and takes part in the rounding with the one fraction that is left, so neither a repeated row nor
+a null id that a third of all rows share fills a bucket.
+
 Null text has size 0 and, like every text without words, takes 0 words. A null source is a
-source of its own. Repeated ids are decided row by row. Empty tables give empty tables. Only id, text and
+source of its own. Rows of one id with different texts are documents of their own. Empty tables give empty tables. Only id, text and
 source are read; :func:`mixed` returns all columns.
 """
 
@@ -27,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sized, unit_hash, written
+from .common import scratch, sized, unit_hash, written
 
 WEIGHTS = (3, 1, 2)
 FAN = 64
+PIECE = 1024
 
 
 def n_words(text: str) -> Column:
@@ -38,12 +43,12 @@ def n_words(text: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, docs, source_size, target) of a table (source, size): a row for each source.
+    """(source, docs, source_size, target) of a table (source, size, n), n equal rows each: a row for each source.
 
     The windows without a partition run over these few rows only.
     """
     by_name = Window.orderBy(F.asc_nulls_last("source"))
-    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1))
     per = per.withColumn("cap", F.col("source_size") * most)
     by_cap = Window.orderBy(F.col("cap") / F.col("w"), F.asc_nulls_last("source"))
@@ -54,6 +59,10 @@ def source_targets(sizes: DataFrame, total: float = 1.5, most: float = 2.0, weig
     return per.select("source", "docs", "source_size", F.least("cap", F.max("level").over(everywhere) * F.col("w")).alias("target"))
 
 
+#: A piece in the rounding: its hash, its key, rows, words of a row, rows sure of one more copy, words due of one more row.
+DOC = ("h", "id", "th", "source", "rows", "base", "sure", "w", "y")
+
+
 def _step(acc: Column, new: Column) -> Column:
     """One pivotal step: the carried document and the next; y is the words due, of w."""
     old = acc["carry"]
@@ -64,7 +73,7 @@ def _step(acc: Column, new: Column) -> Column:
     new_y = F.when(rise, new["y"] - up).otherwise(new["y"] + down)
     # the bound that was the smaller one made its document whole; if the carried one was whole already, it is done
     old_done = (old["y"] <= 0) | (old["y"] >= old["w"]) | F.when(rise, old["w"] - old["y"] <= new["y"]).otherwise(old["y"] <= new["w"] - new["y"])
-    set_y = lambda doc, y: F.struct(doc["h"].alias("h"), doc["id"].alias("id"), doc["source"].alias("source"), doc["w"].alias("w"), y.alias("y"), doc["base"].alias("base"))
+    set_y = lambda doc, y: F.struct(*[doc[c].alias(c) for c in DOC[:-1]], y.alias("y"))
     old_end, new_end = set_y(old, old_y), set_y(new, new_y)
     return F.struct(
         F.when(old_done, new_end).otherwise(old_end).alias("carry"),
@@ -74,21 +83,21 @@ def _step(acc: Column, new: Column) -> Column:
 
 def _fold(docs: DataFrame) -> DataFrame:
     """Each (source, bucket) folded to its carried document and those that became whole."""
-    doc = F.struct("h", "id", "source", "w", "y", "base")
+    doc = F.struct(*DOC)
     lists = docs.groupBy("source", "bucket").agg(F.array_sort(F.collect_list(doc)).alias("a"))
     first = F.struct(F.element_at("a", 1).alias("carry"), F.slice("a", 1, 0).alias("done"))
     return lists.select("source", "bucket", F.aggregate(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), first, _step).alias("s"))
 
 
 def rounded(docs: DataFrame) -> DataFrame:
-    """(id, source, w, base, extra) of fractional documents (id, source, w, y, base): extra is 0 or 1."""
+    """The pieces (DOC) with a fraction due, as (id, th, source, rows, base, sure, w, extra): extra is 0 or 1."""
     whole = F.when(F.col("d.y") * 2 >= F.col("d.w"), 1).otherwise(0)
-    shown = lambda df: df.select("d.id", "d.source", "d.w", "d.base", whole.alias("extra"))
+    shown = lambda df: df.select(*[F.col(f"d.{c}") for c in DOC[1:-1]], whole.alias("extra"))
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("buckets", F.ceil(F.col("n") / FAN)).select(F.col("source").alias("__source"), "buckets")
     counts = written(counts)
     n, largest = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("buckets"), F.lit(0))).first()
-    level = docs.join(sized(counts, n), docs["source"].eqNullSafe(F.col("__source"))).withColumn("h", F.xxhash64(F.lit(11), "id", "w"))
-    level = level.withColumn("bucket", F.pmod("h", "buckets")).select("source", "bucket", "h", "id", "w", "y", "base")
+    level = docs.join(sized(counts, n), docs["source"].eqNullSafe(F.col("__source")))
+    level = level.withColumn("bucket", F.pmod("h", "buckets")).select("source", "bucket", *[c for c in DOC if c != "source"])
     out = None
     while True:
         folded = written(_fold(level))
@@ -97,29 +106,57 @@ def rounded(docs: DataFrame) -> DataFrame:
         if largest <= 1:
             return out.unionByName(shown(folded.select(F.col("s.carry").alias("d"))))
         largest = math.ceil(largest / FAN)
-        level = folded.select("source", F.expr(f"bucket div {FAN}").alias("bucket"), *[F.col(f"s.carry.{c}").alias(c) for c in ("h", "id", "w", "y", "base")])
+        level = folded.select("source", F.expr(f"bucket div {FAN}").alias("bucket"), *[F.col(f"s.carry.{c}").alias(c) for c in DOC if c != "source"])
 
 
-def mix_plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken): how often each row of ``df`` is taken."""
-    sizes = written(df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(text).alias("size")))
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")))
+
+
+def piece_plan(df: DataFrame, id_col: str, text: str, source: str, total: float, most: float) -> DataFrame:
+    """(id, th, source, size, source_size, target, rows, base, more): of ``rows`` equal rows ``more`` are taken base + 1 times, the others base times."""
+    key = ["id", "th", "source", "size"]
+    sizes = written(df.select(F.col(id_col).alias("id"), text_hash(text).alias("th"), F.col(source).alias("source"), n_words(text).alias("size")).groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
     targets = written(source_targets(sizes, total, most))
     n = targets.count()
     named = targets.select(F.col("source").alias("__source"), "source_size", "target")
     each = sizes.join(sized(named, n), sizes["source"].eqNullSafe(F.col("__source"))).drop("__source")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}")))
+    each = each.withColumn("piece", piece).withColumn("rows", F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("piece") * PIECE))
     each = each.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    each = each.withColumn("base", F.floor(F.col("ratio") + 1e-9)).withColumn("y", F.greatest((F.col("ratio") - F.col("base")) * F.col("size"), F.lit(0.0)))
-    fractional = (F.col("ratio") - F.col("base") > 1e-9) & (F.col("size") > 0)
-    open_ = rounded(each.where(fractional).select("id", "source", F.col("size").cast("double").alias("w"), "y", "base"))
-    plan = each.where(~fractional).select("id", "source", "size", F.col("base").alias("copies")).unionByName(open_.select("id", "source", F.col("w").cast("long").alias("size"), (F.col("base") + F.col("extra")).alias("copies")))
+    each = each.withColumn("base", F.floor(F.col("ratio") + 1e-9)).withColumn("due", F.greatest(F.col("ratio") - F.col("base"), F.lit(0.0)) * F.col("rows"))
+    each = each.withColumn("sure", F.when(F.col("size") > 0, F.floor(F.col("due") + 1e-9)).otherwise(0).cast("long")).withColumn("due", F.col("due") - F.col("sure"))
+    each = each.withColumn("w", F.col("size").cast("double")).withColumn("y", F.greatest(F.col("due") * F.col("size"), F.lit(0.0))).withColumn("h", F.xxhash64(F.lit(11), "id", "th", "piece", "w"))
+    fractional = (F.col("due") > 1e-9) & (F.col("size") > 0)
+    open_ = rounded(each.where(fractional).select(*DOC))
+    open_ = open_.select("id", "th", "source", F.col("w").cast("long").alias("size"), "rows", "base", (F.col("sure") + F.col("extra")).alias("more"))
+    plan = each.where(~fractional).select("id", "th", "source", "size", "rows", "base", F.col("sure").alias("more")).unionByName(open_)
     plan = plan.join(sized(named, n), plan["source"].eqNullSafe(F.col("__source")))
-    return plan.select("id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return plan.select(*key, "source_size", "target", "rows", "base", "more")
+
+
+def mix_plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", total: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken): how often each row of ``df`` is taken."""
+    with scratch(df.sparkSession) as keep:
+        plan = keep(piece_plan(df, id_col, text, source, total, most))
+    copies = F.when(F.col("k") <= F.col("more"), F.col("base") + 1).otherwise(F.col("base")).cast("long")
+    rows = plan.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).withColumn("copies", copies)
+    return rows.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``df``, each as often as the plan takes it. Rows of a repeated id are all taken as often as the most taken one."""
-    copies = mix_plan(df, id_col, text, source, total, most).groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    return df.join(copies, df[id_col].eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[df[c] for c in df.columns])
+    """The rows of ``df``, each as often as the plan takes it. All columns are shuffled once, by id, text and source.
+
+    Of several equal rows each takes the copies they have in common, and by chance, with the share of them that has one
+    more, another one: their number comes near the plan's. The chance is drawn on the rows as ``df`` gives them.
+    """
+    with scratch(df.sparkSession) as keep:
+        plan = piece_plan(df, id_col, text, source, total, most).groupBy("id", "th", "source", "base").agg(F.sum("rows").alias("rows"), F.sum("more").alias("more"))
+        plan = keep(plan.where("base > 0 OR more > 0").select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("source").alias("__source"), F.col("base").alias("__base"), (F.col("more") / F.col("rows")).alias("__share")))
+    rows = df.withColumn("__u", F.rand(17)).withColumn("__text", text_hash(text))
+    met = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")) & F.col(f"`{source}`").eqNullSafe(F.col("__source"))
+    copies = F.col("__base") + (F.col("__u") < F.col("__share")).cast("long")
+    return rows.join(plan, met).withColumn("__k", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

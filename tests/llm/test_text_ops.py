@@ -278,6 +278,20 @@ def test_mixing_is_unbiased(spark):
     assert all(abs(np.mean(v) - 0.9) < 0.1 for v in mean.values()), {k: np.mean(v) for k, v in mean.items()}
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows that repeat, with or without an id, are rounded together: no bucket holds them all, and the words come out near the target."""
+    same = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("a").alias("source"))
+    more = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "x y z").otherwise("z y x").alias("text"), F.lit("a").alias("source"))
+    other = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("p q r s").alias("text"), F.lit("b").alias("source"))
+    df = same.unionByName(more).unionByName(other)
+    out = mixing.mix_plan(df, total=0.7, most=0.9)
+    got = {r.source: r for r in out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.min("target").alias("target"), F.max("copies").alias("most")).collect()}
+    assert got["a"].n == 40_000 and got["b"].n == 2_000 and got["a"].most == got["b"].most == 1
+    assert all(abs(r.taken - r.target) <= 5 for r in got.values())
+    words = {r.source: r.taken for r in mixing.mixed(df, total=0.7, most=0.9).groupBy("source").agg(F.sum(mixing.n_words("text")).alias("taken")).collect()}
+    assert all(abs(words[s] - r.target) < 0.02 * r.target for s, r in got.items())
+
+
 def test_mixing_edges(spark):
     docs = edge.documents(spark)
     out = mixing.mix_plan(docs).collect()
