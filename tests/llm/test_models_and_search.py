@@ -203,12 +203,43 @@ def test_all_visible_words_are_kept(data):
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow are  you?"), (1, 1, "assistant", "I am fine.\nAnd you?"), (1, 2, "user", "On Monday someone wrote:\n> how are you?\nWell."),
-        (1, 3, "assistant", "> Well.\n>> How are you?\n> > I am fine.\nBye"), (1, 4, "user", "> nobody said this\nx"), (2, 0, None, None), (2, 5, "user", "> well."), (2, 5, "user", "> well."), (None, None, "user", ">"),
+        (1, 3, "assistant", "> Well.\n>> How are you?\n> > I am fine.\nBye"), (1, 4, "user", "> nobody said this\nx"), (2, 0, None, None), (2, 5, "user", "> well."), (2, 5, "user", "> well."), (None, None, "user", ">"), (None, 3, "user", "x"), (3, None, "user", "> x"),
+        # re-wrapped, in part, said twice, and a reply of a reply
+        (4, 0, "user", "The first paragraph has\nthree lines of text and\nends here. One more sentence.\n\nThanks."), (4, 1, "assistant", "> The first\n> paragraph has three lines of text\n> and ends here. One more sentence.\nYes.\n\nThanks."),
+        (4, 2, "user", "> one more\n> sentence.\nNo."), (4, 3, "assistant", "> Thanks.\nWelcome."), (4, 4, "user", ">> One more sentence.\n> no.\n\n\n\nBut why?"), (4, 5, "user", "> ends here.\n\n> Thanks.\nA"), (4, 7, "user", "later"), (4, 8, "user", ""),
     ]
-    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, reply_to string")
-    out = {(r.conv_id, r.turn): r for r in quotes.chat(df).collect()}
-    assert quotes.chat(df).count() == len(rows) and quotes.chat(df.limit(0)).count() == 0
+    shape = "conv_id long, turn long, role string, text string, reply_to string, thread string, depth string, lines string, passages string, origin string, hash string"
+    df = spark.createDataFrame([(*r, *"zzzzzzz") for r in rows], shape)
+    result = quotes.chat(df).collect()
+    out = {(r.conv_id, r.turn): r for r in result}
+    assert len(result) == len(rows) and quotes.chat(df.limit(0)).count() == 0
     assert out[1, 2].reply_to == 0 and out[1, 2].text == "Well." and out[1, 2].n_linked == 1
-    assert out[1, 3].reply_to == 2 and out[1, 3].n_linked == 3 and out[1, 3].text == "Bye" and out[1, 3].n_quoted == 3
+    assert out[1, 3].reply_to == 2 and out[1, 3].n_linked == 2 and out[1, 3].text == "Bye" and out[1, 3].n_quoted == 2
     assert out[1, 4].reply_to == 3 and out[1, 4].n_linked == 0
     assert out[2, 0].role == "unknown" and out[2, 0].text == "" and out[2, 5].reply_to is None and out[None, None].reply_to is None
+    assert {t: out[4, t].reply_to for t in (1, 2, 3, 4, 5, 7, 8)} == {1: 0, 2: 0, 3: 1, 4: 2, 5: 1, 7: None, 8: 7}
+    assert {t: (out[4, t].thread, out[4, t].depth) for t in range(9) if t != 6} == {0: (0, 0), 1: (0, 1), 2: (0, 1), 3: (0, 2), 4: (0, 2), 5: (0, 2), 7: (7, 0), 8: (7, 1)}
+    assert out[4, 4].text.strip() == "But why?"
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toArrow())
+    expected = con.execute(quotes.SQL)
+    names = [d[0] for d in expected.description]
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in result))) == sorted(map(repr, expected.fetchall()))
+
+
+def test_threads_of_a_long_conversation(spark, monkeypatch):
+    """A chain of answers and a passage that every second message says: doubling and spans give what a walk gives."""
+    monkeypatch.setattr(quotes, "SPAN", 16)
+    rng = random.Random(6)
+    rows, reply, said = [], {}, {}
+    for t in range(0, 300):
+        text = [rng.choice(["the same words", f"words of {t}", f"and {t}"])]
+        ask = rng.choice([None, "the same words", f"words of {rng.randrange(300)}"])
+        reply[t] = said.get(ask, t - 1 if t else None)
+        rows.append((1, t, "user", "\n".join(([f"> {ask}"] if ask else []) + text)))
+        said[text[0]] = t
+    depth, thread = {}, {}
+    for t, r in reply.items():
+        depth[t], thread[t] = (0, t) if r is None else (depth[r] + 1, thread[r])
+    out = {r.turn: r for r in quotes.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: (r.reply_to, r.thread, r.depth) for t, r in out.items()} == {t: (reply[t], thread[t], depth[t]) for t in reply}
