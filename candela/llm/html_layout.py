@@ -2,35 +2,49 @@
 
 A scanner feeds a tree builder that closes what HTML leaves implied (head and colgroup before what they cannot
 hold, p before blocks, li, dt/dd, option, table parts), moves what stands loose between the parts of a table
-before it, ignores end tags without a start, and skips what is never shown: head,
-script, style, template and the like, elements with ``hidden``, ``display:none`` or
-``visibility:hidden``. The renderer collapses white space as inline layout does, puts blocks on lines of
+before it, and ignores end tags without a start. Not shown are head, script, style, template and the like, elements with
+``hidden`` or ``display:none``, dialogs and details that are not open (but for the summary); text under ``visibility:hidden`` is not
+shown unless an element inside of it is ``visible`` again. The renderer collapses white space as inline layout does, puts blocks on lines of
 their own (with an empty line around paragraphs, headings, lists, tables), marks list items with
-``-`` or numbers and indents nested lists, keeps ``pre`` as written, and aligns table cells in columns.
+``-`` or numbers and indents nested lists, keeps ``pre`` as written, and aligns table cells in columns, with row and column spans.
 
-Null pages give null text; pages without visible text give an empty one. Nesting is followed ``DEPTH``
-levels deep, deeper elements become siblings, so that no text is lost. Other columns pass through;
-repeated rows give the same result, empty tables an empty table.
+Trees of any depth are followed, by stacks and not by recursion, and time and memory are linear in the page: open elements are
+found by tag, and a tag that never ends is looked for once. Three limits of the layout keep the result in
+proportion to the page, none of which loses text: indents grow up to ``INDENT`` characters; tables inside of ``TABLES`` others
+are not aligned; nor are tables whose padding would outweigh their text by far (``PADDING``), nor cells from column ``COLUMNS`` on,
+the largest span that HTML has.
+
+Null pages give null text; pages without visible text give an empty one. No page raises an error, whatever its markup. Other columns pass
+through, but for one of the name of the result; repeated rows give the same result, empty tables an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEPTH = 200
+INDENT, TABLES, COLUMNS = 64, 6, 1000
+#: Padding is allowed up to so many times the text of a table, and so many characters besides.
+PADDING = (8, 4096)
+#: The largest row span of HTML.
+ROWS = 65_534
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp".split())
-HIDDEN = set("head script style template title noscript iframe object datalist colgroup col svg math audio video canvas".split())
+#: What these hold is text, whatever it looks like; in the first ones character references count.
+ESCAPED = {"textarea", "title"}
+RAW = ESCAPED | set("script style noscript iframe xmp noembed noframes".split())
+FOREIGN = {"svg", "math"}
+HIDDEN = set("head script style template title noscript iframe noembed noframes object datalist colgroup col audio video canvas rp defs symbol metadata desc annotation annotation-xml".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure form fieldset hr".split())
-BLOCK = SPACED | set("html body div section article nav header footer main aside address li dt dd tr caption thead tbody tfoot td th figcaption details summary option legend center".split())
+BLOCK = SPACED | set("html body div section article nav header footer main aside address li dt dd tr caption thead tbody tfoot td th figcaption details summary option legend center dialog".split())
 ENDS_P = BLOCK - set("html body td th tr li dt dd option thead tbody tfoot caption".split()) | {"li", "dt", "dd"}
 #: A start tag closes these open elements, looking no further out than the given ones.
 CLOSES = {
@@ -54,277 +68,526 @@ PARTS = SECTIONS | CELLS | {"tr", "caption", "colgroup"}
 BETWEEN = PARTS | {"col", "script", "style", "template"}
 BARRIER = {"table", "td", "th", "caption", "button", "template"}
 
-_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
-_BROKEN = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_SPACES = re.compile(r"[ \t\n\r\f ]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*>")
+_SKIP = re.compile(r"[\s/]*")
+_ATTR = re.compile(r"""(=?[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+_QUOTE = re.compile(r"""\s*=\s*(?=["'])""")
+_SPACES = re.compile(r"[ \t\n\r\f\u00a0]+")
+_INT = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]+)")
+
+
+def number(text: str | None, default: int, low: int, high: int) -> int:
+    """The integer a value begins with, brought into the bounds; the default if there is none."""
+    m = _INT.match(text or "")
+    return default if not m else min(max(int(m[1][:12]), low), high)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("attrs", "children", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("start", name, attributes) and ("end", name, "")."""
-    i, n = 0, len(html)
-    while i < n:
-        j = html.find("<", i)
-        if j < 0:
-            yield "text", html[i:], ""
-            return
-        if j > i:
-            yield "text", html[i:j], ""
-        if html.startswith("<!--", j):
-            k = html.find("-->", j + 4)
-            i = n if k < 0 else k + 3
-        elif html.startswith(("<!", "<?"), j):
-            k = html.find(">", j)
-            i = n if k < 0 else k + 1
-        elif m := _TAG.match(html, j) or _BROKEN.match(html, j):
-            name, i = m[1].lower(), m.end()
-            if html[j + 1] == "/":
-                yield "end", name, ""
+class Scanner:
+    """Tokens of a page: ("text", text, None), ("raw", text, None), ("start", name, attributes), ("close", name, attributes) for <name/>, ("end", name, None)."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.quotes = True  # until one is found that never ends
+
+    def tag(self, i: int) -> tuple[dict[str, str], bool, int]:
+        """Attributes from place i on, whether the tag ends in a slash, and the place behind it; the end of the page if it has no end."""
+        html, attrs = self.html, {}
+        if i > self.last:
+            return attrs, False, len(html)
+        plain = _PLAIN.match(html, i)
+        end = plain.end() - 1 if plain else -1 if self.quotes else html.find(">", i)
+        at = i
+        while True:
+            at = _SKIP.match(html, at).end()
+            if at >= len(html) or (end >= 0 and at >= end) or html[at] == ">":
+                break
+            m = _ATTR.match(html, at)
+            if 0 <= end < m.end():
+                break
+            if self.quotes and m[2] is m[3] is m[4] is None and self._open_quote(m.end()):
+                self.quotes = False
+                return self.tag(i)
+            attrs.setdefault(m[1].lower(), unescape(next((v for v in (m[2], m[3], m[4]) if v is not None), "")))
+            at = m.end()
+        at = end if end >= 0 else at
+        return attrs, html[at - 1] == "/", min(at + 1, len(html))
+
+    def _open_quote(self, at: int) -> bool:
+        """Whether a value begins here with a quote that never ends."""
+        m = _QUOTE.match(self.html, at)
+        return bool(m) and self.html.find(self.html[m.end()], m.end() + 1) < 0
+
+    def tokens(self) -> Iterator[tuple[str, str, dict | None]]:
+        html, i = self.html, 0
+        n = len(html)
+        while i < n:
+            j = html.find("<", i)
+            if j < 0:
+                yield "text", html[i:], None
+                return
+            if j > i:
+                yield "text", html[i:j], None
+            if html.startswith("<!--", j):
+                if html.startswith((">", "->"), j + 4):
+                    i = html.index(">", j) + 1
+                else:
+                    k = html.find("-->", j + 4)
+                    i = n if k < 0 else k + 3
+            elif html.startswith(("<!", "<?"), j):
+                k = html.find(">", j)
+                i = n if k < 0 else k + 1
+            elif m := _NAME.match(html, j + 2 if html.startswith("/", j + 1) else j + 1):
+                name = m[0].lower()
+                attrs, slash, i = self.tag(m.end())
+                if html[j + 1] == "/":
+                    yield "end", name, None
+                    continue
+                yield "close" if slash else "start", name, attrs
+                if name in RAW:
+                    found = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, i)
+                    text = html[i : found.start() if found else n]
+                    yield "raw", unescape(text) if name in ESCAPED else text, None
+                    yield "end", name, None
+                    k = html.find(">", found.end()) if found else -1
+                    i = n if k < 0 else k + 1
+            elif html.startswith("</", j) and j + 2 < n:
+                k = html.find(">", j)
+                i = n if k < 0 else k + 1
             else:
-                yield "start", name, m[2]
-                if name in RAW and not m[2].endswith("/"):
-                    m = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, i)
-                    yield "text", html[i : m.start() if m else n], "raw"
-                    yield "end", name, ""
-                    i = m.end() if m else n
-        else:
-            yield "text", "<", ""
-            i = j + 1
+                yield "text", "<", None
+                i = j + 1
 
 
-def tree(html: str) -> Node:
-    root = Node("html", {})
-    open_ = [root]
+class Builder:
+    """The tree of a page. Open elements are also kept by tag, so that none is looked for along the whole stack."""
 
-    def close(names: set[str], stop: set[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in names:
-                del open_[k:]
-                return
-            if open_[k].tag in stop:
-                return
+    def __init__(self):
+        self.root = Node("html", {})
+        self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
 
-    def table_at() -> int:
-        """The place of the nearest open table; 0: there is none."""
-        return next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag in ("table", "template")), 0)
+    def cut(self, k: int) -> None:
+        """Closes the open elements from place k on."""
+        while len(self.open) > max(k, 1):
+            self.at[self.open.pop().tag].pop()
 
-    def loose_in() -> int:
+    def find(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these tags; 0: there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags: set[str], stop: set[str]) -> None:
+        k = self.find(tags)
+        if k and k >= self.find(stop):
+            self.cut(k)
+
+    def loose_in(self) -> int:
         """The place of the table between whose parts the next node would stand; 0: in none."""
-        k = len(open_) - 1
-        while open_[k].tag in SECTIONS or open_[k].tag == "tr":
+        k = len(self.open) - 1
+        while self.open[k].tag in SECTIONS or self.open[k].tag == "tr":
             k -= 1
-        return k if open_[k].tag == "table" else 0
+        return k if self.open[k].tag == "table" else 0
 
-    def add(x: Node | str, table: int) -> None:
+    def add(self, x: Node | str, table: int) -> None:
         if table:
-            open_[table - 1].children.insert(-1, x)  # an open table is its parent's last child
+            self.open[table - 1].children.insert(-1, x)  # an open table is its parent's last child
         else:
-            open_[-1].children.append(x)
+            self.open[-1].children.append(x)
+
+    def text(self, text: str) -> None:
+        loose = text.strip(" \t\n\r\f")
+        if loose and self.open[-1].tag in HOLDS:
+            self.cut(len(self.open) - 1)
+        self.add(text, self.loose_in() if loose else 0)
+
+    def end(self, name: str) -> None:
+        stop = set() if name in BARRIER else {"table"} if name == "tr" or name in SECTIONS else BARRIER
+        if name == "p" and not self.at.get("p"):
+            self.open[-1].children.append(Node("p", {}))
+        self.close({name}, stop)
+
+    def start(self, name: str, attrs: dict[str, str], empty: bool) -> None:
+        foreign = self.find(FOREIGN) > 0
+        if self.open[-1].tag in HOLDS and name not in HOLDS[self.open[-1].tag]:
+            self.cut(len(self.open) - 1)
+        if name in ENDS_P:
+            self.close({"p"}, BARRIER)
+        at = self.find({"table", "template"}) if name in PARTS else 0
+        if at and self.open[at].tag == "table":
+            at += 1
+            if name not in SECTIONS and name not in ("caption", "colgroup") and at < len(self.open) and self.open[at].tag in SECTIONS:
+                at += 1
+            if name in CELLS and at < len(self.open) and self.open[at].tag == "tr":
+                at += 1
+            self.cut(at)
+            if name in CELLS and self.open[-1].tag != "tr":
+                row = Node("tr", {})
+                self.open[-1].children.append(row)
+                self.push(row)
+        elif name in CLOSES:
+            tags, stop = CLOSES[name]
+            if name == "tr" or name in SECTIONS:
+                while len(self.open) > 1 and self.open[-1].tag in tags:
+                    self.cut(len(self.open) - 1)
+            self.close(tags, stop)
+        node = Node(name, attrs)
+        loose = 0 if name in BETWEEN else self.loose_in()
+        if loose and name == "table":
+            self.cut(loose)
+            loose = 0
+        self.add(node, loose)
+        if name not in VOID and not (empty and (foreign or name in FOREIGN)) and not (loose and name == "form"):
+            self.push(node)
+
 
-    for kind, name, more in tokens(html):
+def tree(html: str) -> Node:
+    b = Builder()
+    for kind, name, attrs in Scanner(html).tokens():
         if kind == "text":
-            text = name if more else unescape(name)
-            loose = not more and text.strip(" \t\n\r\f")
-            if loose and open_[-1].tag in HOLDS:
-                open_.pop()
-            add(text, loose_in() if loose else 0)
+            b.text(unescape(name))
+        elif kind == "raw":
+            b.add(name, 0)
         elif kind == "end":
-            stop = set() if name in BARRIER else {"table"} if name in ("tr", "tbody", "thead", "tfoot") else BARRIER
-            if name == "p" and not any(x.tag == "p" for x in open_):
-                open_[-1].children.append(Node("p", {}))
-            close({name}, stop)
+            b.end(name)
         else:
-            attrs = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(more)}
-            if open_[-1].tag in HOLDS and name not in HOLDS[open_[-1].tag]:
-                open_.pop()
-            if name in ENDS_P:
-                close({"p"}, BARRIER)
-            if name in PARTS and open_[at := table_at()].tag == "table":
-                at += 1
-                if name not in SECTIONS and name not in ("caption", "colgroup") and at < len(open_) and open_[at].tag in SECTIONS:
-                    at += 1
-                if name in CELLS and at < len(open_) and open_[at].tag == "tr":
-                    at += 1
-                del open_[at:]
-                if name in CELLS and open_[-1].tag != "tr" and len(open_) < DEPTH:
-                    row = Node("tr", {})
-                    open_[-1].children.append(row)
-                    open_.append(row)
-            elif name in CLOSES:
-                names, stop = CLOSES[name]
-                if name in ("tr", "tbody", "thead", "tfoot"):
-                    while open_[-1].tag in names and (name != "tr" or open_[-1].tag != "tbody"):
-                        open_.pop()
-                close(names, stop)
-            node = Node(name, attrs)
-            loose = 0 if name in BETWEEN else loose_in()
-            if loose and name == "table":
-                del open_[loose:]
-                loose = 0
-            add(node, loose)
-            if name not in VOID and not more.endswith("/") and len(open_) < DEPTH and not (loose and name == "form"):
-                open_.append(node)
-    return root
-
-
-def shown(node: Node) -> bool:
-    return node.tag not in HIDDEN and "hidden" not in node.attrs and not _UNSEEN.search(node.attrs.get("style", "")) and not (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")
+            b.start(name, attrs, kind == "close")
+    return b.root
+
+
+def style_of(attrs: dict[str, str]) -> dict[str, str]:
+    """Display and visibility as the style attribute has them: the last one counts, an important one before others."""
+    out, firm = {}, set()
+    for part in attrs.get("style", "").lower().split(";"):
+        name, _, value = (x.strip() for x in part.partition(":"))
+        important = value.endswith("important") and "!" in value
+        if name in ("display", "visibility") and value and (important or name not in firm):
+            out[name] = value.partition("!")[0].strip()
+            firm |= {name} if important else set()
+    return out
+
+
+def seen(node: Node, visible: bool) -> bool | None:
+    """Whether text directly in the element is visible; None: nothing inside it is shown."""
+    a = node.attrs
+    if node.tag in HIDDEN or (node.tag == "dialog" and "open" not in a):
+        return None
+    if not a:
+        return visible
+    style = style_of(a) if "style" in a else {}
+    if style.get("display") == "none" or ("hidden" in a and "display" not in style):
+        return None
+    v = style.get("visibility")
+    return v == "visible" if v in ("visible", "hidden", "collapse") else visible
 
 
 class Page:
-    """Lines of text, with the space due before the next one."""
+    """Lines of text, with what is due before the next one: space, empty lines, indent, marks of list items."""
 
     def __init__(self):
         self.lines: list[str] = []
-        self.now, self.space, self.gap = "", False, 0
-        self.item = False  # inside a list item lists have no empty lines around them
+        self.now: list[str] = []
+        self.space, self.gap, self.indent = False, 0, 0
+        self.marks: list[tuple[int, str]] = []
+        self.fresh = True  # no line yet in the innermost item, quote or cell
 
     def inline(self, text: str) -> None:
         body = _SPACES.sub(" ", text)
-        if not body.strip(" "):
+        bare = body.strip(" ")
+        if not bare:
             self.space |= bool(body)
             return
         if self.now and (self.space or body[0] == " "):
-            self.now += " "
-        self.now += body.strip(" ")
+            self.now.append(" ")
+        self.now.append(bare)
         self.space = body[-1] == " "
 
     def end_line(self, gap: int = 0) -> None:
         """Ends the line; ``gap`` empty lines are due before the next text."""
         if self.now:
-            self.put([self.now])
-            self.now = ""
+            self.put(["".join(self.now)])
+            self.now = []
         self.space = False
-        self.gap = max(self.gap, gap)
+        if not self.fresh:
+            self.gap = max(self.gap, gap)
 
     def put(self, lines: list[str]) -> None:
         if self.lines:
             self.lines += [""] * self.gap
-        self.gap = 0
-        self.lines += lines
-
-
-def lines_of(node: Node) -> list[str]:
-    page = Page()
-    page.item = node.tag == "li"
-    fill(node, page)
-    page.end_line()
-    return page.lines
-
+        self.gap, self.fresh = 0, False
+        for s in lines:
+            if s and self.marks:
+                at, line = 0, []
+                for col, mark in self.marks:
+                    line.append(" " * (min(col, INDENT) - min(at, INDENT)) + mark)
+                    at = col + len(mark)
+                self.lines.append("".join(line) + " " * (min(self.indent, INDENT) - min(at, INDENT)) + s)
+                self.marks = []
+            else:
+                self.lines.append(" " * min(self.indent, INDENT) + s if s else s)
+
+    def enter(self, mark: str) -> tuple:
+        """Begins an item or quote; what is due before it stays due, what its own blocks ask for before its first line does not."""
+        self.end_line()
+        state = (self.fresh, self.indent, len(mark), bool(mark.strip()))
+        if state[3]:
+            self.marks.append((self.indent, mark))
+        self.indent += len(mark)
+        self.fresh = True
+        return state
+
+    def leave(self, state: tuple) -> None:
+        self.end_line()
+        fresh, self.indent, _, marked = state
+        if self.fresh:
+            if marked and self.marks:
+                self.marks.pop()
+            self.fresh = fresh
+        else:
+            self.gap = 0
 
-def fill(node: Node, page: Page) -> None:
-    for x in node.children:
-        if isinstance(x, str):
-            page.inline(x)
-        elif shown(x):
-            block(x, page)
 
+class Grid:
+    """Cells of one table by row and column."""
 
-def block(x: Node, page: Page) -> None:
-    gap = int(x.tag in SPACED and not (page.item and x.tag in ("ul", "ol")))
-    if x.tag == "br":
-        if page.now:
+    def __init__(self):
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.taken: np.ndarray | None = None  # by column, the row before which a row span keeps it
+        self.col = 0
+
+    def new_row(self) -> None:
+        self.rows.append([])
+        self.col = 0
+
+    def place(self, lines: list[str], colspan: int, rowspan: int) -> None:
+        r = len(self.rows) - 1
+        if self.taken is not None and self.col < COLUMNS:
+            free = self.taken[self.col :] <= r
+            self.col += int(free.argmax()) if free.any() else COLUMNS - self.col
+        self.rows[-1].append((self.col, lines))
+        if rowspan != 1 and self.col < COLUMNS:
+            if self.taken is None:
+                self.taken = np.zeros(COLUMNS, np.int64)
+            self.taken[self.col : self.col + colspan] = r + (rowspan or ROWS)
+        self.col += colspan
+
+    def end_section(self) -> None:
+        self.taken = None  # row spans end with their section
+
+    def text(self) -> list[str]:
+        rows = [r for r in self.rows if any(lines for _, lines in r)]
+        width: dict[int, int] = {}
+        for r in rows:
+            for c, lines in r:
+                if lines and c < COLUMNS:
+                    width[c] = max(width.get(c, 0), max(map(len, lines)))
+        cols = sorted(width)
+        height = [max((len(lines) for _, lines in r), default=0) for r in rows]
+        own = sum(len(s) for r in rows for _, lines in r for s in lines)
+        start, at = {}, 0
+        for c in cols:
+            start[c] = at
+            at += width[c] + 2
+        needed = sum(h * max((start[c] for c, lines in r if lines and c < COLUMNS), default=0) for h, r in zip(height, rows, strict=True))
+        aligned = needed <= PADDING[0] * own + PADDING[1]
+        out = []
+        for h, r in zip(height, rows, strict=True):
+            held = [(start.get(c) if aligned else None, lines) for c, lines in r if lines]
+            parts: list[list[str]] = [[] for _ in range(h)]
+            length = [0] * h
+            for x, lines in held:
+                for i, s in enumerate(lines):
+                    gap = 2 if parts[i] else 0
+                    if x is not None:
+                        gap = max(x - length[i], gap)
+                    parts[i].append(" " * gap + s)
+                    length[i] += gap + len(s)
+            out += ["".join(p).rstrip() for p in parts]
+        return out
+
+
+#: Steps of the renderer besides a node or text to show.
+END, LEAVE, PRE, ITEM, CELL, CELL_END, ROW, SECTION, GRID = range(9)
+
+
+class Renderer:
+    def __init__(self):
+        self.page = Page()
+        self.raw: list[str] | None = None  # text of the pre we are in
+        self.tables = 0
+        self.todo: list = []
+
+    def children(self, node: Node, visible: bool, item: bool) -> None:
+        self.todo += [(x, visible, item) for x in reversed(node.children)]
+
+    def run(self, root: Node) -> str:
+        self.children(root, True, False)
+        while self.todo:
+            x, *more = self.todo.pop()
+            if isinstance(x, int):
+                self.step(x, *more)
+            elif isinstance(x, str):
+                if more[0]:
+                    if self.raw is None:
+                        self.page.inline(x)
+                    else:
+                        self.raw.append(x)
+            else:
+                visible = seen(x, more[0])
+                if visible is not None:
+                    self.node(x, visible, more[1])
+        self.page.end_line()
+        return "\n".join(self.page.lines).strip("\n")
+
+    def step(self, kind: int, *more) -> None:
+        if kind == END:
+            self.page.end_line(more[0])
+        elif kind == LEAVE:
+            self.page.leave(more[0])
+        elif kind == PRE:
+            text, self.raw = "".join(self.raw).strip("\n"), None
+            if text.strip():
+                self.page.put(text.split("\n"))
+            self.page.end_line(1)
+        elif kind == ROW:
+            more[0].new_row()
+        elif kind == SECTION:
+            more[0].end_section()
+        elif kind == ITEM:
+            li, mark, visible = more
+            self.page.end_line()
+            self.todo.append((LEAVE, self.page.enter(mark)))
+            self.children(li, visible, True)
+        elif kind == CELL:
+            cell, grid, visible = more
+            self.page.end_line()
+            if grid:
+                self.todo.append((CELL_END, grid, self.page, number(cell.attrs.get("colspan"), 1, 1, COLUMNS), number(cell.attrs.get("rowspan"), 1, 0, ROWS)))
+                self.page = Page()
+            else:
+                self.todo.append((END, 0))
+            self.children(cell, visible, False)
+        elif kind == CELL_END:
+            grid, outer, colspan, rowspan = more
+            self.page.end_line()
+            grid.place([s for s in self.page.lines if s], colspan, rowspan)
+            self.page = outer
+        elif kind == GRID:
+            self.tables -= 1
+            out = more[0].text()
+            if out:
+                self.page.put(out)
+            self.page.end_line(1)
+
+    def node(self, x: Node, visible: bool, item: bool) -> None:
+        page, tag = self.page, x.tag
+        if self.raw is not None:  # pre keeps its text as written, whatever elements it holds
+            if tag == "br":
+                self.raw.append("\n")
+            self.children(x, visible, item)
+        elif tag == "br":
+            if page.now:
+                page.end_line()
+            elif not page.fresh:
+                page.put([""])
+        elif tag not in BLOCK:
+            self.children(x, visible, item)
+        elif tag == "pre":
+            page.end_line(1)
+            self.raw = []
+            self.todo.append((PRE,))
+            self.children(x, visible, item)
+        elif tag == "hr":
+            page.end_line(1)
+            page.put(["-" * 20])
+            page.end_line(1)
+        elif tag in ("blockquote", "dd"):
+            gap = int(tag in SPACED)
+            page.end_line(gap)
+            self.todo += [(END, gap), (LEAVE, page.enter("  "))]
+            self.children(x, visible, False)
+        elif tag in ("ul", "ol"):
+            self.listing(x, visible, item)
+        elif tag == "table":
+            self.table(x, visible, item)
+        elif tag == "details" and "open" not in x.attrs:
             page.end_line()
+            self.todo.append((END, 0))
+            self.todo += [(c, visible, item) for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1]
         else:
-            page.put([""])
-        return
-    if x.tag not in BLOCK:
-        fill(x, page)
-        return
-    page.end_line(gap)
-    if x.tag == "pre":
-        text = raw_text(x).strip("\n")
-        if text.strip():
-            page.put(text.split("\n"))
-    elif x.tag in ("ul", "ol"):
-        listing(x, page)
-    elif x.tag == "table":
-        table(x, page)
-    elif x.tag in ("blockquote", "dd"):
-        page_lines = lines_of(x)
-        if page_lines:
-            page.put(["  " + s if s else s for s in page_lines])
-    elif x.tag == "hr":
-        page.put(["-" * 20])
-    else:
-        fill(x, page)
-    page.end_line(gap)
-
-
-def raw_text(x: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else raw_text(c) if shown(c) else "" for c in x.children)
-
-
-def listing(x: Node, page: Page) -> None:
-    number = int(x.attrs["start"]) if x.attrs.get("start", "").lstrip("-").isdigit() else 1
-    for c in x.children:
-        if isinstance(c, str):
-            page.inline(c)
-            continue
-        if not shown(c):
-            continue
-        if c.tag != "li":
-            block(c, page)
-            continue
-        page.end_line()
-        mark = f"{number}. " if x.tag == "ol" else "- "
-        number += 1
-        own = lines_of(c)
-        while own and not own[0]:
-            own.pop(0)
-        if own:
-            page.put([(mark if not i else " " * len(mark)) + s if s else s for i, s in enumerate(own)])
-
-
-def rows_of(x: Node) -> Iterator[list[Node]]:
-    """The rows of a table, without those of tables inside its cells."""
-    for c in x.children:
-        if isinstance(c, Node) and shown(c):
-            if c.tag == "tr":
-                yield [d for d in c.children if isinstance(d, Node) and d.tag in ("td", "th") and shown(d)]
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                yield from rows_of(c)
-            elif c.tag in ("td", "th"):
-                yield [c]
-
-
-def table(x: Node, page: Page) -> None:
-    for c in x.children:
-        if isinstance(c, str):
-            page.inline(c)
-        elif shown(c) and c.tag not in ("tr", "td", "th", "thead", "tbody", "tfoot"):
-            page.end_line()
-            block(c, page)
-    page.end_line()
-    rows: list[list[list[str]]] = []
-    for cells in rows_of(x):
-        row: list[list[str]] = []
-        for c in cells:
-            row.append([s for s in lines_of(c) if s])
-            span = c.attrs.get("colspan", "1")
-            row += [[]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
-        if any(row):
-            rows.append(row)
-    width = [max((len(s) for r in rows if k < len(r) for s in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
-    out = []
-    for r in rows:
-        for i in range(max(map(len, r))):
-            line = [(r[k][i] if k < len(r) and i < len(r[k]) else "").ljust(w) for k, w in enumerate(width) if w]
-            out.append("  ".join(line).rstrip())
-    if out:
-        page.put(out)
+            gap = int(tag in SPACED)
+            page.end_line(gap)
+            self.todo.append((END, gap))
+            self.children(x, visible, item)
+
+    def listing(self, x: Node, visible: bool, item: bool) -> None:
+        gap = int(not item)  # inside a list item lists have no empty lines around them
+        self.page.end_line(gap)
+        at = number(x.attrs.get("start"), 1, -(10**9), 10**9)
+        steps: list = []
+        for c in x.children:
+            if not isinstance(c, Node) or c.tag != "li":
+                steps.append((c, visible, item))
+                continue
+            own = seen(c, visible)
+            if own is None:
+                continue
+            at = number(c.attrs.get("value"), at, -(10**9), 10**9)
+            steps.append((ITEM, c, f"{at}. " if x.tag == "ol" else "- ", own))
+            at += 1
+        self.todo.append((END, gap))
+        self.todo += reversed(steps)
+
+    def table(self, x: Node, visible: bool, item: bool) -> None:
+        """Captions first, then the rows: into a grid, or, deep inside of other tables, as lines."""
+        self.page.end_line(1)
+        first, steps = [], []
+        grid = Grid() if self.tables < TABLES else None
+        for c in x.children:
+            shown = seen(c, visible) if isinstance(c, Node) else visible
+            if shown is None:
+                continue
+            if isinstance(c, str) or c.tag not in SECTIONS and c.tag != "tr" and c.tag not in CELLS:
+                first.append((c, visible, item))
+                continue
+            for row, row_shown in self.rows(c, shown):
+                steps.append((ROW, grid) if grid else (END, 0))
+                for cell in row:
+                    own = seen(cell, row_shown)
+                    if own is None:
+                        continue
+                    steps.append((CELL, cell, grid, own))
+            if grid and c.tag in SECTIONS:
+                steps.append((SECTION, grid))
+        self.tables += 1
+        self.todo.append((GRID, grid or Grid()))
+        self.todo.append((END, 0))
+        self.todo += reversed(steps)
+        self.todo.append((END, 0))
+        self.todo += reversed(first)
+
+    def rows(self, part: Node, visible: bool) -> Iterator[tuple[list[Node], bool]]:
+        """The rows of a part of a table, with their visibility."""
+        if part.tag in CELLS:
+            yield [part], visible
+        for row in [part] if part.tag == "tr" else part.children if part.tag in SECTIONS else []:
+            shown = visible if row is part else seen(row, visible) if isinstance(row, Node) and row.tag == "tr" else None
+            if shown is not None:
+                yield [c for c in row.children if isinstance(c, Node) and c.tag in CELLS], shown
 
 
 def render(html: str) -> str:
-    return "\n".join(lines_of(tree(html))).strip("\n")
+    return Renderer().run(tree(html))
 
 
 def rendered(df: DataFrame, html: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -181,6 +181,144 @@ def test_html_implied_ends_and_loose_content(page, text):
     assert html_layout.render(page) == text
 
 
+HOSTILE = [
+    ("<div>" * 205 + "<script>var secret=1;</script>" + "<div hidden>secret</div>" + "seen", "seen"),
+    ("<script src=x/>secret()</script>seen<div hidden/>secret</div>", "seen"),
+    ("<script>secret()</script >seen<style>secret", "seen"),
+    ("<svg><text>drawn</text><title>no</title><desc>no</desc></svg> <math><mi>x</mi></math>", "drawn x"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+    ("<div style='display:none'>no <b style='visibility:visible;display:block'>no</b></div>a", "a"),
+    ("<div hidden style='display:block'>yes</div><p style='display:none;display:inline'>on</p>", "yes\n\non"),
+    ("<dialog>no</dialog><dialog open>d</dialog><details><summary>s</summary>no</details><details open><summary>t</summary>u</details>", "d\ns\nt\nu"),
+    ("<table><tr><td colspan='\u00b2'>a<td>b<tr><td colspan=" + "9" * 5000 + ">c<td>d</table>", "a  b\nc  d"),
+    ("<ol start='--5'><li>a</ol><ol start=-5><li>b<li value=7>c<li>d</ol>", "1. a\n\n-5. b\n7. c\n8. d"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>A<td rowspan=2>B<br>B2<tr><td>C<td>D</table>", "A  B\n   B2\nC      D"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d</table>", "a  b\n   c\nd"),
+    ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>a<tr hidden><td>no</table>", "a"),
+    ("<a href=\"x>one</a> two", "one two"),
+    ("<p title='a > b' data-x=\"'>\">t</p><!-->c<!--->d<!-- > -- > no -->e</ >f</3>g", "t\n\ncdefg"),
+    ("<ul><li><ul><li>a<li>b</ul><li>c<li></ul>", "- - a\n  - b\n- c"),
+    ("<blockquote><p>a<p>b</blockquote>c<ul><li><p>d<p>e</ul>", "  a\n\n  b\n\nc\n\n- d\n\n  e"),
+    ("a<br><br>b<pre>\n x<b>y</b>\n  z\n</pre><hr>", "a\n\nb\n\n xy\n  z\n\n" + "-" * 20),
+    ("<textarea>&lt;b> <i></textarea>", "<b> <i>"),
+    ("<", "<"), ("</", "</"), ("<a", ""), ("a<b", "a"), ("<!", ""), ("<!--", ""), ("&#xD800;&#0;&bogus;", "\ufffd\ufffd&bogus;"), ("<table>", ""), ("<tr><td>a</tr></table>b", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("page,text", HOSTILE)
+def test_html_hostile_pages(page, text):
+    assert html_layout.render(page) == text
+
+
+@pytest.mark.parametrize("unit,end", [("<a ", ""), ("<a <b x=", '">'), ("<b>", ""), ("<b><i></b>", ""), ("<table><tr><td>x", ""), ("<ul><li>x", ""), ("<blockquote>x", ""), ("<p>x</i></div>", ""), ("<script>", ""), ("</script ", "<script>"), ("<tr><td colspan=1000 rowspan=65534>x", "</table>"), ("<!--", ""), ("<td>x<tr>", ""), ("<a b='><a c=\"", ">"), ("<form><p>", "x"), ("<details><dialog>", "")])
+def test_html_takes_linear_time(unit, end):
+    """300 KB of one construct, alone and inside a table, takes seconds at most, and the text stays in proportion to it."""
+    import time
+
+    for start in ("", "<table><tr><td>"):
+        began = time.process_time()
+        text = html_layout.render(start + unit * (300_000 // len(unit)) + end)
+        assert time.process_time() - began < 12 and len(text) < 10_000_000
+
+
+def test_html_padding_is_bounded():
+    wide = "<table><tr><td>" + "w" * 100_000 + "<td>a" + "<tr><td>b<td>c" * 1000 + "</table>"
+    text = html_layout.render(wide)
+    assert len(text) < 1_000_000 and text.split("\n")[5] == "b  c" and html_layout.render("<table><tr><td>long cell<td>a<tr><td>b<td>c</table>").split("\n")[1] == "b          c"
+
+
+GAP = None
+
+
+def second_layout(node, item=False):
+    """The layout of a tree (tag, attributes, children) as a list of lines, with GAP where an empty line is due: an independent version, by recursion."""
+    tag, attrs, kids = node
+    out, now = [], []
+
+    def flush():
+        text = " ".join("".join(now).split())
+        now.clear()
+        if text:
+            out.append(text)
+
+    def scope(lines):
+        while lines and lines[0] is GAP:
+            lines = lines[1:]
+        while lines and lines[-1] is GAP:
+            lines = lines[:-1]
+        return lines
+
+    def marked(first, lines):
+        rest = " " * len(first)
+        return [s if s is GAP else (rest if i else first) + s for i, s in enumerate(lines)]
+
+    n = int(attrs.get("start", 1))
+    for k in kids:
+        if isinstance(k, str):
+            now.append(k)
+            continue
+        t, a, rows = k
+        if "hidden" in a:
+            continue
+        if t == "b" or t == "i":
+            now.append(second_text(k))
+            continue
+        flush()
+        gap = [GAP] * (t in ("p", "blockquote", "table") or t in ("ul", "ol") and not item)
+        if t == "li":
+            lines = marked(f"{n}. " if tag == "ol" else "- ", scope(second_layout(k, True)))
+            n += 1
+        elif t == "blockquote":
+            lines = marked("  ", scope(second_layout(k)))
+        elif t == "table":
+            cells = [[[x for x in second_layout(c) if x is not GAP] for c in row[2]] for row in rows]
+            width = [max((len(x) for r in cells if j < len(r) for x in r[j]), default=0) for j in range(max(map(len, cells)))]
+            lines = []
+            for r in cells:
+                for i in range(max(map(len, r))):
+                    lines.append("  ".join((r[j][i] if j < len(r) and i < len(r[j]) else "").ljust(w) for j, w in enumerate(width) if w).rstrip())
+        else:
+            lines = second_layout(k, item)
+        out += [*gap, *lines, *gap]
+    flush()
+    return out
+
+
+def second_text(node):
+    return "".join(k if isinstance(k, str) else "" if "hidden" in k[1] else second_text(k) for k in node[2])
+
+
+def test_html_layout_of_random_trees():
+    """Against a second version that lays out the tree itself, never its markup."""
+    rng = random.Random(12)
+
+    def made(tag, depth, kinds):
+        attrs = {"hidden": ""} if rng.random() < 0.08 and tag not in ("td", "tr", "root") else {"start": str(rng.randint(1, 20))} if tag == "ol" else {}
+        if tag == "table":
+            return tag, {}, [("tr", {}, [made("td", depth - 1, kinds) for _ in range(rng.randint(1, 3))]) for _ in range(rng.randint(1, 3))]
+        if tag in ("ul", "ol"):
+            return tag, attrs, [made("li", depth - 1, kinds) for _ in range(rng.randint(0, 3))]
+        kids = []
+        for _ in range(rng.randint(0, 4)):
+            t = rng.choice(["text", "text", *(kinds if depth > 0 and tag not in ("p", "b", "i") else ["b", "i"] if depth > 0 else ["text"])])
+            kids.append(rng.choice(["a", "bb ", " c c", "  ", "dd"]) if t == "text" else made(t, depth - 1, kinds))
+        return tag, attrs, kids
+
+    def page(node):
+        tag, attrs, kids = node
+        inner = "".join(k if isinstance(k, str) else page(k) for k in kids)
+        return inner if tag == "root" else f"<{tag}" + "".join(f' {k}="{v}"' for k, v in attrs.items()) + f">{inner}</{tag}>"
+
+    for _ in range(3000):
+        root = made("root", 4, ["div", "p", "ul", "ol", "blockquote", "table", "b"])
+        lines, text = second_layout(root), ""
+        for i, x in enumerate(lines):
+            if x is not GAP:
+                text += ("" if not text else "\n\n" if lines[i - 1] is GAP else "\n") + x
+        assert html_layout.render(page(root)) == text, page(root)
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (2, "<p>x", None, "t"), (2, "<p>x", None, "t"), (3, "<b>" * 20_000 + "y", "u", "t")], "page_id long, html string, url string, text string")
     assert sorted((r.page_id, r.text) for r in html_layout.rendered(df).collect() if r.text) == [(2, "x"), (2, "x"), (3, "y")]
