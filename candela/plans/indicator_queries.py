@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from ..functions.exprs import recent
 from ..operators import flow, momentum, trend, volatility, weekly
-from ..sources.projections import bars_1d, index_1d
-from .sql import BARS, INDEX, back, lag, macd, over, q, r2, r6, recurrence, rsi
+from ..sources.projections import bars_1d, flawed, index_1d
+from .sql import BARS, FLAWED, INDEX, back, lag, macd, over, q, r2, r6, recurrence, rsi
 
 LOOKBACK = 300
 AVG = "AVG"
 B = back(LOOKBACK)
+FLAWS = FLAWED + "," + back(LOOKBACK, of="flawed")
 
 
 def on_bars(operator, *args):
     return lambda spark, d: operator(recent(bars_1d(spark, d), LOOKBACK), *args)
 
 
+def on_flawed(operator, *args):
+    return lambda spark, d: operator(recent(flawed(bars_1d(spark, d)), LOOKBACK), *args)
+
+
 def all_bars(operator, *args):
     return lambda spark, d: operator(bars_1d(spark, d), *args)
 
@@ -149,7 +154,7 @@ QUERIES = {
     ),
     "volume_imbalance": (on_bars(flow.volume_imbalance), q(f"SELECT ticker, date, {r6('x')} AS imbalance, {r6('m')} AS mean, CASE WHEN m IS NULL THEN 'unknown' WHEN m > 0.05 THEN 'buy_side' WHEN m < -0.05 THEN 'sell_side' ELSE 'balanced' END AS bias FROM (SELECT *, {over(5, 'AVG', of='x')} AS m FROM (SELECT ticker, date, k, {IMB.format(x='volume')} AS x FROM b)) WHERE k = 1", BARS, B)),
     "count_imbalance": (on_bars(flow.count_imbalance), q(f"SELECT ticker, date, {r6('x')} AS imbalance, {r6('m')} AS mean FROM (SELECT *, {over(5, 'AVG', of='x')} AS m FROM (SELECT ticker, date, k, {IMB.format(x='count')} AS x FROM b)) WHERE k = 1", BARS, B)),
-    "prev_close_mismatch": (on_bars(flow.prev_close_mismatch), q("SELECT ticker, date, ROUND(prev_close, 6) AS prev_close, ROUND(p, 6) AS prior_close, ROUND(p / prev_close, 6) AS ratio FROM (SELECT *, " + lag("close") + " AS p FROM b) WHERE ABS(prev_close - p) / p > 0.005", BARS, B)),
+    "prev_close_mismatch": (on_flawed(flow.prev_close_mismatch), q("SELECT ticker, date, ROUND(prev_close, 6) AS prev_close, ROUND(p, 6) AS prior_close, ROUND(p / prev_close, 6) AS ratio FROM (SELECT *, " + lag("close") + " AS p FROM b) WHERE ABS(prev_close - p) / p > 0.005", BARS, FLAWS)),
     "obv": (on_bars(flow.obv), q("SELECT a.ticker, a.date, a.obv, a.obv - c.obv AS change FROM ob a JOIN ob c ON a.ticker = c.ticker AND c.i = a.n - LEAST(a.n - 1, 20) WHERE a.k = 1 AND a.n >= 2", BARS, B, OBV)),
     "obv_direction_counts": (on_bars(flow.obv_direction_counts), q("SELECT ticker, COUNT(*) FILTER (close > prev_close) AS up, COUNT(*) FILTER (close < prev_close) AS down, COUNT(*) FILTER (close = prev_close) AS flat FROM b GROUP BY ticker", BARS, B)),
     "obv_divergence": (on_bars(flow.obv_divergence), latest_of(f"{_divergence(20)}, {_divergence(60)}", "ob", BARS, B, OBV)),
@@ -169,7 +174,7 @@ QUERIES = {
     "foreign_net_value": (on_bars(flow.foreign_net_value), latest_of(f"{r2(NET)} AS net, {r2(f'SUM({NET}) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS cumulative, CASE SIGN(SUM({NET}) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)) WHEN 1 THEN 'net_buying' WHEN -1 THEN 'net_selling' ELSE 'flat' END AS stance, {', '.join(_net(n) for n in (20, 60, 120))}", "b", BARS, B)),
     "foreign_participation": (on_bars(flow.foreign_participation), q(f"SELECT ticker, date, {r6('x')} AS participation, {r6('m')} AS mean FROM (SELECT *, {over(20, 'AVG', of='x')} AS m FROM (SELECT *, {div('foreign_buy_volume + foreign_sell_volume', 'total_volume')} AS x FROM b)) WHERE k = 1", BARS, B)),
     "foreign_room_trend": (on_bars(flow.foreign_room_trend), q("SELECT ticker, date, foreign_room, x AS change, CASE WHEN x IS NULL THEN 'unknown' WHEN x < 0 THEN 'room_shrinking_foreign_accumulation' WHEN x > 0 THEN 'room_growing_foreign_divestment' ELSE 'room_unchanged' END AS reading FROM (SELECT *, foreign_room - " + lag("foreign_room", 20) + " AS x FROM b) WHERE k = 1", BARS, B)),
-    "room_structural": (on_bars(flow.room_structural), q(f"SELECT ticker, date, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date) AS ordinal, u AS unexplained FROM (SELECT *, foreign_room - {lag('foreign_room')} + {NETV} AS u FROM b) WHERE ABS(u) > GREATEST(0.05 * total_volume, 1000) QUALIFY ordinal <= 10", BARS, B)),
+    "room_structural": (on_flawed(flow.room_structural), q(f"SELECT ticker, date, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date) AS ordinal, u AS unexplained FROM (SELECT *, foreign_room - {lag('foreign_room')} + {NETV} AS u FROM b) WHERE ABS(u) > GREATEST(0.05 * total_volume, 1000) QUALIFY ordinal <= 10", BARS, FLAWS)),
     "zero_foreign_days": (on_bars(flow.zero_foreign_days), q("SELECT ticker, COUNT(*) FILTER (foreign_buy_volume + foreign_sell_volume = 0) AS days, COUNT(*) AS rows FROM b GROUP BY ticker", BARS, B)),
     "flow_summary": (
         on_bars(flow.flow_summary),
@@ -179,11 +184,11 @@ QUERIES = {
     "recent_history": (on_bars(flow.recent_history), q(f"SELECT ticker, date, {r6('close')} AS close, {r6(pct('close', 'prev_close'))} AS change_pct, {r6('total_volume / 1e6')} AS volume_mil, {r6(f'({NET}) / 1e9')} AS foreign_net_bil FROM b WHERE k <= 5", BARS, B)),
     "price_limit_flag": (on_bars(flow.price_limit_flag), q("SELECT ticker, date, x AS change_pct, CASE WHEN x >= 6.5 THEN 'near_ceiling' WHEN x <= -6.5 THEN 'near_floor' END AS flag FROM (SELECT *, CAST(ROUND(CAST((close - prev_close) / prev_close * 100 AS DECIMAL(28,8)), 2) AS DOUBLE) AS x FROM b WHERE k = 1)", BARS, B)),
     "calendar_gaps": (on_bars(flow.calendar_gaps), q("SELECT ticker, previous, date, days, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date) AS ordinal, COUNT(*) OVER (PARTITION BY ticker) AS gaps FROM gaps WHERE days > 5 QUALIFY ordinal <= 10", BARS, B, GAPS)),
-    "zero_volume_days": (on_bars(flow.zero_volume_days), q("SELECT ticker, date FROM b WHERE NOT COALESCE(total_volume > 0, FALSE)", BARS, B)),
-    "corporate_action_suspects": (on_bars(flow.prev_close_mismatch), q("SELECT a.ticker, a.date, ROUND(a.prev_close, 6) AS prev_close, ROUND(p.close, 6) AS prior_close, ROUND(p.close / a.prev_close, 6) AS ratio FROM b a JOIN b p ON a.ticker = p.ticker AND p.i = a.i - 1 WHERE ABS(a.prev_close - p.close) > 0.005 * p.close", BARS, B)),
+    "zero_volume_days": (on_flawed(flow.zero_volume_days), q("SELECT ticker, date FROM b WHERE NOT COALESCE(total_volume > 0, FALSE)", BARS, FLAWS)),
+    "corporate_action_suspects": (on_flawed(flow.prev_close_mismatch), q("SELECT a.ticker, a.date, ROUND(a.prev_close, 6) AS prev_close, ROUND(p.close, 6) AS prior_close, ROUND(p.close / a.prev_close, 6) AS ratio FROM b a JOIN b p ON a.ticker = p.ticker AND p.i = a.i - 1 WHERE ABS(a.prev_close - p.close) > 0.005 * p.close", BARS, FLAWS)),
     "data_quality": (
-        on_bars(flow.data_quality),
-        q(f"SELECT ticker, COUNT(*) AS rows, COUNT(*) FILTER (date - p > 5) AS gaps, COUNT(*) FILTER (total_volume <= 0) AS halts, COUNT(*) FILTER (ABS(prev_close - pc) > 0.005 * pc) AS actions, COUNT(*) FILTER (date - p > 5) > 0 AS warn_gap, COUNT(*) FILTER (total_volume <= 0) > 0 AS warn_halt, COUNT(*) FILTER (ABS(prev_close - pc) > 0.005 * pc) > 0 AS warn_action FROM (SELECT *, {lag('date')} AS p, {lag('close')} AS pc FROM b) GROUP BY ticker", BARS, B),
+        on_flawed(flow.data_quality),
+        q(f"SELECT ticker, COUNT(*) AS rows, COUNT(*) FILTER (date - p > 5) AS gaps, COUNT(*) FILTER (total_volume <= 0) AS halts, COUNT(*) FILTER (ABS(prev_close - pc) > 0.005 * pc) AS actions, COUNT(*) FILTER (date - p > 5) > 0 AS warn_gap, COUNT(*) FILTER (total_volume <= 0) > 0 AS warn_halt, COUNT(*) FILTER (ABS(prev_close - pc) > 0.005 * pc) > 0 AS warn_action FROM (SELECT *, {lag('date')} AS p, {lag('close')} AS pc FROM b) GROUP BY ticker", BARS, FLAWS),
     ),
     "weekly_bars": (all_bars(weekly.weekly_bars_view), q(f"SELECT ticker, date, {r6('prev_close')} AS prev_close, {r6('close')} AS close, {', '.join((r2(c) if c.endswith('value') else c) + f' AS {c}' for c in weekly.SUMMED)}, foreign_room, trading_days FROM weeks", BARS, WEEKS)),
     "thin_weeks": (all_bars(weekly.thin_weeks), q("SELECT ticker, date, trading_days FROM weeks WHERE trading_days < 3", BARS, WEEKS)),

@@ -63,7 +63,7 @@ def raw_feed(spark, d: str) -> DataFrame:
         pick(59, 7, F.lit("0"), F.format_string("%d,%03d", (k % 80 + 10), (k % 999))).alias("PriceClose"),
         pick(3, 0, F.lit(""), F.format_string("%d", k % 500)).alias("PriceOpen"),
         pick(4, 0, F.lit("N/A"), F.format_string("%d", k % 300 + 5)).alias("Open"),
-        F.format_string("%d", k % 2000).alias("TotalVolume"), F.format_string("%d", k % 1200).alias("BuyQuantity"), pick(11, 2, F.lit("--"), F.format_string("%d", k % 800)).alias("SellQuantity"),
+        pick(89, 9, F.lit("99999999999999999999"), F.format_string("%d", k % 2000)).alias("TotalVolume"), F.format_string("%d", k % 1200).alias("BuyQuantity"), pick(11, 2, F.lit("--"), F.format_string("%d", k % 800)).alias("SellQuantity"),
         F.format_string("%d", k % 30).alias("TotalTrade"), F.format_string("%d", k % 20).alias("BuyCount"), F.format_string("%d", k % 10).alias("SellCount"),
         F.format_string("%d.9", k % 700).alias("ForeignerBuyQuantity"), F.format_string("%d", k % 900).alias("ForeignerSellQuantity"), F.format_string("%d,%03d.5", (k % 90 + 1), (k % 1000)).alias("TotalValue"),
     )
@@ -77,7 +77,7 @@ raw AS (
     CASE WHEN o_orderkey % 53 = 5 THEN '-' ELSE printf('%d,%03d', o_orderkey % 90 + 10, o_orderkey % 1000) END AS PricePreviousClose,
     CASE WHEN o_orderkey % 59 = 7 THEN '0' ELSE printf('%d,%03d', o_orderkey % 80 + 10, o_orderkey % 999) END AS PriceClose,
     CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 500 AS VARCHAR) END AS PriceOpen, CASE WHEN o_orderkey % 4 = 0 THEN 'N/A' ELSE CAST(o_orderkey % 300 + 5 AS VARCHAR) END AS Open,
-    CAST(o_orderkey % 2000 AS VARCHAR) AS TotalVolume, CAST(o_orderkey % 1200 AS VARCHAR) AS BuyQuantity, CASE WHEN o_orderkey % 11 = 2 THEN '--' ELSE CAST(o_orderkey % 800 AS VARCHAR) END AS SellQuantity,
+    CASE WHEN o_orderkey % 89 = 9 THEN '99999999999999999999' ELSE CAST(o_orderkey % 2000 AS VARCHAR) END AS TotalVolume, CAST(o_orderkey % 1200 AS VARCHAR) AS BuyQuantity, CASE WHEN o_orderkey % 11 = 2 THEN '--' ELSE CAST(o_orderkey % 800 AS VARCHAR) END AS SellQuantity,
     CAST(o_orderkey % 30 AS VARCHAR) AS TotalTrade, CAST(o_orderkey % 20 AS VARCHAR) AS BuyCount, CAST(o_orderkey % 10 AS VARCHAR) AS SellCount,
     CAST(o_orderkey % 700 AS VARCHAR) || '.9' AS ForeignerBuyQuantity, CAST(o_orderkey % 900 AS VARCHAR) AS ForeignerSellQuantity, printf('%d,%03d.5', o_orderkey % 90 + 1, o_orderkey % 1000) AS TotalValue
   FROM orders)"""
@@ -89,7 +89,7 @@ def _num(c: str) -> str:
 
 
 def _int(c: str) -> str:
-    return f"COALESCE(CAST(TRUNC({_num(c)}) AS BIGINT), 0)"
+    return f"COALESCE(TRY_CAST(TRUNC({_num(c)}) AS BIGINT), 0)"
 
 
 _DAY = "split_part(split_part(trim(Date), 'T', 1), ' ', 1)"
@@ -99,9 +99,9 @@ numbers AS (
     CAST(COALESCE({", ".join(f"TRY_STRPTIME({_DAY}, '{f}')" for f in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d-%m-%Y", "%Y%m%d", "%d/%m/%y"))}) AS DATE) AS date,
     {_num("PricePreviousClose")} AS prev_close, {_num("PriceClose")} AS close, COALESCE({_num("PriceOpen")}, {_num("Open")}) AS open,
     {_int("TotalTrade")} AS total_trade, {_int("TotalVolume")} AS total_volume, {_int("BuyCount")} AS buy_count, {_int("SellCount")} AS sell_count, {_int("BuyQuantity")} AS buy_volume, {_int("SellQuantity")} AS sell_volume,
-    {_int("ForeignerBuyQuantity")} AS foreign_buy_volume, {_int("ForeignerSellQuantity")} AS foreign_sell_volume, COALESCE({_num("TotalValue")}, 0) AS total_value FROM raw),
+    {_int("ForeignerBuyQuantity")} AS foreign_buy_volume, {_int("ForeignerSellQuantity")} AS foreign_sell_volume, COALESCE({_num("TotalValue")}, 0) AS total_value, length(TotalVolume) > 18 AS over_volume FROM raw),
 parsed AS (SELECT *, CASE WHEN ticker IS NULL THEN 'missing ticker' WHEN date IS NULL THEN 'bad date' WHEN prev_close IS NULL OR prev_close <= 0 THEN 'bad prev_close'
-  WHEN close IS NULL OR close <= 0 THEN 'bad close' WHEN open <= 0 THEN 'bad open' END AS reject_reason FROM numbers)"""
+  WHEN close IS NULL OR close <= 0 THEN 'bad close' WHEN open <= 0 THEN 'bad open' WHEN over_volume THEN 'bad total_volume' END AS reject_reason FROM numbers)"""
 
 
 def feed(f):
@@ -112,6 +112,16 @@ def parsed(f):
     return lambda spark, d: f(ingest.parse(raw_feed(spark, d)))
 
 
+def stamps(ticks: DataFrame) -> DataFrame:
+    """Times as text in the four layouts, with T or a blank between, and two that are none."""
+    t, k = F.col("timestamp"), F.col("event_id") % 7
+    layouts = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "' 'yyyy/MM/dd HH:mm:ss' '", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd.MM.yyyy HH:mm:ss"]
+    text = F
+    for i, f in enumerate(layouts):
+        text = text.when(k == i, F.date_format(t, f))
+    return ticks.select("event_id", text.otherwise("soon").alias("stamp"))
+
+
 def _upserted(spark, d):
     b = bars_1d(spark, d).select("ticker", "date", "close", "total_volume")
     new = b.where("year(date) = 1997").select("ticker", "date", (F.col("close") * 2).alias("close"), (F.col("total_volume") + 1).alias("total_volume"), F.lit(1).cast("bigint").alias("seq"))
@@ -156,7 +166,10 @@ QUERIES = {
     "ingest_summary": (parsed(ingest.summary), q("SELECT COUNT(*) AS records, COUNT(*) FILTER (reject_reason IS NULL) AS parsed, COUNT(*) FILTER (reject_reason IS NOT NULL) AS rejected, (SELECT COUNT(*) FROM (SELECT DISTINCT ticker, date FROM parsed WHERE reject_reason IS NULL)) AS written, STRING_AGG(DISTINCT ticker, ',' ORDER BY ticker) FILTER (reject_reason IS NULL) AS tickers FROM parsed", PARSED)),
     "rows_to_frame": (parsed(lambda p: ingest.dedupe_last(ingest.good(p), "ticker", "date").select("ticker", "date", "prev_close", "close", F.col("total_volume").cast("double").alias("total_volume"), "total_value")), q("SELECT ticker, date, ARG_MAX(prev_close, seq) AS prev_close, ARG_MAX(close, seq) AS close, CAST(ARG_MAX(total_volume, seq) AS DOUBLE) AS total_volume, ARG_MAX(total_value, seq) AS total_value FROM parsed WHERE reject_reason IS NULL GROUP BY ticker, date", PARSED)),
     "classify_session": (lambda spark, d: snapshots(spark, d).select("event_id", sessions.session_of(F.col("timestamp")).alias("session_index")), q("SELECT event_id, CAST(s AS INT) AS session_index FROM st", HOURS)),
-    "parse_timestamp": (lambda spark, d: snapshots(spark, d).select("event_id", F.try_to_timestamp(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("parsed")), q("SELECT event_id, date_trunc('second', timestamp) AS parsed FROM ticks", TICKS)),
+    "parse_timestamp": (
+        lambda spark, d: stamps(snapshots(spark, d)).select("event_id", sessions.parse_timestamp(F.col("stamp")).alias("parsed")),
+        q("SELECT event_id, CASE event_id % 7 WHEN 3 THEN date_trunc('minute', timestamp) WHEN 4 THEN date_trunc('day', timestamp) WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE date_trunc('second', timestamp) END AS parsed FROM ticks", TICKS),
+    ),
     "hourly_bars": (hours(hour_rows), q(f"SELECT {H} FROM hours", HOURS)),
     "session_volume": (hours(lambda h: h.select("ticker", "date", "session_index", "volume", r2("value").alias("value"))), q("SELECT ticker, date, session_index, volume, ROUND(value, 2) AS value FROM hours", HOURS)),
     "bar_closed": (hours(lambda h: h.select("ticker", "datetime", "is_closed")), q("SELECT ticker, datetime, session_index < (SELECT MAX(session_index) FROM hours x WHERE x.ticker = h.ticker AND x.date = h.date) AS is_closed FROM hours h", HOURS)),

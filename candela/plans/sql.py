@@ -29,6 +29,11 @@ bars AS (
     CAST(10000000 - SUM(foreign_buy_volume - foreign_sell_volume) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS foreign_room
   FROM days)"""
 
+FLAWED = """
+flawed AS (
+  SELECT * REPLACE (CASE WHEN date_part('day', date) = 13 THEN prev_close * 1.02 ELSE prev_close END AS prev_close, CASE WHEN date_part('day', date) = 21 THEN 0 ELSE total_volume END AS total_volume,
+    CASE date_part('month', date) % 2 WHEN 0 THEN foreign_room + 250000 ELSE foreign_room END AS foreign_room) FROM bars)"""
+
 TICKS = """
 ticks AS (
   SELECT event_type AS ticker, ts AS timestamp, CAST(ts AS DATE) AS date, value AS price, event_id,

@@ -42,8 +42,8 @@ def as_float(text: Column) -> Column:
 
 
 def as_int(text: Column) -> Column:
-    """Truncated towards zero; 0 where there is no number."""
-    return F.coalesce(as_number(text).cast("bigint"), F.lit(0).cast("bigint"))
+    """Truncated towards zero; 0 where there is no number, or one beyond 64 bits."""
+    return F.coalesce(as_number(text).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def as_date(text: Column) -> Column:
@@ -55,7 +55,11 @@ def as_date(text: Column) -> Column:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """Typed records with ``reject_reason`` (null: good). ``raw`` has text columns named as in FIELDS, and ``seq``, the input order."""
+    """Typed records with ``reject_reason`` (null: good). ``raw`` has text columns named as in FIELDS, and ``seq``, the input order.
+
+    A count beyond 64 bits is a reason too. The reason passes through a generator: a filter on it stays above, where it
+    reads a value; merged into the projection it would repeat all the cleaning.
+    """
     have = {}
     for name, to in FIELDS.items():
         if name in raw.columns:
@@ -63,18 +67,19 @@ def parse(raw: DataFrame) -> DataFrame:
     # in stages, so that no expression repeats the cleaning of another
     text = raw.select("seq", F.col("Date").alias("day"), *[F.coalesce(*[clean(c) for c in cols]).alias(f"t_{to}") for to, cols in have.items() if to != "date"])
     get = lambda k: F.col(f"t_{k}") if k in have else F.lit(None).cast("string")
-    number = lambda k: finite(get(k).try_cast("double"))
     prices = ("prev_close", "close", "open", "high", "low")
-    typed = text.select(
-        "seq", F.upper(get("ticker")).alias("ticker"), as_date(F.col("day")).alias("date"), *[number(c).alias(c) for c in prices], *[get(c).isNotNull().alias(f"has_{c}") for c in prices],
-        *[F.coalesce(number(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in INTS], *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in FLOATS],
-    )
+    cast = text.select("seq", F.upper(get("ticker")).alias("ticker"), as_date(F.col("day")).alias("date"), *[get(c).isNotNull().alias(f"has_{c}") for c in prices], *[get(c).try_cast("double").alias(c) for c in (*prices, *INTS, *FLOATS)])
+    number = cast.select("seq", "ticker", "date", *[f"has_{c}" for c in prices], *[finite(F.col(c)).alias(c) for c in (*prices, *INTS, *FLOATS)])
+    typed = number.select("seq", "ticker", "date", *[f"has_{c}" for c in prices], *prices, *[(F.col(c).isNotNull() & F.col(c).try_cast("bigint").isNull()).alias(f"over_{c}") for c in INTS], *[F.coalesce(F.col(c).try_cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in INTS], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FLOATS])
     reason = F.when(F.col("ticker").isNull(), "missing ticker").when(F.col("date").isNull(), "bad date")
     for c in ("prev_close", "close"):
         reason = reason.when(F.col(c).isNull() | (F.col(c) <= 0), f"bad {c}")
     for c in ("open", "high", "low"):
         reason = reason.when(F.col(f"has_{c}") & (F.col(c).isNull() | (F.col(c) <= 0)), f"bad {c}")
-    return typed.withColumn("reject_reason", reason).drop(*[f"has_{c}" for c in prices])
+    for c in INTS:
+        reason = reason.when(F.col(f"over_{c}"), f"bad {c}")
+    shown = ["seq", "ticker", "date", *prices, *INTS, *FLOATS]
+    return typed.select(*shown, reason.alias("reason")).select(*shown, F.explode(F.array("reason")).alias("reject_reason"))
 
 
 def good(parsed: DataFrame) -> DataFrame:

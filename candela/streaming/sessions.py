@@ -25,6 +25,17 @@ def session_of(ts: Column) -> Column:
     return out
 
 
+#: The layouts of times in the feed, in the order they are tried, each with its shape.
+STAMPS = [("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), ("yyyy/M/d H:m:s", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"), ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$")]
+
+
+def parse_timestamp(text: Column) -> Column:
+    """A time in one of four layouts, with a blank or T between date and clock; null for anything else."""
+    t = F.trim(F.translate(text, "T", " "))
+    # a layout is only tried on text of its shape: failing to parse is slow
+    return F.coalesce(*[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(f))) for f, shape in STAMPS]).cast("timestamp_ntz")
+
+
 def start_of(date: Column, session: Column) -> Column:
     label = F.element_at(F.array(*[F.lit(s[2]) for s in SESSIONS]), session)
     return F.concat(date.cast("string"), F.lit(" "), label).cast("timestamp_ntz")
