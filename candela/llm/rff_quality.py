@@ -169,6 +169,8 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, gamma: fl
 
     @F.pandas_udf("int")
     def bin_of(x: pd.Series, k: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series(np.zeros(0, np.int32))
         raw = (to_features(np.stack(x.to_numpy())) * without[k.to_numpy()]).sum(1)
         return pd.Series(np.clip((raw + 0.5) / 2 * bins, 0, bins - 1).astype(np.int32))
 
@@ -176,10 +178,11 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, gamma: fl
     table = held.groupBy("bin").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")).orderBy("bin").toPandas()
     knots, level = isotonic((table["bin"].to_numpy() + 0.5) / bins * 2 - 0.5, table["good"].to_numpy(float), table["n"].to_numpy(float))
 
+    # the curve goes on to 0 and 1 beyond the outermost bins, so that it is monotone and keeps the order there too
+    knots, level = np.concatenate(([-1.0], knots, [2.0])), np.concatenate(([0.0], level, [1.0]))
+
     def score(x: np.ndarray) -> np.ndarray:
-        raw = to_features(x) @ final
-        # between and beyond the knots a slight slope keeps the order of the raw scores
-        return np.clip(0.98 * np.interp(raw, knots, level) + 0.02 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
+        return np.interp(to_features(x) @ final, knots, level)
 
     return score
 

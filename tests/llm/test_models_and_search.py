@@ -51,6 +51,18 @@ def test_bpe_digest_and_round_trip(spark, tokenizer):
     assert bpe.digest(edge.empty(spark), bpe.public_path()).count() == 0
 
 
+def test_invalid_utf8_counts_as_replacement(spark, tokenizer):
+    """A Spark string may hold any bytes; no operator that reads it as text fails on them."""
+    from candela.llm import line_dedup
+
+    df = spark.createDataFrame([(1, bytearray(b"ab\xff\xfecd \xe4\xb8 x")), (2, bytearray(b"a\nline\xc3\na\nline\xc3"))], "doc_id long, raw binary").selectExpr("doc_id", "CAST(raw AS STRING) AS text")
+    as_read = {r.doc_id: bytes(r.b).decode("utf-8", "replace") for r in df.selectExpr("doc_id", "CAST(text AS BINARY) AS b").collect()}
+    for r in bpe.digest(df, bpe.public_path()).collect():
+        assert r.n_tokens == len(tokenizer.encode_ordinary(as_read[r.doc_id])) and r.decoded_sha256 == hashlib.sha256(as_read[r.doc_id].encode()).hexdigest()
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {1: as_read[1], 2: "a\nline\ufffd"}
+    assert [r.out for r in html_layout.rendered(df.select("text"), "text", "out").collect()][0] == as_read[1]
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 0.3, (900, 9))
@@ -112,6 +124,40 @@ def test_quality_edges(spark):
     assert (np.diff(level) >= 0).all() and len(at) == 3
 
 
+def test_quality_matches_a_dense_solution(spark, data):
+    """Scores of the distributed fit against one matrix of all labelled rows, solved and calibrated in numpy."""
+    docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{data}/sf0.01/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
+    got = {r.id: r.score for r in rff_quality.quality_scores(docs, labels).collect()}
+    stats = rff_quality.text_stats(docs, "doc_id", "text").toPandas()
+    x = np.stack(stats.x.to_numpy())
+    known = labels.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(rff_quality.FOLDS))).toPandas().merge(stats, on="id")
+    kx, y, k = np.stack(known.x.to_numpy()), known.y.to_numpy(float), known.fold.to_numpy()
+    z = rff_quality.Fourier(kx.mean(0), kx.std(0), rff_quality.FEATURES, rff_quality.GAMMA)
+
+    def ridge(rows):
+        a = z(kx[rows])
+        penalty = rff_quality.RIDGE * len(a) * np.eye(a.shape[1])
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(a.T @ a + penalty, a.T @ y[rows])
+
+    raw = np.zeros(len(y))
+    for f in range(rff_quality.FOLDS):
+        raw[k == f] = z(kx[k == f]) @ ridge(k != f)
+    bins = np.clip(((raw + 0.5) / 2 * rff_quality.BINS).astype(int), 0, rff_quality.BINS - 1)
+    used = np.unique(bins)
+    good, n = np.array([y[bins == b].sum() for b in used]), np.array([(bins == b).sum() for b in used])
+    # isotonic regression as the largest of all minima over means of intervals
+    fit = np.array([max(min(good[i : j + 1].sum() / n[i : j + 1].sum() for j in range(at, len(used))) for i in range(at + 1)) for at in range(len(used))])
+    centre, value = (used + 0.5) / rff_quality.BINS * 2 - 0.5, []
+    for v in np.unique(fit):
+        same = fit == v
+        value.append(((centre[same] * n[same]).sum() / n[same].sum(), (good[same].sum() + 0.5) / (n[same].sum() + 1)))
+    knots, level = zip((-1.0, 0.0), *value, (2.0, 1.0))
+    expected = np.interp(z(x) @ ridge(np.ones(len(y), bool)), knots, level)
+    assert max(abs(got[i] - e) for i, e in zip(stats.id, expected)) < 2e-3
+
+
 def test_languages_held_out_and_edges(spark, data):
     docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet")
     out = lang_kernel.query(spark, f"{data}/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
