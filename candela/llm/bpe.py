@@ -11,7 +11,9 @@ feed a pair merge whose results are cached per worker in a pool of ids; the pool
 kept, and decoding gathers the bytes of the ids by the vocabulary's offsets.
 
 Null text counts as empty: no tokens, and the hash of no bytes. Special tokens are never
-produced. A very long piece is merged with a heap, in n log n. Other columns pass through.
+produced. Bytes of a text that are no UTF-8 count as U+FFFD, as they do when Python reads them. A very long piece is
+merged with a heap, in n log n. Other columns pass through, but for those of the names of results; rows are
+encoded one by one, so repeated rows give equal results, and empty tables empty ones.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
@@ -311,7 +314,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
                 lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(x.astype(np.int32))) for o, x in ((doc, ids), (piece, local))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *lists], schema=pa.schema([*[batch.schema.field(c) for c in range(len(keep))], *[pa.field(c, pa.list_(pa.int32())) for c in ("ids", "starts")]]))
 
-    return df.select(*keep, df[text].cast("binary").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.make_valid_utf8(df[text]).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -356,7 +359,7 @@ def digest(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
             total = np.concatenate(count) if count else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(total, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=[*keep, *names])
 
-    return df.select(*keep, df[text].cast("binary").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.make_valid_utf8(df[text]).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def public_path() -> str:

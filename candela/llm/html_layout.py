@@ -600,7 +600,7 @@ def rendered(df: DataFrame, html: str = "html", out: str = "text", keep: list[st
             text = [None if x is None else render(x) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(text, pa.string())], names=[*keep, out])
 
-    return df.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(run, schema)
+    return df.select(*keep, F.make_valid_utf8(F.col(html).cast("string")).alias("__html")).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ pipeline have it). Order is doc_id (null first, as the smallest long), then text
 together: pairs and intervals are counted by partial aggregation, and joined in a way that Spark can split.
 
 Lines without words never count and go only if a deleted run holds them between its lines. Null texts have no
-lines and stay null. Rows that repeat both id and text are one document: none of them is a copy of the other.
+lines and stay null; bytes that are no UTF-8 come out as U+FFFD. Rows that repeat both id and text are one document: none of them is a copy of the other.
 Empty tables give empty tables. Other columns pass through; columns n_lines and n_removed of the input are replaced
 by :func:`dedup_lines` and kept by :func:`without_repeats`.
 """
@@ -177,7 +177,8 @@ def _cut_table(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFra
     with scratch(df.sparkSession) as keep:
         found = keep(repeats(df.select(keys["__d"].alias("d"), keys["__t"].alias("t"), F.col(text).alias("text"))))
     found = found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("copy").alias("__copy"), F.col("runs").alias("__runs"))
-    joined = df.withColumns(keys).join(found, ["__d", "__t"], "left").select(*[F.col(f"`{c}`") for c in df.columns], "__copy", "__runs")
+    shown = [F.make_valid_utf8(text).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns]
+    joined = df.withColumns(keys).join(found, ["__d", "__t"], "left").select(*shown, "__copy", "__runs")
     counts = ["__n_lines", "__n_removed"]
     schema = T.StructType([df.schema[c] for c in df.columns] + [T.StructField(c, T.LongType()) for c in counts])
     schema[text].nullable = True
