@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import json
 import re
+import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.exprs import recent
 from .operators import flow, levels, momentum, scans, trend, volatility, weekly
-from .plans import scoring
+from .plans import report, scoring
 
 GROUPS = {
     "trend": {"ema": trend.ema, "sma_direction": trend.sma_direction, "ma_distance": trend.ma_distance, "macd": trend.macd, "macd_crossover": trend.macd_crossover, "returns": trend.returns_by_window, "sma_crossover": trend.sma_crossover, "candlestick": trend.candlestick, "alignment": trend.trend_alignment},
@@ -23,6 +25,20 @@ GROUPS = {
     "value_flow": {"avg_trade_value": flow.avg_trade_value, "spike": flow.value_spike},
     "foreign_flow": {"net_value": flow.foreign_net_value, "participation": flow.foreign_participation, "room": flow.foreign_room_trend, "structural": flow.room_structural},
 }
+#: Windows a request may set, and which arguments of which measures they are.
+PARAMS = {
+    "sma_windows": {"trend.sma_direction": "windows", "trend.series": "windows"}, "ema_windows": {"trend.ema": "windows"},
+    "macd_fast": {"trend.macd": "fast"}, "macd_slow": {"trend.macd": "slow"}, "macd_signal": {"trend.macd": "signal"}, "rsi_window": {"momentum.rsi": "n"},
+    "bollinger_window": {"volatility.bollinger_position": "n", "volatility.squeeze": "n", "volatility.series": "n"}, "bollinger_k": {"volatility.bollinger_position": "width", "volatility.series": "width"},
+    "volatility_window": {"volatility.c2c": "n"}, "flow_window": {"volume_flow.imbalance": "n", "trade_flow.imbalance": "n", "foreign_flow.participation": "n", "foreign_flow.room": "n"},
+    "trade_size_window": {"trade_flow.size": "n"}, "value_window": {"value_flow.avg_trade_value": "n", "value_flow.spike": "n"},
+}
+#: Measures by row, whose last points a request may ask for.
+SERIES = {"trend": trend.sma, "volatility": volatility.bollinger, "volume_flow": flow.obv_rows}
+#: Weekly bars a weekly analysis needs.
+WEEKS = 14
+
+WEEKLY = {"ema": trend.ema, "macd": trend.macd, "rsi": momentum.rsi, "direction": trend.sma_direction}
 SCOPES = {"full": ("short_term", "mid_term", "long_term"), "short_term": ("short_term",), "mid_term": ("mid_term",), "long_term": ("long_term",), "levels": ()}
 STRATEGIES = {"momentum_breakout": scoring.screen_momentum, "oversold_reversal": scoring.screen_oversold, "foreign_accumulation": scoring.screen_foreign}
 #: Metrics that bars cannot give, and why.
@@ -47,98 +63,161 @@ class Engine:
     audit: str | None = None
     calls: list[dict] = field(default_factory=list)
 
-    def _log(self, tool: str, **args) -> None:
-        row = {"tool": tool, "at": datetime.datetime.now(datetime.UTC).isoformat(), "args": {k: v if not isinstance(v, list) or len(v) <= 200 else f"{len(v)} items" for k, v in args.items()}}
-        self.calls.append(row)
-        if self.audit:
-            try:
-                self.bars.sparkSession.createDataFrame([(json.dumps(row, default=str),)], "value string").coalesce(1).write.mode("append").text(self.audit)
-            except Exception as e:  # noqa: BLE001  the audit is advisory
-                row["audit_error"] = str(e)[:200]
+    @contextmanager
+    def _call(self, tool: str, **args):
+        """Logs a call with its arguments, whether it was refused, and the time it took to plan. Jobs run when its DataFrames are used."""
+        began = time.monotonic()
+        row = {"tool": tool, "at": datetime.datetime.now(datetime.UTC).isoformat(), "args": {k: v if not isinstance(v, list) or len(v) <= 200 else f"{len(v)} items" for k, v in args.items()}, "result": "planned"}
+        try:
+            yield
+        except RequestError as e:
+            row["result"] = f"refused: {e}"
+            raise
+        except Exception as e:
+            row["result"] = f"failed: {e}"[:200]
+            raise
+        finally:
+            row["seconds"] = round(time.monotonic() - began, 3)
+            self.calls.append(row)
+            if self.audit:
+                try:
+                    self.bars.sparkSession.createDataFrame([(json.dumps(row, default=str),)], "value string").coalesce(1).write.mode("append").text(self.audit)
+                except Exception as e:  # noqa: BLE001  the audit is advisory
+                    row["audit_error"] = str(e)[:200]
 
     def _rows(self, tickers: list[str] | None, lookback: int, as_of: str | None = None) -> DataFrame:
-        df = self.bars
         if not 1 <= lookback <= 5000:
             raise RequestError("lookback must lie between 1 and 5000")
-        if tickers is not None:
-            bad = [t for t in tickers if not re.fullmatch(r"[A-Za-z0-9#]+", t)]
-            if bad:
-                raise RequestError(f"not a ticker: {bad[0]}")
-            df = df.where(F.col("ticker").isin([t.upper() for t in tickers]) | F.upper("ticker").isin([t.upper() for t in tickers]))
+        df = self._of(tickers, self.bars)
         if as_of is not None:
             df = df.where(F.col("date") <= F.lit(as_of).cast("date"))
         return recent(df, lookback)
 
-    def prices(self, tickers: list[str] | None = None, start: str | None = None, end: str | None = None, lookback: int = 300) -> DataFrame:
-        self._log("prices", tickers=tickers, start=start, end=end, lookback=lookback)
-        if start and end:
-            if start > end:
+    def _of(self, tickers: list[str] | None, df: DataFrame) -> DataFrame:
+        if tickers is None:
+            return df
+        bad = [t for t in tickers if not re.fullmatch(r"[A-Za-z0-9#]+", t)]
+        if bad:
+            raise RequestError(f"not a ticker: {bad[0]}")
+        return df.where(F.upper("ticker").isin([t.upper() for t in tickers]))
+
+    def prices(self, tickers: list[str] | None = None, start: str | None = None, end: str | None = None, lookback: int = 300, timeframe: str = "1d") -> DataFrame:
+        """Rows of a range, of which either end may be open, or the newest ones; daily, or hourly (1h) if the engine has hourly bars.
+
+        A ticker without daily rows in the range gives its newest rows, marked as fallback.
+        """
+        with self._call("prices", tickers=tickers, start=start, end=end, lookback=lookback, timeframe=timeframe):
+            if start and end and start > end:
                 raise RequestError("start lies after end")
-            return scans.price_fallback(self._rows(tickers, 5000), start, end, lookback)
-        return self._rows(tickers, lookback).withColumn("fallback", F.lit(False))
-
-    def indicators(self, groups: list[str] | None = None, tickers: list[str] | None = None, lookback: int = 300, as_of: str | None = None) -> dict[str, DataFrame]:
-        """Each measure of the groups as a DataFrame, named group.measure."""
-        self._log("indicators", groups=groups, tickers=tickers, lookback=lookback, as_of=as_of)
-        unknown = [g for g in groups or [] if g not in GROUPS]
-        if unknown:
-            raise RequestError(f"{unknown[0]}: {REFUSED.get(unknown[0], 'unknown group')}")
-        rows = self._rows(tickers, lookback, as_of)
-        return {f"{g}.{k}": f(rows) for g in groups or GROUPS for k, f in GROUPS[g].items()}
+            if not 1 <= lookback <= 5000:
+                raise RequestError("lookback must lie between 1 and 5000")
+            if timeframe not in ("1d", "1h") or (timeframe == "1h" and self.hours is None):
+                raise RequestError(f"no bars of timeframe {timeframe}")
+            if timeframe == "1h":
+                hours = self._of(tickers, self.hours)
+                return scans.hourly_range(hours, start, end) if start or end else scans.recent_hours(hours, lookback)
+            if start or end:
+                return scans.price_fallback(self._of(tickers, self.bars), start, end, lookback)
+            return self._rows(tickers, lookback).withColumn("fallback", F.lit(False))
+
+    def indicators(self, groups: list[str] | None = None, tickers: list[str] | None = None, lookback: int = 300, as_of: str | None = None, params: dict | None = None, series_tail: int = 0) -> dict[str, DataFrame]:
+        """Each measure of the groups as a DataFrame, named group.measure.
+
+        ``params`` sets windows (PARAMS). With ``series_tail`` the groups that have one also give the last points of their series.
+        """
+        with self._call("indicators", groups=groups, tickers=tickers, lookback=lookback, as_of=as_of, params=params, series_tail=series_tail):
+            unknown = [g for g in groups or [] if g not in GROUPS]
+            if unknown:
+                raise RequestError(f"{unknown[0]}: {REFUSED.get(unknown[0], 'unknown group')}")
+            if not 0 <= series_tail <= 250:
+                raise RequestError("series_tail must lie between 0 and 250")
+            own: dict[str, dict] = {}
+            for name, value in (params or {}).items():
+                if name not in PARAMS:
+                    raise RequestError(f"unknown parameter {name}")
+                many = name.endswith("_windows")
+                for x in value if many else [value]:
+                    if isinstance(x, bool) or not isinstance(x, (int, float) if name == "bollinger_k" else int) or not 0 < x <= 500:
+                        raise RequestError(f"{name}: not a window: {x}")
+                for measure, argument in PARAMS[name].items():
+                    own.setdefault(measure, {})[argument] = tuple(value) if many else value
+            rows = self._rows(tickers, lookback, as_of)
+            out = {f"{g}.{k}": f(rows, **own.get(f"{g}.{k}", {})) for g in groups or GROUPS for k, f in GROUPS[g].items()}
+            if series_tail:
+                out |= {f"{g}.series": recent(f(rows, **own.get(f"{g}.series", {})), series_tail) for g, f in SERIES.items() if g in (groups or GROUPS)}
+            return out
 
     def flow_summary(self, tickers: list[str] | None = None, window: int = 20) -> DataFrame:
-        self._log("flow_summary", tickers=tickers, window=window)
-        if not 2 <= window <= 250:
-            raise RequestError("window must lie between 2 and 250")
-        return flow.flow_summary(self._rows(tickers, 300), window)
-
-    def multi_horizon(self, tickers: list[str] | None = None, scope: str = "full", lookback: int = 500, as_of: str | None = None) -> dict[str, DataFrame]:
-        """Verdicts, conflicts, alignment, levels, position and 52-week figures, as far as the scope asks for them."""
-        self._log("multi_horizon", tickers=tickers, scope=scope, lookback=lookback, as_of=as_of)
-        if scope not in SCOPES:
-            raise RequestError(f"unknown scope {scope}")
-        rows = self._rows(tickers, lookback, as_of)
-        zones = levels.level_clusters(levels.level_candidates(rows))
-        out = {"levels": levels.nearest_levels(zones), "position": levels.level_position(zones, rows)}
-        if SCOPES[scope]:
-            comps = scoring.components(scoring.features(rows)).where(F.col("horizon").isin(*SCOPES[scope]))
-            verdict = scoring.verdicts(comps)
-            out |= {"components": comps, "verdict": verdict, "conflicts": scoring.conflicts(comps), "alignment": scoring.alignment(verdict), "invalidation": scoring.invalidation(verdict, out["position"])}
-        if scope in ("full", "long_term"):
-            out["stats_52w"] = weekly.stats_52w(rows)
-        return out
+        with self._call("flow_summary", tickers=tickers, window=window):
+            if not 2 <= window <= 250:
+                raise RequestError("window must lie between 2 and 250")
+            return flow.flow_summary(self._rows(tickers, 300), window)
+
+    def multi_horizon(self, tickers: list[str] | None = None, scope: str = "full", lookback: int = 500, as_of: str | None = None, detail: str = "compact", series_tail: int = 0) -> dict[str, DataFrame]:
+        """The whole report, as far as the scope asks for it.
+
+        Levels and position; for horizons their components, verdicts, conflicts, alignment, invalidation and perspectives, and
+        how many weekly bars there are; 52-week figures. In full detail also every daily and weekly measure.
+        """
+        with self._call("multi_horizon", tickers=tickers, scope=scope, lookback=lookback, as_of=as_of, detail=detail, series_tail=series_tail):
+            if scope not in SCOPES:
+                raise RequestError(f"unknown scope {scope}")
+            if detail not in ("compact", "full"):
+                raise RequestError("detail is compact or full")
+            rows = self._rows(tickers, lookback, as_of)
+            zones = levels.level_clusters(levels.level_candidates(rows))
+            out = {"levels": levels.nearest_levels(zones), "position": levels.level_position(zones, rows)}
+            if SCOPES[scope]:
+                here = F.col("horizon").isin(*SCOPES[scope])
+                comps = scoring.components(scoring.features(rows)).where(here)
+                verdict = scoring.verdicts(comps)
+                out |= {"components": comps, "verdict": verdict, "conflicts": scoring.conflicts(comps), "alignment": scoring.alignment(verdict), "invalidation": scoring.invalidation(verdict, out["position"]), "perspectives": report.perspectives(rows).where(here)}
+            weeks = weekly.weekly_bars(rows)
+            if scope in ("full", "mid_term", "long_term"):
+                out["weekly_bars"] = weeks.groupBy("ticker").agg(F.count(F.lit(1)).alias("available")).withColumn("required", F.lit(WEEKS).cast("long"))
+            if scope in ("full", "long_term"):
+                out["stats_52w"] = weekly.stats_52w(rows)
+            if detail == "full":
+                out |= {f"daily.{g}.{k}": f(rows) for g, measures in GROUPS.items() for k, f in measures.items()}
+                out |= {f"weekly.{k}": f(weeks.where("prev_close IS NOT NULL")) for k, f in WEEKLY.items()}
+            if series_tail:
+                out |= {f"daily.{g}.series": recent(f(rows), series_tail) for g, f in SERIES.items()}
+            return out
 
     def weekly(self, tickers: list[str] | None = None, lookback: int = 500) -> dict[str, DataFrame]:
-        self._log("weekly", tickers=tickers, lookback=lookback)
-        weeks = weekly.weekly_bars(self._rows(tickers, lookback)).where("prev_close IS NOT NULL")
-        return {"bars": weeks, "ema": trend.ema(weeks), "macd": trend.macd(weeks), "rsi": momentum.rsi(weeks), "direction": trend.sma_direction(weeks)}
+        with self._call("weekly", tickers=tickers, lookback=lookback):
+            weeks = weekly.weekly_bars(self._rows(tickers, lookback)).where("prev_close IS NOT NULL")
+            return {"bars": weeks} | {k: f(weeks) for k, f in WEEKLY.items()}
 
     def breadth(self, exchange: str = "ALL") -> DataFrame:
-        self._log("breadth", exchange=exchange)
-        df = weekly.market_breadth(self.index)
-        return df if exchange.upper() == "ALL" else df.where(F.col("exchange") == exchange.upper())
+        with self._call("breadth", exchange=exchange):
+            df = weekly.market_breadth(self.index)
+            return df if exchange.upper() == "ALL" else df.where(F.col("exchange") == exchange.upper())
 
     def compare(self, tickers: list[str], lookback: int = 250) -> dict[str, DataFrame]:
-        self._log("compare", tickers=tickers, lookback=lookback)
-        if not 2 <= len(set(tickers)) <= 5:
-            raise RequestError("two to five tickers can be compared")
-        rows = self._rows(tickers, lookback)
-        return {"stats_52w": scoring.compare_52w(rows), "averages": scoring.compare_ma(rows), "levels": scoring.compare_levels(rows), "ranks": scoring.rank_observations(rows), "relative": scoring.relative_assessment(rows)}
+        with self._call("compare", tickers=tickers, lookback=lookback):
+            if not 2 <= len(set(tickers)) <= 5:
+                raise RequestError("two to five tickers can be compared")
+            rows = self._rows(tickers, lookback)
+            return {"stats_52w": scoring.compare_52w(rows), "averages": scoring.compare_ma(rows), "levels": scoring.compare_levels(rows), "ranks": scoring.rank_observations(rows), "relative": scoring.relative_assessment(rows)}
 
     def screen(self, strategy: str = "momentum_breakout", universe: list[str] | None = None, top_n: int = 5) -> DataFrame:
-        self._log("screen", strategy=strategy, universe=universe, top_n=top_n)
-        if not 1 <= top_n <= 10:
-            raise RequestError("top_n must lie between 1 and 10")
-        rows = self._rows(universe, 100)
-        if strategy == "intraday_breakout":
-            return scoring.screen_and_rank(scoring.screen_intraday(scans.recent_hours(self.hours, 60)), rows, top_n)
-        if strategy not in STRATEGIES:
-            raise RequestError(f"unknown strategy {strategy}")
-        return scoring.screen_and_rank(STRATEGIES[strategy](rows), rows, top_n).join(scoring.screen_details(rows), "ticker").orderBy("rank")
+        with self._call("screen", strategy=strategy, universe=universe, top_n=top_n):
+            if not 1 <= top_n <= 10:
+                raise RequestError("top_n must lie between 1 and 10")
+            rows = self._rows(universe, 100)
+            order = None if universe is None else self.bars.sparkSession.createDataFrame([(t.upper(), i) for i, t in enumerate(universe)], "name string, pos int")
+            if order is not None:
+                order = scans.list_tickers(rows).join(order, F.upper("ticker") == F.col("name")).select("ticker", "pos")
+            if strategy == "intraday_breakout":
+                return scoring.screen_and_rank(scoring.screen_intraday(scans.recent_hours(self.hours, 60)), rows, top_n, order)
+            if strategy not in STRATEGIES:
+                raise RequestError(f"unknown strategy {strategy}")
+            return scoring.screen_and_rank(STRATEGIES[strategy](rows), rows, top_n, order).join(scoring.screen_details(rows), "ticker").orderBy("rank")
 
     def foreign_scan(self, window: int = 5, top_n: int = 5, universe: list[str] | None = None) -> dict[str, DataFrame]:
-        self._log("foreign_scan", window=window, top_n=top_n, universe=universe)
-        if not (1 <= window <= 60 and 1 <= top_n <= 10):
-            raise RequestError("window: 1 to 60, top_n: 1 to 10")
-        scan = scoring.foreign_scan(self._rows(universe, max(2 * window, 20)), window)
-        return {"buyers": scoring.foreign_top(scan, top_n), "sellers": scoring.foreign_top(scan, top_n, False), "room_warnings": scoring.room_warnings(scan)}
+        with self._call("foreign_scan", window=window, top_n=top_n, universe=universe):
+            if not (1 <= window <= 60 and 1 <= top_n <= 10):
+                raise RequestError("window: 1 to 60, top_n: 1 to 10")
+            scan = scoring.foreign_scan(self._rows(universe, max(2 * window, 20)), window)
+            return {"buyers": scoring.foreign_top(scan, top_n), "sellers": scoring.foreign_top(scan, top_n, False), "room_warnings": scoring.room_warnings(scan)}

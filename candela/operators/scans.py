@@ -13,9 +13,13 @@ def day(text: str) -> Column:
     return F.lit(text).cast("date")
 
 
-def scan_range(bars: DataFrame, start: str, end: str, ticker: str | None = None) -> DataFrame:
-    """Rows with start <= date <= end, of one ticker or all; the filter reaches the scan of a stored table."""
-    df = bars.where(F.col("date").between(day(start), day(end)))
+def scan_range(bars: DataFrame, start: str | None, end: str | None, ticker: str | None = None) -> DataFrame:
+    """Rows with start <= date <= end (None: open), of one ticker or all; the filter reaches the scan of a stored table."""
+    df = bars
+    if start is not None:
+        df = df.where(F.col("date") >= day(start))
+    if end is not None:
+        df = df.where(F.col("date") <= day(end))
     return df if ticker is None else df.where(F.col("ticker") == ticker.upper())
 
 
@@ -47,19 +51,21 @@ def recent_hours(hours: DataFrame, n: int) -> DataFrame:
     return hours.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= n).drop("k")
 
 
-def hourly_range(hours: DataFrame, start: str, end: str) -> DataFrame:
-    """A bound of ten characters means the start or the end of that day."""
-    lo = f"{start} 00:00:00" if len(start) == 10 else start
-    hi = f"{end} 23:59:59" if len(end) == 10 else end
+def hourly_range(hours: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """A bound of ten characters means the start or the end of that day; None: open."""
     stamp = lambda s: F.lit(s).cast("timestamp_ntz")
-    return hours.where(F.col("datetime").between(stamp(lo), stamp(hi)))
+    if start is not None:
+        hours = hours.where(F.col("datetime") >= stamp(f"{start} 00:00:00" if len(start) == 10 else start))
+    if end is not None:
+        hours = hours.where(F.col("datetime") <= stamp(f"{end} 23:59:59" if len(end) == 10 else end))
+    return hours
 
 
 def hourly_point(hours: DataFrame, ticker: str, at: str) -> DataFrame:
     return hours.where((F.col("ticker") == ticker) & (F.col("datetime") == F.lit(at).cast("timestamp_ntz")))
 
 
-def price_fallback(bars: DataFrame, start: str, end: str, n: int) -> DataFrame:
+def price_fallback(bars: DataFrame, start: str | None, end: str | None, n: int) -> DataFrame:
     """Rows of the range; a ticker that has none there gives its newest n rows instead, and says so."""
     inside = scan_range(bars, start, end)
     missing = bars.select("ticker").distinct().join(inside.select("ticker").distinct(), "ticker", "left_anti")

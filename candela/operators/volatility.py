@@ -17,14 +17,14 @@ def bands(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     return df.withColumn("pct_b", F.when(span > 1e-12, (F.col("close") - F.col("lower")) / span)).withColumn("width", span).withColumn("bandwidth", ratio(span, "middle") * 100)
 
 
-def bollinger(bars: DataFrame, n: int = 20) -> DataFrame:
-    return bands(bars, n).where("middle IS NOT NULL").select("ticker", "date", *[r6(c).alias(c) for c in ("middle", "upper", "lower", "pct_b", "bandwidth")])
+def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
+    return bands(bars, n, width).where("middle IS NOT NULL").select("ticker", "date", *[r6(c).alias(c) for c in ("middle", "upper", "lower", "pct_b", "bandwidth")])
 
 
-def bollinger_position(bars: DataFrame, n: int = 20) -> DataFrame:
+def bollinger_position(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     p = F.col("pct_b")
     label = cases((F.col("middle").isNull(), None), (p.isNull(), "middle"), (p >= 1, "above_upper"), (p >= 0.8, "near_upper"), (p <= 0, "below_lower"), (p <= 0.2, "near_lower"), otherwise="inside_band")
-    return latest(bands(bars, n)).select("ticker", "date", label.alias("position"))
+    return latest(bands(bars, n, width)).select("ticker", "date", label.alias("position"))
 
 
 def bollinger_squeeze(bars: DataFrame, n: int = 20, look: int = 20, share: float = 0.15) -> DataFrame:

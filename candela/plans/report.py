@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import levels
@@ -16,22 +16,47 @@ def multi_horizon(bars: DataFrame) -> DataFrame:
     return verdict.join(position, "ticker")
 
 
-def amount(x: Column) -> Column:
-    return F.coalesce(x.cast("bigint").cast("string"), F.lit("none"))
+#: The averages each horizon takes its own levels from, and their names.
+OWN = {
+    "short_term": [("EMA12", "ema_12"), ("SMA20", "sma_20"), ("SMA50", "sma_50")],
+    "mid_term": [("SMA20", "sma_20"), ("SMA50", "sma_50"), ("SMA100", "sma_100"), ("SMA200", "sma_200")],
+    "long_term": [("SMA200_daily", "sma_200"), ("SMA20_weekly", "w_sma_20"), ("SMA50_weekly", "w_sma_50")],
+}
+
+
+def own_levels(feats: DataFrame) -> DataFrame:
+    """(ticker, horizon, s, r): nearest average of the horizon below the close, and nearest one not below it; (level, order, basis)."""
+    rows = []
+    for h, means in OWN.items():
+        at = [F.struct(F.round(c, 0).alias("level"), F.lit(i).alias("order"), F.lit(name).alias("basis"), F.col(c).alias("v")) for i, (name, c) in enumerate(means)]
+        have = F.filter(F.array(*at), lambda x: x["v"] > 0)
+        below, above = F.filter(have, lambda x: x["v"] < F.col("close")), F.filter(have, lambda x: x["v"] >= F.col("close"))
+        first = F.array_max(F.transform(below, lambda x: F.struct(x["level"].alias("level"), (-x["order"]).alias("order"), x["basis"].alias("basis"))))
+        last = F.array_min(F.transform(above, lambda x: F.struct(x["level"].alias("level"), x["order"].alias("order"), x["basis"].alias("basis"))))
+        rows.append(F.struct(F.lit(h).alias("horizon"), first.alias("s"), last.alias("r")))
+    return feats.select("ticker", F.explode(F.array(*rows)).alias("x")).select("ticker", "x.*")
 
 
 def perspectives(bars: DataFrame) -> DataFrame:
-    """Short texts for each horizon: state, levels, what would confirm it, and what is at risk."""
-    df = multi_horizon(bars)
+    """For each horizon its state, the levels to watch, what would confirm it, and what is at risk.
+
+    Levels are the nearest ones of the horizon's own averages, else the nearest zones of the ticker.
+    """
+    feats = scoring.features(bars)
+    verdict = scoring.verdicts(scoring.components(feats))
+    zones = levels.level_clusters(levels.level_candidates(bars))
+    side = lambda name: F.when(F.col("side") == name, F.struct("level", "basis"))
+    near = zones.groupBy("ticker").agg(F.max(side("support")).alias("zs"), F.min(side("resistance")).alias("zr"))
+    df = verdict.join(own_levels(feats), ["ticker", "horizon"]).join(near, "ticker", "left")
+    pick = lambda own, zone, k: F.coalesce(F.col(f"{own}.{k}"), F.col(f"{zone}.{k}"))
+    df = df.select("ticker", "horizon", "strength", "confidence", "missing", "zs", "zr", *[pick(o, z, k).alias(f"{name}{end}") for o, z, name in (("s", "zs", "support"), ("r", "zr", "resistance")) for k, end in (("level", ""), ("basis", "_basis"))])
     bias = F.coalesce(scoring.bias_of(F.col("strength")), F.lit(0))
-    up = F.concat(F.lit("close above "), amount(F.col("resistance")))
-    down = F.concat(F.lit("close below "), amount(F.col("support")))
-    return df.select(
-        "ticker", "horizon", F.concat(F.replace("strength", F.lit("_"), F.lit(" ")), F.lit(", confidence "), "confidence").alias("state"),
-        F.concat(F.lit("support "), amount(F.col("support")), F.lit(", resistance "), amount(F.col("resistance"))).alias("levels"),
-        F.when(bias > 0, up).when(bias < 0, down).otherwise(F.concat(up, F.lit(" or "), down)).alias("confirmation"),
-        F.when(bias > 0, down).when(bias < 0, up).otherwise(F.lit("no direction")).alias("risk"),
-    )
+    of = lambda level, basis: F.concat(level.cast("bigint").cast("string"), F.lit(" ("), basis, F.lit(")"))
+    s, r = of(F.col("support"), F.col("support_basis")), of(F.col("resistance"), F.col("resistance_basis"))
+    confirmation = F.when(bias > 0, F.coalesce(F.concat(F.lit("close above "), r), F.lit("above all levels"))).when(bias < 0, F.coalesce(F.concat(F.lit("close back above "), r), F.lit("no level above"))).otherwise(F.coalesce(F.concat(r, F.lit(" or "), s), F.lit("no levels on both sides")))
+    overturns = F.when(bias > 0, F.concat(F.lit("close below "), of(F.col("zs.level"), F.col("zs.basis")))).when(bias < 0, F.concat(F.lit("close above "), of(F.col("zr.level"), F.col("zr.basis"))))
+    risk = F.coalesce(overturns, F.when(bias != 0, F.concat(F.lit("close below "), s)), F.lit("no direction"))
+    return df.select("ticker", "horizon", F.concat(F.replace("strength", F.lit("_"), F.lit(" ")), F.lit(", confidence "), "confidence").alias("state"), "support", "support_basis", "resistance", "resistance_basis", confirmation.alias("confirmation"), risk.alias("risk"), "missing")
 
 
 def compare_pivot(bars: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from ..functions import labels
 from ..functions.exprs import recent
 from ..operators import levels, momentum, trend, volatility
@@ -18,8 +20,15 @@ EMAS = (12, 20, 26, 50, 200)
 
 
 def on(n: int, f):
-    """``f`` of the newest n bars of each ticker. Many branches read them, so they are made once and kept (memory, then disk)."""
-    return lambda spark, d: f(recent(bars_1d(spark, d), n).cache())
+    """``f`` of the newest n bars of each ticker. Many branches read them, so they are made once and kept (memory, then disk) as long as the result."""
+
+    def run(spark, d):
+        rows = recent(bars_1d(spark, d), n).cache()
+        out = f(rows)
+        weakref.finalize(out, rows.unpersist).atexit = False
+        return out
+
+    return run
 
 
 def on_levels(f):
@@ -118,14 +127,20 @@ _SQL = {
     "mid_term": {"structure": _structure("sma_20", "sma_50", "sma_100"), "cross_20_50": "c1", "rsi": _rsi("rsi"), "macd": _sign("macd"), "percentile_60": _pct3("p60"), "foreign_60": _sign("f60"), "obv_60": "CASE WHEN p60c IS NULL OR o60 IS NULL THEN NULL WHEN p60c > 2 AND o60 < -1000000 THEN -1 WHEN p60c < -2 AND o60 > 1000000 THEN 1 ELSE 0 END", "weekly_sma20": "CASE WHEN w20 IS NULL THEN NULL WHEN close > w20 THEN 1 ELSE -1 END"},
     "long_term": {"structure": _structure("w20", "w50"), "sma200": "CASE WHEN sma_200 IS NULL THEN NULL WHEN close > sma_200 THEN 1 ELSE -1 END", "cross_50_200": "c2", "weekly_rsi": _rsi("w_rsi"), "weekly_macd": _sign("w_macd"), "percentile_126": _pct3("p126"), "foreign_120": _sign("f120"), "return": _sign("COALESCE(r250, r120)")},
 }
-COMPS = "comps AS (" + " UNION ALL ".join(f"SELECT ticker, '{h}' AS horizon, CAST({i + 1} AS BIGINT) AS ordinal, '{name}' AS component, CAST({w} AS DOUBLE) AS weight, CAST({_SQL[h][name]} AS INT) AS direction FROM feat" for h, parts in scoring.COMPONENTS.items() for i, (name, w) in enumerate(parts)) + ")"
-_BANDS = " ".join(f"WHEN score >= {x} THEN '{name}'" for x, name in scoring.BANDS)
+#: Written out here and not taken from the library, so that a wrong weight there shows.
+_WEIGHTS = {
+    "short_term": [("structure", 1.0), ("rsi", 0.8), ("macd", 0.8), ("percentile_20", 0.5), ("foreign_20", 0.6), ("imbalance", 0.6), ("streak", 0.3)],
+    "mid_term": [("structure", 1.0), ("cross_20_50", 0.6), ("rsi", 0.6), ("macd", 0.6), ("percentile_60", 0.5), ("foreign_60", 0.7), ("obv_60", 0.4), ("weekly_sma20", 0.6)],
+    "long_term": [("structure", 1.0), ("sma200", 0.9), ("cross_50_200", 0.7), ("weekly_rsi", 0.6), ("weekly_macd", 0.6), ("percentile_126", 0.5), ("foreign_120", 0.7), ("return", 0.4)],
+}
+COMPS = "comps AS (" + " UNION ALL ".join(f"SELECT ticker, '{h}' AS horizon, CAST({i + 1} AS BIGINT) AS ordinal, '{name}' AS component, CAST({w} AS DOUBLE) AS weight, CAST({_SQL[h][name]} AS INT) AS direction FROM feat" for h, parts in _WEIGHTS.items() for i, (name, w) in enumerate(parts)) + ")"
+_BANDS = "WHEN score >= 0.5 THEN 'strong_bullish' WHEN score >= 0.25 THEN 'moderate_bullish' WHEN score >= 0.1 THEN 'lean_bullish' WHEN score >= -0.1 THEN 'neutral' WHEN score >= -0.25 THEN 'lean_bearish' WHEN score >= -0.5 THEN 'moderate_bearish'"
 VERDICT = f"""
 vs AS (SELECT ticker, horizon, SUM(CAST(weight AS DECIMAL(9,1))) AS allw, SUM(CAST(weight AS DECIMAL(9,1))) FILTER (direction IS NOT NULL) AS have, SUM(CAST(weight AS DECIMAL(9,1))) FILTER (direction <> 0) AS aimed, SUM(CAST(weight AS DECIMAL(9,1)) * direction) AS net,
   COUNT(*) FILTER (direction > 0) AS bullish, COUNT(*) FILTER (direction < 0) AS bearish, COUNT(*) FILTER (direction = 0) AS neutral, COUNT(*) FILTER (direction IS NULL) AS missing FROM comps GROUP BY ticker, horizon),
 vt AS (SELECT *, CAST(net AS DOUBLE) / CAST(have AS DOUBLE) AS score, COALESCE(CAST(have AS DOUBLE) / CAST(allw AS DOUBLE), 0) AS coverage, COALESCE(ABS(CAST(net AS DOUBLE) / CAST(aimed AS DOUBLE)), 0) AS agreement FROM vs),
 verdict AS (SELECT ticker, horizon, CASE WHEN score IS NULL THEN 'insufficient_data' {_BANDS} ELSE 'strong_bearish' END AS strength, ROUND(score, 6) AS score, ROUND(coverage, 6) AS coverage, ROUND(agreement, 6) AS agreement,
-  CASE WHEN coverage >= 0.75 AND agreement >= 0.60 THEN '{scoring.HIGH}' WHEN coverage >= 0.50 AND agreement >= 0.40 THEN '{scoring.MEDIUM}' ELSE '{scoring.LOW}' END AS confidence, bullish, bearish, neutral, missing FROM vt)"""
+  CASE WHEN coverage >= 0.75 AND agreement >= 0.60 THEN 'cao' WHEN coverage >= 0.50 AND agreement >= 0.40 THEN 'trung bình' ELSE 'thấp' END AS confidence, bullish, bearish, neutral, missing FROM vt)"""
 H500 = (BARS, back(500), recurrence((12, 26)), macd(), rsi(), OBV, WEEKLY, W_EMA, W_MACD, W_RSI, FEATURES)
 BIAS = "CASE WHEN strength LIKE '%bullish' THEN 1 WHEN strength LIKE '%bearish' THEN -1 WHEN strength = 'insufficient_data' THEN NULL ELSE 0 END"
 
@@ -191,6 +206,24 @@ STRENGTH = f"CASE WHEN {_TOTAL} >= 2.0::DOUBLE THEN 'strong_bullish' WHEN {_TOTA
 WORDS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.WORDING.items()) + ") {0}(label, vi)"
 
 
+OWN_LEVELS = """
+own AS (SELECT ticker, close, unnest([{'h': 'short_term', 'b': 'EMA12', 'o': 1, 'v': ema_12}, {'h': 'short_term', 'b': 'SMA20', 'o': 2, 'v': sma_20}, {'h': 'short_term', 'b': 'SMA50', 'o': 3, 'v': sma_50},
+  {'h': 'mid_term', 'b': 'SMA20', 'o': 1, 'v': sma_20}, {'h': 'mid_term', 'b': 'SMA50', 'o': 2, 'v': sma_50}, {'h': 'mid_term', 'b': 'SMA100', 'o': 3, 'v': sma_100}, {'h': 'mid_term', 'b': 'SMA200', 'o': 4, 'v': sma_200},
+  {'h': 'long_term', 'b': 'SMA200_daily', 'o': 1, 'v': sma_200}, {'h': 'long_term', 'b': 'SMA20_weekly', 'o': 2, 'v': w20}, {'h': 'long_term', 'b': 'SMA50_weekly', 'o': 3, 'v': w50}], recursive := true) FROM feat),
+os AS (SELECT ticker, h, FIRST(ROUND(v, 0) ORDER BY ROUND(v, 0) DESC, o) AS l, FIRST(b ORDER BY ROUND(v, 0) DESC, o) AS b FROM own WHERE v > 0 AND v < close GROUP BY ticker, h),
+orr AS (SELECT ticker, h, FIRST(ROUND(v, 0) ORDER BY ROUND(v, 0), o) AS l, FIRST(b ORDER BY ROUND(v, 0), o) AS b FROM own WHERE v > 0 AND v >= close GROUP BY ticker, h),
+zs AS (SELECT ticker, MAX(level) AS l, ARG_MAX(basis, level) AS b FROM zones WHERE side = 'support' GROUP BY ticker),
+zr AS (SELECT ticker, MIN(level) AS l, ARG_MIN(basis, level) AS b FROM zones WHERE side = 'resistance' GROUP BY ticker),
+views AS (SELECT v.ticker, v.horizon, strength, confidence, missing, COALESCE(os.l, zs.l) AS support, COALESCE(os.b, zs.b) AS support_basis, COALESCE(orr.l, zr.l) AS resistance, COALESCE(orr.b, zr.b) AS resistance_basis,
+  CAST(CAST(zs.l AS BIGINT) AS VARCHAR) || ' (' || zs.b || ')' AS zst, CAST(CAST(zr.l AS BIGINT) AS VARCHAR) || ' (' || zr.b || ')' AS zrt
+  FROM verdict v LEFT JOIN os ON os.ticker = v.ticker AND os.h = v.horizon LEFT JOIN orr ON orr.ticker = v.ticker AND orr.h = v.horizon LEFT JOIN zs ON zs.ticker = v.ticker LEFT JOIN zr ON zr.ticker = v.ticker)"""
+PERSPECTIVES = f"""
+SELECT ticker, horizon, replace(strength, '_', ' ') || ', confidence ' || confidence AS state, support, support_basis, resistance, resistance_basis,
+  CASE WHEN bias > 0 THEN COALESCE('close above ' || r, 'above all levels') WHEN bias < 0 THEN COALESCE('close back above ' || r, 'no level above') ELSE COALESCE(r || ' or ' || s, 'no levels on both sides') END AS confirmation,
+  COALESCE(CASE WHEN bias > 0 THEN 'close below ' || zst WHEN bias < 0 THEN 'close above ' || zrt END, CASE WHEN bias <> 0 THEN 'close below ' || s END, 'no direction') AS risk, missing
+FROM (SELECT *, COALESCE({BIAS}, 0) AS bias, CAST(CAST(support AS BIGINT) AS VARCHAR) || ' (' || support_basis || ')' AS s, CAST(CAST(resistance AS BIGINT) AS VARCHAR) || ' (' || resistance_basis || ')' AS r FROM views)"""
+
+
 QUERIES = {
     "swing_points": (on_levels(levels.swing_points), q("SELECT ticker, kind, ordinal, date, level FROM swing", BARS, B, SWINGS)),
     "close_extremes": (on_levels(levels.close_extremes), q('SELECT ticker, win AS "window", high, high_date, low, low_date FROM ext', BARS, B, EXTREMES)),
@@ -217,7 +250,7 @@ QUERIES = {
     "invalidation": (on(500, _invalidation), q(f"SELECT v.ticker, horizon, CASE WHEN bias > 0 THEN support WHEN bias < 0 THEN resistance END AS level, CASE WHEN bias = 0 THEN resistance END AS upper_level, CASE WHEN bias = 0 THEN support END AS lower_level FROM (SELECT *, COALESCE({BIAS}, 0) AS bias FROM verdict) v JOIN placed p ON v.ticker = p.ticker", *H_LEVELS)),
     "horizon_alignment": (
         comps(lambda c: scoring.alignment(scoring.verdicts(c))),
-        q(f"SELECT ticker, CASE WHEN scored = 0 THEN 'insufficient_data' WHEN bulls = scored THEN 'all_bullish' WHEN bears = scored THEN 'all_bearish' WHEN bulls > 0 AND bears > 0 THEN 'conflicting' WHEN bulls > 0 THEN 'mostly_bullish' WHEN bears > 0 THEN 'mostly_bearish' ELSE 'all_neutral' END AS label, bulls, bears, neutrals, scored, CASE COALESCE(CASE WHEN bulls > bears THEN ru WHEN bears > bulls THEN rd ELSE rn END, ra) WHEN 2 THEN '{scoring.HIGH}' WHEN 1 THEN '{scoring.MEDIUM}' ELSE '{scoring.LOW}' END AS confidence FROM (SELECT ticker, COUNT(*) FILTER (s = 1) AS bulls, COUNT(*) FILTER (s = -1) AS bears, COUNT(*) FILTER (s = 0) AS neutrals, COUNT(s) AS scored, MIN(r) AS ra, MIN(r) FILTER (s = 1) AS ru, MIN(r) FILTER (s = -1) AS rd, MIN(r) FILTER (s = 0) AS rn FROM (SELECT ticker, {BIAS} AS s, CASE confidence WHEN '{scoring.HIGH}' THEN 2 WHEN '{scoring.MEDIUM}' THEN 1 ELSE 0 END AS r FROM verdict) GROUP BY ticker)", *H500, COMPS, VERDICT),
+        q(f"SELECT ticker, CASE WHEN scored = 0 THEN 'insufficient_data' WHEN bulls = scored THEN 'all_bullish' WHEN bears = scored THEN 'all_bearish' WHEN bulls > 0 AND bears > 0 THEN 'conflicting' WHEN bulls > 0 THEN 'mostly_bullish' WHEN bears > 0 THEN 'mostly_bearish' ELSE 'all_neutral' END AS label, bulls, bears, neutrals, scored, CASE COALESCE(CASE WHEN bulls > bears THEN ru WHEN bears > bulls THEN rd ELSE rn END, ra) WHEN 2 THEN 'cao' WHEN 1 THEN 'trung bình' ELSE 'thấp' END AS confidence FROM (SELECT ticker, COUNT(*) FILTER (s = 1) AS bulls, COUNT(*) FILTER (s = -1) AS bears, COUNT(*) FILTER (s = 0) AS neutrals, COUNT(s) AS scored, MIN(r) AS ra, MIN(r) FILTER (s = 1) AS ru, MIN(r) FILTER (s = -1) AS rd, MIN(r) FILTER (s = 0) AS rn FROM (SELECT ticker, {BIAS} AS s, CASE confidence WHEN 'cao' THEN 2 WHEN 'trung bình' THEN 1 ELSE 0 END AS r FROM verdict) GROUP BY ticker)", *H500, COMPS, VERDICT),
     ),
     "classify_trend": (feats(scoring.classify_trend), q(f"SELECT ticker, {TREND} AS trend FROM feat", *H500)),
     "classify_momentum": (feats(scoring.classify_momentum), q(f"SELECT ticker, {MOMENTUM_CLASS} AS momentum FROM feat", *H500)),
@@ -251,9 +284,6 @@ QUERIES = {
     "foreign_top_sellers": (scan5(lambda s: scoring.foreign_top(s, 5, False)), q("SELECT ROW_NUMBER() OVER (ORDER BY net_value, ticker) AS rank, ticker, net_value, net_volume, room FROM sc WHERE net_value < 0 OR (SELECT MIN(net_value) FROM sc) >= 0 QUALIFY rank <= 5", BARS, back(20), SCAN5)),
     "room_warnings": (scan5(lambda s: scoring.room_warnings(s, 9_999_990)), q("SELECT ticker, room FROM sc WHERE room < 9999990", BARS, back(20), SCAN5)),
     "multi_horizon": (on(500, report.multi_horizon), q("SELECT * FROM verdict JOIN placed USING (ticker)", *H_LEVELS)),
-    "perspectives": (
-        on(500, report.perspectives),
-        q(f"SELECT ticker, horizon, replace(strength, '_', ' ') || ', confidence ' || confidence AS state, 'support ' || s || ', resistance ' || r AS levels, CASE WHEN bias > 0 THEN 'close above ' || r WHEN bias < 0 THEN 'close below ' || s ELSE 'close above ' || r || ' or close below ' || s END AS confirmation, CASE WHEN bias > 0 THEN 'close below ' || s WHEN bias < 0 THEN 'close above ' || r ELSE 'no direction' END AS risk FROM (SELECT *, COALESCE({BIAS}, 0) AS bias, COALESCE(CAST(CAST(support AS BIGINT) AS VARCHAR), 'none') AS s, COALESCE(CAST(CAST(resistance AS BIGINT) AS VARCHAR), 'none') AS r FROM verdict JOIN placed USING (ticker))", *H_LEVELS),
-    ),
+    "perspectives": (on(500, report.perspectives), q(PERSPECTIVES, *H_LEVELS, OWN_LEVELS)),
     "compare_pivot": (on(250, report.compare_pivot), q("SELECT c.*, FALSE AS excluded, ROUND(return_pct, 6) AS return_pct, ROUND(max_drawdown_pct, 6) AS max_drawdown_pct, ROUND(from_low_pct, 6) AS from_low_pct, p.close, support, resistance, pct_in_band, reading FROM cma c JOIN s52 ON c.ticker = s52.ticker JOIN placed p ON c.ticker = p.ticker", *C250, S250, SWINGS, EXTREMES, CANDIDATES, ZONES, POSITION)),
 }

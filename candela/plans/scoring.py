@@ -210,9 +210,10 @@ def rank_observation(table: DataFrame, field: str, gap: float, absolute: bool =
     """Tickers by a metric, and whether its spread is material."""
     v = F.abs(field) if absolute else F.col(field)
     df = table.select("ticker", v.alias("value")).where("value IS NOT NULL")
-    everywhere = Window.orderBy(F.desc("value"), "ticker").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    spread = F.first("value").over(everywhere) - F.last("value").over(everywhere)
-    return df.select("ticker", F.lit(field).alias("metric"), F.round("value", 6).alias("value"), F.row_number().over(Window.orderBy(F.desc("value"), "ticker")).cast("bigint").alias("rank"), (spread >= gap).alias("material"))
+    spread = df.agg((F.max("value") - F.min("value")).alias("spread"))
+    # ranks need one order of all compared tickers, of which a request has five at most
+    rank = F.row_number().over(Window.orderBy(F.desc("value"), "ticker")).cast("bigint")
+    return df.withColumn("rank", rank).crossJoin(F.broadcast(spread)).select("ticker", F.lit(field).alias("metric"), F.round("value", 6).alias("value"), "rank", (F.col("spread") >= gap).alias("material"))
 
 
 #: Differences from which tickers count as unlike.
@@ -322,12 +323,15 @@ def screen_details(bars: DataFrame) -> DataFrame:
     return df.select("ticker", "date", "total_volume", r("total_value", 2).alias("total_value"), r(F.coalesce(flow.imbalance("buy_volume", "sell_volume"), F.lit(0.0))).alias("imbalance"), r("net", 2).alias("foreign_net_value"), r("net5", 2).alias("foreign_net_value_5d"), "foreign_room", r("lo").alias("support"), r("hi").alias("resistance"), r(pct("close", "lo")).alias("to_support_pct"), r((F.col("hi") - F.col("close")) / F.col("hi") * 100).alias("to_resistance_pct"), r(vol).alias("volatility_pct"), r(vol / 8).alias("stop_pct"))
 
 
-def screen_and_rank(scores: DataFrame, bars: DataFrame, n: int = 5) -> DataFrame:
-    """The n best scores; equal ones by the change of the last row, then in universe order."""
+def screen_and_rank(scores: DataFrame, bars: DataFrame, n: int = 5, universe: DataFrame | None = None) -> DataFrame:
+    """The n best scores; equal ones by the change of the last row, then in the order of the universe (ticker, pos), or of the tickers."""
     change = latest(bars).select("ticker", cents(pct("close", "prev_close")).alias("change_pct"))
-    df = scores.join(change, "ticker").orderBy(F.desc("score"), F.desc("change_pct"), "ticker").limit(n)
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("change_pct"), "ticker")).cast("bigint")
-    return df.withColumn("rank", rank).select("rank", "ticker", "score", "change_pct")
+    df = scores.join(change, "ticker")
+    df = df.withColumn("pos", F.lit(0)) if universe is None else df.join(universe.select("ticker", "pos"), "ticker", "left")
+    order = [F.desc("score"), F.desc("change_pct"), F.asc_nulls_last("pos"), F.asc("ticker")]
+    # the window has no partition, but n rows only
+    rank = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    return df.orderBy(*order).limit(n).withColumn("rank", rank).select("rank", "ticker", "score", "change_pct")
 
 
 def foreign_scan(bars: DataFrame, n: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from candela.api import Engine, RequestError
 from candela.operators import scans
+from candela.plans import scoring
 from candela.sources import feeds, ingest
 from candela.sources.projections import bars_1d, index_1d, snapshots
 from candela.streaming import sessions
@@ -86,6 +87,19 @@ def test_stream_equals_batch(spark, data, tmp_path):
     assert key(got) == key(sessions.session_bars(s)) and got.count() > 0
 
 
+def test_timestamps(spark):
+    rows = [("2024-01-02 09:15:00",), ("2024-01-02T09:15:00",), (" 2024/1/2 9:15:00 ",), ("2024-01-02 09:15",), ("2024-01-02",), ("02.01.2024",), ("2024-13-02 00:00:00",), (None,)]
+    got = [r.t for r in spark.createDataFrame(rows, "s string").select(sessions.parse_timestamp(F.col("s")).alias("t")).collect()]
+    nine = datetime.datetime(2024, 1, 2, 9, 15)
+    assert got == [nine, nine, nine, nine, datetime.datetime(2024, 1, 2), None, None, None]
+
+
+def test_counts_beyond_64_bits_are_rejected(spark):
+    raw = spark.createDataFrame([(1, "A", "2024-01-02", "5", "5", "99999999999999999999"), (2, "A", "2024-01-02", "5", "5", "7")], "seq long, Symbol string, Date string, PricePreviousClose string, PriceClose string, TotalVolume string")
+    assert [(r.seq, r.reject_reason, r.total_volume) for r in ingest.parse(raw).orderBy("seq").collect()] == [(1, "bad total_volume", 0), (2, None, 7)]
+    assert raw.select(ingest.as_int(F.col("TotalVolume")).alias("x")).first().x == 0
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 2.0)], "ticker string, date int, close double")
     new = spark.createDataFrame([("A", 1, 5.0, 1), ("A", 1, 6.0, 2), ("C", 1, 7.0, 1)], "ticker string, date int, close double, seq long")
@@ -108,8 +122,20 @@ def test_engine(spark, data, tmp_path):
     assert e.compare(two)["stats_52w"].count() == 2
     assert e.screen(top_n=3).count() == 3 and e.screen("intraday_breakout", top_n=3).columns == ["rank", "ticker", "score", "change_pct"]
     assert e.foreign_scan(5, 2)["buyers"].count() <= 2
-    for call in (lambda: e.indicators(["vwap"]), lambda: e.prices(["a b"]), lambda: e.compare(["Brand#1"]), lambda: e.screen("x"), lambda: e.multi_horizon(scope="x"), lambda: e.prices(lookback=0), lambda: e.flow_summary(window=1)):
+    old = e.prices(two, None, "1997-01-01")
+    assert old.count() > 0 and not any(r.fallback for r in old.collect()) and old.agg(F.max("date")).first()[0] <= datetime.date(1997, 1, 1)
+    assert e.prices(two, "1992-01-01", lookback=1).count() == e.bars.where("lower(ticker) IN ('brand#1', 'brand#2') AND date >= '1992-01-01'").count()
+    assert e.prices(timeframe="1h", start="2024-01-03", end="2024-01-03").count() > 0 and e.prices(timeframe="1h", lookback=1).count() == e.hours.select("ticker").distinct().count()
+    own = e.indicators(["trend", "momentum"], two, params={"rsi_window": 5, "ema_windows": [3], "sma_windows": [4]}, series_tail=2)
+    assert own["trend.ema"].columns == ["ticker", "date", "ema_3"] and own["trend.series"].count() == 4 and own["trend.series"].columns[-1] == "sma_4" and "momentum.series" not in own
+    assert own["momentum.rsi"].first().rsi != e.indicators(["momentum"], two)["momentum.rsi"].first().rsi
+    assert report["perspectives"].count() == 2 and report["weekly_bars"].count() == 2
+    more = e.multi_horizon(two, detail="full", series_tail=3)
+    assert more["daily.trend.series"].count() == 6 and more["weekly.rsi"].count() == 2
+    tie = scoring.screen_and_rank(e.bars.select("ticker", F.lit(5.0).alias("score")).distinct(), e.bars.withColumn("close", F.col("prev_close")), 3, spark.createDataFrame([("Brand#3", 0), ("Brand#1", 1), ("Brand#2", 2)], "ticker string, pos int"))
+    assert [r.ticker for r in tie.orderBy("rank").collect()] == [t for t in ("Brand#3", "Brand#1", "Brand#2")]
+    for call in (lambda: e.indicators(["trend"], params={"x": 1}), lambda: e.indicators(["trend"], params={"rsi_window": 0}), lambda: e.prices(timeframe="5m"), lambda: e.multi_horizon(detail="x"), lambda: e.indicators(["vwap"]), lambda: e.prices(["a b"]), lambda: e.compare(["Brand#1"]), lambda: e.screen("x"), lambda: e.multi_horizon(scope="x"), lambda: e.prices(lookback=0), lambda: e.flow_summary(window=1)):
         with pytest.raises(RequestError):
             call()
     log = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "audit")).collect()]
-    assert {r["tool"] for r in log} >= {"prices", "indicators", "screen"}
+    assert {r["tool"] for r in log} >= {"prices", "indicators", "screen"} and all(r["seconds"] >= 0 for r in log) and sum(r["result"].startswith("refused") for r in log) == 11
