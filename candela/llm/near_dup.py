@@ -233,7 +233,7 @@ def shingles_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, how: Simila
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
 
-    firsts = written(classes.join(ids, classes["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")))
+    firsts = classes.join(ids, classes["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("text").cast("binary").alias("text"))
     return texts.join(firsts, ["doc_id", "th"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(run, SETS)
 
@@ -317,13 +317,15 @@ def requests(places: DataFrame, comps: DataFrame, members: DataFrame, sigs: Data
     return asked.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, REQUEST).distinct()
 
 
-def request_edges(asks: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, how: Similar) -> DataFrame:
-    """Spanning edges of the links between the documents of blocks and those sent there."""
+def request_edges(asks: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
+    """Spanning edges of the links between the documents of blocks and those sent there. ``sets`` has most of them already."""
     held = written(asks.groupBy("root", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts")))
     sent = asks.join(held, ["root", "block"]).select("root", "block", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id")
     there = members.select("id", "root", "block").join(held, ["root", "block"]).select("root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id")
     dealt = written(sent.unionByName(there))
-    sets = written(shingles_of(docs, classes, dealt.select("id"), how))
+    more = written(dealt.select("id").distinct().join(sets, "id", "left_anti"))
+    if not more.isEmpty():
+        sets = sets.unionByName(written(shingles_of(docs, classes, more, how)))
     return _verified(dealt.join(sets, "id").select("root", "block", "part", "id", "shingles"), how)
 
 
@@ -333,13 +335,13 @@ def set_components(docs: DataFrame, classes: DataFrame, distinct: DataFrame, how
     places = forest(distinct)
     clusters = components(neighbour_edges(places, sigs, how))
     members = written(blocks_of(places, clusters, classes))
-    near = shingles_of(docs, classes, clusters.select("id"), how)
-    first = components(block_edges(members, written(near), how))
+    near = written(shingles_of(docs, classes, clusters.select("id"), how))
+    first = components(block_edges(members, near, how))
     asks = written(requests(places, first, members, sigs, how))
     comp = first.select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
     if asks.isEmpty():
         return comp.withColumnRenamed("comp", "root")
-    edges = request_edges(asks, members, docs, classes, how)
+    edges = request_edges(asks, members, docs, classes, near, how)
     for c in ("a", "b"):
         edges = edges.join(comp.select(F.col("set_id").alias(c), F.col("comp").alias(f"c_{c}")), c, "left").withColumn(c, F.coalesce(f"c_{c}", c)).drop(f"c_{c}")
     last = components(edges).select(F.col("id").alias("comp"), "root")
