@@ -8,7 +8,7 @@ sentences and lines, each on its own. A message answers the origin that most lin
 come from (the latest of equals); without a link it answers the previous turn, if there is one.
 
 From the answers each message gets its thread (the turn of the message that began it) and its depth in it, by pointer
-doubling over the keys (conv_id, turn): log2(depth) joins. Result: a row for each message, without quotes and without the
+doubling over the keys (conv_id, turn): log2(depth) joins, each of the conversations that are as deep. Result: a row for each message, without quotes and without the
 attribution line above a quote, as chat text. ``query`` sorts the rows by conversation, thread, depth and turn, which puts
 every message behind the one it answers: files hold whole conversations in reply order, a very long one is split by range.
 
@@ -20,11 +20,13 @@ message for links. Other columns are ignored, whatever their names; empty tables
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, scratch, written
+from .common import scratch, written
 
 MARKS = r"^((?:[ \t]*>)+)"
 #: How mail programs introduce a quote, in the languages at hand.
@@ -51,6 +53,10 @@ def own_lines(lines: Column) -> Column:
     return F.filter(lines, lambda x, i: (level(x) == 0) & ~is_attribution(lines, x, i))
 
 
+def quotes(lines: str) -> Column:
+    return F.exists(lines, lambda x: F.ltrim(x).startswith(">") | (level(x) > 0))
+
+
 def with_passages(df: DataFrame) -> DataFrame:
     """``df``, which has ``lines``, with ``passages``: array of (level, lines, text, units)."""
     item = lambda x, i: F.struct(F.when(is_attribution(F.col("lines"), x, i), -1).otherwise(level(x)).alias("level"), normal(x).alias("text"))
@@ -82,9 +88,15 @@ def nearest(said: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, origin, n_linked) for the messages (conv_id, turn, passages) that quote an earlier one."""
-    each = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p"))
-    each = each.withColumn("hash", F.sha2(F.col("p.text"), 256))
+    """(conv_id, turn, origin, n_linked) for the messages (conv_id, turn, lines) that quote an earlier one.
+
+    Only conversations that have a quote are taken apart.
+    """
+    known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "lines")
+    with_quotes = written(known.where(quotes("lines")).select("conv_id").distinct())
+    # outer: for a plain explode Spark would derive a filter on the array, and make the passages once more for it
+    each = with_passages(known.join(with_quotes, "conv_id", "left_semi")).select("conv_id", "turn", F.explode_outer("passages").alias("p")).where("p IS NOT NULL")
+    each = written(each.withColumn("hash", F.sha2(F.col("p.text"), 256)))
     said = each.where("p.level = 0").select("conv_id", "turn", F.explode(F.concat(F.array("hash"), F.transform("p.units", lambda u: F.sha2(u, 256)))).alias("hash"))
     quoted = each.where("p.level > 0").select("conv_id", "turn", F.col("p.level").alias("depth"), F.col("hash").alias("passage"), F.col("p.lines").cast("long").alias("lines"), "hash", F.col("p.units").alias("units"))
     whole = quoted.select("conv_id", "turn", "depth", "passage", F.lit(1).alias("whole"), "lines", "hash")
@@ -102,28 +114,33 @@ def linked(messages: DataFrame) -> DataFrame:
 def threads(answers: DataFrame) -> DataFrame:
     """(conv_id, turn, thread, depth) of a table (conv_id, turn, reply_to) of different keys."""
     now = written(answers.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("thread"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    done: list[DataFrame] = []
     while True:
-        up = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"), F.col("depth").alias("more")).where("more > 0")
-        if now.join(up, ["conv_id", "thread"], "left_semi").isEmpty():
-            return now
-        after = written(now.join(up, ["conv_id", "thread"], "left").select("conv_id", "turn", F.coalesce("next", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-        discard(now)
-        now = after
+        up = now.where("depth > 0").select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"), F.col("depth").alias("more"))
+        met = now.join(up, ["conv_id", "thread"], "left")
+        after = written(met.select("conv_id", "turn", F.coalesce("next", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")))
+        open_ = written(after.where("moved").select("conv_id").distinct())
+        after = after.drop("moved")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done, after)
+        # only conversations that are not at their roots yet go on
+        done.append(after.join(open_, "conv_id", "left_anti"))
+        now = after.join(open_, "conv_id", "left_semi")
 
 
 def chat(df: DataFrame) -> DataFrame:
     """(conv_id, turn, role, reply_to, thread, depth, n_quoted, n_linked, text, message) for each message."""
     base = df.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    messages = with_passages(base)
     keys = ["conv_id", "turn"]
     with scratch(df.sparkSession) as keep:
-        links = written(linked(messages))
+        links = written(linked(base))
         turns = base.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(*keys).distinct()
         before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
         answers = written(turns.join(before, keys, "left").join(links, keys, "left").select(*keys, F.coalesce("origin", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
         placed = keep(answers.join(threads(answers.select(*keys, "reply_to")), keys))
     text = F.trim(F.regexp_replace(F.concat_ws("\n", own_lines(F.col("lines"))), r"\n{3,}", "\n\n"))
-    said = messages.select(*keys, "role", F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long").alias("n_quoted"), text.alias("text"))
+    quoted = with_passages(base.withColumn("text", text).withColumn("lines", F.when(quotes("lines"), F.col("lines")).otherwise(F.array().cast("array<string>"))))
+    said = quoted.select(*keys, "role", F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long").alias("n_quoted"), "text")
     return said.join(placed, keys, "left").select(
         *keys, "role", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "text",
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>")).alias("message"),
