@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents; the
-last returns a row for each document of the mix with its token ids.
+last returns a row for each document of the mix with its token counts and digests.
+
+Null and empty texts fail the quality rules and go there, very long ones are worked on whole. Rows that repeat an id stay
+documents of their own as long as their texts differ; of equal rows near-dedup keeps those of the one document. Null ids, languages and
+sources are kept as they are; rows without an id are never near duplicates. Other columns, whatever their names, pass through all stages but
+the last. An empty table gives an empty result. A stage's tables are deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from candela.llm import bpe, host_rules, line_dedup, mixing, near_dup
-from candela.llm.common import written
+from candela.llm.common import discard, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, before, sf_dir))
+        if before is not given:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
