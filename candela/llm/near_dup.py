@@ -224,8 +224,13 @@ def _linked(group: pa.Table, percent: int) -> np.ndarray:
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
-def shingles_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, how: Similar) -> DataFrame:
-    """(id, shingles) of the sets in a table (id)."""
+def firsts_of(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, doc_id, th): the document that stands for each set of a table (id)."""
+    return classes.join(ids, classes["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
+
+
+def shingles_of(docs: DataFrame, firsts: DataFrame, how: Similar) -> DataFrame:
+    """(id, shingles) of the documents (id, doc_id, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +238,6 @@ def shingles_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, how: Simila
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
 
-    firsts = classes.join(ids, classes["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("text").cast("binary").alias("text"))
     return texts.join(firsts, ["doc_id", "th"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(run, SETS)
 
@@ -325,7 +329,8 @@ def request_edges(asks: DataFrame, members: DataFrame, docs: DataFrame, classes:
     dealt = written(sent.unionByName(there))
     more = written(dealt.select("id").distinct().join(sets, "id", "left_anti"))
     if not more.isEmpty():
-        sets = sets.unionByName(written(shingles_of(docs, classes, more, how)))
+        # written, so that its size is known: a small one is broadcast instead of shuffling the texts
+        sets = sets.unionByName(written(shingles_of(docs, written(firsts_of(classes, more)), how)))
     return _verified(dealt.join(sets, "id").select("root", "block", "part", "id", "shingles"), how)
 
 
@@ -335,7 +340,7 @@ def set_components(docs: DataFrame, classes: DataFrame, distinct: DataFrame, how
     places = forest(distinct)
     clusters = components(neighbour_edges(places, sigs, how))
     members = written(blocks_of(places, clusters, classes))
-    near = written(shingles_of(docs, classes, clusters.select("id"), how))
+    near = written(shingles_of(docs, firsts_of(classes, clusters.select("id")), how))
     first = components(block_edges(members, near, how))
     asks = written(requests(places, first, members, sigs, how))
     comp = first.select(F.col("id").alias("set_id"), F.col("root").alias("comp"))

@@ -10,6 +10,7 @@ import tiktoken
 import corpus_pipeline
 from candela.llm.common import written
 
+from . import edge
 from .test_text_ops import brute_classes, brute_counts, brute_lines, brute_targets
 
 
@@ -62,3 +63,33 @@ def test_stages(spark, data):
 def test_run_is_the_stages_in_order(spark, data):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near-dedup", "mixing", "byte-level BPE"]
     assert corpus_pipeline.run(spark, f"{data}/sf0.001").count() > 0
+
+
+def test_stages_on_awkward_and_empty_tables(spark):
+    """Every stage takes the awkward rows and clashing columns that its predecessor kept, and an empty table."""
+    for start in (edge.documents(spark), edge.empty(spark)):
+        steps = [start]
+        for _, stage in corpus_pipeline.STAGES:
+            steps.append(written(stage(spark, steps[-1], "")))
+        assert all(s.columns == start.columns for s in steps[:-1]) and [f.dataType for f in steps[-2].schema] == [f.dataType for f in start.schema]
+        counts = [s.count() for s in steps]
+        if counts[0]:
+            ids = [{r.doc_id for r in s.collect()} for s in steps]
+            assert {1, 2, 3, 4, 5} & ids[1] == set() and {6, 8, None} <= ids[1] and ids[-1] <= ids[3] <= ids[2] <= ids[1] and counts[-1] == counts[-2] > 0
+            # 7 repeats 6 and goes with its lines; the two rows of 8 are one document and both stay
+            assert 7 not in ids[2] and [r.doc_id for r in steps[3].collect()].count(8) == 2
+        else:
+            assert counts == [0] * 6
+
+
+def test_run_leaves_no_tables_but_its_own(spark, data, tmp_path):
+    import os
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        out = corpus_pipeline.run(spark, f"{data}/sf0.001")
+        (folder,) = os.listdir(tmp_path)
+        assert out.count() > 0 and len(os.listdir(tmp_path / folder)) <= 3
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
