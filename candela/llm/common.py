@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+#: Folders of local sessions that have none set.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
@@ -25,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="candela-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
+        if not found:
+            found = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="candela-")
     return found.rstrip("/")
 
 

@@ -5,9 +5,11 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers as P
+import pytest
 import tiktoken
 
 import corpus_pipeline
+from candela.llm import common
 from candela.llm.common import written
 
 from . import edge
@@ -82,14 +84,27 @@ def test_stages_on_awkward_and_empty_tables(spark):
             assert counts == [0] * 6
 
 
-def test_run_leaves_no_tables_but_its_own(spark, data, tmp_path):
+def test_run_leaves_no_tables_but_its_own(spark, data, tmp_path, monkeypatch):
     import os
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = corpus_pipeline.run(spark, f"{data}/sf0.001")
-        (folder,) = os.listdir(tmp_path)
-        assert out.count() > 0 and len(os.listdir(tmp_path / folder)) <= 3
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, f"{data}/sf0.001")
+    (folder,) = os.listdir(tmp_path)
+    assert out.count() > 0 and len(os.listdir(tmp_path / folder)) <= 3
+
+
+def test_shared_folder_of_a_local_and_of_a_cluster_session():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        applicationId, master = "app", "local[2]"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    assert common.shared_dir(Session()) == common.shared_dir(Session()) != ""
+    Context.master = "spark://somewhere:7077"
+    with pytest.raises(RuntimeError, match="share"):
+        common.shared_dir(Session())
