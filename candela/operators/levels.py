@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import folds
 from ..functions.exprs import NEWEST, W, cases, cents, latest, r6, recent
 from . import trend, volatility
 
@@ -45,15 +46,38 @@ def bollinger_levels(bars: DataFrame) -> DataFrame:
     return df.select("ticker", "x.basis", F.round("x.v", 0).alias("level"))
 
 
-def level_candidates(bars: DataFrame) -> DataFrame:
-    """(ticker, side, basis, level, close): all levels strictly below (support) or above (resistance) the latest close."""
-    label = lambda name: F.concat(F.lit(f"{name} "), F.col("date").cast("string"))
-    swings = swing_points(bars).where("ordinal <= 3").select("ticker", label("swing").alias("basis"), "level")
-    ext = close_extremes(bars)
-    side = lambda c: ext.select("ticker", F.concat(F.lit(f"{c} "), F.col("window").cast("string"), F.lit("d "), F.col(f"{c}_date").cast("string")).alias("basis"), F.col(c).alias("level"))
-    every = swings.unionByName(side("high")).unionByName(side("low")).unionByName(ma_levels(bars)).unionByName(bollinger_levels(bars))
-    close = latest(bars).select("ticker", "close")
-    df = every.join(close, "ticker").where("level <> close")
+def level_candidates(bars: DataFrame, look: int = 5, newest: int = 3) -> DataFrame:
+    """(ticker, side, basis, level, close): all levels strictly below (support) or above (resistance) the latest close.
+
+    The same levels as of the operators above, but from one array of (date, close) for each ticker: one aggregation and one
+    explode, however many kinds of levels there are. The lookback of the caller bounds the array.
+    """
+    a, c, n = F.col("a"), F.col("c"), F.size("a")
+    df = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("a")).withColumn("c", F.transform("a", lambda x: x["close"]))
+    last = lambda k: F.slice(c, -k, k)
+    item = lambda basis, level: F.struct(basis.alias("basis"), F.round(level, 0).alias("level"))
+    near = lambda i: F.slice(c, i - look, 2 * look + 1)
+    places = F.when(n > 2 * look, F.sequence(F.lit(look + 1), n - look)).otherwise(F.array().cast("array<int>"))
+
+    def swings(leads) -> Column:
+        found = F.filter(places, lambda i: (F.array_max(near(i)) > F.array_min(near(i))) & leads(F.get(c, i - 1), near(i)))
+        kept = F.slice(found, F.greatest(F.size(found) - newest + 1, F.lit(1)), newest)
+        return F.transform(kept, lambda i: item(F.concat(F.lit("swing "), F.get(a, i - 1)["date"].cast("string")), F.get(c, i - 1)))
+
+    def extreme(name: str, k: int) -> Column:
+        rows = F.slice(a, -k, k)
+        top = F.array_max(F.transform(rows, lambda x: x["close"])) if name == "high" else F.array_min(F.transform(rows, lambda x: x["close"]))
+        first = F.get(F.filter(rows, lambda x: x["close"] == top), 0)["date"]
+        return F.when(n >= k, item(F.concat(F.lit(f"{name} {k}d "), first.cast("string")), top))
+
+    means = [(f"SMA{k}", F.when(n >= k, folds.total(last(k)) / k)) for k in trend.SMA_WINDOWS] + [(f"EMA{k}", folds.ema(c, k)) for k in trend.EMA_WINDOWS]
+    df = df.withColumn("middle", F.when(n >= 20, folds.total(last(20)) / 20))
+    df = df.withColumn("sd", F.sqrt(folds.total(F.transform(last(20), lambda x: (x - F.col("middle")) * (x - F.col("middle")))) / 20))
+    single = [extreme(name, k) for k in EXTREMES for name in ("high", "low")] + [F.when(v > 0, item(F.lit(name), v)) for name, v in means]
+    single += [F.when(F.col("middle").isNotNull(), item(F.lit(f"BB {name}"), F.col("middle") + sign * 2.0 * F.col("sd"))) for name, sign in (("upper", 1), ("lower", -1))]
+    # a close that leads on both sides counts as high
+    every = F.concat(swings(lambda x, w: x == F.array_max(w)), swings(lambda x, w: (x == F.array_min(w)) & (x < F.array_max(w))), F.array_compact(F.array(*single)))
+    df = df.select("ticker", F.element_at(c, -1).alias("close"), F.explode(every).alias("x")).select("ticker", "close", "x.basis", "x.level").where("level <> close")
     return df.select("ticker", F.when(F.col("level") < F.col("close"), "support").otherwise("resistance").alias("side"), "basis", "level", "close")
 
 
