@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .ingest import FIELDS, as_date, as_float, as_int, as_number
 
@@ -89,6 +89,22 @@ def rest_market(responses: DataFrame) -> DataFrame:
     )
 
 
+def rest_quotes(responses: DataFrame) -> DataFrame:
+    """Current quotes: prices, change against the reference price, the day's volumes, first bid and ask. A quote without one price counts with the next."""
+    names = "Symbol Name Exchange Date PriceBasic PriceCurrent PriceLast PriceClose PriceCeiling PriceFloor PriceOpen PriceHigh PriceLow Volume TotalVolume TotalValue BuyForeignQuantity SellForeignQuantity CurrentForeignRoom PriceBid1 QuantityBid1 PriceAsk1 QuantityAsk1".split()
+    c = F.col
+    given = lambda k: F.when(~F.trim(c(k)).isin("", "0"), c(k))
+    df = rest_items(responses, ",".join(f"{n}:string" for n in names)).withColumn("basic", as_float(c("PriceBasic"))).withColumn("now", as_float(F.coalesce(given("PriceCurrent"), given("PriceLast"), c("PriceClose"))))
+    change = F.when(c("basic") > 0, c("now") - c("basic")).otherwise(0.0)
+    level = lambda side: F.struct(as_float(c(f"Price{side}1")).alias("price"), as_int(c(f"Quantity{side}1")).alias("volume"))
+    return df.select(
+        F.upper("Symbol").alias("ticker"), c("Name").alias("name"), c("Exchange").alias("exchange"), c("Date").alias("timestamp"), c("basic").alias("price_basic"),
+        *[as_float(c(f"Price{k.title()}")).alias(f"price_{k}") for k in ("ceiling", "floor", "open", "high", "low")], c("now").alias("price_current"), F.round(change, 3).alias("change"),
+        F.round(F.when(c("basic") > 0, change / c("basic") * 100).otherwise(0.0), 2).alias("percent_change"), as_int(c("Volume")).alias("volume_last_tick"), as_int(c("TotalVolume")).alias("accumulated_volume"), as_float(c("TotalValue")).alias("accumulated_value"),
+        as_int(c("BuyForeignQuantity")).alias("foreign_buy_volume"), as_int(c("SellForeignQuantity")).alias("foreign_sell_volume"), as_int(c("CurrentForeignRoom")).alias("foreign_room"), level("Bid").alias("bid_1"), level("Ask").alias("ask_1"),
+    )
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.symbols = [s for s in options.get("symbols", "").split(",") if s]
@@ -103,8 +119,33 @@ class FeedReader(DataSourceReader):
             yield (i, *[None if r.get(n) is None else str(r[n]) for n in FIELDS])
 
 
+class FeedStreamReader(DataSourceStreamReader):
+    """Each batch asks the provider once for every symbol, one task a symbol. A batch that is run again asks again: quotes are live."""
+
+    def __init__(self, options: dict):
+        self.batch = FeedReader(options)
+        self.polls = 0
+
+    def initialOffset(self):
+        return {"polls": 0}
+
+    def latestOffset(self):
+        self.polls += 1
+        return {"polls": self.polls}
+
+    def partitions(self, start, end):
+        self.polls = max(self.polls, end["polls"])
+        return self.batch.partitions()
+
+    def read(self, partition):
+        return self.batch.read(partition)
+
+
 class FeedDataSource(DataSource):
-    """``spark.read.format("candela_feed")``: option ``provider`` ("module:function", symbol -> response) is called once for each of ``symbols``, each in a task of its own."""
+    """``spark.read.format("candela_feed")``: option ``provider`` ("module:function", symbol -> response) is called once for each of ``symbols``, each in a task of its own.
+
+    ``spark.readStream.format("candela_feed")`` calls it again for each batch.
+    """
 
     @classmethod
     def name(cls):
@@ -115,3 +156,6 @@ class FeedDataSource(DataSource):
 
     def reader(self, schema):
         return FeedReader(self.options)
+
+    def streamReader(self, schema):
+        return FeedStreamReader(self.options)

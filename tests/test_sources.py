@@ -6,7 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from candela import ingest_job
 from candela.api import Engine, RequestError
+from candela.functions import payload
 from candela.operators import scans
 from candela.plans import scoring
 from candela.sources import feeds, ingest
@@ -61,6 +63,34 @@ def test_data_source(spark):
     assert sorted(r.ticker for r in ingest.parse(df).collect()) == ["AAA", "BBB"]
 
 
+def test_stream_of_the_data_source(spark, tmp_path):
+    spark.dataSource.register(feeds.FeedDataSource)
+    stream = spark.readStream.format("candela_feed").option("symbols", "AAA,BBB").option("provider", "tests.test_sources:daily").load()
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(90)
+    got = ingest.parse(spark.read.parquet(str(tmp_path / "out"))).groupBy("ticker").count().collect()
+    assert {r.ticker for r in got} == {"AAA", "BBB"} and len({r["count"] for r in got}) == 1
+
+
+def test_ingest_job(spark, tmp_path, capsys):
+    (tmp_path / "a.json").write_text(json.dumps({"Data": RECORDS}))
+    for _ in range(2):
+        assert ingest_job.main(["--file", str(tmp_path / "a.json"), "--table", str(tmp_path / "t")], spark) == 0
+    said = capsys.readouterr().out
+    assert said.count("records 4, parsed 2, rejected 2, written 1, tickers VNM") == 2 and "rejected VNM 2024-01-03: bad close" in said
+    assert ingest_job.main(["--symbols", "XXX", "--provider", "tests.test_sources:daily", "--table", str(tmp_path / "t")], spark) == 0
+    rows = sessions.read_upserted(spark, str(tmp_path / "t"), "ticker", "date").collect()
+    assert {(r.ticker, r.close) for r in rows} == {("VNM", 68600.0), ("XXX", 68510.0)}
+
+
+def test_quotes_and_payloads(spark):
+    body = json.dumps({"success": True, "data": [{"Symbol": "abc", "PriceBasic": "10,000", "PriceCurrent": "0", "PriceLast": "10500", "TotalVolume": "1,200", "PriceBid1": "10400", "QuantityBid1": "7"}, {"Symbol": "d", "PriceClose": "5"}]})
+    a, d = feeds.rest_quotes(spark.createDataFrame([(body,)], "body string")).collect()
+    assert (a.ticker, a.price_current, a.change, a.percent_change, a.accumulated_volume, a.bid_1.volume) == ("ABC", 10500.0, 500.0, 5.0, 1200, 7) and (d.price_current, d.change, d.price_open) == (5.0, 0.0, 0.0)
+    df = spark.createDataFrame([("A", datetime.date(2024, 1, i), float("nan") if i == 3 else float(i)) for i in range(1, 5)], "ticker string, date date, x double")
+    assert json.loads(payload.series(df, 2).first().json) == {"x": {"dates": ["2024-01-03", "2024-01-04"], "values": [None, 4.0]}}
+    assert [json.loads(r.json) for r in payload.scalars(df.where("x = 4 OR isnan(x)")).collect()] == [{"ticker": "A", "date": "2024-01-03", "x": None}, {"ticker": "A", "date": "2024-01-04", "x": 4.0}]
+
+
 def ticks(spark, times, acc=None):
     rows = [("T", datetime.datetime.fromisoformat(f"2024-01-02 {t}"), datetime.date(2024, 1, 2), float(i), (acc or range(1, 99))[i], float(i), i) for i, t in enumerate(times)]
     return spark.createDataFrame(rows, "ticker string, timestamp timestamp_ntz, date date, price double, accumulated_volume long, accumulated_value double, event_id long")
