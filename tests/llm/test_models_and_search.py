@@ -171,6 +171,34 @@ def test_languages_held_out_and_edges(spark, data):
     assert lang_kernel.languages(edge.empty(spark), model).count() == 0
 
 
+def test_languages_match_a_dense_solution(spark):
+    """Where every row is a landmark, the Nystroem model is kernel ridge regression: solved here on the n-grams themselves."""
+    rng = random.Random(5)
+    words_of = {k: ["".join(rng.choice(c) for _ in range(rng.randint(2, 6))) for _ in range(60)] for k, c in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "ijklmnab"))}
+    rows = [(i, " ".join(rng.choice(words_of[k]) for _ in range(rng.randint(3, 15))), k) for i, k in enumerate(["aa"] * 25 + ["bb"] * 15 + ["cc"] * 10)]
+    asked = [" ".join(rng.choice(words_of[k]) for _ in range(4)) for k in words_of for _ in range(15)]
+    model = lang_kernel.fit(spark.createDataFrame(rows, "id long, text string, lang string"), landmarks=100)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    sets = [grams(lang_kernel.normal(t.encode())) for _, t, _ in rows]
+    at = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+
+    def dense(some):
+        z = np.zeros((len(some), len(at)))
+        for row, s in zip(z, some):
+            row[[at[g] for g in s if g in at]] = 1
+        return z / np.sqrt(np.maximum(z.sum(1, keepdims=True), 1))
+
+    z, langs = dense(sets), sorted(words_of)
+    y = np.array([[1.0 if k == lang else -1.0 for k in langs] for _, _, lang in rows])
+    penalty = lang_kernel.RIDGE * len(rows) / (np.linalg.matrix_rank(z) + 1)
+    a = np.column_stack([z, np.ones(len(z))])
+    w = np.linalg.solve(a.T @ a + np.diag([penalty] * len(at) + [1e-9]), a.T @ y)
+    f = dense([grams(lang_kernel.normal(t.encode())) for t in asked]) @ w[:-1] + w[-1]
+    names, scores = model.predict([t.encode() for t in asked])
+    e = np.exp(4 * (f - f.max(1, keepdims=True)))
+    assert names == [langs[i] for i in f.argmax(1)] and np.abs(scores - 1 / e.sum(1)).max() < 5e-3
+
+
 def test_rare_language_of_a_large_table_is_learnt(spark):
     """A dozen rows among 40,000, none of which a uniform sample of half the rows would hold."""
     rng = random.Random(8)
