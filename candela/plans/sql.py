@@ -31,7 +31,7 @@ bars AS (
 
 FLAWED = """
 flawed AS (
-  SELECT * REPLACE (CASE WHEN date_part('day', date) = 13 THEN prev_close * 1.02 ELSE prev_close END AS prev_close, CASE WHEN date_part('day', date) = 21 THEN 0 ELSE total_volume END AS total_volume,
+  SELECT * REPLACE (CASE WHEN date_part('day', date) = 13 THEN prev_close * 1.0213131 ELSE prev_close END AS prev_close, CASE WHEN date_part('day', date) = 21 THEN 0 ELSE total_volume END AS total_volume,
     CASE date_part('month', date) % 2 WHEN 0 THEN foreign_room + 250000 ELSE foreign_room END AS foreign_room) FROM bars)"""
 
 TICKS = """

@@ -41,7 +41,7 @@ def flawed(bars: DataFrame) -> DataFrame:
     """Bars with what good ones lack: previous closes that do not match, days without volume, moves of the foreign room."""
     day, month = F.dayofmonth("date"), F.month("date")
     return bars.withColumns({
-        "prev_close": F.when(day == 13, F.col("prev_close") * 1.02).otherwise(F.col("prev_close")),
+        "prev_close": F.when(day == 13, F.col("prev_close") * 1.0213131).otherwise(F.col("prev_close")),
         "total_volume": F.when(day == 21, F.lit(0).cast("bigint")).otherwise(F.col("total_volume")),
         "foreign_room": F.col("foreign_room") + F.when(month % 2 == 0, 250_000).otherwise(0),
     })
