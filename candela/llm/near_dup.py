@@ -44,6 +44,8 @@ TREES, DEPTH = 24, 6
 SMALL, MIDDLE = 32, 512
 REGION_BLOCK = 1024
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 200_000, 16
+#: Bytes of text hashed at a time; a longer text is a chunk of its own.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,7 @@ def _signed(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _batch_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    for i, j, data, off in W.chunks(column):
+    for i, j, data, off in W.chunks(column, CHUNK):
         yield i, j, W.shingle_sets(W.LOWER[data], off, width)
 
 
@@ -308,10 +310,16 @@ def requests(places: DataFrame, comps: DataFrame, members: DataFrame, sigs: Data
             if not differ.any():
                 continue
             sig = _sigs(group.column(9))
-            i, j = np.nonzero(_similar(sig[q], sig[p], screen) & differ)
-            if len(i):
-                out.append(np.unique(np.stack([ids[q][i], root[p][j], block[p][j]]), axis=1))
-                held += out[-1].shape[1]
+            near = _similar(sig[q], sig[p], screen) & differ
+            if not near.any():
+                continue
+            # a document asks for a block once, however many of its documents are near
+            order = np.lexsort((block[p], root[p]))
+            r, b = root[p][order], block[p][order]
+            first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (b[1:] != b[:-1]))))
+            i, j = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1))
+            out.append(np.stack([ids[q][i], r[first][j], b[first][j]]))
+            held += len(i)
             if held > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=REQUEST.fieldNames())
                 out, held = [], 0
