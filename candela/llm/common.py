@@ -63,11 +63,23 @@ def written(df: DataFrame) -> DataFrame:
     it knows the true size.
     """
     spark = df.sparkSession
+    path = folder_for(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def folder_for(spark: SparkSession) -> str:
+    """The path of a new table in the shared folder; it goes with the :func:`scratch` around it."""
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder, by name."""
+    folder, fs = _hadoop(spark, path)
+    return sorted(str(x.getPath()) for x in fs.listStatus(folder))
 
 
 def _path_of(df: DataFrame) -> str | None:
