@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bitsliced, bpe, host_rules, html_layout, lang_kernel, line_dedup, mixing, near_dup, periodic, quotes, rff_quality
+from . import align, bitsliced, bpe, host_rules, html_layout, lang_kernel, line_dedup, mixing, near_dup, periodic, quotes, rff_quality, winnow
 
 QUERIES = {
     "op1_rff_quality": rff_quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quote_linking": quotes.query,
     "op9_byte_bpe": bpe.query,
     "op10_bit_sliced_top_k": bitsliced.query,
+    "op11_winnowing": winnow.query,
     "op12_periodic_runs": periodic.query,
     "op13_token_alignment": align.query,
 }
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_host_rules": host_rules.SQL,
     "op8_quote_linking": quotes.SQL,
     "op10_bit_sliced_top_k": bitsliced.SQL,
+    "op11_winnowing": winnow.SQL,
 }

@@ -54,11 +54,11 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each document the index of its first word (n+1)."""
+def word_spans(data: np.ndarray, off: np.ndarray, in_word: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each document the index of its first word (n+1). ``in_word``: which bytes are part of one."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~IS_SPACE[data]
+    solid = in_word[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = False, solid[:-1]
     before[off[:-1][off[:-1] < len(data)]] = False
