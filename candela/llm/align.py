@@ -308,17 +308,19 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return links.select("__keys").mapInArrow(partial, COUNTED).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run_lengths, COUNTED)
 
 
-def shards_of(counts: DataFrame) -> list[str]:
-    """Write sorted counts as records of fixed width; the files in order, as paths that tasks can open."""
+def shards_of(counts: DataFrame) -> tuple[list[str], DataFrame]:
+    """Write counts, sorted over all partitions, as records of fixed width: the files in order, as paths that tasks can
+    open, and the table (key, n)."""
     spark = counts.sparkSession
     path = folder_for(spark)
     wide = [F.lpad(F.col(c).cast("string"), 19, "0") for c in ("key", "n")]
     counts.select(F.concat(*wide)).write.option("compression", "none").text(path)
+    table = spark.read.schema("value string").text(path).select(F.substring("value", 1, 19).cast("long").alias("key"), F.substring("value", 20, 19).cast("long").alias("n"))
     files = [x for x in files_in(spark, path) if os.path.basename(x).startswith("part-")]
     if all(urlparse(x).scheme in ("", "file") for x in files):
-        return [urlparse(x).path for x in files]
+        return [urlparse(x).path for x in files], table
     spark.sparkContext.addFile(path, recursive=True)
-    return [f"{os.path.basename(path)}/{os.path.basename(x)}" for x in files]
+    return [f"{os.path.basename(path)}/{os.path.basename(x)}" for x in files], table
 
 
 class Counts:
@@ -357,10 +359,10 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", keep: lis
     bits, best = t.bits, np.zeros(len(t.a_at), np.int64)
     with scratch(df.sparkSession) as kept:
         links = written(linked(df, a_path, b_path, text, keep))
-        counts = written(pair_counts(links))
+        shards, counts = shards_of(pair_counts(links))
         for a, n in counts.groupBy(F.shiftright("key", bits).alias("a")).agg(F.max("n")).collect():  # a row per id of A at most
             best[a] = n
-        shards, best = tuple(shards_of(counts)), best.tobytes()
+        shards, best = tuple(shards), best.tobytes()
         schema = T.StructType([*links.schema.fields[:-2], T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
         width = len(keep) + len(FACTS)
 
