@@ -134,7 +134,7 @@ FOUND = T.StructType([T.StructField("d", T.LongType()), T.StructField("t", T.Lon
 def candidates(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
     """Of a table (id, d, t, text): a row (id, d, t, n_words) for each document, and a row (d, t, pos, length, print, words)
     for each of its windows whose fingerprint is in the bit table."""
-    schema = T.StructType([docs.schema["id"], *FOUND.fields])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *FOUND.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(65 - (len(bits) * 8).bit_length())
