@@ -16,14 +16,15 @@ ranked by query.
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 without an id. An id names one row and one query: of several vectors under an id the smallest counts (compared component
 by component), so repeated rows change nothing. The row with the query's id is not its candidate. Shorter vectors
-count as padded with zeros. Quantised components beyond 32 bits, or so large that a score could leave 64 bits, are refused
-with a ValueError. An empty table gives no rows. Other columns are ignored, whatever their names.
+count as padded with zeros. Components are quantised to at most ``LARGEST`` in size. If a score could leave 64 bits, scores are added up and
+ranked as decimals of 38 digits (exact for vectors of up to 4,096 components), and only the result column ends at the bounds of 64 bits. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,15 @@ from .components import sorted_groups
 
 #: Rows of a block at most (fewer for wide vectors, so that slices stay under some 16 MB), queries of a chunk, chunks that share a copy of a block.
 BLOCK_ROWS, BLOCK_BITS, CHUNK_QUERIES, LANE_CHUNKS = 32_768, 1 << 27, 2_048, 64
+#: The largest component after quantising: two such ones and their products with 4,096 others have 38 digits.
+LARGEST = 1 << 56
 
 
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     """(id, v): one row for each id, v as longs."""
     x = F.col(vector)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = df.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
+    rows = df.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, F.lit(float(LARGEST))), F.lit(-float(LARGEST))))).alias("v"))
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
@@ -128,8 +131,8 @@ class Slices:
             level += 1
         return [np.zeros_like(self.all) if t is None else t for t in total]
 
-    def top(self, query: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the k best rows; among equal scores the first rows. ``without``: a row not to consider."""
+    def top(self, query: np.ndarray, k: int, without: int | None, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the k best rows; among equal scores the first rows. ``without``: a row not to consider; ``wide``: scores may leave 64 bits."""
         sure = np.zeros_like(self.all)
         open_ = self.all.copy()
         if without is not None:
@@ -150,9 +153,11 @@ class Slices:
         ties = np.flatnonzero(np.unpackbits(open_.view(np.uint8), bitorder="little", count=self.n))
         at = np.concatenate((some, ties[: k - len(some)]))
         negative = query < 0
-        score = np.full(len(at), int(query @ self.low + (query[negative] * ((1 << self.bits[negative]) - 1)).sum()), np.int64)
+        kind = object if wide else np.int64  # of any size, or of 64 bits
+        query, low, top = query.astype(kind), self.low.astype(kind), (1 << self.bits[negative].astype(kind)) - 1
+        score = np.full(len(at), int((query * low).sum() + (query[negative] * top).sum()), kind)
         for b, s in enumerate(sums):
-            score += ((s[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
+            score += ((s[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(kind) << b
         return at, score
 
 
@@ -172,17 +177,17 @@ def _packed(dealt: DataFrame, schema: T.StructType, width: int, made) -> DataFra
     return dealt.repartition(group).sortWithinPartitions(group, "id").mapInArrow(run, schema)
 
 
-def built(rows: DataFrame, blocks: int, width: int) -> DataFrame:
+def built(rows: DataFrame, blocks: int, width: int, kind: str) -> DataFrame:
     """The index of quantised rows, written: a row for each block, with its ids in order and its slices."""
 
     def made(ids: np.ndarray, x: np.ndarray):
         s = Slices.of(x)
         return ids, s.low, s.bits, s.planes
 
-    return written(_packed(rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", F.col("v").cast("array<int>").alias("v")), INDEX, width, made))
+    return written(_packed(rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", F.col("v").cast(kind).alias("v")), INDEX, width, made))
 
 
-def best_of_block(index: pa.Table, chunks: pa.Table, k: int) -> pa.Table:
+def best_of_block(index: pa.Table, chunks: pa.Table, k: int, wide: bool) -> pa.Table:
     """The k best rows of one block for each query of some chunks."""
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
     if len(index) and len(chunks):
@@ -192,33 +197,36 @@ def best_of_block(index: pa.Table, chunks: pa.Table, k: int) -> pa.Table:
             own = np.frombuffer(own, np.int64)
             for q, v in zip(own.tolist(), np.frombuffer(values, np.int64).reshape(len(own), -1), strict=True):
                 a = int(np.searchsorted(ids, q))
-                at, score = index.top(v, k, a if a < len(ids) and ids[a] == q else None)
+                at, score = index.top(v, k, a if a < len(ids) and ids[a] == q else None, wide)
                 for o, x in zip(out, (np.full(len(at), q), ids[at], score), strict=True):
                     o.append(x)
-    return pa.table({c: pa.array(np.concatenate(o), pa.int64()) for c, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
+    kinds = [pa.int64(), pa.int64(), pa.decimal128(38, 0) if wide else pa.int64()]
+    values = [np.concatenate(o).tolist() if wide else np.concatenate(o) for o in out]
+    if wide:
+        values[2] = [Decimal(x) for x in values[2]]
+    return pa.table({c: pa.array(x, kind) for c, x, kind in zip(("query_id", "vec_id", "score"), values, kinds, strict=True)})
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of highest inner product, ties to the smaller id."""
     rows, queries = quantised(rows, id_col, vector, scale), quantised(queries, id_col, vector, scale)
-    (n, wide, most, _), (m, wide_q, most_q, total) = limits(rows), limits(queries)
-    if max(most, most_q) >= 2**31 or total * most >= 2**62:
-        raise ValueError(f"components up to {max(most, most_q):.3g} after quantising: their scores may not fit into 64 bits")
-    width = max(wide, wide_q, 1)
+    (n, size, most, _), (m, size_q, most_q, total) = limits(rows), limits(queries)
+    wide, kind = total * most >= 2**62, "array<int>" if max(most, most_q) < 2**31 else "array<long>"
+    width = max(size, size_q, 1)
     blocks = max(1, math.ceil(n / min(block_rows, max(64, BLOCK_BITS // (12 * width)))))
     chunks = max(1, math.ceil(m / chunk_queries))
     lanes = max(math.ceil(chunks / LANE_CHUNKS), min(chunks, math.ceil(64 / blocks)))
-    index = built(rows, blocks, width)
-    asked = written(_packed(queries.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(chunks)).alias("chunk"), "id", F.col("v").cast("array<int>").alias("v")), CHUNK, width, lambda ids, x: (ids, x)))
+    index = built(rows, blocks, width, kind)
+    asked = written(_packed(queries.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(chunks)).alias("chunk"), "id", F.col("v").cast(kind).alias("v")), CHUNK, width, lambda ids, x: (ids, x)))
     sent = index.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     dealt = asked.withColumn("lane", F.col("chunk") % lanes).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        return best_of_block(left, right, k)
+        return best_of_block(left, right, k, wide)
 
-    found = sent.groupBy("block", "lane").cogroup(dealt.groupBy("block", "lane")).applyInArrow(best, "query_id long, vec_id long, score long")
+    found = sent.groupBy("block", "lane").cogroup(dealt.groupBy("block", "lane")).applyInArrow(best, f"query_id long, vec_id long, score {'decimal(38,0)' if wide else 'long'}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.least(F.greatest("score", F.lit(-(2**63))), F.lit(2**63 - 1)).cast("long").alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

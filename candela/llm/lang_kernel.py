@@ -12,7 +12,7 @@ Learning uses all labelled rows. Each language weighs as its rows, but at most a
 of ``TRAIN_ROWS``: so a rare language is not lost in a large table, where the ridge penalty would grow with
 the others' rows. There are ``LANDMARKS`` landmarks a language (``MOST_LANDMARKS`` in all, but 2 a language at least); every text is scored whole. Only n-grams that some landmark
 holds matter. ``und`` is predicted, with score 0, for null texts and those without a letter. If nothing
-is labelled, all is ``und``. Empty tables give empty tables; repeated rows get the same result.
+is labelled, all is ``und``. A text that occurs in many rows is one landmark, so repeated, null or equal ids don't matter. Empty tables give empty tables; repeated rows get the same result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import fold, unit_hash
+from .common import fold
 
 TRAIN_ROWS, LANDMARKS, MOST_LANDMARKS, RIDGE = 20_000, 64, 512, 1e-2
 UNKNOWN = "und"
@@ -122,10 +122,11 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LAND
     landmarks = max(2, min(landmarks, MOST_LANDMARKS // len(langs)))
     quota = train_rows / len(langs)
     weights = np.array([min(1.0, quota / per_lang[k]) for k in langs])
-    # landmarks come from twice as many candidates as needed, chosen by hash within each language
-    rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 4 * landmarks / per_lang[k] + 4 / per_lang[k])))])
-    order = Window.partitionBy("lang").orderBy(unit_hash("id", seed=2), "id")
-    some = labelled.where(unit_hash("id", seed=2) < rate[F.col("lang")]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= landmarks)
+    # landmarks are different texts: of each language those of the lowest hashes, however often they occur and whatever their ids
+    named = labelled.withColumn("th", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(2), "th"), "th")
+    best = named.select("lang", "th").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= landmarks)
+    some = named.join(F.broadcast(best), ["lang", "th"]).dropDuplicates(["lang", "th"])
 
     def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

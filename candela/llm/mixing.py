@@ -147,16 +147,32 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source:
 def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", total: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of ``df``, each as often as the plan takes it. All columns are shuffled once, by id, text and source.
 
-    Of several equal rows each takes the copies they have in common, and by chance, with the share of them that has one
-    more, another one: their number comes near the plan's. The chance is drawn on the rows as ``df`` gives them.
+    Of rows equal in these three of which only some get one copy more, the rows equal in all columns are counted, and the
+    counts dealt the copies in the order of a hash of the row: so many as the plan says, whatever the partitioning.
+    Columns of such rows must be of types that Spark can group (no maps).
     """
+    key = {"__id": "id", "__th": "th", "__source": "source"}
     with scratch(df.sparkSession) as keep:
-        plan = piece_plan(df, id_col, text, source, total, most).groupBy("id", "th", "source", "base").agg(F.sum("rows").alias("rows"), F.sum("more").alias("more"))
-        plan = keep(plan.where("base > 0 OR more > 0").select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("source").alias("__source"), F.col("base").alias("__base"), (F.col("more") / F.col("rows")).alias("__share")))
-    rows = df.withColumn("__u", F.rand(17)).withColumn("__text", text_hash(text))
+        plan = piece_plan(df, id_col, text, source, total, most).groupBy(*key.values()).agg(F.max("base").alias("__base"), F.sum("rows").alias("__rows"), F.sum("more").alias("__more"))
+        plan = keep(plan.where("__base > 0 OR __more > 0").select(*[F.col(c).alias(k) for k, c in key.items()], "__base", "__rows", "__more"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.withColumn("__text", text_hash(text))
     met = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")) & F.col(f"`{source}`").eqNullSafe(F.col("__source"))
-    copies = F.col("__base") + (F.col("__u") < F.col("__share")).cast("long")
-    return rows.join(plan, met).withColumn("__k", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    some = (F.col("__more") > 0) & (F.col("__more") < F.col("__rows"))
+
+    def repeated(table: DataFrame, copies: Column) -> DataFrame:
+        return table.withColumn("__k", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*columns)
+
+    out = repeated(rows.join(plan.where(~some), met), F.col("__base") + (F.col("__more") > 0).cast("long"))
+    split = plan.where(some)
+    n = split.count()
+    if n:
+        alike = rows.join(sized(split, n), met).groupBy(*columns, *key, "__base", "__more").agg(F.count(F.lit(1)).alias("__n"))
+        order = Window.partitionBy(*key).orderBy(F.xxhash64(*columns), F.hash(*columns)).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("__n").over(order), F.lit(0))
+        extra = F.least(F.greatest(F.col("__more") - before, F.lit(0)), F.col("__n"))
+        out = out.unionByName(repeated(alike.withColumn("__copies", F.col("__base") * F.col("__n") + extra), F.col("__copies")))
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

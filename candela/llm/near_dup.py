@@ -368,7 +368,7 @@ def _text_hash(text: Column) -> Column:
 
 
 def _judged(df: DataFrame, id_col: str, text: str, how: Similar) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id, kept), one row for each row of ``df``."""
+    """(doc_id, th, n_shingles, component_id, kept, first_of_class), one row for each row of ``df``."""
     docs = df.select(F.col(id_col).alias("doc_id"), _text_hash(F.col(text)).alias("th"), F.col(text).alias("text"))
     signed = written(signatures(docs, how))
     set_key = ["n", "f1", "f2"]
@@ -382,14 +382,18 @@ def _judged(df: DataFrame, id_col: str, text: str, how: Similar) -> DataFrame:
     of_class = placed.join(first, "root").select(*set_key, "first")
     out = signed.select("doc_id", "th", *set_key).join(of_class, set_key, "left")
     own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    component = F.when(own, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id", "th", F.col("n").alias("n_shingles"), F.when(own, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(own, F.struct("doc_id", "th") == F.struct("first.doc_id", "first.th")).otherwise(F.lit(True)).alias("kept"),
+        "doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"),
+        F.when(own, F.struct("doc_id", "th") == F.struct("first.doc_id", "first.th")).otherwise(F.lit(True)).alias("first_of_class"),
     )
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", how: Similar | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``."""
+    """(doc_id, n_shingles, component_id, kept, first_of_class), one row for each row of ``df``.
+
+    kept: doc_id = component_id. Where several texts have one id, first_of_class marks the one that stands for the class.
+    """
     with scratch(df.sparkSession) as keep:
         return keep(_judged(df, id_col, text, how or Similar()).drop("th"))
 
@@ -397,7 +401,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", h
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", how: Similar | None = None) -> DataFrame:
     """The rows of ``df`` that are the first of their class."""
     with scratch(df.sparkSession) as keep:
-        gone = keep(_judged(df, id_col, text, how or Similar()).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+        gone = keep(_judged(df, id_col, text, how or Similar()).where("NOT first_of_class").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
     return df.join(gone, (df[id_col] == F.col("__id")) & (_text_hash(df[text]) == F.col("__th")), "left_anti")
 
 

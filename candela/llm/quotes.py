@@ -5,7 +5,7 @@ of one level, up to an empty one; normalised, it is lower case with white space
 do not matter. Quoted passages are hashed and joined with the passages that messages of the conversation say
 themselves; the nearest earlier message that says it is the origin. A passage that nobody said as a whole is linked by its
 sentences and lines, each on its own. A message answers the origin that most lines of its outermost linked level
-come from (the latest of equals); without a link it answers the previous turn, if there is one.
+come from (the latest of equals); without a link it answers the message before it (the next lower turn, whatever the gap), if there is one.
 
 From the answers each message gets its thread (the turn of the message that began it) and its depth in it, by pointer
 doubling over the keys (conv_id, turn): log2(depth) joins, each of the conversations that are as deep. Result: a row for each message, without quotes and without the
@@ -128,6 +128,15 @@ def threads(answers: DataFrame) -> DataFrame:
         now = after.join(open_, "conv_id", "left_semi")
 
 
+def with_previous(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, previous) of different keys (conv_id, turn): the turn before, whatever the gap; split by spans of turns."""
+    turns = turns.withColumn("span", F.floor(F.col("turn") / SPAN))
+    inside, over = Window.partitionBy("conv_id", "span").orderBy("turn"), Window.partitionBy("conv_id").orderBy("span")
+    spans = turns.groupBy("conv_id", "span").agg(F.max("turn").alias("last"))
+    spans = written(spans.select("conv_id", "span", F.lag("last").over(over).alias("before")))
+    return turns.withColumn("inside", F.lag("turn").over(inside)).join(spans, ["conv_id", "span"]).select("conv_id", "turn", F.coalesce("inside", "before").alias("previous"))
+
+
 def chat(df: DataFrame) -> DataFrame:
     """(conv_id, turn, role, reply_to, thread, depth, n_quoted, n_linked, text, message) for each message."""
     base = df.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
@@ -135,8 +144,7 @@ def chat(df: DataFrame) -> DataFrame:
     with scratch(df.sparkSession) as keep:
         links = written(linked(base))
         turns = base.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(*keys).distinct()
-        before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-        answers = written(turns.join(before, keys, "left").join(links, keys, "left").select(*keys, F.coalesce("origin", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
+        answers = written(with_previous(turns).join(links, keys, "left").select(*keys, F.coalesce("origin", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
         placed = keep(answers.join(threads(answers.select(*keys, "reply_to")), keys))
     text = F.trim(F.regexp_replace(F.concat_ws("\n", own_lines(F.col("lines"))), r"\n{3,}", "\n\n"))
     quoted = with_passages(base.withColumn("text", text).withColumn("lines", F.when(quotes("lines"), F.col("lines")).otherwise(F.array().cast("array<string>"))))
@@ -167,9 +175,9 @@ won AS (SELECT * FROM met WHERE origin IS NOT NULL QUALIFY whole = MAX(whole) OV
 v AS (SELECT conv_id, turn, lev, origin, SUM(lines) AS n FROM won GROUP BY ALL),
 b AS (SELECT conv_id, turn, FIRST(origin ORDER BY lev, n DESC, origin DESC) AS origin FROM v GROUP BY conv_id, turn),
 c AS (SELECT conv_id, turn, COUNT(DISTINCT (lev, p)) AS n_linked FROM won GROUP BY conv_id, turn),
-k AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-a AS (SELECT k.conv_id, k.turn, COALESCE(b.origin, e.turn) AS reply_to, COALESCE(n_linked, 0) AS n_linked
-  FROM k LEFT JOIN b USING (conv_id, turn) LEFT JOIN c USING (conv_id, turn) LEFT JOIN k e ON e.conv_id = k.conv_id AND e.turn + 1 = k.turn),
+k AS (SELECT conv_id, turn, LAG(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+a AS (SELECT k.conv_id, k.turn, COALESCE(b.origin, k.previous) AS reply_to, COALESCE(n_linked, 0) AS n_linked
+  FROM k LEFT JOIN b USING (conv_id, turn) LEFT JOIN c USING (conv_id, turn)),
 tree AS (SELECT conv_id, turn, turn AS thread, CAST(0 AS BIGINT) AS depth FROM a WHERE reply_to IS NULL
   UNION ALL SELECT a.conv_id, a.turn, tree.thread, tree.depth + 1 FROM a JOIN tree ON a.conv_id = tree.conv_id AND a.reply_to = tree.turn),
 own AS (SELECT r, trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS text FROM z WHERE lev = 0 AND NOT attribution GROUP BY r)

@@ -142,15 +142,26 @@ def solve(sums: np.ndarray, ridge: float) -> np.ndarray:
     return np.linalg.solve(a + penalty, b)
 
 
+def pooled(blocks: list[list[float]]) -> list[list[float]]:
+    """Adjacent violators pooled: blocks (sum, weight, weighted place) whose means increase."""
+    out: list[list[float]] = []
+    for block in blocks:
+        out.append(block)
+        while len(out) > 1 and out[-2][0] * out[-1][1] >= out[-1][0] * out[-2][1]:
+            g, m, x = out.pop()
+            out[-1] = [out[-1][0] + g, out[-1][1] + m, out[-1][2] + x]
+    return out
+
+
 def isotonic(at: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a non-decreasing calibration curve, by pooling adjacent violators of sorted bins."""
-    blocks: list[list[float]] = []
-    for x, g, m in zip(at, good, n, strict=True):
-        blocks.append([g, m, x * m])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            g2, m2, s2 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + g2, blocks[-1][1] + m2, blocks[-1][2] + s2]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+    """Knots of an increasing calibration curve over sorted bins.
+
+    Violators are pooled by their rates, each level then shrunk to one half by one row; where that breaks the order of
+    small blocks, they are pooled again by their shrunk levels.
+    """
+    raw = pooled([[g, m, x * m] for x, g, m in zip(at.tolist(), good.tolist(), n.tolist(), strict=True)])
+    blocks = pooled([[m * (g + 0.5) / (m + 1), m, x] for g, m, x in raw])
+    return np.array([x / m for _, m, x in blocks]), np.array([g / m for g, m, _ in blocks])
 
 
 def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, gamma: float = GAMMA, ridge: float = RIDGE, folds: int = FOLDS, bins: int = BINS):

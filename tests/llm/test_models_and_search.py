@@ -98,8 +98,7 @@ def test_top_k_of_repeated_rows_and_large_components(spark):
     z = {r.vec_id: [int(256 * c) for c in r.embedding] for r in big.collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(z[a], z[b]))
     assert search(big) == sorted((q, k + 1, i, -s) for q in (0, 50) for k, (s, i) in enumerate(sorted((-dot(q, i), i) for i in z if i != q)))
-    with pytest.raises(ValueError, match="64 bits"):
-        search(table([(0, [1e30]), (1, [1e30])]))
+    assert search(table([(0, [1e30]), (1, [1e30])])) == [(0, 1, 1, 2**63 - 1)]
 
 
 def test_quality_held_out(spark, data):
@@ -124,6 +123,48 @@ def test_quality_edges(spark):
     assert (np.diff(level) >= 0).all() and len(at) == 3
 
 
+def test_calibration_increases_for_bins_of_any_size():
+    _, level = rff_quality.isotonic(np.array([0.0, 1, 2]), np.array([10.0, 900, 1]), np.array([100.0, 1000, 1]))
+    assert (np.diff(level) > 0).all() and level[0] < 0.2 < 0.8 < level[-1]
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = rng.integers(1, 10 ** rng.integers(1, 4), rng.integers(1, 30)).astype(float)
+        at, level = rff_quality.isotonic(np.arange(len(n), dtype=float), np.floor(n * rng.random(len(n))), n)
+        assert (np.diff(at) > 0).all() and (np.diff(level) > 0).all() and ((level > 0) & (level < 1)).all()
+
+
+@pytest.mark.parametrize("ids", [[None], [7], [7, 8]])
+def test_languages_are_learned_whatever_the_ids(spark, ids):
+    texts = {"en": "the house of many words {} and others", "de": "das haus der vielen wörter {} und andere"}
+    rows = [(ids[i % len(ids)], texts[k].format(i % 40), k) for i in range(1500) for k in texts]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    out = lang_kernel.languages(df, lang_kernel.fit(df)).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in out} == {"en": 1500, "de": 1500}
+    alike = df.select("id", F.lit("one text").alias("text"), "lang")
+    assert lang_kernel.fit(alike) is not None
+
+
+def test_wide_components_are_scored_exactly(spark):
+    """Components beyond 32 bits, scores beyond 64."""
+    rng = np.random.default_rng(5)
+    for size in (2.0**30, 2.0**45):
+        x = (rng.random((60, 3)) - 0.5) * size
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        v = [[int(np.floor(256 * c)) for c in r] for r in x]
+        want = []
+        for q in range(0, 60, 20):
+            best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in range(60) if i != q)[:5]
+            want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+        got = bitsliced.top_k(rows, rows.where("vec_id % 20 = 0"), 5)
+        assert sorted(map(tuple, got.collect())) == want and got.schema["score"].dataType.typeName() == "long"
+
+
+def test_turns_with_gaps_answer_the_message_before(spark):
+    rows = [(1, t, "user", f"message {t}") for t in (0, 2, 5, 5000, 90_000)] + [(2, 3, "user", "other")]
+    out = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth) for r in quotes.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {(1, 0): (None, 0, 0), (1, 2): (0, 0, 1), (1, 5): (2, 0, 2), (1, 5000): (5, 0, 3), (1, 90_000): (5000, 0, 4), (2, 3): (None, 3, 0)}
+
+
 def test_quality_matches_a_dense_solution(spark, data):
     """Scores of the distributed fit against one matrix of all labelled rows, solved and calibrated in numpy."""
     docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet").select("doc_id", "text")
@@ -152,7 +193,11 @@ def test_quality_matches_a_dense_solution(spark, data):
     centre, value = (used + 0.5) / rff_quality.BINS * 2 - 0.5, []
     for v in np.unique(fit):
         same = fit == v
-        value.append(((centre[same] * n[same]).sum() / n[same].sum(), (good[same].sum() + 0.5) / (n[same].sum() + 1)))
+        value.append(((centre[same] * n[same]).sum() / n[same].sum(), (good[same].sum() + 0.5) / (n[same].sum() + 1), n[same].sum()))
+    while (fall := next((i for i in range(len(value) - 1) if value[i][1] >= value[i + 1][1]), None)) is not None:  # levels out of order after the shrinkage
+        (a, g, m), (b, h, k) = value[fall : fall + 2]
+        value[fall : fall + 2] = [((a * m + b * k) / (m + k), (g * m + h * k) / (m + k), m + k)]
+    value = [v[:2] for v in value]
     knots, level = zip((-1.0, 0.0), *value, (2.0, 1.0))
     expected = np.interp(z(x) @ ridge(np.ones(len(y), bool)), knots, level)
     assert max(abs(got[i] - e) for i, e in zip(stats.id, expected)) < 2e-3

@@ -145,8 +145,9 @@ def test_near_duplicates_of_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = {(r.doc_id, r.text) for r in near_dup.without_near_duplicates(df).collect()}
     assert len(left) == 3 and {(1, full["a"]), (5, full["b"])} < left and sum(i == 9 for i, _ in left) == 1
-    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+    got = sorted((r.doc_id, r.component_id, r.first_of_class) for r in near_dup.near_duplicates(df).collect())
     assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (9, 9, False), (9, 9, True), (11, 9, False)]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in near_dup.near_duplicates(df).collect())
 
 
 def brute_lines(rows, least):
@@ -307,3 +308,17 @@ def test_words_helper():
     assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == [b"ab", b"ab", b"cd", b"ab"] and first.tolist() == [0, 2, 2, 3, 4]
     h = words.word_hashes(data, starts, ends)
     assert h[0] == h[1] == h[3] != h[2]
+
+
+@pytest.mark.parametrize("extra", [0, 1])
+def test_equal_rows_are_taken_as_often_as_planned_however_they_are_dealt(spark, extra):
+    """A thousand equal rows, some of them different in another column: always the plan's number, and the same rows."""
+    rows = [(1, "one two three four five", "a", i % (1 + 2 * extra)) for i in range(1000)] + [(2, "six seven " * 900, "b", 0), (3, "eight " * 4000, "c", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    planned = Counter()
+    for r in mixing.mix_plan(df).collect():
+        planned[r.id] += r.copies
+    assert 0 < planned[1] % 1000
+    seen = [Counter(map(tuple, mixing.mixed(x).collect())) for x in (df.repartition(1), df.repartition(3), df.repartition(7, "other"))]
+    assert seen[0] == seen[1] == seen[2]
+    assert Counter({k: sum(n for r, n in seen[0].items() if r[0] == k) for k in (1, 2, 3)}) == Counter({k: planned[k] for k in (1, 2, 3)})
