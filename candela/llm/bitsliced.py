@@ -192,7 +192,7 @@ def best_of_block(index: pa.Table, chunks: pa.Table, k: int, wide: bool) -> pa.T
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
     if len(index) and len(chunks):
         ids, low, bits = (np.frombuffer(index[c][0].as_py(), np.int64) for c in ("ids", "low", "bits"))
-        index = Slices(len(ids), low, bits, np.frombuffer(index["planes"][0].as_py(), np.uint64).reshape(int(bits.sum()), -1))
+        index = Slices(len(ids), low, bits, np.frombuffer(index["planes"][0].as_py(), np.uint64).reshape(int(bits.sum()), -(-len(ids) // 64)))
         for own, values in zip(chunks["ids"].to_pylist(), chunks["values"].to_pylist(), strict=True):
             own = np.frombuffer(own, np.int64)
             for q, v in zip(own.tolist(), np.frombuffer(values, np.int64).reshape(len(own), -1), strict=True):

@@ -138,7 +138,7 @@ def test_languages_are_learned_whatever_the_ids(spark, ids):
     texts = {"en": "the house of many words {} and others", "de": "das haus der vielen wörter {} und andere"}
     rows = [(ids[i % len(ids)], texts[k].format(i % 40), k) for i in range(1500) for k in texts]
     df = spark.createDataFrame(rows, "id long, text string, lang string")
-    out = lang_kernel.languages(df, lang_kernel.fit(df)).groupBy("lang_pred").count().collect()
+    out = lang_kernel.languages(df, lang_kernel.fit(df), "id").groupBy("lang_pred").count().collect()
     assert {r.lang_pred: r["count"] for r in out} == {"en": 1500, "de": 1500}
     alike = df.select("id", F.lit("one text").alias("text"), "lang")
     assert lang_kernel.fit(alike) is not None
