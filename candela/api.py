@@ -176,7 +176,7 @@ class Engine:
             if scope in ("full", "mid_term", "long_term"):
                 out["weekly_bars"] = weeks.groupBy("ticker").agg(F.count(F.lit(1)).alias("available")).withColumn("required", F.lit(WEEKS).cast("long"))
             if scope in ("full", "long_term"):
-                out["stats_52w"] = weekly.stats_52w(rows)
+                out["stats_52w"] = weekly.stats_52w(rows, required=20)  # of so many rows as there are
             if detail == "full":
                 out |= {f"daily.{g}.{k}": f(rows) for g, measures in GROUPS.items() for k, f in measures.items()}
                 out |= {f"weekly.{k}": f(weeks.where("prev_close IS NOT NULL")) for k, f in WEEKLY.items()}
@@ -191,6 +191,8 @@ class Engine:
 
     def breadth(self, exchange: str = "ALL") -> DataFrame:
         with self._call("breadth", exchange=exchange):
+            if self.index is None:
+                raise RequestError("no index rows")
             df = weekly.market_breadth(self.index)
             return df if exchange.upper() == "ALL" else df.where(F.col("exchange") == exchange.upper())
 
@@ -198,6 +200,8 @@ class Engine:
         with self._call("compare", tickers=tickers, lookback=lookback):
             if not 2 <= len(set(tickers)) <= 5:
                 raise RequestError("two to five tickers can be compared")
+            if lookback < 20:
+                raise RequestError("lookback must be 20 at least")
             rows = self._rows(tickers, lookback)
             return {"stats_52w": scoring.compare_52w(rows), "averages": scoring.compare_ma(rows), "levels": scoring.compare_levels(rows), "ranks": scoring.rank_observations(rows), "relative": scoring.relative_assessment(rows)}
 

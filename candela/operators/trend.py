@@ -66,7 +66,7 @@ def returns_by_window(bars: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
 
 
 def sma_crossover(bars: DataFrame, pairs=CROSS_PAIRS) -> DataFrame:
-    """For each pair the last date on which the fast mean went above (golden) or not above (death) the slow one."""
+    """For each pair the last date on which the fast mean went above (golden) or not above (death) the slow one; none below slow + 2 rows."""
     df = bars
     for n in sorted({x for p in pairs for x in p}):
         df = df.withColumn(f"m{n}", full_avg("close", n))
@@ -75,7 +75,7 @@ def sma_crossover(bars: DataFrame, pairs=CROSS_PAIRS) -> DataFrame:
         above = F.when(F.col(f"m{slow}").isNotNull(), F.col(f"m{fast}") > F.col(f"m{slow}"))
         x = df.select("ticker", "date", above.alias("above")).withColumn("was", F.lag("above").over(W()))
         flip = F.when(F.col("above") != F.col("was"), F.struct("date", "above"))
-        g = x.groupBy("ticker").agg(F.max(flip).alias("f"))
+        g = x.groupBy("ticker").agg(F.when(F.count(F.lit(1)) >= slow + 2, F.max(flip)).alias("f"))
         kind = cases((F.col("f").isNull(), "none"), (F.col("f.above"), "golden_cross"), otherwise="death_cross")
         parts.append(g.select("ticker", F.lit(fast).cast("bigint").alias("fast"), F.lit(slow).cast("bigint").alias("slow"), kind.alias("crossover"), F.col("f.date").alias("date")))
     out = parts[0]

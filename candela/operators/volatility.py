@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..functions.exprs import W, cases, full, full_avg, lag, latest, r6, ratio
+from ..functions.exprs import TICKER, W, cases, full, full_avg, lag, latest, r6, ratio
 
 
 def bands(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -28,15 +28,16 @@ def bollinger_position(bars: DataFrame, n: int = 20, width: float = 2.0) -> Data
 
 
 def bollinger_squeeze(bars: DataFrame, n: int = 20, look: int = 20, share: float = 0.15) -> DataFrame:
-    """Whether the latest width is at most the 15 % quantile of the last 20 widths."""
+    """Whether the latest bandwidth, upper - lower over the middle, is at most the 15 % quantile of the last 20 bandwidths."""
     w = W().rowsBetween(-(look - 1), 0)
-    df = bands(bars, n).withColumn("cut", F.when(F.count("width").over(w) == look, F.percentile("width", F.lit(share)).over(w)))
-    return latest(df).select("ticker", "date", r6("width").alias("width"), r6("cut").alias("quantile"), F.coalesce(F.col("width") <= F.col("cut") + 1e-9, F.lit(False)).alias("squeeze"))
+    df = bands(bars, n).withColumn("width", ratio(F.col("upper") - F.col("lower"), "middle"))
+    df = df.withColumn("cut", F.when(F.count("width").over(w) == look, F.percentile("width", F.lit(share)).over(w)))
+    return latest(df).select("ticker", "date", r6("width").alias("width"), r6("cut").alias("quantile"), F.coalesce(F.col("width") <= F.col("cut"), F.lit(False)).alias("squeeze"))
 
 
 def c2c_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
-    """Sample deviation of log returns in percent, daily and yearly; refused if any close is not positive."""
-    bad = F.min("close").over(W().rowsBetween(-n, 0)) <= 0
+    """Sample deviation of log returns in percent, daily and yearly; refused if any close of the ticker's rows is not positive."""
+    bad = F.min("close").over(TICKER()) <= 0
     df = bars.select("ticker", "date", "close", F.when((F.col("close") > 0) & (lag("close") > 0), F.ln(F.col("close") / lag("close"))).alias("r"))
     df = latest(df.withColumn("bad", bad).withColumn("sd", full(F.stddev_samp, "r", n) * 100))
     sd = F.when(~F.col("bad"), F.col("sd"))

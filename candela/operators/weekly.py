@@ -29,18 +29,30 @@ def thin_weeks(bars: DataFrame, days: int = 3) -> DataFrame:
     return weekly_bars(bars).where(F.col("trading_days") < days).select("ticker", "date", "trading_days")
 
 
-def stats_52w(bars: DataFrame, n: int = 250) -> DataFrame:
-    """Extremes of the last n closes (the earliest of equals), distance to them, drawdown, return and means."""
+#: Fixed value: sessions from which on figures are of a full year.
+FULL_YEAR = 240
+
+
+def stats_52w(bars: DataFrame, n: int = 250, required: int | None = None) -> DataFrame:
+    """Extremes of the last n closes (the earliest of equals), distance to them, drawdown, return and means.
+
+    Null below ``required`` rows: 20, or 80 % of n if that is more.
+    """
+    required = max(20, n * 4 // 5) if required is None else required
     df = recent(bars, n).withColumn("day", F.datediff("date", F.lit("1970-01-01").cast("date"))).withColumn("peak", F.max("close").over(W().rowsBetween(Window.unboundedPreceding, 0)))
     g = df.groupBy("ticker").agg(
         F.max("date").alias("date"), F.count(F.lit(1)).alias("window_sessions"), F.max(F.struct("close", (-F.col("day")).alias("back"))).alias("h"), F.min(F.struct("close", "day")).alias("l"),
-        F.max_by("close", "date").alias("close"), F.min_by("close", "date").alias("first"), F.min(F.col("close") / F.col("peak") - 1).alias("dd"), F.avg("total_volume").alias("v"), F.avg("total_value").alias("m"),
+        F.max_by("close", "date").alias("close"), F.min_by("close", "date").alias("first"), F.min(ratio("close", "peak") - 1).alias("dd"), F.avg("total_volume").alias("v"), F.avg("total_value").alias("m"),
     )
     g = g.withColumn("high", F.col("h.close")).withColumn("low", F.col("l.close"))
     as_date = lambda d: F.date_add(F.lit("1970-01-01").cast("date"), d.cast("int"))
-    return g.select("ticker", "date", "window_sessions", (F.col("window_sessions") >= n).alias("is_full"), r6("high").alias("high"), as_date(-F.col("h.back")).alias("high_date"), r6("low").alias("low"), as_date(F.col("l.day")).alias("low_date"),
-        r6((F.col("close") - F.col("high")) / F.col("high") * 100).alias("from_high_pct"), r6((F.col("close") - F.col("low")) / F.col("low") * 100).alias("from_low_pct"), r6(F.col("dd") * 100).alias("max_drawdown_pct"),
-        r6((F.col("close") - F.col("first")) / F.col("first") * 100).alias("return_pct"), r2("v").alias("avg_volume"), r2("m").alias("avg_value"))
+    share = lambda base: F.when(F.col(base) > 0, (F.col("close") - F.col(base)) / F.col(base) * 100).otherwise(0.0)
+    figures = {
+        "is_full": F.col("window_sessions") >= FULL_YEAR, "high": r6("high"), "high_date": as_date(-F.col("h.back")), "low": r6("low"), "low_date": as_date(F.col("l.day")),
+        "from_high_pct": r6(share("high")), "from_low_pct": r6(share("low")), "max_drawdown_pct": r6(F.col("dd") * 100), "return_pct": r6(share("first")), "avg_volume": r2("v"), "avg_value": r2("m"),
+    }
+    enough = F.col("window_sessions") >= required
+    return g.select("ticker", "date", "window_sessions", F.lit(required).cast("bigint").alias("required"), *[F.when(enough, c).alias(k) for k, c in figures.items()])
 
 
 def normalized_100(bars: DataFrame, n: int = 250) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import recurrence as scan
 from ..functions.exprs import recent
 from ..operators import flow, momentum, trend, volatility, weekly
-from ..sources.projections import bars_1d, flawed, index_1d
-from .sql import BARS, FLAWED, INDEX, back, lag, macd, over, q, r2, r6, recurrence, rsi
+from ..sources.projections import bars_1d, flawed, index_1d, uneven
+from .sql import BARS, FLAWED, INDEX, UNEVEN, back, lag, macd, over, q, r2, r6, recurrence, rsi
 
 LOOKBACK = 300
 AVG = "AVG"
 B = back(LOOKBACK)
 FLAWS = FLAWED + "," + back(LOOKBACK, of="flawed")
+UNEVENS = UNEVEN + "," + back(LOOKBACK, of="uneven")
+ALL = back(1_000_000_000)
+r4 = "ROUND({}, 4)".format
 
 
 def on_bars(operator, *args):
@@ -21,6 +27,10 @@ def on_flawed(operator, *args):
     return lambda spark, d: operator(recent(flawed(bars_1d(spark, d)), LOOKBACK), *args)
 
 
+def on_uneven(operator, *args):
+    return lambda spark, d: operator(uneven(bars_1d(spark, d)), *args)
+
+
 def all_bars(operator, *args):
     return lambda spark, d: operator(bars_1d(spark, d), *args)
 
@@ -33,6 +43,11 @@ def div(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) <> 0 THEN CAST({a} AS DOUBLE) / ({b}) END)"
 
 
+def rounded(df):
+    """Numbers at four places, as long recurrences differ in their last bits; ranges at six."""
+    return df.select("ticker", "date", *[F.round(c, 6 if c == "true_range" else 4).alias(c) for c in df.columns[2:]])
+
+
 def names(template: str, values, sep: str = ", ") -> str:
     return sep.join(template.format(n=v) for v in values)
 
@@ -45,10 +60,13 @@ def _direction(n: int) -> str:
     return f"CASE WHEN m{n} IS NULL OR ({past}) IS NULL THEN 'unknown' WHEN m{n} > ({past}) * 1.001::DOUBLE THEN 'rising' WHEN m{n} < ({past}) * 0.999::DOUBLE THEN 'falling' ELSE 'flat' END AS direction_{n}"
 
 
+CROSSED = f"m AS (SELECT ticker, date, n, {', '.join(f'{over(n, AVG)} AS m{n}' for n in (20, 50, 200))} FROM b)"
+
+
 def _cross(fast: int, slow: int) -> str:
     return f"""SELECT ticker, CAST({fast} AS BIGINT) AS fast, CAST({slow} AS BIGINT) AS slow,
-  COALESCE(ARG_MAX(CASE WHEN a THEN 'golden_cross' ELSE 'death_cross' END, date) FILTER (a <> p), 'none') AS crossover, MAX(date) FILTER (a <> p) AS date
-FROM (SELECT *, {lag("a")} AS p FROM (SELECT ticker, date, CASE WHEN m{slow} IS NOT NULL THEN m{fast} > m{slow} END AS a FROM m)) GROUP BY ticker"""
+  COALESCE(ARG_MAX(CASE WHEN a THEN 'golden_cross' ELSE 'death_cross' END, date) FILTER (a <> p AND n > {slow} + 1), 'none') AS crossover, MAX(date) FILTER (a <> p AND n > {slow} + 1) AS date
+FROM (SELECT *, {lag("a")} AS p FROM (SELECT ticker, date, n, CASE WHEN m{slow} IS NOT NULL THEN m{fast} > m{slow} END AS a FROM m)) GROUP BY ticker"""
 
 
 PCTL = "CASE WHEN {hi} IS NOT NULL THEN CASE WHEN {hi} > {lo} THEN (close - {lo}) / ({hi} - {lo}) ELSE 0.5::DOUBLE END END"
@@ -61,7 +79,7 @@ def _percentile(n: int) -> str:
 BANDS = f"""
 bm AS (SELECT *, {over(20, "AVG")} AS middle, {over(20, "STDDEV_POP")} AS sd FROM b),
 bands AS (SELECT *, middle + 2 * sd AS upper, middle - 2 * sd AS lower FROM bm),
-banded AS (SELECT *, upper - lower AS width, CASE WHEN upper - lower > 1e-12 THEN (close - lower) / (upper - lower) END AS pct_b FROM bands)"""
+banded AS (SELECT *, upper - lower AS width, (upper - lower) / middle AS bandwidth, CASE WHEN upper - lower > 1e-12 THEN (close - lower) / (upper - lower) END AS pct_b FROM bands)"""
 TRUE_RANGE = "GREATEST(high - low, ABS(high - prev_close), ABS(low - prev_close))"
 IMB = "CASE WHEN buy_{x} + sell_{x} <> 0 THEN CAST(buy_{x} - sell_{x} AS DOUBLE) / (buy_{x} + sell_{x}) END"
 OBV = f"""
@@ -97,6 +115,27 @@ peaks AS (SELECT *, MAX(close) OVER (PARTITION BY ticker ORDER BY date ROWS UNBO
 GAPS = f"gaps AS (SELECT ticker, {lag('date')} AS previous, date, CAST(date - {lag('date')} AS BIGINT) AS days FROM b)"
 
 
+WILDER = (
+    f"tr AS (SELECT ticker, i, t, {over(14, 'AVG', of='t').replace('ORDER BY date', 'ORDER BY i')} AS s FROM (SELECT ticker, i, {TRUE_RANGE} AS t FROM b))",
+    "wr(ticker, i, a) AS (SELECT ticker, i, s FROM tr WHERE i = 14 UNION ALL SELECT tr.ticker, tr.i, (wr.a * 13 + tr.t) / 14 FROM wr JOIN tr ON tr.ticker = wr.ticker AND tr.i = wr.i + 1)",
+)
+RSI = f"SELECT l.ticker, l.date, l.n AS available, CAST(15 AS BIGINT) AS required, {r6('v')} AS rsi, CASE WHEN v IS NULL THEN NULL WHEN v >= 70 THEN 'overbought' WHEN v <= 30 THEN 'oversold' ELSE 'neutral' END AS zone FROM b l LEFT JOIN rsi USING (ticker, date) WHERE l.k = 1"
+SQUEEZE = f"""
+SELECT ticker, MAX(date) AS date, {r6("ARG_MAX(bandwidth, date)")} AS width, {r6("CASE WHEN COUNT(bandwidth) = 20 THEN quantile_cont(bandwidth, 0.15) END")} AS quantile,
+  COALESCE(ARG_MAX(bandwidth, date) <= CASE WHEN COUNT(bandwidth) = 20 THEN quantile_cont(bandwidth, 0.15) END, FALSE) AS squeeze
+FROM (SELECT ticker, date, MAX(bandwidth) FILTER (k <= 20) AS bandwidth FROM banded WHERE k <= 20 GROUP BY ticker, date) GROUP BY ticker"""
+C2C = f"""
+SELECT ticker, MAX(date) AS date, {", ".join(f"ROUND(CASE WHEN COUNT(r) = 20 AND MIN(worst) > 0 THEN STDDEV_SAMP(r) * {x} END, 6) AS {n}" for n, x in (("daily_pct", "100"), ("annual_pct", "100 * SQRT(252)"), ("stop_pct", "200")))}
+FROM (SELECT ticker, date, k, MIN(close) OVER (PARTITION BY ticker) AS worst, CASE WHEN close > 0 AND {lag("close")} > 0 THEN LN(close / {lag("close")}) END AS r FROM b) WHERE k <= 20 GROUP BY ticker"""
+YEAR = f"""
+SELECT ticker, date, window_sessions, CAST(200 AS BIGINT) AS required, COLUMNS(* EXCLUDE (ticker, date, window_sessions)) FROM (
+  SELECT ticker, MAX(date) AS date, COUNT(*) AS window_sessions, {", ".join(f"CASE WHEN COUNT(*) >= 200 THEN {x} END AS {n}" for n, x in (
+      ("is_full", "COUNT(*) >= 240"), ("high", r6("MAX(close)")), ("high_date", "FIRST(date ORDER BY close DESC, date)"), ("low", r6("MIN(close)")), ("low_date", "FIRST(date ORDER BY close, date)"),
+      ("from_high_pct", r6("(ARG_MAX(close, date) - MAX(close)) / MAX(close) * 100")), ("from_low_pct", r6("CASE WHEN MIN(close) > 0 THEN (ARG_MAX(close, date) - MIN(close)) / MIN(close) * 100 ELSE 0 END")),
+      ("max_drawdown_pct", r6("MIN(close / peak - 1) * 100")), ("return_pct", r6("(ARG_MAX(close, date) - ARG_MIN(close, date)) / ARG_MIN(close, date) * 100")), ("avg_volume", r2("AVG(total_volume)")), ("avg_value", r2("AVG(total_value)"))))}
+  FROM peaks GROUP BY ticker)"""
+
+
 def latest_of(columns: str, source: str, *parts: str) -> str:
     """Columns computed over all rows, for the newest row of each ticker."""
     return q(f"SELECT * EXCLUDE (k) FROM (SELECT ticker, date, k, {columns} FROM {source}) WHERE k = 1", *parts)
@@ -113,7 +152,7 @@ QUERIES = {
     "macd": (on_bars(trend.macd), q(f"SELECT l.ticker, l.date, l.n AS available, CAST(34 AS BIGINT) AS required, {r6('m')} AS macd, {r6('g')} AS signal, {r6('h')} AS histogram FROM b l LEFT JOIN macd USING (ticker, date) WHERE l.k = 1", BARS, B, recurrence((12, 26)), macd())),
     "macd_crossover": (on_bars(trend.macd_crossover), q("SELECT l.ticker, l.date, CASE WHEN h IS NULL OR ph IS NULL THEN 'unknown' WHEN ph <= 0 AND h > 0 THEN 'bullish_cross' WHEN ph >= 0 AND h < 0 THEN 'bearish_cross' ELSE 'none' END AS crossover FROM b l LEFT JOIN macd USING (ticker, date) WHERE l.k = 1", BARS, B, recurrence((12, 26)), macd())),
     "returns_by_window": (on_bars(trend.returns_by_window), latest_of(", ".join(f"{r6(pct('close', lag('close', n)))} AS return_{n}" for n in RET), "b", BARS, B)),
-    "sma_crossover": (on_bars(trend.sma_crossover), q(" UNION ALL ".join(_cross(*p) for p in trend.CROSS_PAIRS), BARS, B, f"m AS (SELECT ticker, date, {', '.join(f'{over(n, AVG)} AS m{n}' for n in (20, 50, 200))} FROM b)")),
+    "sma_crossover": (on_bars(trend.sma_crossover), q(" UNION ALL ".join(_cross(*p) for p in trend.CROSS_PAIRS), BARS, B, CROSSED)),
     "candlestick": (
         on_bars(trend.candlestick),
         q(f"SELECT ticker, date, body_ratio, upper_ratio, lower_ratio, {r6('CASE WHEN prev_close > 0 THEN (open - prev_close) / prev_close * 100 END')} AS gap_pct, CASE WHEN span = 0 OR body_ratio <= 0.10 THEN 'doji' WHEN close > open AND body_ratio >= 0.85 THEN 'bullish_marubozu' WHEN close < open AND body_ratio >= 0.85 THEN 'bearish_marubozu' WHEN lower_ratio >= 0.55 AND upper_ratio <= 0.15 AND body_ratio <= 0.35 THEN 'hammer' WHEN upper_ratio >= 0.55 AND lower_ratio <= 0.15 AND body_ratio <= 0.35 THEN 'shooting_star' ELSE 'standard' END AS pattern FROM c0", BARS, B, CANDLE),
@@ -122,7 +161,7 @@ QUERIES = {
         on_bars(trend.trend_alignment),
         latest_of("CASE WHEN m50 IS NULL THEN NULL WHEN m200 IS NOT NULL THEN CASE WHEN close > m20 AND m20 > m50 AND m50 > m200 THEN 'aligned_uptrend' WHEN close < m20 AND m20 < m50 AND m50 < m200 THEN 'aligned_downtrend' WHEN close > m200 THEN 'above_sma200_transitional' ELSE 'below_sma200_transitional' END WHEN close > m20 AND m20 > m50 THEN 'short_term_uptrend' WHEN close < m20 AND m20 < m50 THEN 'short_term_downtrend' ELSE 'transitional' END AS alignment", "m", BARS, B, f"m AS (SELECT *, {', '.join(f'{over(n, AVG)} AS m{n}' for n in (20, 50, 200))} FROM b)"),
     ),
-    "rsi": (on_bars(momentum.rsi), q(f"SELECT l.ticker, l.date, l.n AS available, CAST(15 AS BIGINT) AS required, {r6('v')} AS rsi, CASE WHEN v IS NULL THEN NULL WHEN v >= 70 THEN 'overbought' WHEN v <= 30 THEN 'oversold' ELSE 'neutral' END AS zone FROM b l LEFT JOIN rsi USING (ticker, date) WHERE l.k = 1", BARS, B, rsi())),
+    "rsi": (on_bars(momentum.rsi), q(RSI, BARS, B, rsi())),
     "z_score": (
         on_bars(momentum.z_score),
         q("SELECT ticker, date, z_score, CASE WHEN z_score IS NULL THEN NULL WHEN z_score >= 2 THEN 'extreme_high' WHEN z_score >= 1.5 THEN 'elevated' WHEN z_score <= -2 THEN 'extreme_low' WHEN z_score <= -1.5 THEN 'depressed' ELSE 'normal' END AS flag FROM z", BARS, B, f"r AS (SELECT *, close / {lag('close')} - 1 AS ret FROM b)", f"z AS (SELECT ticker, date, {r6('CASE WHEN n >= 22 THEN CASE WHEN s > 1e-15 THEN (ret - m) / s ELSE 0 END END')} AS z_score FROM (SELECT *, {over(20, 'AVG', of='ret')} AS m, {over(20, 'STDDEV_SAMP', of='ret')} AS s FROM r) WHERE k = 1)"),
@@ -139,18 +178,12 @@ QUERIES = {
     ),
     "bollinger": (on_bars(volatility.bollinger), q(f"SELECT ticker, date, {r6('middle')} AS middle, {r6('upper')} AS upper, {r6('lower')} AS lower, {r6('pct_b')} AS pct_b, {r6('width / middle * 100')} AS bandwidth FROM banded WHERE middle IS NOT NULL", BARS, B, BANDS)),
     "bollinger_position": (on_bars(volatility.bollinger_position), q("SELECT ticker, date, CASE WHEN middle IS NULL THEN NULL WHEN pct_b IS NULL THEN 'middle' WHEN pct_b >= 1 THEN 'above_upper' WHEN pct_b >= 0.8 THEN 'near_upper' WHEN pct_b <= 0 THEN 'below_lower' WHEN pct_b <= 0.2 THEN 'near_lower' ELSE 'inside_band' END AS position FROM banded WHERE k = 1", BARS, B, BANDS)),
-    "bollinger_squeeze": (
-        on_bars(volatility.bollinger_squeeze),
-        q(f"SELECT ticker, MAX(date) AS date, {r6('ARG_MAX(width, date)')} AS width, {r6('CASE WHEN COUNT(width) = 20 THEN quantile_cont(width, 0.15) END')} AS quantile, COALESCE(ARG_MAX(width, date) <= CASE WHEN COUNT(width) = 20 THEN quantile_cont(width, 0.15) END + 1e-9, FALSE) AS squeeze FROM banded WHERE k <= 20 GROUP BY ticker", BARS, B, BANDS),
-    ),
-    "c2c_volatility": (
-        on_bars(volatility.c2c_volatility),
-        q(f"SELECT ticker, MAX(date) AS date, {r6('CASE WHEN COUNT(r) = 20 THEN STDDEV_SAMP(r) * 100 END')} AS daily_pct, {r6('CASE WHEN COUNT(r) = 20 THEN STDDEV_SAMP(r) * 100 * SQRT(252) END')} AS annual_pct, {r6('CASE WHEN COUNT(r) = 20 THEN STDDEV_SAMP(r) * 200 END')} AS stop_pct FROM (SELECT ticker, date, k, LN(close / {lag('close')}) AS r FROM b) WHERE k <= 20 GROUP BY ticker", BARS, B),
-    ),
+    "bollinger_squeeze": (on_bars(volatility.bollinger_squeeze), q(SQUEEZE, BARS, B, BANDS)),
+    "c2c_volatility": (on_bars(volatility.c2c_volatility), q(C2C, BARS, B)),
     "true_range": (on_bars(lambda b: volatility.true_range(b).selectExpr("ticker", "date", "round(true_range, 6) AS true_range")), q(f"SELECT ticker, date, {r6(TRUE_RANGE)} AS true_range FROM b", BARS, B)),
     "atr": (
         on_bars(volatility.atr),
-        q(f"SELECT l.ticker, l.date, l.n AS available, {r6('a')} AS atr, {r6('a / l.close * 100')} AS atr_pct, {r6('a * 2')} AS stop FROM b l LEFT JOIN wr ON l.ticker = wr.ticker AND l.i = wr.i WHERE l.k = 1", BARS, B, f"tr AS (SELECT ticker, i, t, {over(14, 'AVG', of='t').replace('ORDER BY date', 'ORDER BY i')} AS s FROM (SELECT ticker, i, {TRUE_RANGE} AS t FROM b))", "wr(ticker, i, a) AS (SELECT ticker, i, s FROM tr WHERE i = 14 UNION ALL SELECT tr.ticker, tr.i, (wr.a * 13 + tr.t) / 14 FROM wr JOIN tr ON tr.ticker = wr.ticker AND tr.i = wr.i + 1)"),
+        q(f"SELECT l.ticker, l.date, l.n AS available, {r6('a')} AS atr, {r6('a / l.close * 100')} AS atr_pct, {r6('a * 2')} AS stop FROM b l LEFT JOIN wr ON l.ticker = wr.ticker AND l.i = wr.i WHERE l.k = 1", BARS, B, *WILDER),
     ),
     "volume_imbalance": (on_bars(flow.volume_imbalance), q(f"SELECT ticker, date, {r6('x')} AS imbalance, {r6('m')} AS mean, CASE WHEN m IS NULL THEN 'unknown' WHEN m > 0.05 THEN 'buy_side' WHEN m < -0.05 THEN 'sell_side' ELSE 'balanced' END AS bias FROM (SELECT *, {over(5, 'AVG', of='x')} AS m FROM (SELECT ticker, date, k, {IMB.format(x='volume')} AS x FROM b)) WHERE k = 1", BARS, B)),
     "count_imbalance": (on_bars(flow.count_imbalance), q(f"SELECT ticker, date, {r6('x')} AS imbalance, {r6('m')} AS mean FROM (SELECT *, {over(5, 'AVG', of='x')} AS m FROM (SELECT ticker, date, k, {IMB.format(x='count')} AS x FROM b)) WHERE k = 1", BARS, B)),
@@ -192,10 +225,7 @@ QUERIES = {
     ),
     "weekly_bars": (all_bars(weekly.weekly_bars_view), q(f"SELECT ticker, date, {r6('prev_close')} AS prev_close, {r6('close')} AS close, {', '.join((r2(c) if c.endswith('value') else c) + f' AS {c}' for c in weekly.SUMMED)}, foreign_room, trading_days FROM weeks", BARS, WEEKS)),
     "thin_weeks": (all_bars(weekly.thin_weeks), q("SELECT ticker, date, trading_days FROM weeks WHERE trading_days < 3", BARS, WEEKS)),
-    "stats_52w": (
-        all_bars(weekly.stats_52w),
-        q(f"SELECT ticker, MAX(date) AS date, COUNT(*) AS window_sessions, COUNT(*) >= 250 AS is_full, {r6('MAX(close)')} AS high, FIRST(date ORDER BY close DESC, date) AS high_date, {r6('MIN(close)')} AS low, FIRST(date ORDER BY close, date) AS low_date, {r6('(ARG_MAX(close, date) - MAX(close)) / MAX(close) * 100')} AS from_high_pct, {r6('(ARG_MAX(close, date) - MIN(close)) / MIN(close) * 100')} AS from_low_pct, {r6('MIN(close / peak - 1) * 100')} AS max_drawdown_pct, {r6('(ARG_MAX(close, date) - ARG_MIN(close, date)) / ARG_MIN(close, date) * 100')} AS return_pct, {r2('AVG(total_volume)')} AS avg_volume, {r2('AVG(total_value)')} AS avg_value FROM peaks GROUP BY ticker", BARS, STATS),
-    ),
+    "stats_52w": (all_bars(weekly.stats_52w), q(YEAR, BARS, STATS)),
     "normalized_100": (all_bars(weekly.normalized_100), q(f"SELECT a.ticker, a.date, {r6('a.close / f.close * 100')} AS normalized FROM b a JOIN b f ON a.ticker = f.ticker AND f.i = 1", BARS, back(250))),
     "index_latest": (
         lambda spark, d: weekly.index_latest(index_1d(spark, d)).selectExpr("exchange", "date", "round(index_current, 6) AS index_current", "round(index_change, 6) AS index_change", "total_trade", "round(total_value, 2) AS total_value", "total_volume", "advances", "declines", "unchanged"),
@@ -205,6 +235,13 @@ QUERIES = {
         lambda spark, d: weekly.market_breadth(index_1d(spark, d)),
         q("SELECT exchange, date, advances, declines, unchanged, ROUND(index_current, 6) AS index_current, ROUND(index_percent_change, 6) AS index_percent_change, ad AS ad_ratio, CASE WHEN ad IS NULL THEN CASE WHEN advances > 0 THEN 'strongly_bullish' ELSE 'neutral' END WHEN ad >= 2 THEN 'strongly_bullish' WHEN ad >= 1.2 THEN 'bullish' WHEN ad >= 0.8 THEN 'neutral' WHEN ad >= 0.5 THEN 'bearish' ELSE 'strongly_bearish' END AS regime FROM (SELECT *, CASE WHEN declines > 0 THEN CAST(ROUND(CAST(CAST(advances AS DOUBLE) / declines AS DECIMAL(28,8)), 2) AS DOUBLE) END AS ad FROM idx QUALIFY ROW_NUMBER() OVER (PARTITION BY exchange ORDER BY date DESC) = 1)", INDEX),
     ),
+    "ema_series": (lambda spark, d: rounded(scan.ema_series(bars_1d(spark, d))), q(f"SELECT ticker, date, {r4('e12')} AS ema_12, {r4('e26')} AS ema_26 FROM ema", BARS, ALL, recurrence((12, 26)))),
+    "macd_series": (lambda spark, d: rounded(scan.macd_series(bars_1d(spark, d))), q(f"SELECT e.ticker, e.date, {r4('e12 - e26')} AS macd, {r4('g')} AS signal, {r4('h')} AS histogram FROM ema e LEFT JOIN macd m ON e.ticker = m.ticker AND e.i = m.i", BARS, ALL, recurrence((12, 26)), macd())),
+    "rsi_series": (lambda spark, d: rounded(scan.rsi_series(bars_1d(spark, d))), q(f"SELECT l.ticker, l.date, {r4('v')} AS rsi FROM b l LEFT JOIN rsi USING (ticker, date)", BARS, ALL, rsi())),
+    "atr_series": (lambda spark, d: rounded(scan.atr_series(bars_1d(spark, d))), q(f"SELECT l.ticker, l.date, {r6(TRUE_RANGE)} AS true_range, {r4('a')} AS atr, {r4('a / l.close * 100')} AS atr_pct FROM b l LEFT JOIN wr ON l.ticker = wr.ticker AND l.i = wr.i", BARS, ALL, *WILDER)),
+    "uneven_bollinger_squeeze": (on_uneven(volatility.bollinger_squeeze), q(SQUEEZE.replace("SELECT ticker, date, MAX(bandwidth)", "SELECT ticker, date, MAX(CASE WHEN middle <> 0 THEN bandwidth END)"), BARS, UNEVENS, BANDS)),
+    "uneven_c2c_volatility": (on_uneven(volatility.c2c_volatility), q(C2C, BARS, UNEVENS)),
+    "uneven_stats_52w": (on_uneven(weekly.stats_52w), q(YEAR, BARS, UNEVEN, STATS.replace("FROM bars", "FROM uneven"))),
+    "uneven_sma_crossover": (on_uneven(trend.sma_crossover), q(" UNION ALL ".join(_cross(*p) for p in trend.CROSS_PAIRS), BARS, UNEVENS, CROSSED)),
+    "uneven_rsi": (on_uneven(momentum.rsi), q(RSI, BARS, UNEVENS, rsi())),
 }
-
-

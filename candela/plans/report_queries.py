@@ -11,7 +11,7 @@ from ..sources.projections import bars_1d, snapshots
 from ..streaming import sessions
 from . import report, scoring
 from .indicator_queries import QUERIES as INDICATORS
-from .indicator_queries import BANDS, LOOKBACK, NET, OBV, STATS, B, _percentile
+from .indicator_queries import BANDS, LOOKBACK, NET, OBV, B, _percentile
 from .scan_queries import HOURS
 from .sql import BARS, back, lag, macd, over, q, recurrence, rsi
 
@@ -173,8 +173,9 @@ cma AS (SELECT ticker, {", ".join(f"ROUND((close - m{n}) / m{n} * 100, 6) AS vs_
 C250 = (BARS, back(250), recurrence(EMAS), macd(), rsi(), BANDS, MEANS, COMPARE)
 S250 = """
 peaks AS (SELECT *, MAX(close) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM b),
-s52 AS (SELECT ticker, (ARG_MAX(close, date) - ARG_MIN(close, date)) / ARG_MIN(close, date) * 100 AS return_pct, MIN(close / peak - 1) * 100 AS max_drawdown_pct, (ARG_MAX(close, date) - MIN(close)) / MIN(close) * 100 AS from_low_pct, ROUND(AVG(total_value), 2) AS avg_value FROM peaks GROUP BY ticker)"""
-_RANKS = " UNION ALL ".join(f"SELECT ticker, '{f}' AS metric, ROUND(v, 6) AS value, ROW_NUMBER() OVER (ORDER BY v DESC, ticker) AS rank, MAX(v) OVER () - MIN(v) OVER () >= {gap} AS material FROM (SELECT ticker, {'ABS' if a else ''}({f}) AS v FROM {'s52' if f in ('return_pct', 'max_drawdown_pct', 'from_low_pct') else 'cma'}) WHERE v IS NOT NULL" for f, (gap, a) in scoring.GAPS.items())
+s52 AS (SELECT ticker, CASE WHEN COUNT(*) >= 200 THEN (ARG_MAX(close, date) - ARG_MIN(close, date)) / ARG_MIN(close, date) * 100 END AS return_pct, CASE WHEN COUNT(*) >= 200 THEN MIN(close / peak - 1) * 100 END AS max_drawdown_pct,
+  CASE WHEN COUNT(*) >= 200 THEN (ARG_MAX(close, date) - MIN(close)) / MIN(close) * 100 END AS from_low_pct, CASE WHEN COUNT(*) >= 200 THEN ROUND(AVG(total_value), 2) END AS avg_value FROM peaks GROUP BY ticker)"""
+_RANKS = " UNION ALL ".join(f"SELECT ticker, '{f}' AS metric, ROUND(v, 6) AS value, ROW_NUMBER() OVER (ORDER BY v DESC, ticker) AS rank, MAX(v) OVER () - MIN(v) OVER () >= {gap} AS material FROM (SELECT ticker, {'ABS' if a else ''}({f}) AS v FROM {'s52' if f in ('return_pct', 'max_drawdown_pct', 'from_low_pct') else 'cma'}) WHERE v IS NOT NULL QUALIFY COUNT(*) OVER () > 1" for f, (gap, a) in scoring.GAPS.items())
 _SPLITS = " UNION ALL ".join(f"SELECT '{n}' AS metric, COALESCE(STRING_AGG(ticker, ',' ORDER BY ticker) FILTER ({c} > 0), '') AS above, COALESCE(STRING_AGG(ticker, ',' ORDER BY ticker) FILTER ({c} <= 0), '') AS below FROM cma" for n, c in (("sma_20", "vs_sma_20_pct"), ("sma_50", "vs_sma_50_pct"), ("sma_200", "vs_sma_200_pct"), ("macd_hist", "macd_hist")))
 SHORT = renamed(recurrence((8, 17)), seeded="sseeded", ema="sema", r="sr_")
 SHORT_MACD = renamed(macd(8, 17, 9), line="sline", lined="slined", sig="ssig", macd="smacd", ema="sema")
@@ -259,7 +260,10 @@ QUERIES = {
         on_levels(lambda b: labels.with_wording(trend.trend_alignment(b).join(momentum.rsi(b).select("ticker", "zone"), "ticker").join(volatility.bollinger_squeeze(b).select("ticker", "squeeze"), "ticker").drop("date"))),
         f"SELECT a.ticker, alignment, zone, squeeze, w.vi AS alignment_vi, v.vi AS zone_vi, CASE WHEN squeeze THEN '{labels.SWITCHES['squeeze'][0]}' ELSE '{labels.SWITCHES['squeeze'][1]}' END AS squeeze_vi FROM ({INDICATORS['trend_alignment'][1]}) a JOIN ({INDICATORS['rsi'][1]}) r USING (ticker) JOIN ({INDICATORS['bollinger_squeeze'][1]}) s USING (ticker) LEFT JOIN {WORDS.format('w')} ON w.label = alignment LEFT JOIN {WORDS.format('v')} ON v.label = zone",
     ),
-    "compare_52w": (lambda spark, d: scoring.compare_52w(bars_1d(spark, d)).select("ticker", "window_sessions", "excluded", "return_pct", "max_drawdown_pct", "from_low_pct"), q("SELECT ticker, COUNT(*) AS window_sessions, COUNT(*) < 10 AS excluded, ROUND((ARG_MAX(close, date) - ARG_MIN(close, date)) / ARG_MIN(close, date) * 100, 6) AS return_pct, ROUND(MIN(close / peak - 1) * 100, 6) AS max_drawdown_pct, ROUND((ARG_MAX(close, date) - MIN(close)) / MIN(close) * 100, 6) AS from_low_pct FROM peaks GROUP BY ticker", BARS, STATS)),
+    "compare_52w": (
+        lambda spark, d: scoring.compare_52w(bars_1d(spark, d)).select("ticker", "window_sessions", "excluded", "return_pct", "max_drawdown_pct", "from_low_pct"),
+        q("SELECT ticker, n AS window_sessions, n < 10 AS excluded, ROUND(return_pct, 6) AS return_pct, ROUND(max_drawdown_pct, 6) AS max_drawdown_pct, ROUND(from_low_pct, 6) AS from_low_pct FROM s52 JOIN (SELECT ticker, COUNT(*) AS n FROM b GROUP BY ticker) USING (ticker)", BARS, back(250), S250),
+    ),
     "compare_ma": (on(250, scoring.compare_ma), q("SELECT * FROM cma", *C250)),
     "compare_levels": (on(250, scoring.compare_levels), level_sql("SELECT * EXCLUDE (date) FROM placed", 250, POSITION)),
     "rank_observation": (on(250, scoring.rank_observations), q(_RANKS, *C250, S250)),

@@ -202,15 +202,15 @@ def compare_52w(bars: DataFrame, least: int = 10) -> DataFrame:
     """52-week rows; a ticker with too few rows is shown as excluded, not dropped."""
     s = weekly.stats_52w(bars)
     ok = F.col("window_sessions") >= least
-    show = [c for c in s.columns if c not in ("ticker", "date", "window_sessions", "is_full")]
+    show = [c for c in s.columns if c not in ("ticker", "date", "window_sessions", "required", "is_full")]
     return s.select("ticker", "window_sessions", (~ok).alias("excluded"), *[F.when(ok, F.col(c)).alias(c) for c in show])
 
 
 def rank_observation(table: DataFrame, field: str, gap: float, absolute: bool = False) -> DataFrame:
-    """Tickers by a metric, and whether its spread is material."""
+    """Tickers by a metric, and whether its spread is material; nothing for a single one."""
     v = F.abs(field) if absolute else F.col(field)
     df = table.select("ticker", v.alias("value")).where("value IS NOT NULL")
-    spread = df.agg((F.max("value") - F.min("value")).alias("spread"))
+    spread = df.agg((F.max("value") - F.min("value")).alias("spread"), F.count(F.lit(1)).alias("compared")).where("compared > 1")
     # ranks need one order of all compared tickers, of which a request has five at most
     rank = F.row_number().over(Window.orderBy(F.desc("value"), "ticker")).cast("bigint")
     return df.withColumn("rank", rank).crossJoin(F.broadcast(spread)).select("ticker", F.lit(field).alias("metric"), F.round("value", 6).alias("value"), "rank", (F.col("spread") >= gap).alias("material"))

@@ -34,6 +34,12 @@ flawed AS (
   SELECT * REPLACE (CASE WHEN date_part('day', date) = 13 THEN prev_close * 1.0213131 ELSE prev_close END AS prev_close, CASE WHEN date_part('day', date) = 21 THEN 0 ELSE total_volume END AS total_volume,
     CASE date_part('month', date) % 2 WHEN 0 THEN foreign_room + 250000 ELSE foreign_room END AS foreign_room) FROM bars)"""
 
+UNEVEN = """
+uneven AS (
+  SELECT * EXCLUDE (kk) REPLACE (CASE WHEN kk = 40 AND CAST(split_part(ticker, '#', 2) AS INT) % 3 = 0 THEN 0 ELSE close * (1 + (300 - kk) * 0.02::DOUBLE) END AS close)
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date DESC) AS kk FROM bars)
+  WHERE kk <= CASE CAST(split_part(ticker, '#', 2) AS INT) % 5 WHEN 0 THEN 15 WHEN 1 THEN 45 WHEN 2 THEN 51 WHEN 3 THEN 52 ELSE 230 END)"""
+
 TICKS = """
 ticks AS (
   SELECT event_type AS ticker, ts AS timestamp, CAST(ts AS DATE) AS date, value AS price, event_id,

@@ -47,6 +47,19 @@ def flawed(bars: DataFrame) -> DataFrame:
     })
 
 
+#: Newest rows that :func:`uneven` leaves of a ticker, by its number modulo 5.
+LEFT = (15, 45, 51, 52, 230)
+
+
+def uneven(bars: DataFrame) -> DataFrame:
+    """Bars of short and broken histories: few rows by ticker, closes with a trend, and one of zero for every third ticker."""
+    k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    number = F.split_part("ticker", F.lit("#"), F.lit(2)).cast("int")
+    left = F.get(F.array(*map(F.lit, LEFT)), number % 5)
+    close = F.when((F.col("k") == 40) & (number % 3 == 0), 0.0).otherwise(F.col("close") * (1 + (300 - F.col("k")) * 0.02))
+    return bars.withColumn("k", k).where(F.col("k") <= left).withColumn("close", close).drop("k")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNAPSHOT: ticks with accumulated volume and value of the day."""
     e = table(spark, sf_dir, "events")
