@@ -34,6 +34,28 @@ def scan_as_of(bars: DataFrame, as_of: str, n: int) -> DataFrame:
     return df.withColumn("effective_date", effective).withColumn("is_trading_day", F.col("effective_date") == day(as_of))
 
 
+def as_of_join(left: DataFrame, bars: DataFrame, *columns: str) -> DataFrame:
+    """Each row of ``left`` (ticker, date, ..) with bar_date and the columns of its ticker's newest bar up to its date; null before the first.
+
+    Both sides are merged in one sort by (ticker, year, date), bars before rows of ``left`` of their date, and the newest
+    bar is carried along. A year begins with what the years before it left, one bar a ticker and year, so that a ticker with
+    very many rows is split by its years. Bars of a ticker have different dates; rows of ``left`` may repeat.
+    """
+    bar = F.struct(F.col("date").alias("bar_date"), *columns)
+    rest = [c for c in left.columns if c not in ("ticker", "date")]
+    mine = left.select("ticker", "date", F.lit(1).alias("side"), F.lit(None).alias("bar"), F.struct("date", *rest).alias("row"))
+    theirs = bars.select("ticker", "date", F.lit(0).alias("side"), bar.alias("bar"), F.lit(None).alias("row"))
+    both = theirs.unionByName(mine).withColumn("year", F.year("date"))
+    inside = Window.partitionBy("ticker", "year").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
+    years = both.where("side = 0").groupBy("ticker", "year").agg(F.max_by("bar", "date").alias("last")).unionByName(both.where("side = 1").select("ticker", "year", F.lit(None).alias("last")).distinct())
+    years = years.groupBy("ticker", "year").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("ticker").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    years = years.select("ticker", "year", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    found = both.withColumn("own", F.last("bar", ignorenulls=True).over(inside)).where("side = 1").join(years, ["ticker", "year"])
+    found = found.withColumn("bar", F.coalesce("own", "carried"))
+    return found.select("ticker", "row.*", *[F.col(f"bar.{c}").alias(c) for c in ("bar_date", *columns)])
+
+
 def list_tickers(bars: DataFrame) -> DataFrame:
     return bars.select("ticker").distinct()
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import r2, r6
 from ..operators import scans
-from ..sources import ingest
+from ..sources import ingest, store
 from ..sources.projections import bars_1d, index_1d, snapshots, table
 from ..streaming import sessions
 from .sql import BARS, INDEX, TICKS, lag, q
@@ -129,7 +132,55 @@ def _upserted(spark, d):
     return scans.upsert(b, new.unionByName(more), "ticker", "date").select("ticker", "date", r6("close").alias("close"), "total_volume")
 
 
+def traded(spark, d: str) -> DataFrame:
+    """(ticker, date, n): how many lines of orders of each day name each ticker; days without bars, and before a ticker's first bar."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    days = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("date"))
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
+    return line.join(days, "l_orderkey").join(names, "l_partkey").groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _as_of(spark, d):
+    return scans.as_of_join(traded(spark, d), bars_1d(spark, d), "close", "total_volume").withColumn("close", r6("close"))
+
+
+def stored(spark, d: str) -> str:
+    """The bars as a stored table under a name of its own, in the shared folder; its name."""
+    name = f"candela_bars_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="candela-")
+    store.create(bars_1d(spark, d), name, 4, f"{folder}/{name}")
+    return name
+
+
+def _stored_upsert(spark, d):
+    name = stored(spark, d)
+    day = bars_1d(spark, d).where("date = DATE'1997-05-05'").withColumn("total_volume", F.lit(0).cast("bigint"))
+    store.upsert(day.withColumn("seq", F.lit(1)), name)
+    store.append(day.withColumns({"date": F.lit("1997-06-30").cast("date"), "total_volume": F.lit(7).cast("bigint")}), name)
+    store.compact(spark, name)
+    return shown(store.read(spark, name, "1997-04-20", "1997-07-10"))
+
+
 QUERIES = {
+    "as_of_join": (
+        _as_of,
+        q(
+            "SELECT t.ticker, t.date, t.n, b.date AS bar_date, ROUND(b.close, 6) AS close, b.total_volume FROM lines t ASOF LEFT JOIN bars b ON t.ticker = b.ticker AND t.date >= b.date",
+            BARS, "lines AS (SELECT p_brand AS ticker, CAST(o_orderdate AS DATE) AS date, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)",
+        ),
+    ),
+    "stored_range": (lambda spark, d: shown(store.read(spark, stored(spark, d), START, END)), q(f"SELECT {SHOWN} FROM bars WHERE date >= DATE '{START}' AND date <= DATE '{END}'", BARS)),
+    "stored_upsert": (
+        _stored_upsert,
+        q(
+            f"SELECT {SHOWN} FROM (SELECT * REPLACE (CASE WHEN date = DATE '1997-05-05' THEN 0 ELSE total_volume END AS total_volume) FROM bars WHERE date <> DATE '1997-06-30' OR ticker NOT IN (SELECT ticker FROM bars WHERE date = DATE '1997-05-05')"
+            " UNION ALL SELECT * REPLACE (DATE '1997-06-30' AS date, 7 AS total_volume) FROM bars WHERE date = DATE '1997-05-05') WHERE date BETWEEN DATE '1997-04-20' AND DATE '1997-07-10'",
+            BARS,
+        ),
+    ),
     "scan_range": (bars(lambda b: shown(scans.scan_range(b, START, END))), q(f"SELECT {SHOWN} FROM bars WHERE date >= DATE '{START}' AND date <= DATE '{END}'", BARS)),
     "scan_recent": (bars(lambda b: shown(scans.scan_recent(b, 30))), q(f"SELECT {SHOWN} FROM bars QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date DESC) <= 30", BARS)),
     "scan_as_of": (
