@@ -12,13 +12,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arguments
+from .functions import recurrence
 from .functions.exprs import recent
 from .operators import flow, levels, momentum, scans, trend, volatility, weekly
 from .plans import report, scoring
 
 GROUPS = {
     "trend": {"ema": trend.ema, "sma_direction": trend.sma_direction, "ma_distance": trend.ma_distance, "macd": trend.macd, "macd_crossover": trend.macd_crossover, "returns": trend.returns_by_window, "sma_crossover": trend.sma_crossover, "candlestick": trend.candlestick, "alignment": trend.trend_alignment},
-    "momentum": {"rsi": momentum.rsi, "z_score": momentum.z_score, "percentile": momentum.close_percentile_by_window, "streak": momentum.return_streak, "stochastic": momentum.stochastic},
+    "momentum": {"rsi": momentum.rsi, "z_score": momentum.z_score, "percentile": momentum.close_percentile_by_window, "percentile_one": momentum.close_percentile, "streak": momentum.return_streak, "stochastic": momentum.stochastic},
     "volatility": {"bollinger_position": volatility.bollinger_position, "squeeze": volatility.bollinger_squeeze, "c2c": volatility.c2c_volatility, "atr": volatility.atr},
     "volume_flow": {"imbalance": flow.volume_imbalance, "obv": flow.obv, "ratio": flow.volume_ratio, "spikes": flow.volume_spikes, "divergence": flow.obv_divergence},
     "trade_flow": {"imbalance": flow.count_imbalance, "size": flow.trade_size_by_side},
@@ -27,16 +29,25 @@ GROUPS = {
 }
 #: Windows a request may set, and which arguments of which measures they are.
 PARAMS = {
-    "sma_windows": {"trend.sma_direction": "windows", "trend.series": "windows"}, "ema_windows": {"trend.ema": "windows"},
-    "macd_fast": {"trend.macd": "fast"}, "macd_slow": {"trend.macd": "slow"}, "macd_signal": {"trend.macd": "signal"}, "rsi_window": {"momentum.rsi": "n"},
+    "sma_windows": {"trend.sma_direction": "windows", "trend.series": "windows"}, "ema_windows": {"trend.ema": "windows", "trend.ema_series": "windows"},
+    "macd_fast": {"trend.macd": "fast", "trend.macd_series": "fast"}, "macd_slow": {"trend.macd": "slow", "trend.macd_series": "slow"}, "macd_signal": {"trend.macd": "signal", "trend.macd_series": "signal"},
+    "rsi_window": {"momentum.rsi": "n", "momentum.rsi_series": "n"},
     "bollinger_window": {"volatility.bollinger_position": "n", "volatility.squeeze": "n", "volatility.series": "n"}, "bollinger_k": {"volatility.bollinger_position": "width", "volatility.series": "width"},
     "volatility_window": {"volatility.c2c": "n"}, "flow_window": {"volume_flow.imbalance": "n", "trade_flow.imbalance": "n", "foreign_flow.participation": "n", "foreign_flow.room": "n"},
+    "return_windows": {"trend.returns": "windows"}, "crossover_pairs": {"trend.sma_crossover": "pairs"}, "percentile_windows": {"momentum.percentile": "windows"}, "percentile_window": {"momentum.percentile_one": "n"},
+    "z_score_window": {"momentum.z_score": "n"}, "stochastic_k_window": {"momentum.stochastic": "k"}, "stochastic_d_window": {"momentum.stochastic": "d"}, "atr_window": {"volatility.atr": "n", "volatility.atr_series": "n"},
+    "volume_ratio_window": {"volume_flow.ratio": "n"}, "prev_close_tolerance": {"volume_flow.obv": "tolerance", "volume_flow.series": "tolerance"},
     "trade_size_window": {"trade_flow.size": "n"}, "value_window": {"value_flow.avg_trade_value": "n", "value_flow.spike": "n"},
 }
 #: Measures by row, whose last points a request may ask for.
-SERIES = {"trend": trend.sma, "volatility": volatility.bollinger, "volume_flow": flow.obv_rows}
-#: Weekly bars a weekly analysis needs.
-WEEKS = 14
+SERIES = {
+    "trend": {"series": trend.sma, "ema_series": recurrence.ema_series, "macd_series": recurrence.macd_series}, "momentum": {"rsi_series": recurrence.rsi_series},
+    "volatility": {"series": volatility.bollinger, "atr_series": recurrence.atr_series}, "volume_flow": {"series": flow.obv_rows},
+}
+#: Parameters that are shares or factors instead of windows.
+FACTORS = ("bollinger_k", "prev_close_tolerance")
+#: Weekly bars that the horizons' weekly part needs, and that a weekly request needs.
+WEEKS, LEAST_WEEKS = 14, 10
 
 WEEKLY = {"ema": trend.ema, "macd": trend.macd, "rsi": momentum.rsi, "direction": trend.sma_direction}
 SCOPES = {"full": ("short_term", "mid_term", "long_term"), "short_term": ("short_term",), "mid_term": ("mid_term",), "long_term": ("long_term",), "levels": ()}
@@ -45,6 +56,10 @@ STRATEGIES = {"momentum_breakout": scoring.screen_momentum, "oversold_reversal":
 REFUSED = {"adx": "not computed", "ichimoku": "not computed", "vwap": "bars hold no prices within the day", "fundamentals": "no such data", "news": "no such data"}
 
 
+COUNTS = ["total_trade", "total_volume", "buy_count", "sell_count", "buy_volume", "sell_volume", "foreign_buy_volume", "foreign_sell_volume", "foreign_room"]
+BARS = ", ".join(["ticker string", "date date", *[f"{c} double" for c in ("prev_close", "open", "high", "low", "close", "total_value", "foreign_buy_value", "foreign_sell_value")], *[f"{c} bigint" for c in COUNTS]])
+
+
 class RequestError(ValueError):
     """A request outside of its limits."""
 
@@ -93,6 +108,36 @@ class Engine:
             df = df.where(F.col("date") <= F.lit(as_of).cast("date"))
         return recent(df, lookback)
 
+    def _hour_rows(self, tickers: list[str] | None, n: int, as_of: str | None = None) -> DataFrame:
+        """The newest n hourly bars of each ticker in the daily shape, dated by their time."""
+        if self.hours is None:
+            raise RequestError("no bars of timeframe 1h")
+        hours = self._of(tickers, self.hours)
+        if as_of is not None:
+            hours = hours.where(F.col("date") <= F.lit(as_of).cast("date"))
+        rows = scans.hourly_as_daily(scans.recent_hours(hours, n)).withColumnRenamed("datetime", "date")
+        return rows.withColumns({c: F.lit(0.0) for c in ("foreign_buy_value", "foreign_sell_value")})
+
+    @classmethod
+    def of_rows(cls, spark, rows: str | list[dict], **more) -> Engine:
+        """An engine over daily rows given in the call: dictionaries, or JSON text of them, with the fields of bars; missing ones are null, counts 0."""
+        try:
+            found = arguments.rows(rows)
+        except ValueError as e:
+            raise RequestError(str(e)) from e
+        read = spark.createDataFrame([(json.dumps(r, default=str),) for r in found], "value string").select(F.from_json("value", BARS).alias("r")).select("r.*")
+        return cls(read.where("ticker IS NOT NULL AND date IS NOT NULL AND close IS NOT NULL").fillna(0, COUNTS), **more)
+
+    def _universe(self, universe: list[str] | str | None) -> list[str] | None:
+        """The tickers asked for; all (None) if none of them is stored, in the order asked for."""
+        universe = arguments.names(universe)
+        if universe is None:
+            return None
+        self._of(universe, self.bars)
+        wanted = [t.upper() for t in universe]
+        here = {r[0] for r in self.bars.where(F.upper("ticker").isin(wanted)).select(F.upper("ticker")).distinct().collect()}  # of those asked for
+        return [t for t in dict.fromkeys(wanted) if t in here] or None
+
     def _of(self, tickers: list[str] | None, df: DataFrame) -> DataFrame:
         if tickers is None:
             return df
@@ -120,32 +165,51 @@ class Engine:
                 return scans.price_fallback(self._of(tickers, self.bars), start, end, lookback)
             return self._rows(tickers, lookback).withColumn("fallback", F.lit(False))
 
-    def indicators(self, groups: list[str] | None = None, tickers: list[str] | None = None, lookback: int = 300, as_of: str | None = None, params: dict | None = None, series_tail: int = 0) -> dict[str, DataFrame]:
-        """Each measure of the groups as a DataFrame, named group.measure.
+    def indicators(self, groups: list[str] | str | None = None, tickers: list[str] | None = None, lookback: int = 300, as_of: str | None = None, params: dict | None = None, series_tail: int = 0, timeframe: str = "1d") -> dict[str, DataFrame]:
+        """Each measure of the groups as a DataFrame, named group.measure, over daily or hourly (1h) bars.
 
-        ``params`` sets windows (PARAMS). With ``series_tail`` the groups that have one also give the last points of their series.
+        ``params`` sets windows (PARAMS). With ``series_tail`` the groups that have them also give the last points of their series.
         """
-        with self._call("indicators", groups=groups, tickers=tickers, lookback=lookback, as_of=as_of, params=params, series_tail=series_tail):
-            unknown = [g for g in groups or [] if g not in GROUPS]
-            if unknown:
-                raise RequestError(f"{unknown[0]}: {REFUSED.get(unknown[0], 'unknown group')}")
-            if not 0 <= series_tail <= 250:
-                raise RequestError("series_tail must lie between 0 and 250")
-            own: dict[str, dict] = {}
-            for name, value in (params or {}).items():
-                if name not in PARAMS:
-                    raise RequestError(f"unknown parameter {name}")
-                many = name.endswith("_windows")
-                for x in value if many else [value]:
-                    if isinstance(x, bool) or not isinstance(x, (int, float) if name == "bollinger_k" else int) or not 0 < x <= 500:
-                        raise RequestError(f"{name}: not a window: {x}")
-                for measure, argument in PARAMS[name].items():
-                    own.setdefault(measure, {})[argument] = tuple(value) if many else value
-            rows = self._rows(tickers, lookback, as_of)
-            out = {f"{g}.{k}": f(rows, **own.get(f"{g}.{k}", {})) for g in groups or GROUPS for k, f in GROUPS[g].items()}
-            if series_tail:
-                out |= {f"{g}.series": recent(f(rows, **own.get(f"{g}.series", {})), series_tail) for g, f in SERIES.items() if g in (groups or GROUPS)}
-            return out
+        with self._call("indicators", groups=groups, tickers=tickers, lookback=lookback, as_of=as_of, params=params, series_tail=series_tail, timeframe=timeframe):
+            if timeframe not in ("1d", "1h"):
+                raise RequestError(f"no bars of timeframe {timeframe}")
+            own = self._arguments(params)
+            rows = self._rows(tickers, lookback, as_of) if timeframe == "1d" else self._hour_rows(tickers, lookback, as_of)
+            return self._measures(rows, self._groups(groups), series_tail, own)
+
+    @staticmethod
+    def _groups(groups: list[str] | str | None) -> list[str]:
+        groups = arguments.names(groups) or list(GROUPS)
+        unknown = [g for g in groups if g not in GROUPS]
+        if unknown:
+            raise RequestError(f"{unknown[0]}: {REFUSED.get(unknown[0], 'unknown group')}")
+        return groups
+
+    @staticmethod
+    def _arguments(params: dict | None) -> dict[str, dict]:
+        """What each measure is called with, from the windows a request sets."""
+        own: dict[str, dict] = {}
+        for name, value in (params or {}).items():
+            if name not in PARAMS:
+                raise RequestError(f"unknown parameter {name}")
+            many, pairs = name.endswith("_windows"), name.endswith("_pairs")
+            if pairs and not all(len(p) == 2 and p[0] < p[1] for p in value):
+                raise RequestError(f"{name}: pairs of a fast and a slow window")
+            for x in [x for p in value for x in p] if pairs else value if many else [value]:
+                if isinstance(x, bool) or not isinstance(x, (int, float) if name in FACTORS else int) or not 0 < x <= 500:
+                    raise RequestError(f"{name}: not a window: {x}")
+            for measure, argument in PARAMS[name].items():
+                own.setdefault(measure, {})[argument] = tuple(map(tuple, value)) if pairs else tuple(value) if many else value
+        return own
+
+    @staticmethod
+    def _measures(rows: DataFrame, groups: list[str], series_tail: int, own: dict[str, dict]) -> dict[str, DataFrame]:
+        if not 0 <= series_tail <= 250:
+            raise RequestError("series_tail must lie between 0 and 250")
+        out = {f"{g}.{k}": f(rows, **own.get(f"{g}.{k}", {})) for g in groups for k, f in GROUPS[g].items()}
+        if series_tail:
+            out |= {f"{g}.{k}": recent(f(rows, **own.get(f"{g}.{k}", {})), series_tail) for g in groups for k, f in SERIES.get(g, {}).items()}
+        return out
 
     def flow_summary(self, tickers: list[str] | None = None, window: int = 20) -> DataFrame:
         with self._call("flow_summary", tickers=tickers, window=window):
@@ -160,6 +224,7 @@ class Engine:
         how many weekly bars there are; 52-week figures. In full detail also every daily and weekly measure.
         """
         with self._call("multi_horizon", tickers=tickers, scope=scope, lookback=lookback, as_of=as_of, detail=detail, series_tail=series_tail):
+            scope, detail = arguments.scope(scope), arguments.word(detail, "compact")
             if scope not in SCOPES:
                 raise RequestError(f"unknown scope {scope}")
             if detail not in ("compact", "full"):
@@ -181,13 +246,23 @@ class Engine:
                 out |= {f"daily.{g}.{k}": f(rows) for g, measures in GROUPS.items() for k, f in measures.items()}
                 out |= {f"weekly.{k}": f(weeks.where("prev_close IS NOT NULL")) for k, f in WEEKLY.items()}
             if series_tail:
-                out |= {f"daily.{g}.series": recent(f(rows), series_tail) for g, f in SERIES.items()}
+                out |= {f"daily.{g}.{k}": recent(f(rows), series_tail) for g, measures in SERIES.items() for k, f in measures.items()}
             return out
 
-    def weekly(self, tickers: list[str] | None = None, lookback: int = 500) -> dict[str, DataFrame]:
-        with self._call("weekly", tickers=tickers, lookback=lookback):
-            weeks = weekly.weekly_bars(self._rows(tickers, lookback)).where("prev_close IS NOT NULL")
-            return {"bars": weeks} | {k: f(weeks) for k, f in WEEKLY.items()}
+    def weekly(self, tickers: list[str] | None = None, lookback: int = 500, groups: list[str] | str | None = None, series_tail: int = 0) -> dict[str, DataFrame]:
+        """The measures of the groups over weekly bars, of tickers with ten of them at least.
+
+        Also ``weeks``, how many each ticker has and whether it is refused for it; ``bars``; and ``thin``, weeks of few trading days.
+        """
+        with self._call("weekly", tickers=tickers, lookback=lookback, groups=groups, series_tail=series_tail):
+            rows = self._rows(tickers, lookback)
+            bars = weekly.weekly_bars(rows)
+            weeks = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("available"))
+            weeks = weeks.select("ticker", "available", F.lit(LEAST_WEEKS).cast("long").alias("required"), (F.col("available") < LEAST_WEEKS).alias("refused"))
+            enough = bars.join(weeks.where("NOT refused").select("ticker"), "ticker", "left_semi").where("prev_close IS NOT NULL")
+            none = F.lit(None).cast("double")
+            shaped = enough.withColumns({c: none for c in ("open", "high", "low")})  # weekly bars have closes only
+            return {"weeks": weeks, "bars": enough, "thin": weekly.thin_weeks(rows)} | {k: f(enough) for k, f in WEEKLY.items()} | self._measures(shaped, self._groups(groups), series_tail, {})
 
     def breadth(self, exchange: str = "ALL") -> DataFrame:
         with self._call("breadth", exchange=exchange):
@@ -205,23 +280,31 @@ class Engine:
             rows = self._rows(tickers, lookback)
             return {"stats_52w": scoring.compare_52w(rows), "averages": scoring.compare_ma(rows), "levels": scoring.compare_levels(rows), "ranks": scoring.rank_observations(rows), "relative": scoring.relative_assessment(rows)}
 
-    def screen(self, strategy: str = "momentum_breakout", universe: list[str] | None = None, top_n: int = 5) -> DataFrame:
-        with self._call("screen", strategy=strategy, universe=universe, top_n=top_n):
+    def screen(self, strategy: str = "momentum_breakout", universe: list[str] | str | None = None, top_n: int = 5, timeframe: str = "1d") -> DataFrame:
+        """The best tickers of the universe by a strategy, with details; of all stored ones if the universe has none of them."""
+        with self._call("screen", strategy=strategy, universe=universe, top_n=top_n, timeframe=timeframe):
             if not 1 <= top_n <= 10:
                 raise RequestError("top_n must lie between 1 and 10")
-            rows = self._rows(universe, 100)
-            order = None if universe is None else self.bars.sparkSession.createDataFrame([(t.upper(), i) for i, t in enumerate(universe)], "name string, pos int")
+            if timeframe not in ("1d", "1h"):
+                raise RequestError(f"no bars of timeframe {timeframe}")
+            strategy = arguments.word(strategy)
+            if strategy not in STRATEGIES and strategy != "intraday_breakout":
+                raise RequestError(f"unknown strategy {strategy}")
+            universe = self._universe(universe)
+            rows = self._rows(universe, 100) if timeframe == "1d" else self._hour_rows(universe, 60)
+            order = None if universe is None else self.bars.sparkSession.createDataFrame([(t, i) for i, t in enumerate(universe)], "name string, pos int")
             if order is not None:
                 order = scans.list_tickers(rows).join(order, F.upper("ticker") == F.col("name")).select("ticker", "pos")
             if strategy == "intraday_breakout":
+                if self.hours is None:
+                    raise RequestError("no bars of timeframe 1h")
                 return scoring.screen_and_rank(scoring.screen_intraday(scans.recent_hours(self.hours, 60)), rows, top_n, order)
-            if strategy not in STRATEGIES:
-                raise RequestError(f"unknown strategy {strategy}")
             return scoring.screen_and_rank(STRATEGIES[strategy](rows), rows, top_n, order).join(scoring.screen_details(rows), "ticker").orderBy("rank")
 
-    def foreign_scan(self, window: int = 5, top_n: int = 5, universe: list[str] | None = None) -> dict[str, DataFrame]:
+    def foreign_scan(self, window: int = 5, top_n: int = 5, universe: list[str] | str | None = None) -> dict[str, DataFrame]:
+        """Largest foreign buyers' and sellers' tickers of the universe; of all stored ones if the universe has none of them."""
         with self._call("foreign_scan", window=window, top_n=top_n, universe=universe):
             if not (1 <= window <= 60 and 1 <= top_n <= 10):
                 raise RequestError("window: 1 to 60, top_n: 1 to 10")
-            scan = scoring.foreign_scan(self._rows(universe, max(2 * window, 20)), window)
+            scan = scoring.foreign_scan(self._rows(self._universe(universe), max(2 * window, 20)), window)
             return {"buyers": scoring.foreign_top(scan, top_n), "sellers": scoring.foreign_top(scan, top_n, False), "room_warnings": scoring.room_warnings(scan)}

@@ -36,17 +36,17 @@ def prev_close_mismatch(bars: DataFrame, tolerance: float = 0.005) -> DataFrame:
     return df.where(F.abs(F.col("prev_close") - F.col("prior_close")) > tolerance * F.col("prior_close")).select("ticker", "date", r6("prev_close").alias("prev_close"), r6("prior_close").alias("prior_close"), r6(ratio("prior_close", "prev_close")).alias("ratio"))
 
 
-def obv_rows(bars: DataFrame) -> DataFrame:
+def obv_rows(bars: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """On-balance volume of each row; null for tickers with an unusable prev_close."""
     step = (F.signum(F.col("close") - F.col("prev_close")) * F.col("total_volume")).cast("double")
-    df = bars.withColumn("prior", lag("close")).withColumn("wrong", (F.col("prev_close").isNull() | (F.col("prev_close") <= 0) | F.coalesce(F.abs(F.col("prev_close") - F.col("prior")) > 0.005 * F.col("prior"), F.lit(False))).cast("int"))
+    df = bars.withColumn("prior", lag("close")).withColumn("wrong", (F.col("prev_close").isNull() | (F.col("prev_close") <= 0) | F.coalesce(F.abs(F.col("prev_close") - F.col("prior")) > tolerance * F.col("prior"), F.lit(False))).cast("int"))
     df = df.withColumn("refused", F.max("wrong").over(TICKER())).withColumn("move", F.signum(F.col("close") - F.col("prev_close"))).withColumn("rows", F.count(F.lit(1)).over(TICKER())).withColumn("i", F.row_number().over(W()))
     return df.withColumn("obv", F.when(F.col("refused") == 0, F.sum(step).over(CUMULATIVE())))
 
 
-def obv(bars: DataFrame) -> DataFrame:
+def obv(bars: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """Latest OBV and its change over min(rows - 1, 20) rows."""
-    df = obv_rows(bars).withColumn("back", F.least(F.col("rows") - 1, F.lit(20)))
+    df = obv_rows(bars, tolerance).withColumn("back", F.least(F.col("rows") - 1, F.lit(20)))
     first = F.first(F.when(F.col("i") == F.col("rows") - F.col("back"), F.col("obv")), ignorenulls=True).over(W().rowsBetween(-20, 0))
     return latest(df.withColumn("was", first)).where("rows >= 2").select("ticker", "date", "obv", (F.col("obv") - F.col("was")).alias("change"))
 
