@@ -249,6 +249,19 @@ class Engine:
                 out |= {f"daily.{g}.{k}": recent(f(rows), series_tail) for g, measures in SERIES.items() for k, f in measures.items()}
             return out
 
+    def report(self, tickers: list[str] | None = None, scope: str = "full", lookback: int = 500, as_of: str | None = None, detail: str = "compact", series_tail: int = 0) -> DataFrame:
+        """(ticker, report): :meth:`multi_horizon` as one JSON document a ticker, an array of rows for each of its parts.
+
+        The parts read one scan of the bars, and those a scope leaves out are not planned.
+        """
+        parts = self.multi_horizon(tickers, scope, lookback, as_of, detail, series_tail)
+        every = None
+        for name, df in parts.items():
+            rest = [c for c in df.columns if c != "ticker"]
+            rows = df.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
+            every = rows if every is None else every.join(rows, "ticker", "full")
+        return every.select("ticker", F.to_json(F.struct(*[F.col(f"`{n}`") for n in parts]), {"ignoreNullFields": "false"}).alias("report"))
+
     def weekly(self, tickers: list[str] | None = None, lookback: int = 500, groups: list[str] | str | None = None, series_tail: int = 0) -> dict[str, DataFrame]:
         """The measures of the groups over weekly bars, of tickers with ten of them at least.
 

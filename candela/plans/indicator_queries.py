@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import recurrence as scan
+from ..functions import sql as functions
 from ..functions.exprs import recent
 from ..operators import flow, momentum, trend, volatility, weekly
 from ..sources.projections import bars_1d, flawed, index_1d, uneven
@@ -43,6 +44,19 @@ def div(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) <> 0 THEN CAST({a} AS DOUBLE) / ({b}) END)"
 
 
+def in_sql(columns: str, before: str = "c"):
+    """A query in SQL text over the last 300 bars of each ticker, with the closes in date order as array c."""
+
+    def run(spark, d):
+        functions.register(spark)
+        return spark.sql(
+            f"SELECT ticker, date, {columns} FROM (SELECT ticker, date, {before} FROM (SELECT ticker, MAX(date) AS date, transform(array_sort(collect_list(struct(date, close))), x -> x.close) AS c FROM {{bars}} GROUP BY ticker))",
+            bars=recent(bars_1d(spark, d), LOOKBACK),
+        )
+
+    return run
+
+
 def rounded(df):
     """Numbers at four places, as long recurrences differ in their last bits; ranges at six."""
     return df.select("ticker", "date", *[F.round(c, 6 if c == "true_range" else 4).alias(c) for c in df.columns[2:]])
@@ -244,4 +258,10 @@ QUERIES = {
     "uneven_stats_52w": (on_uneven(weekly.stats_52w), q(YEAR, BARS, UNEVEN, STATS.replace("FROM bars", "FROM uneven"))),
     "uneven_sma_crossover": (on_uneven(trend.sma_crossover), q(" UNION ALL ".join(_cross(*p) for p in trend.CROSS_PAIRS), BARS, UNEVENS, CROSSED)),
     "uneven_rsi": (on_uneven(momentum.rsi), q(RSI, BARS, UNEVENS, rsi())),
+    "sql_ema": (in_sql(", ".join(f"round(candela_ema(c, {n}), 6) AS ema_{n}" for n in EMA)), q(f"SELECT ticker, date, {names('ROUND(e{n}, 6) AS ema_{n}', EMA)} FROM ema WHERE i = n", BARS, B, recurrence(EMA))),
+    "sql_rsi": (in_sql("round(candela_rsi(c, 14), 6) AS rsi"), q(f"SELECT l.ticker, l.date, {r6('v')} AS rsi FROM b l LEFT JOIN rsi USING (ticker, date) WHERE l.k = 1", BARS, B, rsi())),
+    "sql_macd": (
+        in_sql("round(m.macd, 6) AS macd, round(m.signal, 6) AS signal, round(m.histogram, 6) AS histogram", "candela_macd(c, 12, 26, 9) AS m"),
+        q(f"SELECT l.ticker, l.date, {r6('m')} AS macd, {r6('g')} AS signal, {r6('h')} AS histogram FROM b l LEFT JOIN macd USING (ticker, date) WHERE l.k = 1", BARS, B, recurrence((12, 26)), macd()),
+    ),
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 from .ingest import FIELDS, as_date, as_float, as_int, as_number
 
@@ -54,6 +55,14 @@ def read_xml_items(spark: SparkSession, path: str, tag: str, schema: str) -> Dat
     return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(schema).load(path)
 
 
+def soap_items(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements named ``tag`` of SOAP responses; a fault in any of them fails the read with its text."""
+    items = read_xml_items(spark, path, tag, schema)
+    said = F.coalesce(F.nullif(F.trim("faultstring"), F.lit("")), F.nullif(F.trim("faultcode"), F.lit("")), F.lit("SOAP Fault occurred"))
+    failed = xml_faults(spark, path).select(F.raise_error(F.concat(F.lit("SOAP Fault: "), said)).alias("fault"))
+    return items.unionByName(failed.select(*[F.col("fault").cast(f.dataType).alias(f.name) for f in items.schema.fields]))
+
+
 def xml_faults(spark: SparkSession, path: str) -> DataFrame:
     return read_xml_items(spark, path, "Fault", "faultcode string, faultstring string")
 
@@ -106,56 +115,94 @@ def rest_quotes(responses: DataFrame) -> DataFrame:
 
 
 class FeedReader(DataSourceReader):
+    """One request and one task for each symbol."""
+
     def __init__(self, options: dict):
         self.symbols = [s for s in options.get("symbols", "").split(",") if s]
         self.provider = options["provider"]
 
     def partitions(self):
-        return [InputPartition(s) for s in self.symbols]
+        # Spark takes an empty list for one task without a partition
+        return [InputPartition(s) for s in self.symbols] or [InputPartition(None)]
 
     def read(self, partition):
+        if partition.value is None:
+            return
         module, _, name = self.provider.partition(":")
         for i, r in enumerate(records(getattr(importlib.import_module(module), name)(partition.value))):
             yield (i, *[None if r.get(n) is None else str(r[n]) for n in FIELDS])
 
 
+class FilteredFeedReader(FeedReader):
+    """Asks only for the symbols that the query's filters leave."""
+
+    def pushFilters(self, filters):
+        """Filters on Symbol narrow the requests; Spark applies them too, as a response may hold other symbols."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("Symbol",):
+                self.symbols = [s for s in self.symbols if s == f.value]
+            elif isinstance(f, In) and f.attribute == ("Symbol",):
+                self.symbols = [s for s in self.symbols if s in f.value]
+            yield f
+
+
 class FeedStreamReader(DataSourceStreamReader):
-    """Each batch asks the provider once for every symbol, one task a symbol. A batch that is run again asks again: quotes are live."""
+    """Each batch asks the provider once for every symbol, one task a symbol.
+
+    Offsets are times in nanoseconds, so they never go back, also after a restart. A batch that is run again asks again:
+    quotes are live. Where each response must count once, use :func:`land` and :func:`landed`.
+    """
 
     def __init__(self, options: dict):
         self.batch = FeedReader(options)
-        self.polls = 0
+        self.last = 0
 
     def initialOffset(self):
-        return {"polls": 0}
+        return {"at": 0}
 
     def latestOffset(self):
-        self.polls += 1
-        return {"polls": self.polls}
+        self.last = max(self.last + 1, time.time_ns())
+        return {"at": self.last}
 
     def partitions(self, start, end):
-        self.polls = max(self.polls, end["polls"])
+        self.last = max(self.last, start["at"], end["at"])
         return self.batch.partitions()
 
     def read(self, partition):
         return self.batch.read(partition)
 
 
+def land(spark: SparkSession, symbols: list[str], provider: str, folder: str) -> None:
+    """Ask the provider for each symbol once, and add the records to a landing folder, all of them or none."""
+    spark.dataSource.register(FeedDataSource)
+    df = spark.read.format("candela_feed").option("symbols", ",".join(symbols)).option("provider", provider).load()
+    df.withColumn("polled", F.lit(time.time_ns())).write.mode("append").parquet(folder)
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the landed records. Its offsets are the files, logged in the checkpoint: a batch that is run again reads
+    the same responses, and a restart goes on with the first file not yet read."""
+    return spark.readStream.schema(f"{FeedDataSource.SCHEMA}, polled long").parquet(folder)
+
+
 class FeedDataSource(DataSource):
     """``spark.read.format("candela_feed")``: option ``provider`` ("module:function", symbol -> response) is called once for each of ``symbols``, each in a task of its own.
 
-    ``spark.readStream.format("candela_feed")`` calls it again for each batch.
+    With option ``pushdown``, filters on Symbol leave out requests; Spark needs ``spark.sql.python.filterPushdown.enabled`` for it.
+    ``spark.readStream.format("candela_feed")`` calls the provider again for each batch.
     """
 
+    SCHEMA = "seq long, " + ", ".join(f"{n} string" for n in FIELDS)
+
     @classmethod
     def name(cls):
         return "candela_feed"
 
     def schema(self):
-        return "seq long, " + ", ".join(f"{n} string" for n in FIELDS)
+        return self.SCHEMA
 
     def reader(self, schema):
-        return FeedReader(self.options)
+        return (FilteredFeedReader if self.options.get("pushdown", "false") == "true" else FeedReader)(self.options)
 
     def streamReader(self, schema):
         return FeedStreamReader(self.options)

@@ -102,7 +102,7 @@ def test_ties_take_the_earliest_date(spark):
     b = bars(spark, [5.0, 9.0, 3.0, 9.0, 3.0] * 4)
     x = one(levels.close_extremes(b, (20,)))
     assert (x.high_date.day, x.low_date.day) == (2, 3)
-    s = one(weekly.stats_52w(b))
+    s = one(weekly.stats_52w(b, required=20))
     assert (s.high_date.day, s.low_date.day) == (2, 3) and not s.is_full
 
 

@@ -146,3 +146,16 @@ def test_universe_weekly_hours_and_windows(spark, data):
     for call in (lambda: Engine(e.bars).breadth(), lambda: e.compare(["Brand#1", "Brand#2"], 19), lambda: e.indicators(timeframe="5m"), lambda: Engine(e.bars).indicators(timeframe="1h"), lambda: e.indicators(params={"crossover_pairs": [(9, 3)]}), lambda: Engine(e.bars).screen("intraday_breakout")):
         with pytest.raises(RequestError):
             call()
+
+
+def test_report_is_one_document_a_ticker(spark, data):
+    e = Engine(bars_1d(spark, f"{data}/sf0.001").where("ticker IN ('Brand#1', 'Brand#2')").cache())
+    for scope in ("levels", "mid_term"):
+        parts = e.multi_horizon(scope=scope)
+        got = {r.ticker: json.loads(r.report) for r in e.report(scope=scope).collect()}
+        assert set(got) == {"Brand#1", "Brand#2"} and all(set(r) == set(parts) for r in got.values())
+        for name in ("position", "verdict") if scope == "mid_term" else ("position",):
+            want = {r.ticker: r.asDict() for r in parts[name].collect()}
+            assert all(len(got[t][name]) == 1 and got[t][name][0].get("reading") == want[t].get("reading") for t in got)
+    size = lambda scope: e.report(scope=scope)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size("levels") < size("short_term") / 3

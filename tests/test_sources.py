@@ -63,6 +63,60 @@ def test_data_source(spark):
     assert sorted(r.ticker for r in ingest.parse(df).collect()) == ["AAA", "BBB"]
 
 
+def test_a_fault_fails_the_read(spark, tmp_path):
+    (tmp_path / "x.xml").write_text("<Envelope><Body><Quote><Symbol>A</Symbol></Quote></Body></Envelope>")
+    assert [r.Symbol for r in feeds.soap_items(spark, str(tmp_path), "Quote", "Symbol string").collect()] == ["A"]
+    (tmp_path / "f.xml").write_text("<Envelope><Body><Fault><faultcode>c</faultcode><faultstring> no such account </faultstring></Fault></Body></Envelope>")
+    with pytest.raises(Exception, match="SOAP Fault: no such account"):
+        feeds.soap_items(spark, str(tmp_path), "Quote", "Symbol string").collect()
+    (tmp_path / "f.xml").write_text("<Envelope><Body><Fault><faultcode>c7</faultcode></Fault></Body></Envelope>")
+    with pytest.raises(Exception, match="SOAP Fault: c7"):
+        feeds.soap_items(spark, str(tmp_path), "Quote", "Symbol string").collect()
+
+
+def test_filters_on_symbols_narrow_the_requests(spark):
+    spark.dataSource.register(feeds.FeedDataSource)
+    key = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "true")
+    try:
+        df = spark.read.format("candela_feed").option("pushdown", "true").option("symbols", "AAA,BBB,CCC").option("provider", "tests.test_sources:daily").load()
+        for condition, asked in (("Symbol = 'BBB'", 1), ("Symbol IN ('AAA', 'CCC', 'x')", 2), ("Symbol = 'x'", 0), ("PriceClose <> '1'", 3)):
+            some = df.where(condition)
+            assert some.count() == asked and some.rdd.getNumPartitions() == max(1, asked)
+    finally:
+        spark.conf.unset(key)
+
+
+def counted(symbol):
+    """A provider that never says the same twice."""
+    import time
+
+    return {"Data": [dict(RECORDS[0], Symbol=symbol, TotalVolume=str(time.time_ns()))]}
+
+
+def test_landed_polls_are_replayed(spark, tmp_path):
+    """Each response counts once, whatever restarts; a checkpoint that is behind reads the same responses again."""
+    land, out, at = (str(tmp_path / x) for x in ("land", "out", "at"))
+    polled = []
+    for n in range(1, 4):
+        feeds.land(spark, ["AAA", "BBB"], "tests.test_sources:counted", land)
+        polled = sorted((r.Symbol, r.TotalVolume) for r in spark.read.parquet(land).collect())
+        feeds.landed(spark, land).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination(90)
+        assert sorted((r.Symbol, r.TotalVolume) for r in spark.read.parquet(out).collect()) == polled and len(polled) == 2 * n
+    again = str(tmp_path / "again")
+    feeds.landed(spark, land).writeStream.format("parquet").option("path", again).option("checkpointLocation", f"{again}-at").trigger(availableNow=True).start().awaitTermination(90)
+    assert sorted((r.Symbol, r.TotalVolume) for r in spark.read.parquet(again).collect()) == polled
+
+
+def test_offsets_never_go_back():
+    reader = feeds.FeedStreamReader({"symbols": "A", "provider": "x:y"})
+    first = [reader.latestOffset()["at"] for _ in range(50)]
+    after = feeds.FeedStreamReader({"symbols": "A", "provider": "x:y"})
+    assert first == sorted(set(first)) and after.latestOffset()["at"] > first[-1] > reader.initialOffset()["at"]
+    after.partitions({"at": 2**62}, {"at": 2**62 + 5})
+    assert after.latestOffset()["at"] > 2**62 + 5
+
+
 def test_stream_of_the_data_source(spark, tmp_path):
     spark.dataSource.register(feeds.FeedDataSource)
     stream = spark.readStream.format("candela_feed").option("symbols", "AAA,BBB").option("provider", "tests.test_sources:daily").load()
