@@ -10,7 +10,8 @@ from the most significant slice downward, and rows tied at the boundary are reso
 by smaller id. The scores of the few rows chosen are read off the same slices.
 
 The stated queries meet all rows in blocks: a group is (a block of the index, some chunks of queries), both
-bounded; a block is sent once for every ``LANE_CHUNKS`` chunks. The winners of the blocks, k a query and block, are then
+bounded in bytes (some 16 MB and ``LANE_BYTES``, whatever the width); a block is sent once for every lane of queries, and
+queries travel in the narrowest integers that hold them. The winners of the blocks, k a query and block, are then
 ranked by query.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
@@ -36,8 +37,9 @@ from pyspark.sql.window import Window
 from .common import written
 from .components import sorted_groups
 
-#: Rows of a block at most (fewer for wide vectors, so that slices stay under some 16 MB), queries of a chunk, chunks that share a copy of a block.
-BLOCK_ROWS, BLOCK_BITS, CHUNK_QUERIES, LANE_CHUNKS = 32_768, 1 << 27, 2_048, 64
+#: Rows of a block at most (fewer for wide vectors, so that slices stay under some 16 MB), queries of a chunk and bytes of it
+#: at most, bytes of the chunks that share a copy of a block.
+BLOCK_ROWS, BLOCK_BITS, CHUNK_QUERIES, CHUNK_BYTES, LANE_BYTES = 32_768, 1 << 27, 2_048, 1 << 20, 1 << 26
 #: The largest component after quantising: two such ones and their products with 4,096 others have 38 digits.
 LARGEST = 1 << 56
 
@@ -187,15 +189,16 @@ def built(rows: DataFrame, blocks: int, width: int, kind: str) -> DataFrame:
     return written(_packed(rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", F.col("v").cast(kind).alias("v")), INDEX, width, made))
 
 
-def best_of_block(index: pa.Table, chunks: pa.Table, k: int, wide: bool) -> pa.Table:
-    """The k best rows of one block for each query of some chunks."""
+def best_of_block(index: pa.Table, chunks: pa.Table, k: int, wide: bool, stored: str) -> pa.Table:
+    """The k best rows of one block for each query of some chunks, whose values are ``stored`` as such integers."""
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
     if len(index) and len(chunks):
         ids, low, bits = (np.frombuffer(index[c][0].as_py(), np.int64) for c in ("ids", "low", "bits"))
         index = Slices(len(ids), low, bits, np.frombuffer(index["planes"][0].as_py(), np.uint64).reshape(int(bits.sum()), -(-len(ids) // 64)))
         for own, values in zip(chunks["ids"].to_pylist(), chunks["values"].to_pylist(), strict=True):
             own = np.frombuffer(own, np.int64)
-            for q, v in zip(own.tolist(), np.frombuffer(values, np.int64).reshape(len(own), -1), strict=True):
+            for q, v in zip(own.tolist(), np.frombuffer(values, stored).reshape(len(own), -1), strict=True):
+                v = v.astype(np.int64)
                 a = int(np.searchsorted(ids, q))
                 at, score = index.top(v, k, a if a < len(ids) and ids[a] == q else None, wide)
                 for o, x in zip(out, (np.full(len(at), q), ids[at], score), strict=True):
@@ -214,15 +217,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     wide, kind = total * most >= 2**62, "array<int>" if max(most, most_q) < 2**31 else "array<long>"
     width = max(size, size_q, 1)
     blocks = max(1, math.ceil(n / min(block_rows, max(64, BLOCK_BITS // (12 * width)))))
+    stored = next(f"i{b}" for b in (2, 4, 8) if max(most, most_q) < 2 ** (8 * b - 1))
+    row_bytes = int(stored[1]) * width
+    chunk_queries = max(1, min(chunk_queries, CHUNK_BYTES // row_bytes))
     chunks = max(1, math.ceil(m / chunk_queries))
-    lanes = max(math.ceil(chunks / LANE_CHUNKS), min(chunks, math.ceil(64 / blocks)))
+    lanes = max(math.ceil(m * row_bytes / LANE_BYTES), min(chunks, math.ceil(64 / blocks)))
     index = built(rows, blocks, width, kind)
-    asked = written(_packed(queries.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(chunks)).alias("chunk"), "id", F.col("v").cast(kind).alias("v")), CHUNK, width, lambda ids, x: (ids, x)))
+    asked = written(_packed(queries.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(chunks)).alias("chunk"), "id", F.col("v").cast(kind).alias("v")), CHUNK, width, lambda ids, x: (ids, x.astype(stored))))
     sent = index.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     dealt = asked.withColumn("lane", F.col("chunk") % lanes).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        return best_of_block(left, right, k, wide)
+        return best_of_block(left, right, k, wide, stored)
 
     found = sent.groupBy("block", "lane").cogroup(dealt.groupBy("block", "lane")).applyInArrow(best, f"query_id long, vec_id long, score {'decimal(38,0)' if wide else 'long'}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
