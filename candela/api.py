@@ -9,7 +9,7 @@ import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import arguments
@@ -68,15 +68,18 @@ class RequestError(ValueError):
 class Engine:
     """Requests over a table of daily bars, and optionally index rows and hourly bars.
 
-    Every method returns lazy DataFrames for all tickers asked for (default: all). With ``audit``, a
-    folder, each call is appended there as a JSON line; failing to do so never fails the call.
+    Every method returns lazy DataFrames for all tickers asked for (default: all); :meth:`run` executes them. With ``audit``, a
+    folder, calls and runs are appended there as JSON lines, ``audit_every`` of them at once and the rest by :meth:`flush`;
+    failing to do so never fails the call.
     """
 
     bars: DataFrame
     index: DataFrame | None = None
     hours: DataFrame | None = None
     audit: str | None = None
+    audit_every: int = 1
     calls: list[dict] = field(default_factory=list)
+    pending: list[dict] = field(default_factory=list)
 
     @contextmanager
     def _call(self, tool: str, **args):
@@ -93,12 +96,51 @@ class Engine:
             raise
         finally:
             row["seconds"] = round(time.monotonic() - began, 3)
-            self.calls.append(row)
-            if self.audit:
-                try:
-                    self.bars.sparkSession.createDataFrame([(json.dumps(row, default=str),)], "value string").coalesce(1).write.mode("append").text(self.audit)
-                except Exception as e:  # noqa: BLE001  the audit is advisory
-                    row["audit_error"] = str(e)[:200]
+            self._log(row)
+
+    def _log(self, row: dict) -> None:
+        self.calls.append(row)
+        if self.audit:
+            self.pending.append(row)
+            if len(self.pending) >= self.audit_every:
+                self.flush()
+
+    def flush(self) -> None:
+        """Append what is not in the audit yet, in one file."""
+        rows, self.pending = self.pending, []
+        if not rows or not self.audit:
+            return
+        try:
+            lines = [(json.dumps(r, default=str),) for r in rows]
+            self.bars.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(self.audit)
+        except Exception as e:  # noqa: BLE001  the audit is advisory
+            for r in rows:
+                r["audit_error"] = str(e)[:200]
+
+    def run(self, result: DataFrame | dict[str, DataFrame], folder: str | None = None) -> dict[str, list | int]:
+        """Execute the DataFrames of a request: collected, or written as Parquet below ``folder`` (their row counts, then).
+
+        Each is logged with its rows, its seconds, and whether it failed; a failure is raised after that.
+        """
+        parts = result if isinstance(result, dict) else {"rows": result}
+        out: dict[str, list | int] = {}
+        for name, df in parts.items():
+            began, row = time.monotonic(), {"run": name, "at": datetime.datetime.now(datetime.UTC).isoformat(), "result": "done"}
+            try:
+                if folder is None:
+                    out[name] = df.collect()
+                    row["rows"] = len(out[name])
+                else:
+                    seen = Observation()
+                    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}")
+                    out[name] = row["rows"] = seen.get["n"]
+            except Exception as e:
+                row["result"] = f"failed: {e}"[:200]
+                raise
+            finally:
+                row["seconds"] = round(time.monotonic() - began, 3)
+                self._log(row)
+        return out
 
     def _rows(self, tickers: list[str] | None, lookback: int, as_of: str | None = None) -> DataFrame:
         if not 1 <= lookback <= 5000:

@@ -159,3 +159,18 @@ def test_report_is_one_document_a_ticker(spark, data):
             assert all(len(got[t][name]) == 1 and got[t][name][0].get("reading") == want[t].get("reading") for t in got)
     size = lambda scope: e.report(scope=scope)._jdf.queryExecution().optimizedPlan().toString().count("\n")
     assert size("levels") < size("short_term") / 3
+
+
+def test_runs_are_logged_with_rows_time_and_failure(spark, tmp_path):
+    e = Engine(bars(spark, "A", [float(i + 1) for i in range(40)]), audit=str(tmp_path / "audit"), audit_every=100)
+    assert len(e.run(e.prices(lookback=7))["rows"]) == 7
+    assert e.run({"prices": e.prices(lookback=9)}, str(tmp_path / "out")) == {"prices": 9} and spark.read.parquet(str(tmp_path / "out" / "prices")).count() == 9
+    with pytest.raises(Exception, match="broken"):
+        e.run(e.prices(lookback=3).select(F.raise_error(F.lit("broken"))))
+    assert not (tmp_path / "audit").exists()
+    e.flush()
+    e.flush()
+    log = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "audit")).collect()]
+    runs = [r for r in log if "run" in r]
+    assert len(log) == 6 and [r.get("rows") for r in runs] == [7, 9, None] and runs[2]["result"].startswith("failed") and all(r["seconds"] >= 0 for r in runs)
+    assert len(list((tmp_path / "audit").glob("part-*"))) == 1
