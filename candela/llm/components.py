@@ -12,12 +12,29 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: A vertex is a hub if it has more than HUB edges and more than one in HUBS of all edge ends; so there are fewer than HUBS hubs.
+HUB, HUBS = 100_000, 10_000
+
+
+def beside(rows: DataFrame, key: str, one: DataFrame, name: str, limit: int | None) -> DataFrame:
+    """Inner join of the rows with the one row of their key in ``one``, where it is called ``name`` and has its number of rows in ``n``.
+
+    Rows of keys with more than ``limit`` stay where they are: the few hubs are broadcast, and only the other rows are
+    shuffled by key. Without a limit no key can have that many.
+    """
+    on = F.col(key) == F.col(name)
+    if limit is None:
+        return rows.join(one.drop("n"), on)
+    hubs = F.broadcast(one.where(F.col("n") > limit).drop("n"))
+    return rows.join(hubs, on).unionByName(rows.join(hubs, on, "left_anti").join(one.where(F.col("n") <= limit).drop("n"), on))
+
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(id, root) for each vertex of the edges (a, b): root is the smallest id of its component.
 
     Alternates large-star and small-star until the edges stay as they are. Every step is an
-    aggregate and a join on the vertex; each round is written, so the lineage stays short. The
-    number of edges never grows.
+    aggregate and a join on the vertex, in which the edges of hubs are not brought together; each
+    round is written, so the lineage stays short. The number of edges never grows.
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = None
@@ -27,12 +44,13 @@ def components(edges: DataFrame) -> DataFrame:
         if found == mark:
             break
         mark = found
+        limit = max(hub, 2 * found[0] // HUBS) if 2 * found[0] > hub else None
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["v"]).where("b > a").select(F.col("b").alias("u"), "m").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"), "n")
+        large = beside(both, "a", low, "v", limit).where("b > a").select(F.col("b").alias("u"), "m").distinct()
         # small-star: u > m in every edge; u's smallest neighbour takes u and its other neighbours
-        least = large.groupBy("u").agg(F.min("m").alias("r")).select(F.col("u").alias("w"), "r")
-        met = large.join(least, large["u"] == least["w"])
+        least = large.groupBy("u").agg(F.min("m").alias("r"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("w"), "r", "n")
+        met = beside(large, "u", least, "w", limit)
         small = met.where("m <> r").select(F.col("r").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("r").alias("a"), F.col("w").alias("b")))
         after = written(small.distinct())
         discard(now)

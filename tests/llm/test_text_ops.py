@@ -64,11 +64,23 @@ def test_components_and_groups(spark):
             parent[max(a, b)] = min(a, b)
     got = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+    split = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), hub=3).collect()}
+    assert split == got, "edges of hubs are joined where they are"
     near = np.array([[1, 0, 1, 0], [0, 1, 0, 0], [1, 0, 1, 1], [0, 0, 1, 1]], bool)
     u, v = components.spanning(near)
     assert sorted(map(sorted, zip(u.tolist(), v.tolist()))) == [[0, 2], [2, 3]]
 
 
+def test_edges_of_hubs_are_not_shuffled_by_vertex(spark):
+    rows = spark.range(1000).selectExpr("if(id < 900, 1, id) AS a", "id AS b")
+    low = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("n")).withColumnRenamed("a", "v")
+    joined = components.beside(rows, "a", low, "v", 100)
+    assert joined.columns == ["a", "b", "v", "m"] and joined.count() == 1000
+    assert joined.where("a = 1 AND m = 0").count() == 900
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "LeftAnti" in plan
+
+
 def shingles(text, width):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
