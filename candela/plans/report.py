@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import cents
 from ..operators import levels
 from . import scoring
 
@@ -37,6 +38,22 @@ def own_levels(feats: DataFrame) -> DataFrame:
     return feats.select("ticker", F.explode(F.array(*rows)).alias("x")).select("ticker", "x.*")
 
 
+def levels_to_watch(feats: DataFrame) -> DataFrame:
+    """Every average of each horizon as support (below the close) or resistance, nearest level first; equal levels in the order of OWN.
+
+    An average that is null or not positive gives no row. Sorted inside the ticker's row, so nothing is shuffled.
+    """
+    close, rows = F.col("close"), []
+    for h, means in OWN.items():
+        at = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(name).alias("basis"), F.col(c).alias("v")) for i, (name, c) in enumerate(means)])
+        for side, sign in (("support", -1), ("resistance", 1)):
+            here = F.filter(at, lambda x: (x["v"] > 0) & ((x["v"] < close) if side == "support" else (x["v"] >= close)))  # noqa: B023
+            shown = lambda x: F.struct((F.round(x["v"], 0) * sign).alias("key"), x["order"].alias("order"), x["basis"].alias("basis"), F.round(x["v"], 0).alias("level"), cents(F.abs(x["v"] - close) / close * 100).alias("distance_pct"))  # noqa: B023, E731
+            rows.append(F.struct(F.lit(h).alias("horizon"), F.lit(side).alias("side"), F.array_sort(F.transform(here, shown)).alias("found")))
+    df = feats.select("ticker", F.explode(F.array(*rows)).alias("x")).select("ticker", "x.horizon", "x.side", F.posexplode("x.found").alias("at", "y"))
+    return df.select("ticker", "horizon", "side", (F.col("at") + 1).cast("bigint").alias("ordinal"), "y.basis", "y.level", "y.distance_pct")
+
+
 def perspectives(bars: DataFrame) -> DataFrame:
     """For each horizon its state, the levels to watch, what would confirm it, and what is at risk.
 

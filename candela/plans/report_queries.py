@@ -175,7 +175,7 @@ S250 = """
 peaks AS (SELECT *, MAX(close) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM b),
 s52 AS (SELECT ticker, CASE WHEN COUNT(*) >= 200 THEN (ARG_MAX(close, date) - ARG_MIN(close, date)) / ARG_MIN(close, date) * 100 END AS return_pct, CASE WHEN COUNT(*) >= 200 THEN MIN(close / peak - 1) * 100 END AS max_drawdown_pct,
   CASE WHEN COUNT(*) >= 200 THEN (ARG_MAX(close, date) - MIN(close)) / MIN(close) * 100 END AS from_low_pct, CASE WHEN COUNT(*) >= 200 THEN ROUND(AVG(total_value), 2) END AS avg_value FROM peaks GROUP BY ticker)"""
-_RANKS = " UNION ALL ".join(f"SELECT ticker, '{f}' AS metric, ROUND(v, 6) AS value, ROW_NUMBER() OVER (ORDER BY v DESC, ticker) AS rank, MAX(v) OVER () - MIN(v) OVER () >= {gap} AS material FROM (SELECT ticker, {'ABS' if a else ''}({f}) AS v FROM {'s52' if f in ('return_pct', 'max_drawdown_pct', 'from_low_pct') else 'cma'}) WHERE v IS NOT NULL QUALIFY COUNT(*) OVER () > 1" for f, (gap, a) in scoring.GAPS.items())
+_RANKS = " UNION ALL ".join(f"SELECT ticker, '{f}' AS metric, ROUND(v, 6) AS value, ROW_NUMBER() OVER (ORDER BY v DESC, ticker) AS rank, MAX(v) OVER () - MIN(v) OVER () >= {gap} AS material FROM (SELECT ticker, {'ABS' if a else ''}({f}) AS v FROM {'s52' if f in ('return_pct', 'max_drawdown_pct', 'from_low_pct') else 'cma'}) WHERE v IS NOT NULL QUALIFY COUNT(*) OVER () > 1" for f, gap, a in (("return_pct", 3, False), ("max_drawdown_pct", 3, True), ("from_low_pct", 5, False), ("vs_sma_200_pct", 2, False), ("rsi", 5, True)))
 _SPLITS = " UNION ALL ".join(f"SELECT '{n}' AS metric, COALESCE(STRING_AGG(ticker, ',' ORDER BY ticker) FILTER ({c} > 0), '') AS above, COALESCE(STRING_AGG(ticker, ',' ORDER BY ticker) FILTER ({c} <= 0), '') AS below FROM cma" for n, c in (("sma_20", "vs_sma_20_pct"), ("sma_50", "vs_sma_50_pct"), ("sma_200", "vs_sma_200_pct"), ("macd_hist", "macd_hist")))
 SHORT = renamed(recurrence((8, 17)), seeded="sseeded", ema="sema", r="sr_")
 SHORT_MACD = renamed(macd(8, 17, 9), line="sline", lined="slined", sig="ssig", macd="smacd", ema="sema")
@@ -199,12 +199,18 @@ def scan5(f):
 
 TREND = "CASE WHEN sma_20 IS NULL OR sma_50 IS NULL THEN 'insufficient_data' WHEN close > sma_20 AND sma_20 > sma_50 AND (sma_200 IS NULL OR sma_50 > sma_200) THEN IF(sma_200 IS NULL, 'bullish', 'strong_bullish') WHEN close < sma_20 AND sma_20 < sma_50 AND (sma_200 IS NULL OR sma_50 < sma_200) THEN IF(sma_200 IS NULL, 'bearish', 'strong_bearish') WHEN sma_200 IS NULL THEN IF(close > sma_50, 'weak_bullish', 'weak_bearish') WHEN close > sma_200 THEN IF(close > sma_20, 'moderate_bullish', 'weak_bullish') ELSE IF(close < sma_20, 'moderate_bearish', 'weak_bearish') END"
 MOMENTUM_CLASS = "CASE WHEN rsi IS NULL THEN 'insufficient_data' WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold' ELSE CASE WHEN rsi > 60 THEN 'bullish' WHEN rsi < 40 THEN 'bearish' ELSE 'neutral' END || CASE WHEN macd > 0 THEN '_macd_positive' WHEN macd IS NOT NULL THEN '_macd_negative' ELSE '' END END"
+# values the oracles hold the package against, written out here and not taken from its tables
+SCORES = """('strong_bullish', 2), ('moderate_bullish', 1), ('bullish', 1), ('weak_bullish', 0.5), ('above_long_term_ma', 0.5), ('overbought', 0.5), ('neutral', 0),
+  ('insufficient_data', 0), ('oversold', -0.5), ('weak_bearish', -0.5), ('below_long_term_ma', -0.5), ('moderate_bearish', -1), ('bearish', -1), ('strong_bearish', -2)"""
 COARSE = f"""
 coarse AS (SELECT ticker, {TREND} AS trend, {MOMENTUM_CLASS} AS momentum, CASE WHEN imb IS NULL THEN 'unknown' WHEN imb > 0.05 THEN 'buy_side' WHEN imb < -0.05 THEN 'sell_side' ELSE 'balanced' END AS bias, CASE SIGN(f20) WHEN 1 THEN 'net_buying' WHEN -1 THEN 'net_selling' WHEN 0 THEN 'flat' ELSE 'unknown' END AS stance FROM feat),
-points AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in scoring.POINTS.items())}) t(trend, worth))"""
+points AS (SELECT trend, CAST(worth AS DOUBLE) AS worth FROM (VALUES {SCORES}) t(trend, worth))"""
 _TOTAL = "(COALESCE(worth, 0::DOUBLE) + COALESCE((SELECT MAX(m.worth) FROM points m WHERE m.trend = split_part(momentum, '_macd_', 1)), 0::DOUBLE) * 0.6::DOUBLE + CASE WHEN ends_with(momentum, '_macd_positive') THEN 0.3::DOUBLE WHEN ends_with(momentum, '_macd_negative') THEN -0.3::DOUBLE ELSE 0::DOUBLE END + CASE bias WHEN 'buy_side' THEN 0.4::DOUBLE WHEN 'sell_side' THEN -0.4::DOUBLE ELSE 0::DOUBLE END + CASE stance WHEN 'net_buying' THEN 0.4::DOUBLE WHEN 'net_selling' THEN -0.4::DOUBLE ELSE 0::DOUBLE END)"
 STRENGTH = f"CASE WHEN {_TOTAL} >= 2.0::DOUBLE THEN 'strong_bullish' WHEN {_TOTAL} >= 1.0::DOUBLE THEN 'moderate_bullish' WHEN {_TOTAL} >= 0.3::DOUBLE THEN 'lean_bullish' WHEN {_TOTAL} > -0.3::DOUBLE THEN 'neutral' WHEN {_TOTAL} > -1.0::DOUBLE THEN 'lean_bearish' WHEN {_TOTAL} > -2.0::DOUBLE THEN 'moderate_bearish' ELSE 'strong_bearish' END"
-WORDS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.WORDING.items()) + ") {0}(label, vi)"
+WORDS = """(VALUES ('aligned_uptrend', 'xu hướng tăng đồng thuận (giá trên SMA20 trên SMA50 trên SMA200)'),
+  ('aligned_downtrend', 'xu hướng giảm đồng thuận (giá dưới SMA20 dưới SMA50 dưới SMA200)'), ('above_sma200_transitional', 'đã vượt lên trên đường trung bình 200 phiên'),
+  ('below_sma200_transitional', 'vẫn nằm dưới đường trung bình 200 phiên'), ('short_term_uptrend', 'xu hướng tăng ngắn hạn'), ('short_term_downtrend', 'xu hướng giảm ngắn hạn'),
+  ('transitional', 'chuyển tiếp'), ('overbought', 'vùng quá mua'), ('oversold', 'vùng quá bán'), ('bullish', 'tích cực'), ('bearish', 'tiêu cực'), ('neutral', 'trung tính')) {0}(label, vi)"""
 
 
 OWN_LEVELS = """
@@ -218,6 +224,9 @@ zr AS (SELECT ticker, MIN(level) AS l, ARG_MIN(basis, level) AS b FROM zones WHE
 views AS (SELECT v.ticker, v.horizon, strength, confidence, missing, COALESCE(os.l, zs.l) AS support, COALESCE(os.b, zs.b) AS support_basis, COALESCE(orr.l, zr.l) AS resistance, COALESCE(orr.b, zr.b) AS resistance_basis,
   CAST(CAST(zs.l AS BIGINT) AS VARCHAR) || ' (' || zs.b || ')' AS zst, CAST(CAST(zr.l AS BIGINT) AS VARCHAR) || ' (' || zr.b || ')' AS zrt
   FROM verdict v LEFT JOIN os ON os.ticker = v.ticker AND os.h = v.horizon LEFT JOIN orr ON orr.ticker = v.ticker AND orr.h = v.horizon LEFT JOIN zs ON zs.ticker = v.ticker LEFT JOIN zr ON zr.ticker = v.ticker)"""
+TO_WATCH = """
+SELECT ticker, horizon, side, ROW_NUMBER() OVER (PARTITION BY ticker, horizon, side ORDER BY IF(side = 'support', -level, level), o) AS ordinal, basis, level, distance_pct
+FROM (SELECT ticker, h AS horizon, IF(v < close, 'support', 'resistance') AS side, o, b AS basis, ROUND(v, 0) AS level, CAST(ROUND(CAST(ABS(v - close) / close * 100 AS DECIMAL(28,8)), 2) AS DOUBLE) AS distance_pct FROM own WHERE v > 0)"""
 PERSPECTIVES = f"""
 SELECT ticker, horizon, replace(strength, '_', ' ') || ', confidence ' || confidence AS state, support, support_basis, resistance, resistance_basis,
   CASE WHEN bias > 0 THEN COALESCE('close above ' || r, 'above all levels') WHEN bias < 0 THEN COALESCE('close back above ' || r, 'no level above') ELSE COALESCE(r || ' or ' || s, 'no levels on both sides') END AS confirmation,
@@ -258,7 +267,7 @@ QUERIES = {
     "signal_strength": (feats(scoring.signal_strength), q(f"SELECT ticker, trend, momentum, bias, stance, {STRENGTH} AS signal_strength FROM (SELECT * FROM coarse LEFT JOIN points p USING (trend))", *H500, COARSE)),
     "label_wording": (
         on_levels(lambda b: labels.with_wording(trend.trend_alignment(b).join(momentum.rsi(b).select("ticker", "zone"), "ticker").join(volatility.bollinger_squeeze(b).select("ticker", "squeeze"), "ticker").drop("date"))),
-        f"SELECT a.ticker, alignment, zone, squeeze, w.vi AS alignment_vi, v.vi AS zone_vi, CASE WHEN squeeze THEN '{labels.SWITCHES['squeeze'][0]}' ELSE '{labels.SWITCHES['squeeze'][1]}' END AS squeeze_vi FROM ({INDICATORS['trend_alignment'][1]}) a JOIN ({INDICATORS['rsi'][1]}) r USING (ticker) JOIN ({INDICATORS['bollinger_squeeze'][1]}) s USING (ticker) LEFT JOIN {WORDS.format('w')} ON w.label = alignment LEFT JOIN {WORDS.format('v')} ON v.label = zone",
+        f"SELECT a.ticker, alignment, zone, squeeze, w.vi AS alignment_vi, v.vi AS zone_vi, CASE WHEN squeeze THEN 'dải Bollinger đang co hẹp' WHEN NOT squeeze THEN 'dải Bollinger nới rộng bình thường' END AS squeeze_vi FROM ({INDICATORS['trend_alignment'][1]}) a JOIN ({INDICATORS['rsi'][1]}) r USING (ticker) JOIN ({INDICATORS['bollinger_squeeze'][1]}) s USING (ticker) LEFT JOIN {WORDS.format('w')} ON w.label = alignment LEFT JOIN {WORDS.format('v')} ON v.label = zone",
     ),
     "compare_52w": (
         lambda spark, d: scoring.compare_52w(bars_1d(spark, d)).select("ticker", "window_sessions", "excluded", "return_pct", "max_drawdown_pct", "from_low_pct"),
@@ -289,5 +298,6 @@ QUERIES = {
     "room_warnings": (scan5(lambda s: scoring.room_warnings(s, 9_999_990)), q("SELECT ticker, room FROM sc WHERE room < 9999990", BARS, back(20), SCAN5)),
     "multi_horizon": (on(500, report.multi_horizon), q("SELECT * FROM verdict JOIN placed USING (ticker)", *H_LEVELS)),
     "perspectives": (on(500, report.perspectives), q(PERSPECTIVES, *H_LEVELS, OWN_LEVELS)),
+    "levels_to_watch": (feats(report.levels_to_watch), q(TO_WATCH, *H_LEVELS, OWN_LEVELS)),
     "compare_pivot": (on(250, report.compare_pivot), q("SELECT c.*, FALSE AS excluded, ROUND(return_pct, 6) AS return_pct, ROUND(max_drawdown_pct, 6) AS max_drawdown_pct, ROUND(from_low_pct, 6) AS from_low_pct, p.close, support, resistance, pct_in_band, reading FROM cma c JOIN s52 ON c.ticker = s52.ticker JOIN placed p ON c.ticker = p.ticker", *C250, S250, SWINGS, EXTREMES, CANDIDATES, ZONES, POSITION)),
 }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela.operators import flow, levels, momentum, trend, volatility, weekly
-from candela.plans import scoring
+from candela.plans import report, scoring
 
 FIELDS = "ticker string, date date, prev_close double, open double, high double, low double, close double, total_trade long, total_value double, total_volume long, buy_count long, sell_count long, buy_volume long, sell_volume long, foreign_buy_volume long, foreign_sell_volume long, foreign_buy_value double, foreign_sell_value double, foreign_room long"
 
@@ -187,3 +187,19 @@ def test_large_tickets_are_read_from_each_side_against_its_own_past(spark):
     for buy, sell, reading in ((130, 100, "larger_buy_tickets"), (100, 130, "larger_sell_tickets"), (140, 150, "larger_tickets_both_sides"), (120, 100, "ordinary_ticket_sizes")):
         df = spark.createDataFrame([("T", *r) for r in [*days, (20, buy, sell, 1, 1)]], "ticker string, date int, buy_volume long, sell_volume long, buy_count long, sell_count long")
         assert flow.trade_size_by_side(df).first().reading == reading
+
+
+def test_levels_to_watch_by_hand(spark):
+    cols = ("ticker", "close", "ema_12", "sma_20", "sma_50", "sma_100", "sma_200", "w_sma_20", "w_sma_50")
+    feats = spark.createDataFrame([("A", 100.0, 99.4, 99.2, 100.0, None, 0.0, 120.0, 98.4), ("B", 10.0, *[None] * 7)], "ticker string, " + ", ".join(f"{c} double" for c in cols[1:]))
+    got = sorted(tuple(r) for r in report.levels_to_watch(feats).collect())
+    assert got == [
+        ("A", "long_term", "resistance", 1, "SMA20_weekly", 120.0, 20.0),
+        ("A", "long_term", "support", 1, "SMA50_weekly", 98.0, 1.6),
+        ("A", "mid_term", "resistance", 1, "SMA50", 100.0, 0.0),
+        ("A", "mid_term", "support", 1, "SMA20", 99.0, 0.8),
+        ("A", "short_term", "resistance", 1, "SMA50", 100.0, 0.0),
+        ("A", "short_term", "support", 1, "EMA12", 99.0, 0.6),
+        ("A", "short_term", "support", 2, "SMA20", 99.0, 0.8),
+    ], "equal rounded levels keep the order of the averages; null and zero averages give none"
+    assert "Exchange" not in report.levels_to_watch(feats)._jdf.queryExecution().executedPlan().toString()
