@@ -262,7 +262,7 @@ class Engine:
     def multi_horizon(self, tickers: list[str] | None = None, scope: str = "full", lookback: int = 500, as_of: str | None = None, detail: str = "compact", series_tail: int = 0) -> dict[str, DataFrame]:
         """The whole report, as far as the scope asks for it.
 
-        Levels and position; for horizons their components, verdicts, conflicts, alignment, invalidation and perspectives, and
+        Levels and position; for horizons their components, verdicts, conflicts, alignment, invalidation, perspectives and the averages to watch, and
         how many weekly bars there are; 52-week figures. In full detail also every daily and weekly measure.
         """
         with self._call("multi_horizon", tickers=tickers, scope=scope, lookback=lookback, as_of=as_of, detail=detail, series_tail=series_tail):
@@ -276,9 +276,10 @@ class Engine:
             out = {"levels": levels.nearest_levels(zones), "position": levels.level_position(zones, rows)}
             if SCOPES[scope]:
                 here = F.col("horizon").isin(*SCOPES[scope])
-                comps = scoring.components(scoring.features(rows)).where(here)
+                feats = scoring.features(rows)
+                comps = scoring.components(feats).where(here)
                 verdict = scoring.verdicts(comps)
-                out |= {"components": comps, "verdict": verdict, "conflicts": scoring.conflicts(comps), "alignment": scoring.alignment(verdict), "invalidation": scoring.invalidation(verdict, out["position"]), "perspectives": report.perspectives(rows).where(here)}
+                out |= {"components": comps, "verdict": verdict, "conflicts": scoring.conflicts(comps), "alignment": scoring.alignment(verdict), "invalidation": scoring.invalidation(verdict, out["position"]), "levels_to_watch": report.levels_to_watch(feats).where(here), "perspectives": report.perspectives(rows).where(here)}
             weeks = weekly.weekly_bars(rows)
             if scope in ("full", "mid_term", "long_term"):
                 out["weekly_bars"] = weeks.groupBy("ticker").agg(F.count(F.lit(1)).alias("available")).withColumn("required", F.lit(WEEKS).cast("long"))
